@@ -6,8 +6,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe
+from tessera.llm import bpe, fingerprint, media
 from tessera.llm.common import table
+from tessera.llm.ordering import with_next
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes stored in an ISO media container, probed and read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("payload"))
+    stored = media.store(docs.withColumn("n_bytes", F.octet_length("payload").cast("long")))
+    back = media.read_back(media.probe(stored))
+    return back.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.to_json("info").alias("feature"),
+    )
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,5 +41,29 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_bpe": op9_bpe}
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against its edited text, whose second half comes from the next document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    half = F.expr("cast(n_chars div 2 as int)")
+    edited = (
+        with_next(docs, "doc_id", "text", "next_text")
+        .withColumn("n_chars", F.char_length("text").cast("long"))
+        .withColumn("edited", F.concat(F.left("text", (F.col("n_chars") - half).cast("int")), F.left("next_text", half)))
+        .withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    )
+    sketched = fingerprint.with_fingerprints(edited, {"text": "own", "edited": "other", "next_text": "following"}, drop=True)
+    near = fingerprint.compare(sketched, "own", "other").withColumnsRenamed({"resemblance": "near_edited", "containment": "contained", "distinct_a": "n_distinct"}).drop("distinct_b")
+    return fingerprint.compare(near, "own", "following").select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        F.lower(F.hex("own")).alias("fingerprint"),
+        F.lower(F.hex("other")).alias("edited_fingerprint"),
+        "near_edited",
+        F.col("resemblance").alias("near_next"),
+        "n_distinct",
+    )
+
+
+QUERIES = {"op8_media_columns": op8_media_columns, "op9_bpe": op9_bpe, "op10_fingerprint": op10_fingerprint}
 ORACLES: dict[str, str] = {}
