@@ -13,6 +13,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: ASCII white space that separates words in the contracts.
 WORD_SEPARATORS = " \t\n\x0b\x0c\r"
+#: Rows of an Arrow batch that become Python objects at a time; bounds a task's memory.
+SLICE_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,14 +42,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, schema: T.StructType, batch: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | None]) -> DataFrame:
-    """mapInArrow of one function a batch, its output cast to schema."""
+def arrow_map(df: DataFrame, schema: T.StructType, batch: Callable[[pa.RecordBatch], pa.Table | None]) -> DataFrame:
+    """mapInArrow of one function on at most SLICE_ROWS rows at a time, its output cast to schema."""
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows and (out := batch(b)) is not None:
-                yield from pa.Table.from_batches([out]).cast(target).to_batches() if isinstance(out, pa.RecordBatch) else out.cast(target).to_batches()
+            for at in range(0, b.num_rows, SLICE_ROWS):
+                if (out := batch(b.slice(at, SLICE_ROWS))) is not None:
+                    yield from out.cast(target).to_batches()
 
     return df.mapInArrow(run, schema)
 

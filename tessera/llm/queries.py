@@ -6,11 +6,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprint, media
+from tessera.llm import bpe, fingerprint, line_dedup, media
 from tessera.llm.common import table
 from tessera.llm.ordering import with_next
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the long lines that five or more documents share, but for the last of those."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_repeated(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
+  FROM documents
+), keyed AS (
+  SELECT doc_id, pos, line,
+         translate(regexp_replace(line, '^[ 	-]+|[ 	-]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+), repeated AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+  SELECT k.*, r.key IS NOT NULL AND k.doc_id <> r.keeper AS gone FROM keyed k LEFT JOIN repeated r ON k.key = r.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's bytes stored in an ISO media container, probed and read back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("payload"))
@@ -65,5 +91,5 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op8_media_columns": op8_media_columns, "op9_bpe": op9_bpe, "op10_fingerprint": op10_fingerprint}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op4_line_dedup": op4_line_dedup, "op8_media_columns": op8_media_columns, "op9_bpe": op9_bpe, "op10_fingerprint": op10_fingerprint}
+ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL}
