@@ -27,7 +27,7 @@ from tessera.llm.common import arrow_map, with_columns
 #: Upper bound of a vocabulary file that is broadcast to the executors, in bytes.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Words and fragments that a task remembers.
-MEMO_ENTRIES = 1 << 19
+MEMO_ENTRIES = 1 << 18
 
 
 def byte_symbols() -> list[str]:
@@ -61,7 +61,6 @@ class WordBpe:
         self.suffix: str = model["end_of_word_suffix"]
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
-        self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.symbols = byte_symbols()
         pattern = d["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern)
@@ -124,8 +123,16 @@ class WordBpe:
             return self._plain(text)
         return b"".join(array("I", [self.special[p]]).tobytes() if p in self.special else self._plain(p) for p in self.specials.split(text) if p)
 
+
+class Tokens:
+    """The text of each id."""
+
+    def __init__(self, spec: str):
+        d = json.loads(spec)
+        self.tokens = {i: t for t, i in d["model"]["vocab"].items()} | {t["id"]: t["content"] for t in d["added_tokens"]}
+
     def decode(self, ids: bytes) -> str:
-        """Tokens joined by a space, as the library does without a decoder."""
+        """Tokens joined by a space, as the library does without a decoder; unknown ids are left out."""
         return " ".join([t for i in np.frombuffer(ids, "<u4").tolist() if (t := self.tokens.get(i)) is not None])
 
 
@@ -136,14 +143,14 @@ def _vocabulary(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast(spec)
 
 
-_loaded: dict[int, WordBpe] = {}
+_loaded: dict[tuple, WordBpe | Tokens] = {}
 
 
-def _of(broadcast) -> WordBpe:
-    key = hash(broadcast.value)
+def _of(broadcast, kind: type):
+    key = kind, hash(broadcast.value)
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = WordBpe(broadcast.value)
+        _loaded[key] = kind(broadcast.value)
     return _loaded[key]
 
 
@@ -157,7 +164,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
     schema = _out(df, () if keep_text else (text,), ids, T.BinaryType())
 
     def run(b: pa.RecordBatch):
-        bpe = _of(shared)
+        bpe = _of(shared, WordBpe)
         t = with_columns(b, **{ids: pa.array([bpe.encode(x or "") for x in b.column(text).to_pylist()], pa.binary())})
         return t.select(schema.names)
 
@@ -170,8 +177,8 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
     schema = _out(df, (), text, T.StringType())
 
     def run(b: pa.RecordBatch):
-        bpe = _of(shared)
-        t = with_columns(b, **{text: pa.array([bpe.decode(x or b"") for x in b.column(ids).to_pylist()], pa.string())})
+        tokens = _of(shared, Tokens)
+        t = with_columns(b, **{text: pa.array([tokens.decode(x or b"") for x in b.column(ids).to_pylist()], pa.string())})
         return t.select(schema.names)
 
     return arrow_map(df, schema, run)
