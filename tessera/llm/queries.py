@@ -6,11 +6,42 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprint, line_dedup, media
+from tessera.llm import bpe, fingerprint, line_dedup, media, minhash_dedup
 from tessera.llm.common import table
 from tessera.llm.ordering import with_next
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its group of near duplicates; the least id of a group is kept."""
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("n_links")
+
+
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, [w FOR w IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF w <> ''] AS w
+  FROM documents
+), shingled AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s
+  FROM words
+), parts AS (
+  SELECT doc_id, unnest(s) AS shingle, len(s) AS n FROM shingled
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both
+  FROM parts a JOIN parts b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), least AS (
+  SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x
+)
+SELECT s.doc_id, len(s.s) AS n_shingles, l.component_id, s.doc_id = l.component_id AS kept
+FROM shingled s JOIN least l USING (doc_id)
+"""
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the long lines that five or more documents share, but for the last of those."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -24,7 +55,9 @@ WITH lines AS (
   FROM documents
 ), keyed AS (
   SELECT doc_id, pos, line,
-         translate(regexp_replace(line, '^[ 	-]+|[ 	-]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+         translate(regexp_replace(line, '^[ 	-
+]+|[ 	-
+]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM lines
 ), repeated AS (
   SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
@@ -91,5 +124,5 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_line_dedup": op4_line_dedup, "op8_media_columns": op8_media_columns, "op9_bpe": op9_bpe, "op10_fingerprint": op10_fingerprint}
-ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL}
+QUERIES = {"op3_minhash_dedup": op3_minhash_dedup, "op4_line_dedup": op4_line_dedup, "op8_media_columns": op8_media_columns, "op9_bpe": op9_bpe, "op10_fingerprint": op10_fingerprint}
+ORACLES: dict[str, str] = {"op3_minhash_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL}
