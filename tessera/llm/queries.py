@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprint, line_dedup, media, minhash_dedup
+from tessera.llm import bpe, fingerprint, line_dedup, media, minhash_dedup, quality, toxicity
 from tessera.llm.common import table
 from tessera.llm.ordering import with_next
 
@@ -70,6 +70,20 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op6_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's importance weight towards text labelled good, and whether the sample has it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.resampled(docs, table(spark, sf_dir, "labels"), keep_text=False)
+
+
+def op7_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity by its nearest labelled examples; a quarter of the ids is held out from learning."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    return toxicity.scores(docs, labels).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's bytes stored in an ISO media container, probed and read back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("payload"))
@@ -124,5 +138,5 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_minhash_dedup": op3_minhash_dedup, "op4_line_dedup": op4_line_dedup, "op8_media_columns": op8_media_columns, "op9_bpe": op9_bpe, "op10_fingerprint": op10_fingerprint}
+QUERIES = {"op6_quality_resample": op6_quality_resample, "op7_toxicity_knn": op7_toxicity_knn, "op3_minhash_dedup": op3_minhash_dedup, "op4_line_dedup": op4_line_dedup, "op8_media_columns": op8_media_columns, "op9_bpe": op9_bpe, "op10_fingerprint": op10_fingerprint}
 ORACLES: dict[str, str] = {"op3_minhash_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL}
