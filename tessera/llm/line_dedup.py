@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import arrow_map, with_columns
+from tessera.llm.common import arrow_map, materialise, with_columns
 
 #: Keys of fewer code points stay; documents that must hold a key before it goes.
 MIN_CHARS, MIN_DOCUMENTS = 40, 5
@@ -141,7 +141,8 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     ids += [i] * int(hit.sum())
         return pa.table({"id": pa.array(ids, b.schema.field(0).type), "digest": pa.array(digests, pa.binary())}) if ids else None
 
-    held = arrow_map(docs.select(doc_id, text), schema, suspects)
+    # read twice: once to count, once to pick
+    held = materialise(arrow_map(docs.select(doc_id, text), schema, suspects), "suspects")
     counted = held.groupBy("digest").agg(F.countDistinct("id").alias("n"), F.max("id").alias("keeper"))
     lost = held.join(counted.where(F.col("n") >= min_documents).drop("n"), "digest").where("id <> keeper")
     return lost.groupBy(F.col("id").alias(doc_id)).agg(F.collect_set("digest").alias("digests"))
