@@ -6,11 +6,70 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprint, line_dedup, media, minhash_dedup, quality, toxicity
+from tessera.llm import bpe, fingerprint, license_scan, line_dedup, media, minhash_dedup, quality, source_mix, tool_calls, toxicity
 from tessera.llm.common import table
 from tessera.llm.ordering import with_next
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The public licenses that each document states."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+#: The tools that assistant turns stand for, and the schema of their arguments.
+TOOLS = {
+    "search": {"text": ("string", True), "words": ("integer", True), "after": ("array", False)},
+    "summarise": {"text": ("string", True), "words": ("integer", False), "after": ("array", True)},
+    "translate": {"text": ("string", True), "words": ("string", False), "after": ("array", False)},
+}
+
+
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as tool calls: an assistant's turn is a call whose arguments hold its text and refer to the turn at half its number; the turn that follows is its result."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    name_of = lambda t: F.concat(F.lit("call_"), t.cast("string"))
+    half = F.floor(F.col("turn") / 2)
+    names = F.array(*(F.lit(t) for t in TOOLS))
+    calls = turns.where("role = 'assistant'").select(
+        "conv_id",
+        "turn",
+        name_of(F.col("turn")).alias("call_id"),
+        F.get(names, F.pmod(F.octet_length(F.coalesce("text", F.lit(""))), F.lit(len(TOOLS)))).alias("name"),
+        F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text"), F.size(F.split(F.coalesce("text", F.lit("")), " ")).alias("words"), F.array(name_of(half)).alias("after"))).alias("arguments"),
+        F.array(name_of(half)).alias("needs"),
+    )
+    results = turns.where("role = 'user' and turn > 0").select("conv_id", "turn", name_of(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    out = tool_calls.linked(calls, results, TOOLS)
+    return out.select("conv_id", "call_id", F.coalesce("turn", "result_turn").alias("turn"), "name", "status", "level", "problems", F.sha2(F.col("record").cast("binary"), 256).alias("record_sha256"))
+
+
+OP2_SQL = """
+WITH RECURSIVE calls AS (
+  SELECT conv_id, turn, 'call_' || turn AS call_id, ['search', 'summarise', 'translate'][strlen(coalesce(text, '')) % 3 + 1] AS name,
+         coalesce(text, '') AS text, len(string_split(coalesce(text, ''), ' ')) AS words, turn // 2 AS half
+  FROM conversations WHERE role = 'assistant'
+), results AS (
+  SELECT conv_id, turn AS result_turn, 'call_' || (turn - 1) AS call_id, text AS content FROM conversations WHERE role = 'user' AND turn > 0
+), ordered AS (
+  SELECT c.conv_id, c.call_id, c.turn, 0 AS level FROM calls c LEFT JOIN calls d ON c.conv_id = d.conv_id AND c.half = d.turn WHERE d.turn IS NULL
+  UNION ALL
+  SELECT c.conv_id, c.call_id, c.turn, o.level + 1 FROM calls c JOIN ordered o ON c.conv_id = o.conv_id AND c.half = o.turn
+), problems AS (
+  SELECT c.conv_id, c.call_id,
+    concat_ws(',', CASE WHEN c.name = 'translate' THEN 'type:words' END, CASE WHEN d.turn IS NULL THEN 'reference:call_' || c.half END) AS problems
+  FROM calls c LEFT JOIN calls d ON c.conv_id = d.conv_id AND c.half = d.turn
+)
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.turn, r.result_turn) AS turn, c.name,
+  CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+  o.level, nullif(p.problems, '') AS problems,
+  sha256('{"arguments":' || CASE WHEN c.call_id IS NULL THEN 'null' ELSE '{"after":["call_' || c.half || '"],"text":' || to_json(c.text) || ',"words":' || c.words || '}' END
+    || ',"id":' || to_json(coalesce(c.call_id, r.call_id)) || ',"name":' || coalesce(to_json(c.name)::VARCHAR, 'null') || ',"result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || '}') AS record_sha256
+FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+LEFT JOIN ordered o ON c.conv_id = o.conv_id AND c.call_id = o.call_id
+LEFT JOIN problems p ON c.conv_id = p.conv_id AND c.call_id = p.call_id
+"""
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its group of near duplicates; the least id of a group is kept."""
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("n_links")
@@ -70,6 +129,12 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in a mix that gives all sources equal shares while they last."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return source_mix.mixed(docs)
+
+
 def op6_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's importance weight towards text labelled good, and whether the sample has it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -138,5 +203,5 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op6_quality_resample": op6_quality_resample, "op7_toxicity_knn": op7_toxicity_knn, "op3_minhash_dedup": op3_minhash_dedup, "op4_line_dedup": op4_line_dedup, "op8_media_columns": op8_media_columns, "op9_bpe": op9_bpe, "op10_fingerprint": op10_fingerprint}
-ORACLES: dict[str, str] = {"op3_minhash_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL}
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_tool_calls": op2_tool_calls, "op5_source_mix": op5_source_mix, "op6_quality_resample": op6_quality_resample, "op7_toxicity_knn": op7_toxicity_knn, "op3_minhash_dedup": op3_minhash_dedup, "op4_line_dedup": op4_line_dedup, "op8_media_columns": op8_media_columns, "op9_bpe": op9_bpe, "op10_fingerprint": op10_fingerprint}
+ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle_sql(), "op2_tool_calls": OP2_SQL, "op3_minhash_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL}
