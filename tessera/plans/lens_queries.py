@@ -2,5 +2,515 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import routes, text
+from tessera.operators import graph, history, impact, link, project_map, scan_passes, search, status
+from tessera.plans import lens as sql
+from tessera.plans.lens import Lens
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+ROOT, DEPTH = "R:1", 3
+
+
+def query(oracle: str | None = None, *views: str):
+    """Registers a function of a Lens under its name, with the oracle's SQL after the views it uses."""
+
+    def register(f: Callable[[Lens], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Lens(spark, sf_dir))
+        if oracle:
+            ORACLES[f.__name__] = (f"WITH RECURSIVE {', '.join(views)} " if views else "") + oracle
+        return f
+
+    return register
+
+
+def root(v: Lens) -> DataFrame:
+    return v.spark.createDataFrame([(ROOT,)], "id string")
+
+
+REACH = f"""walk AS (
+  SELECT '{ROOT}' AS id, 0 AS depth UNION SELECT e.src, w.depth + 1 FROM walk w JOIN edges e ON e.dst = w.id WHERE w.depth < {DEPTH}
+), reached AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id)"""
+
+
+@query("SELECT id, depth FROM reached", sql.EDGES_SQL, REACH)
+def reverse_reach_depth(v: Lens) -> DataFrame:
+    return graph.reverse_reach(v.edges(), root(v), DEPTH).select("id", "depth")
+
+
+@query("SELECT kind, depth, count(*) AS n FROM reached JOIN symbols USING (id) GROUP BY kind, depth", sql.SYMBOLS_SQL, sql.EDGES_SQL, REACH)
+def reach_by_kind(v: Lens) -> DataFrame:
+    reached = graph.reverse_reach(v.edges(), root(v), DEPTH).select("id", "depth")
+    return reached.join(v.symbols().select("id", "kind"), "id").groupBy("kind", "depth").agg(F.count("*").alias("n"))
+
+
+BUCKETS = """bucketed AS (
+  SELECT r.id, r.depth, coalesce(s.project, '?') AS project, CASE WHEN s.id IS NULL THEN substr(r.id, 3) WHEN s.containing IS NULL THEN s.name ELSE s.containing || '.' || s.name END AS display, e.type,
+    CASE WHEN e.id IS NOT NULL THEN 'entry' WHEN s.project = 'BUILDING.Tests' THEN 'test' ELSE 'intermediate' END AS bucket
+  FROM reached r LEFT JOIN symbols s ON r.id = s.id LEFT JOIN entries e ON r.id = e.id WHERE r.depth > 0
+)"""
+
+
+@query("SELECT id, depth, project, display, bucket FROM bucketed", sql.SYMBOLS_SQL, sql.EDGES_SQL, sql.ENTRIES_SQL, REACH, BUCKETS)
+def reach_bucketed(v: Lens) -> DataFrame:
+    reached = graph.reverse_reach(v.edges(), root(v), DEPTH)
+    return impact.buckets(reached, v.symbols(), v.entry_points()).select("id", "depth", "project", "display", "bucket")
+
+
+@query(
+    f"""SELECT count(*) FILTER (via = 'interface') AS via_interface, count(*) FILTER (via = 'override') AS via_override, count(*) FILTER (via = 'mediatr') AS via_mediatr,
+    count(*) FILTER (via = 'delegate') AS via_delegate, count(*) AS edges_used FROM edges JOIN reached ON dst = id WHERE depth < {DEPTH}""",
+    sql.EDGES_SQL,
+    REACH,
+)
+def edges_used_via_counts(v: Lens) -> DataFrame:
+    edges = v.edges()
+    return impact.via_counts(graph.edges_used(edges, graph.reverse_reach(edges, root(v), DEPTH), DEPTH))
+
+
+@query(
+    """SELECT dst AS "to", count(*) AS direct_fan_in, count(*) FILTER (inferred) AS inferred_only FROM (
+    SELECT dst, src, bool_and(coalesce(via IN ('interface', 'override', 'mediatr'), false)) AS inferred FROM edges WHERE kind IN ('call', 'new') AND src <> dst GROUP BY dst, src) GROUP BY dst""",
+    sql.EDGES_SQL,
+)
+def direct_fan_in(v: Lens) -> DataFrame:
+    return impact.fan_in(v.edges())
+
+
+CONFIRMED = f"""types AS (SELECT DISTINCT substr(impl, 3) AS containing FROM di),
+sites AS (SELECT DISTINCT e.src, e.file, e.line FROM edges e JOIN symbols s ON e.dst = s.id JOIN types t ON s.containing = t.containing WHERE e.kind = 'call' AND e.via = 'interface'),
+used AS (
+  SELECT e.*, e.via IS DISTINCT FROM 'interface' OR x.src IS NULL OR t.containing IS NOT NULL AS confirmed
+  FROM edges e JOIN reached r ON e.dst = r.id AND r.depth < {DEPTH} LEFT JOIN symbols s ON e.dst = s.id LEFT JOIN types t ON s.containing = t.containing
+  LEFT JOIN sites x ON x.src = e.src AND x.file = e.file AND x.line = e.line
+), sure AS (SELECT '{ROOT}' AS id UNION SELECT u.src FROM sure w JOIN used u ON u.dst = w.id WHERE u.confirmed)"""
+
+
+def confirmed_used(v: Lens) -> tuple[DataFrame, DataFrame]:
+    edges, symbols = v.edges(), v.symbols()
+    reached = graph.reverse_reach(edges, root(v), DEPTH)
+    used = impact.with_confirmation(graph.edges_used(edges, reached, DEPTH), symbols, impact.confirmed_types(v.di()), sites=edges)
+    return reached, used
+
+
+@query("SELECT r.id, r.depth, s.id IS NOT NULL AS confirmed FROM reached r LEFT JOIN sure s ON r.id = s.id", sql.SYMBOLS_SQL, sql.EDGES_SQL, sql.DI_SQL, REACH, CONFIRMED)
+def confirmed_reach(v: Lens) -> DataFrame:
+    reached, used = confirmed_used(v)
+    sure = graph.propagate(used, root(v), F.col("confirmed")).withColumn("confirmed", F.lit(True))
+    return reached.join(sure, "id", "left").select("id", "depth", F.coalesce("confirmed", F.lit(False)).alias("confirmed"))
+
+
+@query(
+    "SELECT project, count(*) AS entry_points FROM bucketed JOIN sure USING (id) WHERE bucket = 'entry' GROUP BY project",
+    sql.SYMBOLS_SQL, sql.EDGES_SQL, sql.ENTRIES_SQL, sql.DI_SQL, REACH, BUCKETS, CONFIRMED,
+)
+def module_fan_in(v: Lens) -> DataFrame:
+    reached, used = confirmed_used(v)
+    entry = impact.buckets(reached, v.symbols(), v.entry_points()).where("bucket = 'entry'")
+    return entry.join(graph.propagate(used, root(v), F.col("confirmed")), "id", "left_semi").groupBy("project").agg(F.count("*").alias("entry_points"))
+
+
+class _LensIndex:
+    """What impact() needs, from the lens."""
+
+    def __init__(self, v: Lens):
+        spark = v.spark
+        self.symbols, self.edges, self.entry_points, self.di_confirmed = v.symbols(), v.edges(), v.entry_points(), v.di()
+        self.frontend_calls = v.frontend_calls()
+        self.api_links = link.link(v.entry_points(), v.frontend_calls()).links
+        self.tickets = spark.createDataFrame([], "ticket string, date string, files array<string>")
+        self.co_change = spark.createDataFrame([], "fileA string, fileB string, strength double")
+
+
+@query(
+    f"""SELECT c.*, i.*, f.*, c.confirmed > 30 AS hub,
+    CASE WHEN entry_points = 0 AND tests = 0 AND intermediates > 0 THEN NULL WHEN confirmed = 0 AND tests = 0 THEN 0
+      ELSE least(greatest(ceil(0.6::DOUBLE * confirmed + 0.15::DOUBLE * (interface_edges - unconfirmed_edges + override_edges) - CASE WHEN tests > 0 THEN 0.5::DOUBLE ELSE 0 END), CASE WHEN confirmed > 0 THEN 1 ELSE 0 END), 10)::INT END AS risk
+    FROM (SELECT count(*) FILTER (bucket = 'entry') AS entry_points, count(*) FILTER (bucket = 'entry' AND s.id IS NOT NULL) AS confirmed, count(*) FILTER (bucket = 'test') AS tests, count(*) FILTER (bucket = 'intermediate') AS intermediates
+      FROM bucketed b LEFT JOIN sure s ON b.id = s.id) c,
+    (SELECT count(*) FILTER (via = 'interface') AS interface_edges, count(*) FILTER (via = 'interface' AND NOT confirmed) AS unconfirmed_edges, count(*) FILTER (via = 'override') AS override_edges FROM used) i,
+    (SELECT count(DISTINCT src) AS direct_fan_in, 0::BIGINT AS inferred_only FROM edges WHERE dst = '{ROOT}' AND kind IN ('call', 'new')) f""",
+    sql.SYMBOLS_SQL, sql.EDGES_SQL, sql.ENTRIES_SQL, sql.DI_SQL, REACH, BUCKETS, CONFIRMED,
+)
+def impact_summary(v: Lens) -> DataFrame:
+    return impact.impact(_LensIndex(v), ROOT, DEPTH).summary
+
+
+@query(
+    f"""SELECT id, depth, array_to_string(path, '>') AS path FROM (
+    SELECT id, depth, path, row_number() OVER (PARTITION BY id ORDER BY depth, place) AS n FROM ways) WHERE n = 1""",
+    "few AS (SELECT * FROM edges WHERE src LIKE 'N:%' OR src LIKE 'C:%' OR src LIKE 'S:%')",
+    f"""ways AS (SELECT '{ROOT}' AS id, 0 AS depth, ['{ROOT}'] AS path, []::BIGINT[] AS place
+    UNION ALL SELECT e.src, w.depth + 1, list_append(w.path, e.src), list_append(w.place, e.seq) FROM ways w JOIN few e ON e.dst = w.id WHERE w.depth < {DEPTH})""",
+)
+def shortest_path(v: Lens) -> DataFrame:
+    few = v.edges().where("`from` rlike '^[NCS]:'")
+    return graph.reverse_reach(few, root(v), DEPTH).select("id", "depth", F.array_join("path", ">").alias("path"))
+
+
+ORACLES["shortest_path"] = ORACLES["shortest_path"].replace("WITH RECURSIVE ", "WITH RECURSIVE " + sql.EDGES_SQL + ", ", 1)
+
+
+@query(
+    """SELECT src AS "from", 'S:' || s_suppkey AS "to", 'call' AS kind, file, line, 'interface' AS via FROM edges JOIN supplier ON dst = 'N:' || s_nationkey WHERE kind = 'call' AND src LIKE 'S:%'""",
+    sql.EDGES_SQL,
+)
+def interface_expand(v: Lens) -> DataFrame:
+    members = v.t("supplier").select(F.concat(F.lit("N:"), F.col("s_nationkey").cast("string")).alias("iface_member"), F.concat(F.lit("S:"), F.col("s_suppkey").cast("string")).alias("impl_member"))
+    return scan_passes.interface_edges(v.edges().where("`from` like 'S:%'"), members)
+
+
+@query("""SELECT 'O:' || o_orderkey AS "from", 'S:' || s_suppkey AS "to", 'call' AS kind, 'O.cs' AS file, (o_orderkey % 100)::INT AS line, 'mediatr' AS via FROM orders JOIN supplier ON o_custkey % 10 = s_suppkey % 10 WHERE o_orderpriority = '2-HIGH' AND s_acctbal > 9000""")
+def mediator_expand(v: Lens) -> DataFrame:
+    sends = v.t("orders").where("o_orderpriority = '2-HIGH'").select(F.concat(F.lit("O:"), F.col("o_orderkey").cast("string")).alias("from"), (F.col("o_custkey") % 10).alias("request"), F.lit("O.cs").alias("file"), (F.col("o_orderkey") % 100).cast("int").alias("line"))
+    handlers = v.t("supplier").where("s_acctbal > 9000").select((F.col("s_suppkey") % 10).alias("request"), F.concat(F.lit("S:"), F.col("s_suppkey").cast("string")).alias("handler"))
+    return scan_passes.mediator_edges(sends, handlers)
+
+
+@query(
+    """SELECT DISTINCT 'C:' || c_custkey AS "from", b.node AS "to", 'call' AS kind, 'C.cs' AS file, (c_custkey % 100)::INT AS line, 'override' AS via
+    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN below b ON b.start = 'R:' || n_regionkey JOIN pairs p ON p.b = b.node AND p.type = n_name WHERE c_custkey % 3 = 0""",
+    """pairs AS (SELECT 'R:' || n_regionkey AS a, 'N:' || n_nationkey AS b, n_name AS type FROM nation UNION ALL SELECT 'N:' || s_nationkey, 'S:' || s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 5 = 0)""",
+    """below AS (SELECT 'R:' || r_regionkey AS start, 'R:' || r_regionkey AS node FROM region UNION SELECT w.start, p.b FROM below w JOIN pairs p ON p.a = w.node)""",
+)
+def override_expand(v: Lens) -> DataFrame:
+    nation, supplier = v.t("nation"), v.t("supplier").where("s_suppkey % 5 = 0")
+    name = lambda letter, c: F.concat(F.lit(f"{letter}:"), F.col(c).cast("string"))
+    one = nation.select(name("R", "n_regionkey").alias("overridden"), name("N", "n_nationkey").alias("override"), F.array("n_name").alias("types"))
+    two = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(name("N", "s_nationkey").alias("overridden"), name("S", "s_suppkey").alias("override"), F.array("n_name").alias("types"))
+    calls = v.t("customer").where("c_custkey % 3 = 0").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    calls = calls.select(name("C", "c_custkey").alias("from"), name("R", "n_regionkey").alias("to"), F.lit("C.cs").alias("file"), (F.col("c_custkey") % 100).cast("int").alias("line"), F.col("n_name").alias("receiver"))
+    return scan_passes.override_edges(calls, one.union(two))
+
+
+@query("SELECT id, name FROM symbols WHERE kind = 'Method' AND id IN (SELECT dst FROM edges)", sql.SYMBOLS_SQL, sql.EDGES_SQL)
+def implicit_constructors(v: Lens) -> DataFrame:
+    return scan_passes.implicit_constructors(v.symbols().where("kind = 'Method'"), v.edges()).select("id", "name")
+
+
+@query(
+    """SELECT service, array_to_string(list(DISTINCT impl ORDER BY impl), ',') AS impls FROM (
+    SELECT 'N:' || s_nationkey AS service, 'S:' || (s_suppkey % 40) AS impl FROM supplier UNION ALL SELECT 'N:' || c_nationkey, 'S:' || (c_custkey % 40) FROM customer WHERE c_acctbal > 5000) GROUP BY service"""
+)
+def di_map(v: Lens) -> DataFrame:
+    name = lambda letter, c: F.concat(F.lit(f"{letter}:"), c.cast("string"))
+    one = v.t("supplier").select(name("N", F.col("s_nationkey")).alias("service"), name("S", F.col("s_suppkey") % 40).alias("impl"))
+    two = v.t("customer").where("c_acctbal > 5000").select(name("N", F.col("c_nationkey")).alias("service"), name("S", F.col("c_custkey") % 40).alias("impl"))
+    return scan_passes.di_map(one, two).select("service", F.array_join("impls", ",").alias("impls"))
+
+
+@query(
+    """SELECT a.impl, a.service AS attribute_service, array_to_string(f.services, ',') AS fluent_services
+    FROM (SELECT 'S:' || l_suppkey AS impl, arg_min('P:' || (l_partkey % 7), l_orderkey * 8 + l_linenumber) AS service FROM lineitem GROUP BY l_suppkey) a
+    JOIN (SELECT 'S:' || l_suppkey AS impl, list(DISTINCT 'P:' || (l_partkey % 7) ORDER BY 'P:' || (l_partkey % 7)) AS services FROM lineitem WHERE l_quantity > 49 GROUP BY l_suppkey) f ON a.impl = f.impl
+    WHERE NOT list_contains(f.services, a.service)"""
+)
+def di_conflict(v: Lens) -> DataFrame:
+    item = v.t("lineitem")
+    name = lambda letter, c: F.concat(F.lit(f"{letter}:"), c.cast("string"))
+    rows = [F.expr("l_orderkey * 8 + l_linenumber").alias("seq"), name("P", F.col("l_partkey") % 7).alias("service"), name("S", F.col("l_suppkey")).alias("impl")]
+    found = scan_passes.di_conflicts(item.select(*rows), item.where("l_quantity > 49").select(*rows))
+    return found.select("impl", "attribute_service", F.array_join("fluent_services", ",").alias("fluent_services"))
+
+
+@query(
+    """SELECT id, n AS projects, first_project FROM (SELECT 'P:' || (l_partkey % 500) AS id, count(DISTINCT l_suppkey % 3) AS n, arg_min('prj' || (l_suppkey % 3), l_orderkey * 8 + l_linenumber) AS first_project
+    FROM lineitem WHERE l_quantity = 1 GROUP BY l_partkey % 500) WHERE n > 1"""
+)
+def duplicate_ids(v: Lens) -> DataFrame:
+    item = v.t("lineitem").where("l_quantity = 1")
+    symbols = item.select(F.concat(F.lit("P:"), (F.col("l_partkey") % 500).cast("string")).alias("id"), F.concat(F.lit("prj"), (F.col("l_suppkey") % 3).cast("string")).alias("project"), F.lit("f").alias("file"), F.expr("l_orderkey * 8 + l_linenumber").alias("seq"))
+    return scan_passes.duplicate_ids(symbols).select("id", F.size("projects").cast("long").alias("projects"), F.get("projects", 0).alias("first_project"))
+
+
+@query(
+    """SELECT "fileA", "fileB", together::INT AS together, a.total::INT AS "totalA", b.total::INT AS "totalB", round_even(together::DOUBLE / least(a.total, b.total) * 100, 0) / 100 AS strength
+    FROM (SELECT x.file AS "fileA", y.file AS "fileB", count(*) AS together FROM kept x JOIN kept y ON x.seq = y.seq AND x.file < y.file GROUP BY ALL HAVING count(*) >= 3) p
+    JOIN totals a ON a.file = "fileA" JOIN totals b ON b.file = "fileB" """,
+    sql.COMMITS_SQL,
+    "totals AS (SELECT file, count(*) AS total FROM kept GROUP BY file)",
+)
+def co_change(v: Lens) -> DataFrame:
+    return history.co_change(v.commits())
+
+
+@query(
+    """SELECT ticket, count(DISTINCT c.seq) AS commits, arg_min(c.hash, c.seq) AS newest, arg_min(c.date, c.seq) AS date, arg_min(c.message, c.seq) AS message, count(DISTINCT k.file) AS files, min(k.file) AS first_file
+    FROM (SELECT DISTINCT seq, hash, date, message, unnest(regexp_extract_all(message, '#\\d{3,6}')) AS ticket FROM commits) c JOIN kept k ON c.seq = k.seq GROUP BY ticket""",
+    sql.COMMITS_SQL,
+)
+def ticket_rollup(v: Lens) -> DataFrame:
+    found = history.tickets(v.commits(), r"#\d{3,6}")
+    return found.select("ticket", F.size("commits").cast("long").alias("commits"), F.get("commits", 0).alias("newest"), "date", "message", F.size("files").cast("long").alias("files"), F.get("files", 0).alias("first_file"))
+
+
+RENAMES = "renames AS (SELECT l_orderkey AS seq, 'f' || (l_partkey % 400) AS old, 'f' || (l_partkey % 400 + 1) AS new FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1)"
+
+
+@query(
+    """SELECT seq, path, now FROM (SELECT seq, path, now, row_number() OVER (PARTITION BY seq, path ORDER BY hops DESC) AS n FROM chain) WHERE n = 1""",
+    RENAMES,
+    "asked AS (SELECT DISTINCT l_orderkey AS seq, 'f' || (l_partkey % 400) AS path FROM lineitem WHERE l_linenumber = 2 AND l_orderkey % 10 = 0)",
+    """chain AS (SELECT seq, path, path AS now, seq AS at_seq, 0 AS hops FROM asked
+    UNION ALL SELECT seq, path, new, next_seq, hops + 1 FROM (
+      SELECT c.seq, c.path, c.hops, r.new, r.seq AS next_seq, row_number() OVER (PARTITION BY c.seq, c.path, c.hops ORDER BY r.seq DESC) AS n
+      FROM chain c JOIN renames r ON r.old = c.now AND r.seq < c.at_seq) WHERE n = 1)""",
+)
+def rename_resolve(v: Lens) -> DataFrame:
+    item = v.t("lineitem")
+    file = lambda k: F.concat(F.lit("f"), k.cast("string"))
+    number = F.col("l_partkey") % 400
+    renames = item.where("l_quantity = 50 and l_linenumber = 1").select(F.col("l_orderkey").alias("seq"), file(number).alias("old"), file(number + 1).alias("new"))
+    asked = item.where("l_linenumber = 2 and l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("seq"), file(number).alias("path")).distinct()
+    return history.resolve_renames(asked, renames)
+
+
+@query(
+    """SELECT path, CASE WHEN lower(left(path, 6)) = 'src/a/' THEN substr(path, 7) ELSE '../../' || path END AS rebased, regexp_extract(lower(path), '(\\.[^./]*)$', 1) IN ('.cs', '.json') AS allowed
+    FROM (SELECT DISTINCT CASE p_size % 3 WHEN 0 THEN 'Src/a/' WHEN 1 THEN 'src/A/x/' ELSE 'lib/' END || p_brand || CASE p_size % 4 WHEN 0 THEN '.CS' WHEN 1 THEN '.json' WHEN 2 THEN '.md' ELSE '' END AS path FROM part)"""
+)
+def path_rebase(v: Lens) -> DataFrame:
+    size = F.col("p_size")
+    folder = F.when(size % 3 == 0, "Src/a/").when(size % 3 == 1, "src/A/x/").otherwise("lib/")
+    ending = F.when(size % 4 == 0, ".CS").when(size % 4 == 1, ".json").when(size % 4 == 2, ".md").otherwise("")
+    paths = v.t("part").select(F.concat(folder, "p_brand", ending).alias("path")).distinct()
+    return paths.select("path", history.rebased(F.col("path"), "src/a").alias("rebased"), history.allowed(F.col("path")).alias("allowed"))
+
+
+FIND = "(SELECT *, upper(CASE WHEN containing IS NULL THEN name ELSE containing || '.' || name END) AS d, upper(name) AS n, 'NATION_1' AS q FROM symbols)"
+
+
+@query(
+    f"""SELECT id, score FROM (SELECT id, CASE WHEN d = q THEN 100 WHEN n = q THEN 90 WHEN ends_with(d, '.' || q) THEN 80 WHEN contains(d, q) THEN 70 WHEN contains(n, q) THEN 60 END::INT AS score FROM {FIND})
+    WHERE score IS NOT NULL ORDER BY score DESC, id LIMIT 20""",
+    sql.SYMBOLS_SQL,
+)
+def find_rank(v: Lens) -> DataFrame:
+    return search.find(v.symbols(), " Nation_1 ").select("id", "score")
+
+
+ASKED = "the of order theblah that was"
+
+
+@query(
+    """SELECT doc_id, round_even((1.0::DOUBLE * n / 5.0::DOUBLE + log2(1.0::DOUBLE)) * 100, 0) / 100 AS score FROM (
+    SELECT doc_id, len(list_intersect(['the', 'of', 'order', 'that', 'was'], list_distinct([w FOR w IN regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+') IF len(w) > 1]))) AS n FROM documents) WHERE n > 0"""
+)
+def where_rank(v: Lens) -> DataFrame:
+    """Free-text hits over documents, scored as names are."""
+    tokens = [t for t in text.tokens_of(ASKED) if t != "theblah"]
+    docs = v.t("documents").select("doc_id", text.tokenize("text").alias("words"))
+    score = F.lit(search.NAME_WEIGHT) * F.size(search.overlap(tokens, F.col("words"))) / F.lit(float(len(tokens)))
+    hits = docs.select(F.col("doc_id").alias("id"), score.alias("score"), F.lit("text").alias("reason"), F.lit("").alias("place"))
+    return search.combined(hits).select(F.col("id").alias("doc_id"), "score")
+
+
+@query(
+    """SELECT id, array_to_string([w FOR w IN string_split(regexp_replace(regexp_replace(name, '([\\p{Ll}\\p{Nd}])(\\p{Lu})', '\\1|\\2', 'g'), '(\\p{Lu})(\\p{Lu}\\p{Ll})', '\\1|\\2', 'g'), '|') IF w <> ''], '|') AS words FROM symbols WHERE kind IN ('Method', 'Constructor')""",
+    sql.SYMBOLS_SQL,
+)
+def identifier_words(v: Lens) -> DataFrame:
+    return v.symbols().where("kind in ('Method', 'Constructor')").select("id", F.array_join(text.split_identifier(F.col("name")), "|").alias("words"))
+
+
+@query(
+    """SELECT id, round_even((max(score) + log2(count(*)::DOUBLE)) * 100, 0) / 100 AS score, array_to_string(list(reason ORDER BY n) FILTER (n <= 5), ',') AS reasons, greatest(count(*) - 5, 0)::INT AS more
+    FROM (SELECT 'P:' || (l_partkey % 100) AS id, l_discount + 1 AS score, 'o' || l_orderkey || '-' || l_linenumber AS reason,
+      row_number() OVER (PARTITION BY l_partkey % 100 ORDER BY l_discount + 1 DESC, lpad(l_orderkey::VARCHAR, 9, '0') || l_linenumber) AS n FROM lineitem) GROUP BY id"""
+)
+def top_reasons(v: Lens) -> DataFrame:
+    key = F.col("l_orderkey").cast("string")
+    hits = v.t("lineitem").select(
+        F.concat(F.lit("P:"), (F.col("l_partkey") % 100).cast("string")).alias("id"), (F.col("l_discount") + 1).alias("score"),
+        F.concat(F.lit("o"), key, F.lit("-"), F.col("l_linenumber").cast("string")).alias("reason"), F.concat(F.lpad(key, 9, "0"), F.col("l_linenumber").cast("string")).alias("place"),
+    )
+    return search.combined(hits).select("id", "score", F.array_join("reasons", ",").alias("reasons"), "more")
+
+
+LINKS = """keys AS (
+  SELECT id, verb, regexp_replace(route, '\\{[^}]*\\}', '{*}', 'g') AS key FROM entries WHERE type = 'http'
+  UNION SELECT id, verb, regexp_replace(route, '/\\{id\\?\\}$', '') FROM entries WHERE type = 'http'
+), exact_all AS (
+  SELECT c.id AS fe, k.id AS be, CASE WHEN k.verb = c.verb THEN 0 ELSE 1 END AS p FROM calls c JOIN keys k ON c.route = k.key AND k.verb IN (c.verb, 'ANY')
+), exact AS (SELECT DISTINCT fe, be FROM exact_all e WHERE p = (SELECT min(p) FROM exact_all x WHERE x.fe = e.fe)
+), suffix_all AS (
+  SELECT c.id AS fe, k.id AS be, CASE WHEN k.verb = c.verb THEN 0 ELSE 1 END AS p FROM calls c JOIN keys k ON k.verb IN (c.verb, 'ANY') AND ends_with(k.key, '/' || c.route)
+  WHERE c.dropped AND c.id NOT IN (SELECT fe FROM exact)
+), suffix AS (SELECT DISTINCT fe, be FROM suffix_all e WHERE p = (SELECT min(p) FROM suffix_all x WHERE x.fe = e.fe)
+), links AS (
+  SELECT fe, be, CASE WHEN count(*) OVER (PARTITION BY fe) > 1 THEN 'ambiguous' ELSE 'exact' END AS kind FROM exact
+  UNION ALL SELECT fe, be, CASE WHEN count(*) OVER (PARTITION BY fe) > 1 THEN 'ambiguous' ELSE 'suffix' END FROM suffix
+)"""
+LINK_VIEWS = (sql.ENTRIES_SQL, sql.CALLS_SQL, LINKS)
+
+
+def lens_links(v: Lens) -> link.Links:
+    return link.link(v.entry_points(), v.frontend_calls())
+
+
+@query('SELECT fe AS "frontendId", be AS "backendId", kind AS "matchKind" FROM links', *LINK_VIEWS)
+def link_kinds(v: Lens) -> DataFrame:
+    return lens_links(v).links
+
+
+@query("SELECT count(*) AS links, count(*) FILTER (kind = 'suffix') AS suffix, count(*) FILTER (kind = 'ambiguous') AS ambiguous FROM links", *LINK_VIEWS)
+def link_summary(v: Lens) -> DataFrame:
+    return link.summary(lens_links(v).links)
+
+
+@query('SELECT id AS "frontendId", verb AS method, route FROM calls WHERE id NOT IN (SELECT fe FROM links)', *LINK_VIEWS)
+def unmatched_calls(v: Lens) -> DataFrame:
+    return lens_links(v).unmatched
+
+
+@query("""SELECT id, verb AS "httpMethod", route FROM entries WHERE type = 'http' AND id NOT IN (SELECT be FROM links)""", *LINK_VIEWS)
+def unreferenced_endpoints(v: Lens) -> DataFrame:
+    return lens_links(v).unreferenced
+
+
+@query('SELECT be AS "backendId", fe AS "frontendId", kind AS "matchKind", feature, file, line, confidence FROM links JOIN calls ON fe = id', *LINK_VIEWS)
+def screens(v: Lens) -> DataFrame:
+    return impact.screens(v.entry_points(), lens_links(v).links, v.frontend_calls()).drop("route")
+
+
+@query(
+    """SELECT count(*) AS screens, count(DISTINCT feature) AS features, count(*) FILTER (confidence = 'low') AS low_confidence, count(*) FILTER (kind = 'ambiguous') AS ambiguous, count(*) FILTER (kind = 'suffix') AS suffix FROM links JOIN calls ON fe = id""",
+    *LINK_VIEWS,
+)
+def screen_quality(v: Lens) -> DataFrame:
+    return impact.screen_quality(screens(v))
+
+
+@query(
+    """SELECT be AS "backendId", array_to_string(list(feature ORDER BY s), ',') AS features FROM (SELECT be, feature, min(seq) AS s FROM links JOIN calls ON fe = id GROUP BY be, feature) GROUP BY be""",
+    *LINK_VIEWS,
+)
+def features_by_endpoint(v: Lens) -> DataFrame:
+    links = lens_links(v).links.withColumn("seq", F.substring("frontendId", 4, 20).cast("long"))
+    return project_map.features_by_endpoint(links, v.frontend_calls()).select("backendId", F.array_join("features", ",").alias("features"))
+
+
+@query(
+    """SELECT o_orderkey AS seq, coalesce(CASE WHEN o_orderstatus = 'P' THEN '' ELSE array_to_string(i.injectors, ',') END, '') AS injectors
+    FROM orders LEFT JOIN (SELECT service, list(injector ORDER BY s) AS injectors FROM (SELECT l_partkey % 50 AS service, l_suppkey % 20 AS injector, min(l_orderkey * 8 + l_linenumber) AS s FROM lineitem WHERE l_quantity > 45 GROUP BY ALL) GROUP BY service) i
+    ON o_custkey % 60 = i.service"""
+)
+def injected_by(v: Lens) -> DataFrame:
+    calls = v.t("orders").select(F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 60).alias("service"), (F.col("o_orderstatus") == "P").alias("is_component"))
+    injections = v.t("lineitem").where("l_quantity > 45").select(F.expr("l_orderkey * 8 + l_linenumber").alias("seq"), (F.col("l_suppkey") % 20).cast("string").alias("injector"), F.array(F.col("l_partkey") % 50).alias("types"))
+    return scan_passes.injected_by(calls, injections).select("seq", F.array_join("injectedBy", ",").alias("injectors"))
+
+
+@query(
+    """SELECT DISTINCT u.start AS "className", 'm' || (p_partkey % 13) AS member FROM up u JOIN part ON 'P' || p_partkey = u.node WHERE p_size > 40""",
+    """up AS (SELECT 'P' || p_partkey AS start, p_partkey AS k, 'P' || p_partkey AS node FROM part UNION SELECT start, k // 2, 'P' || (k // 2) FROM up WHERE k > 1)""",
+)
+def client_members(v: Lens) -> DataFrame:
+    key = F.col("p_partkey")
+    classes = v.t("part").select(
+        key.alias("seq"), F.concat(F.lit("P"), key.cast("string")).alias("className"), F.when(key > 1, F.concat(F.lit("P"), F.floor(key / 2).cast("string"))).alias("baseName"),
+        F.when(F.col("p_size") > 40, F.array(F.concat(F.lit("m"), (key % 13).cast("string")))).otherwise(F.array().cast("array<string>")).alias("clientMembers"),
+    )
+    return scan_passes.client_members(classes)
+
+
+DEPENDENCIES = "deps AS (SELECT DISTINCT a.project AS from_project, b.project AS to_project FROM edges JOIN symbols a ON src = a.id JOIN symbols b ON dst = b.id WHERE a.project <> b.project)"
+
+
+@query("SELECT * FROM deps", sql.SYMBOLS_SQL, sql.EDGES_SQL, DEPENDENCIES)
+def project_dependencies(v: Lens) -> DataFrame:
+    return project_map.project_dependencies(v.edges(), v.symbols())
+
+
+@query(
+    "SELECT s.project, coalesce(l.layer, 0)::INT AS layer, s.symbols FROM (SELECT project, count(*) AS symbols FROM symbols GROUP BY project) s LEFT JOIN (SELECT project, max(n) AS layer FROM chain GROUP BY project) l USING (project)",
+    sql.SYMBOLS_SQL, sql.EDGES_SQL, DEPENDENCIES,
+    "chain AS (SELECT project, 0 AS n FROM symbols UNION SELECT d.from_project, c.n + 1 FROM chain c JOIN deps d ON d.to_project = c.project)",
+)
+def project_layers(v: Lens) -> DataFrame:
+    return project_map.project_layers(v.edges(), v.symbols())
+
+
+@query('SELECT dst AS "to", count(*) AS edges FROM edges GROUP BY dst ORDER BY edges DESC, dst LIMIT 20', sql.EDGES_SQL)
+def hub_top20(v: Lens) -> DataFrame:
+    return project_map.hubs(v.edges())
+
+
+@query("SELECT p_type AS name, count(*) AS n, arg_min(p_brand, p_partkey) AS file, arg_min(p_size, p_partkey) AS line FROM part GROUP BY p_type")
+def unresolved_groups(v: Lens) -> DataFrame:
+    return project_map.unresolved_bases(v.t("part").select(F.col("p_partkey").alias("seq"), F.col("p_type").alias("name"), F.col("p_brand").alias("file"), F.col("p_size").alias("line")))
+
+
+@query(
+    """SELECT id, project, n, in_project, greatest(in_project - 30, 0) AS not_shown FROM (SELECT e.id, c.c_mktsegment AS project, row_number() OVER (PARTITION BY c.c_mktsegment ORDER BY e.seq)::INT AS n, count(*) OVER (PARTITION BY c.c_mktsegment) AS in_project
+    FROM entries e JOIN orders o ON e.id = 'O:' || o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey) WHERE n <= 30""",
+    sql.ENTRIES_SQL,
+)
+def capped_entry_points(v: Lens) -> DataFrame:
+    orders = v.t("orders").join(v.t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    symbols = orders.select(F.concat(F.lit("O:"), F.col("o_orderkey").cast("string")).alias("id"), F.col("c_mktsegment").alias("project"), F.col("o_orderkey").alias("seq"))
+    return project_map.entry_points_by_project(v.entry_points(), symbols).select("id", "project", "n", "in_project", "not_shown")
+
+
+@query(
+    """SELECT file FROM (SELECT 'f' || (l_partkey % 900) AS file FROM lineitem WHERE l_quantity < 2 UNION SELECT 'f' || (l_suppkey % 900) FROM lineitem WHERE l_quantity > 49) WHERE file IN (SELECT 'f' || (p_partkey % 900) FROM part WHERE p_size < 10)"""
+)
+def changed_files(v: Lens) -> DataFrame:
+    name = lambda c: F.concat(F.lit("f"), (F.col(c) % 900).cast("string")).alias("file")
+    item = v.t("lineitem")
+    return status.changed_files(item.where("l_quantity < 2").select(name("l_partkey")), item.where("l_quantity > 49").select(name("l_suppkey")), v.t("part").where("p_size < 10").select(name("p_partkey")))
+
+
+AUDIT = """sites AS (SELECT e.src, e.file, e.line, e.dst, s.containing, s.containing IN (SELECT substr(impl, 3) FROM di) AS bound FROM edges e JOIN symbols s ON e.dst = s.id WHERE e.kind = 'call' AND e.via = 'interface'),
+verdicts AS (SELECT src, dst, file, line, CASE WHEN bound THEN 'match' WHEN bool_or(bound) OVER (PARTITION BY src, file) THEN 'excess' ELSE 'unknown' END AS verdict FROM sites)"""
+
+
+def audited(v: Lens) -> DataFrame:
+    """Interface edges of one order are siblings, so that a site has several candidates."""
+    types = v.symbols().select(F.col("id").alias("to"), F.col("containingType").alias("containing"))
+    sites = v.edges().where("kind = 'call' and via = 'interface'").join(types, "to").withColumnRenamed("line", "place").withColumn("line", F.lit(0))
+    return scan_passes.audit(sites, v.di())
+
+
+@query('SELECT src AS "from", dst AS "to", file, line, verdict FROM verdicts', sql.SYMBOLS_SQL, sql.EDGES_SQL, sql.DI_SQL, AUDIT)
+def interface_audit(v: Lens) -> DataFrame:
+    return audited(v).select("from", "to", "file", F.col("place").alias("line"), "verdict")
+
+
+@query(
+    """SELECT m AS "match", x AS excess, u AS unknown, round_even(x::DOUBLE / (m + x) * 1000, 0) / 10 AS false_positive_percent FROM (
+    SELECT count(*) FILTER (verdict = 'match') AS m, count(*) FILTER (verdict = 'excess') AS x, count(*) FILTER (verdict = 'unknown') AS u FROM verdicts)""",
+    sql.SYMBOLS_SQL, sql.EDGES_SQL, sql.DI_SQL, AUDIT,
+)
+def interface_audit_rate(v: Lens) -> DataFrame:
+    return scan_passes.audit_rate(audited(v))
+
+
+@query(
+    """SELECT count(*) AS tickets, count(*) FILTER (p) AS pr_like, count(*) >= 5 AND count(*) FILTER (p) * 2 > count(*) AS warn
+    FROM (SELECT o_orderkey % 3 <> 0 AS p FROM orders)"""
+)
+def pr_like_ratio(v: Lens) -> DataFrame:
+    key = F.col("o_orderkey").cast("string")
+    found = v.t("orders").select(key.alias("ticket"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("#"), key)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("x (#"), key, F.lit(")"))).otherwise(F.concat(F.lit("Merge Pull request #"), key)).alias("message"))
+    return history.looks_like_pull_requests(found)
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 2 = 0 THEN 'api/' || lower(p_brand) || '/{*}/{*}' ELSE lower(p_brand) || '/{*}' END AS route, p_size % 2 = 1 AND p_size % 3 <> 0 AS dropped FROM part""")
+def frontend_routes(v: Lens) -> DataFrame:
+    size = F.col("p_size")
+    plain = F.concat(F.lit("`/api/"), "p_brand", F.lit("/${a.b({c: 1})}/` + id"))
+    based = F.concat(F.lit("base + '/"), "p_brand", F.lit("/{{ id }}?x=1'"))
+    found = v.t("part").select("p_partkey", size, routes.frontend_url(F.when(size % 3 == 0, F.lit("'orders'")).when(size % 2 == 0, plain).otherwise(based)).alias("u"))
+    return found.select("p_partkey", "u.route", F.col("u.dropped").alias("dropped"))
+
+
+@query("""SELECT "table", rows FROM (SELECT 'symbols' AS "table", count(*) AS rows FROM symbols UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'entry_points', count(*) FROM entries)""", sql.SYMBOLS_SQL, sql.EDGES_SQL, sql.ENTRIES_SQL)
+def index_contents(v: Lens) -> DataFrame:
+    return status.contents(symbols=v.symbols(), edges=v.edges(), entry_points=v.entry_points())
