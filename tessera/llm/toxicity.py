@@ -3,8 +3,8 @@
 Terms are lower-cased words and their beginnings of 4 to 6 letters, so that inflected forms count together. The
 vocabulary is what toxic examples hold significantly more often; document frequencies are of all documents. The
 examples' unit vectors are kept as postings by term, cut into blocks of examples with each term's largest weight
-in the block. A query scans blocks in the order of their upper bounds and stops once no block can beat its k-th
-best, which gives the exact nearest examples. Their labels, weighted by cosine and shrunk to the base rate, are the
+in the block. A query scans the blocks of the highest upper bounds first, then those alone that can still beat
+its k-th best, which gives the exact nearest examples. Their labels, weighted by cosine and shrunk to the base rate, are the
 score; the nearest are the evidence.
 
 Fitted on a bounded sample: at most EXAMPLES labelled rows of each kind, those of least hash of their id. All rows
@@ -29,11 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.bpe import Memo
-from tessera.llm.common import arrow_map, materialise
+from tessera.llm.common import arrow_map, materialise, shuffle_partitions
 from tessera.llm.quality import labelled
 
-#: Labelled rows of each kind at most; terms at most; neighbours; examples in a block; neighbours given as evidence.
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK, EVIDENCE = 4_000, 4_096, 25, 64, 3
+#: Labelled rows of each kind at most; terms at most; neighbours; examples in a block; blocks that are scanned
+#: before bounds are compared; neighbours given as evidence.
+EXAMPLES, TERMS, NEIGHBOURS, BLOCK, FIRST, EVIDENCE = 4_000, 4_096, 25, 64, 4, 3
 #: Lengths of word beginnings; a term's least toxic examples, log-likelihood ratio and ratio of shares; strength of the base rate.
 BEGINNINGS, MIN_EXAMPLES, MIN_RATIO, MIN_LIFT, PRIOR = (4, 5, 6), 3, 12.0, 3.0, 0.5
 #: Terms that a task counts before it sends them on.
@@ -108,6 +109,9 @@ class BlockMaxIndex:
     """Postings of unit vectors by term, in blocks of examples with each term's largest weight there."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
+        # examples with the same heaviest term stand together, so that a block's bounds are close to its examples
+        order = sorted(range(len(rows)), key=lambda i: (int(rows[i][0][rows[i][1].argmax()]), -float(rows[i][1].max()), int(ids[i])))
+        ids, labels, rows = ids[order], labels[order], [rows[i] for i in order]
         self.ids, self.labels, self.n_terms = ids, labels, n_terms
         self.blocks = -(-len(ids) // BLOCK)
         example = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows]).astype(np.int64)
@@ -115,7 +119,8 @@ class BlockMaxIndex:
         weight = np.concatenate([np.empty(0), *(w for _, w in rows)])
         order = np.lexsort((example, term))
         self.example, self.weight = example[order], weight[order]
-        cells = term[order] * self.blocks + self.example // BLOCK
+        self.block, self.inside = self.example // BLOCK, self.example % BLOCK
+        cells = term[order] * self.blocks + self.block
         # where the postings of each term and block begin, and their largest weight
         self.starts = np.searchsorted(cells, np.arange(n_terms * self.blocks + 1))
         self.most = np.zeros(n_terms * self.blocks)
@@ -125,20 +130,32 @@ class BlockMaxIndex:
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, own) -> tuple[np.ndarray, np.ndarray]:
         """Indexes and cosines of the k nearest examples that share a term, but for the query itself."""
         bound = weights @ self.most[terms]
-        at, cos = np.empty(0, np.int64), np.empty(0)
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or len(at) >= k and bound[block] < cos[k - 1] - 1e-12:
-                break
-            sums = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                lo, hi = self.starts[t * self.blocks + block], self.starts[t * self.blocks + block + 1]
-                sums[self.example[lo:hi] - block * BLOCK] += w * self.weight[lo:hi]
-            here = np.flatnonzero(sums > 0)
-            here = here[self.ids[here + block * BLOCK] != own]
-            at, cos = np.concatenate([at, here + block * BLOCK]), np.concatenate([cos, sums[here]])
-            best = np.lexsort((self.ids[at], -np.round(cos, 12)))[:k]
-            at, cos = at[best], cos[best]
-        return at, cos
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        at, cos = self._best(order[:FIRST], terms, weights, np.empty(0, np.int64), np.empty(0), k, own)
+        # the blocks whose bound still reaches the k-th best, all at once
+        rest = order[FIRST:]
+        rest = rest[bound[rest] >= cos[k - 1] - 1e-12] if len(at) >= k else rest
+        return self._best(rest, terms, weights, at, cos, k, own) if len(rest) else (at, cos)
+
+    def _best(self, blocks: np.ndarray, terms: np.ndarray, weights: np.ndarray, at: np.ndarray, cos: np.ndarray, k: int, own) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of what is known (at, cos) and the examples of some blocks."""
+        place = np.full(self.blocks, -1)
+        place[blocks] = np.arange(len(blocks))
+        sums = np.zeros(len(blocks) * BLOCK)
+        for t, w in zip(terms.tolist(), weights.tolist()):
+            lo, hi = self.starts[t * self.blocks], self.starts[(t + 1) * self.blocks]
+            block = place[self.block[lo:hi]]
+            sums[(block * BLOCK + self.inside[lo:hi])[block >= 0]] += w * self.weight[lo:hi][block >= 0]
+        here = np.flatnonzero(sums)
+        found = blocks[here // BLOCK] * BLOCK + here % BLOCK
+        fair = self.ids[found] != own
+        at, cos = np.concatenate([at, found[fair]]), np.concatenate([cos, sums[here[fair]]])
+        if len(at) > 4 * k:
+            least = np.partition(cos, len(cos) - k)[len(cos) - k] - 1e-9
+            at, cos = at[cos >= least], cos[cos >= least]
+        best = np.lexsort((self.ids[at], -np.round(cos, 12)))[:k]
+        return at[best], cos[best]
 
 
 def unit(terms: list[int], counts: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,4 +203,5 @@ def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             why.append([{"example": int(index.ids[a]), "label": int(index.labels[a]), "cosine": min(1.0, float(c))} for a, c in zip(at[:EVIDENCE], cos[:EVIDENCE])])
         return pa.table({doc_id: b.column(0), "score": pa.array(score, pa.float64()), "evidence": pa.array(why, near)})
 
-    return arrow_map(vectors, schema, run)
+    # vectors are small, so their files are few; scores take time by the row
+    return arrow_map(vectors.repartition(shuffle_partitions(docs.sparkSession)), schema, run)
