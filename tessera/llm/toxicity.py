@@ -4,7 +4,7 @@ Terms are lower-cased words and their beginnings of 4 to 6 letters, so that infl
 vocabulary is what toxic examples hold significantly more often; document frequencies are of all documents. The
 examples' unit vectors are kept as postings by term, cut into blocks of examples with each term's largest weight
 in the block. A query scans the blocks of the highest upper bounds first, then those alone that can still beat
-its k-th best, which gives the exact nearest examples. Their labels, weighted by cosine and shrunk to the base rate, are the
+its k-th best, which gives the exact nearest examples. Their labels, weighted by powers of the cosine and shrunk to the base rate, are the
 score; the nearest are the evidence.
 
 Fitted on a bounded sample: at most EXAMPLES labelled rows of each kind, those of least hash of their id. All rows
@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from itertools import chain
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,14 @@ from pyspark.sql import types as T
 from tessera.llm.bpe import Memo
 from tessera.llm.common import arrow_map, materialise, shuffle_partitions
 from tessera.llm.quality import labelled
+from tessera.llm.shingles import shingle_hashes
 
 #: Labelled rows of each kind at most; terms at most; neighbours; examples in a block; blocks that are scanned
 #: before bounds are compared; neighbours given as evidence.
 EXAMPLES, TERMS, NEIGHBOURS, BLOCK, FIRST, EVIDENCE = 4_000, 4_096, 25, 64, 4, 3
-#: Lengths of word beginnings; a term's least toxic examples, log-likelihood ratio and ratio of shares; strength of the base rate.
-BEGINNINGS, MIN_EXAMPLES, MIN_RATIO, MIN_LIFT, PRIOR = (4, 5, 6), 3, 12.0, 3.0, 0.5
+#: Lengths of word beginnings; a term's least toxic examples, log-likelihood ratio and ratio of shares; power of a
+#: cosine in its vote; strength of the base rate.
+BEGINNINGS, MIN_EXAMPLES, MIN_RATIO, MIN_LIFT, POWER, PRIOR = (4, 5, 6), 3, 12.0, 3.0, 3, 1.0
 #: Terms that a task counts before it sends them on.
 COUNTED_TERMS = 200_000
 _WORD = re.compile(r"\w+")
@@ -74,6 +77,17 @@ def term_counts(examples: DataFrame, text: str) -> DataFrame:
     return examples.select(text, "label").mapInArrow(run, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
+def unlike(examples: DataFrame, text: str) -> DataFrame:
+    """One example (text, label) of each label and least shingle hash, which copies and near copies mostly share."""
+    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("least", T.LongType())])
+
+    def run(b: pa.RecordBatch) -> pa.Table:
+        least = [int(h.min().view(np.int64)) if len(h := shingle_hashes(x)) else 0 for x in b.column(0).to_pylist()]
+        return pa.table({"text": b.column(0), "label": b.column(1), "least": pa.array(least, pa.int64())})
+
+    return arrow_map(examples.select(text, "label"), schema, run).dropDuplicates(["label", "least"]).select("text", "label")
+
+
 def vocabulary(counts: DataFrame, n_clean: int, n_toxic: int) -> list[str]:
     """Terms that toxic examples hold significantly more often, the strongest TERMS of them."""
     if not n_toxic or not n_clean:
@@ -83,7 +97,10 @@ def vocabulary(counts: DataFrame, n_clean: int, n_toxic: int) -> list[str]:
     part = lambda x, n: F.when(x > 0, x * F.log(x / (share * float(n)))).otherwise(0.0)
     ratio = 2 * (part(t, n_toxic) + part(c, n_clean))
     lift = (t / n_toxic) / ((c + 0.5) / n_clean)
-    good = counts.where("toxic >= %d" % MIN_EXAMPLES).withColumn("ratio", ratio).where((F.col("ratio") >= MIN_RATIO) & (lift >= MIN_LIFT))
+    tested = materialise(counts.where(F.col("toxic") >= MIN_EXAMPLES), "terms")
+    # the more terms are tested, the more reach any ratio by chance
+    least = max(MIN_RATIO, 2 * log(max(1, tested.count())))
+    good = tested.withColumn("ratio", ratio).where((F.col("ratio") >= least) & (lift >= MIN_LIFT))
     return [r["term"] for r in good.orderBy(F.desc("ratio"), "term").limit(TERMS).select("term").collect()]
 
 
@@ -170,8 +187,11 @@ def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     base = kinds.get(1, 0) / max(1, sum(kinds.values()))
     sample = materialise(labelled(labels, doc_id, label, EXAMPLES), "labels")
     examples = docs.select(doc_id, text).join(F.broadcast(sample), F.col(doc_id) == F.col("id"))
+    # copies of one text say no more than it does alone
+    seen = materialise(unlike(examples, text), "examples")
+    n = {r["label"]: r["count"] for r in seen.groupBy("label").count().collect()}
+    known = vocabulary(term_counts(seen, "text"), n.get(0, 0), n.get(1, 0))
     n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    known = vocabulary(term_counts(examples, text), n.get(0, 0), n.get(1, 0))
     vectors = materialise(term_vectors(docs, doc_id, text, known), "vectors")
     total = vectors.count()
     df = np.zeros(len(known))
@@ -198,7 +218,7 @@ def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 why.append([])
                 continue
             y = index.labels[at]
-            w = cos * worth[y]
+            w = cos**POWER * worth[y]
             score.append(float(min(1.0, ((w * y).sum() + PRIOR * base) / (w.sum() + PRIOR))))
             why.append([{"example": int(index.ids[a]), "label": int(index.labels[a]), "cosine": min(1.0, float(c))} for a, c in zip(at[:EVIDENCE], cos[:EVIDENCE])])
         return pa.table({doc_id: b.column(0), "score": pa.array(score, pa.float64()), "evidence": pa.array(why, near)})
