@@ -24,16 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_64_intdigest
 
 from tessera.llm.common import arrow_map, materialise, with_columns
-from tessera.llm.shingles import WordHashes, mixed
+from tessera.llm.shingles import mixed
 
 #: Buckets of hashed n-grams; labelled rows of each kind at most; seed of the noise; steps of a key.
 BUCKETS, TARGET_ROWS, SEED, STEPS = 1 << 16, 20_000, 42, 1 << 20
 #: Keys are compared as integers of 3 digits of this many bits.
 DIGIT_BITS, OFFSET = 18, 1 << 53
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
-_hashes = WordHashes()
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _AGAIN = np.uint64(0xA0761D6478BD642F)
 
@@ -41,7 +41,7 @@ _AGAIN = np.uint64(0xA0761D6478BD642F)
 def ngram_buckets(text: str | None) -> np.ndarray:
     """The bucket of each unigram and bigram of the text."""
     found = _TOKEN.findall((text or "").lower())
-    h = np.fromiter((_hashes[x.encode("utf-8", "surrogatepass")] for x in found), np.uint64, len(found))
+    h = np.fromiter(map(xxh3_64_intdigest, found), np.uint64, len(found))
     pairs = np.where(h[1:] == h[:-1], _AGAIN, mixed(h[:-1] * _STEP + h[1:]))
     return (np.concatenate([h, pairs]) & np.uint64(BUCKETS - 1)).astype(np.int64)
 

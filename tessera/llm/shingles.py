@@ -1,35 +1,19 @@
 """Word shingles of whole texts as 64-bit hashes, computed by numpy inside tasks.
 
-Words are runs of characters other than ASCII white space, A-Z lower-cased. A shingle's hash combines the keyed
+Words are runs of characters other than ASCII white space, A-Z lower-cased. A shingle's hash combines the
 64-bit hashes of its words in order, so it depends on nothing but the words. Fewer words than a shingle: the
 whole sequence is one. No words: no shingle.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
+from xxhash import xxh3_64_intdigest
 
-#: Words that a task remembers the hash of.
-MEMO_WORDS = 1 << 19
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """The hash of each word, kept for a bounded number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[word] = value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return value
-
-
-_words = WordHashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads each bit over all."""
     x = x ^ (x >> np.uint64(30))
@@ -46,7 +30,7 @@ def words(text: str | None) -> list[bytes]:
 
 def word_hashes(text: str | None) -> np.ndarray:
     found = words(text)
-    return np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+    return np.fromiter(map(xxh3_64_intdigest, found), np.uint64, len(found))
 
 
 def combined(h: np.ndarray, size: int) -> np.ndarray:

@@ -114,7 +114,7 @@ def term_vectors(docs: DataFrame, doc_id: str, text: str, known: list[str]) -> D
     def run(b: pa.RecordBatch) -> pa.Table:
         if not held:
             of = shared.value
-            held[0] = Memo(lambda w: [of[t] for t in terms_of(w) if t in of])
+            held[0] = Memo(lambda w: tuple(of[t] for t in terms_of(w) if t in of))
         memo = held[0]
         rows = [sorted(Counter(chain.from_iterable(filter(None, map(memo.__getitem__, words(x))))).items()) for x in b.column(1).to_pylist()]
         return pa.table({"id": b.column(0), "terms": pa.array([[t for t, _ in r] for r in rows], pa.list_(pa.int32())), "counts": pa.array([[n for _, n in r] for r in rows], pa.list_(pa.int32()))})
