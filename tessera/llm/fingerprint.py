@@ -93,15 +93,19 @@ def with_fingerprints(df: DataFrame, columns: dict[str, str], drop: bool = False
     return arrow_map(df, schema, run)
 
 
-def compare(df: DataFrame, a: str, b: str, k: int = K) -> DataFrame:
-    """df with the estimates between two packed sketch columns: resemblance, containment of a in b, distinct shingles of both."""
-    new = ["resemblance", "containment", "distinct_a", "distinct_b"]
+def compare(df: DataFrame, pairs: dict[str, tuple[str, str]], k: int = K) -> DataFrame:
+    """df with the estimates between packed sketch columns: near_x, contained_x (the first in the second) for each named pair, and distinct_c for each column."""
+    sketches = list(dict.fromkeys(c for p in pairs.values() for c in p))
+    new = [f"{what}_{name}" for name in pairs for what in ("near", "contained")] + [f"distinct_{c}" for c in sketches]
     schema = T.StructType([f for f in df.schema.fields if f.name not in new] + [T.StructField(n, T.DoubleType()) for n in new])
 
     def run(batch: pa.RecordBatch):
-        pairs = [(unpacked(x), unpacked(y)) for x, y in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist())]
-        values = ([resemblance(x, y, k) for x, y in pairs], [containment(x, y, k) for x, y in pairs], [distinct(x, k) for x, _ in pairs], [distinct(y, k) for _, y in pairs])
-        return with_columns(batch, **{n: pa.array(v, pa.float64()) for n, v in zip(new, values)}).select(schema.names)
+        found = {c: [unpacked(x) for x in batch.column(c).to_pylist()] for c in sketches}
+        values = {f"distinct_{c}": [distinct(x, k) for x in found[c]] for c in sketches}
+        for name, (a, b) in pairs.items():
+            values[f"near_{name}"] = [resemblance(x, y, k) for x, y in zip(found[a], found[b])]
+            values[f"contained_{name}"] = [containment(x, y, k) for x, y in zip(found[a], found[b])]
+        return with_columns(batch, **{n: pa.array(values[n], pa.float64()) for n in new}).select(schema.names)
 
     return arrow_map(df, schema, run)
 

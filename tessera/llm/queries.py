@@ -190,16 +190,16 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     )
     sketched = fingerprint.with_fingerprints(edited, {"text": "own", "edited": "other", "next_text": "following"}, drop=True)
-    near = fingerprint.compare(sketched, "own", "other").withColumnsRenamed({"resemblance": "near_edited", "containment": "contained", "distinct_a": "n_distinct"}).drop("distinct_b")
-    return fingerprint.compare(near, "own", "following").select(
+    return fingerprint.compare(sketched, {"edited": ("own", "other"), "next": ("own", "following")}).select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         F.lower(F.hex("own")).alias("fingerprint"),
         F.lower(F.hex("other")).alias("edited_fingerprint"),
         "near_edited",
-        F.col("resemblance").alias("near_next"),
-        "n_distinct",
+        "near_next",
+        "contained_edited",
+        F.col("distinct_own").alias("n_distinct"),
     )
 
 
