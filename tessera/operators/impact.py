@@ -153,6 +153,17 @@ def nearest_path(nodes: DataFrame) -> DataFrame:
     return nodes.where("bucket <> 'test'").agg(F.min_by(F.struct("id", "display", "depth", "path", "bucket"), order).alias("x")).select("x.*").where("id is not null")
 
 
+def nearest_declaration(declarations: DataFrame, scanned_line: int) -> DataFrame:
+    """Of each id's declarations (id, line) the one nearest to the scanned line, the earlier of two as near."""
+    return declarations.groupBy("id").agg(F.min_by("line", F.struct(F.abs(F.col("line") - scanned_line).alias("d"), "line")).alias("line"))
+
+
+def snippet(text: Column, lines: int = 40) -> Column:
+    """(text, more): the first lines of a text and how many aren't shown."""
+    parts = F.split(text, "\n")
+    return F.struct(F.array_join(F.slice(parts, 1, lines), "\n").alias("text"), F.greatest(F.size(parts) - lines, F.lit(0)).alias("more"))
+
+
 def blind_spots(summary: DataFrame, degraded: DataFrame, quality: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row for each reason why a report may miss something, with its count; reasons without cases are left out."""
     projects = nodes.select("project").distinct().join(degraded.select("project").distinct(), "project", "left_semi")

@@ -514,3 +514,82 @@ def frontend_routes(v: Lens) -> DataFrame:
 @query("""SELECT "table", rows FROM (SELECT 'symbols' AS "table", count(*) AS rows FROM symbols UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'entry_points', count(*) FROM entries)""", sql.SYMBOLS_SQL, sql.EDGES_SQL, sql.ENTRIES_SQL)
 def index_contents(v: Lens) -> DataFrame:
     return status.contents(symbols=v.symbols(), edges=v.edges(), entry_points=v.entry_points())
+
+
+@query(
+    """SELECT id, regexp_replace(route, '\\{[^}]*\\}', '{*}', 'g') AS key FROM entries WHERE route IS NOT NULL
+    UNION SELECT id, regexp_replace(regexp_replace(route, '/\\{id\\?\\}$', ''), '\\{[^}]*\\}', '{*}', 'g') FROM entries WHERE route IS NOT NULL""",
+    sql.ENTRIES_SQL,
+)
+def route_keys(v: Lens) -> DataFrame:
+    found = v.entry_points().where("route is not null")
+    return found.select("id", F.explode(routes.route_keys(F.concat(F.lit("/"), F.upper("route"), F.lit("/")), F.col("routeInferred"))).alias("key"))
+
+
+@query("SELECT DISTINCT file, feature FROM calls", sql.CALLS_SQL)
+def features_of_paths(v: Lens) -> DataFrame:
+    return v.frontend_calls().select("file", routes.feature(F.col("file"), "src/app").alias("feature")).distinct()
+
+
+@query("""SELECT o_orderkey, o_orderkey % 4 <> 0 AS confirmed_any FROM orders WHERE o_orderkey % 4 <> 0""")
+def semi_confirmed(v: Lens) -> DataFrame:
+    """Nodes that reach a group over allowed edges: each order leads to its key's class, but for one class."""
+    edges = v.t("orders").select(F.col("o_orderkey").cast("string").alias("from"), F.lit("root").alias("to"), (F.col("o_orderkey") % 4 != 0).alias("ok"))
+    seen = graph.propagate(edges, v.spark.createDataFrame([("root",)], "id string"), F.col("ok")).where("id <> 'root'")
+    return seen.select(F.col("id").cast("long").alias("o_orderkey"), F.lit(True).alias("confirmed_any"))
+
+
+@query("""SELECT CASE WHEN containing IS NULL THEN name ELSE containing || '.' || name END AS display, substr(id, 3) AS bare, id,
+    CASE kind WHEN 'Method' THEN 0 WHEN 'Class' THEN 1 WHEN 'Interface' THEN 1 WHEN 'Constructor' THEN 2 WHEN 'Property' THEN 3 WHEN 'Field' THEN 4 ELSE 5 END AS rank, project = 'BUILDING.Tests' AS is_test FROM symbols""", sql.SYMBOLS_SQL)
+def symbol_names(v: Lens) -> DataFrame:
+    s = v.symbols()
+    return s.select(text.display_name(F.col("name"), F.col("containingType"), F.col("id")).alias("display"), text.strip_prefix(F.col("id")).alias("bare"), "id", text.kind_rank(F.col("kind")).alias("rank"), text.is_test_project(F.col("project")).alias("is_test"))
+
+
+@query("""SELECT id, kind, name, file, line::INT AS line FROM symbols WHERE project = 'World' AND kind IN ('Class', 'Interface', 'Struct', 'Enum', 'Record')""", sql.SYMBOLS_SQL)
+def module_page(v: Lens) -> DataFrame:
+    return project_map.module_page(v.symbols(), "World")
+
+
+@query("""SELECT ticket, date, len(files) AS files FROM (SELECT '#' || (o_custkey + 100) AS ticket, max(strftime(o_orderdate, '%Y-%m-%d')) AS date, list(DISTINCT 'f' || (o_orderkey % 9)) AS files FROM orders GROUP BY o_custkey) WHERE list_contains(files, 'f3')""")
+def tickets_by_file(v: Lens) -> DataFrame:
+    found = v.t("orders").groupBy("o_custkey").agg(F.max(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"), F.collect_set(F.concat(F.lit("f"), (F.col("o_orderkey") % 9).cast("string"))).alias("files"))
+    found = found.select(F.concat(F.lit("#"), (F.col("o_custkey") + 100).cast("string")).alias("ticket"), "date", "files")
+    return impact.tickets_of(found, "f3").select("ticket", "date", F.size("files").cast("long").alias("files"))
+
+
+@query(
+    """SELECT "fileA", "fileB", together FROM (SELECT x.file AS "fileA", y.file AS "fileB", count(*)::INT AS together FROM kept x JOIN kept y ON x.seq = y.seq AND x.file < y.file GROUP BY ALL HAVING count(*) >= 3) WHERE "fileA" = 'p/f7.cs' OR "fileB" = 'p/f7.cs'""",
+    sql.COMMITS_SQL,
+)
+def co_changed_with(v: Lens) -> DataFrame:
+    return impact.co_changed(history.co_change(v.commits()), "p/f7.cs").select("fileA", "fileB", "together")
+
+
+@query(
+    f"""SELECT reason, n FROM (
+      SELECT 'unconfirmed_interface_edges' AS reason, count(*) FILTER (via = 'interface' AND NOT confirmed) AS n FROM used UNION ALL SELECT 'override_edges', count(*) FILTER (via = 'override') FROM used
+      UNION ALL SELECT 'low_confidence_screens', count(*) FILTER (confidence = 'low') FROM links JOIN calls ON fe = id UNION ALL SELECT 'ambiguous_screens', count(*) FILTER (kind = 'ambiguous') FROM links UNION ALL SELECT 'suffix_screens', count(*) FILTER (kind = 'suffix') FROM links
+      UNION ALL SELECT 'degraded_projects', count(DISTINCT project) FROM bucketed WHERE project IN (SELECT n_name FROM nation WHERE n_nationkey < 9)) WHERE n > 0""",
+    sql.SYMBOLS_SQL, sql.EDGES_SQL, sql.ENTRIES_SQL, sql.CALLS_SQL, sql.DI_SQL, REACH, BUCKETS, CONFIRMED, LINKS,
+)
+def blind_spots(v: Lens) -> DataFrame:
+    reached, used = confirmed_used(v)
+    counts = used.agg(F.count_if(F.expr("via = 'interface' and not confirmed")).alias("unconfirmed_edges"), F.count_if(F.expr("via = 'override'")).alias("override_edges"), F.lit(0).cast("long").alias("inferred_only"))
+    degraded = v.t("nation").where("n_nationkey < 9").select(F.col("n_name").alias("project"))
+    return impact.blind_spots(counts, degraded, screen_quality(v), impact.buckets(reached, v.symbols(), v.entry_points()))
+
+
+@query(
+    """SELECT id, depth, display FROM bucketed WHERE bucket <> 'test' ORDER BY bucket <> 'entry', depth, project, display LIMIT 1""",
+    sql.SYMBOLS_SQL, sql.EDGES_SQL, sql.ENTRIES_SQL, REACH, BUCKETS,
+)
+def nearest_path(v: Lens) -> DataFrame:
+    reached = graph.reverse_reach(v.edges(), root(v), DEPTH)
+    return impact.nearest_path(impact.buckets(reached, v.symbols(), v.entry_points())).select("id", "depth", "display")
+
+
+@query("SELECT l_suppkey, min_by(l_linenumber, (abs(l_linenumber - 3), l_linenumber))::INT AS line FROM lineitem GROUP BY l_suppkey")
+def nearest_declaration(v: Lens) -> DataFrame:
+    found = v.t("lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_linenumber").alias("line"))
+    return impact.nearest_declaration(found, 3).select(F.col("id").alias("l_suppkey"), F.col("line").cast("int").alias("line"))
