@@ -144,7 +144,9 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # read twice: once to count, once to pick
     held = materialise(arrow_map(docs.select(doc_id, text), schema, suspects), "suspects")
     counted = held.groupBy("digest").agg(F.countDistinct("id").alias("n"), F.max("id").alias("keeper"))
-    lost = held.join(counted.where(F.col("n") >= min_documents).drop("n"), "digest").where("id <> keeper")
+    # a table of its own: the join may send it whole where it is small, and split a hot line's documents where it isn't
+    repeated = materialise(counted.where(F.col("n") >= min_documents).drop("n"), "repeated")
+    lost = held.join(repeated, "digest").where("id <> keeper")
     return lost.groupBy(F.col("id").alias(doc_id)).agg(F.collect_set("digest").alias("digests"))
 
 
