@@ -22,7 +22,7 @@ def with_next(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
 
     Rows of equal keys follow each other by `value`. Rows without a key come first of all.
     """
-    spark = df.sparkSession
+    spark, df = df.sparkSession, df.drop(out)
     partitions = shuffle_partitions(spark)
     ranges = min(MAX_RANGES, RANGES_A_PARTITION * partitions)
     keys = df.select(F.coalesce(F.col(key), F.lit(-(1 << 63))).alias("k"))

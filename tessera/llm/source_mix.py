@@ -16,7 +16,7 @@ the number of sources, not of rows.
 Defined cases: rows without a source form a source of their own; weights may be given for sources that don't occur;
 sources without a weight have weight 1 (equal shares by default); weights of 0 or less put a source after all
 others; rows that repeat an id get places of their own; texts don't matter; an empty table gives an empty table;
-other columns pass through.
+other columns pass through, and input columns named like the output's are replaced.
 """
 
 from __future__ import annotations
@@ -122,6 +122,7 @@ def ranked(docs: DataFrame, doc_id: str, source: str) -> tuple[DataFrame, dict]:
 
 def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, doc_id: str = "doc_id", source: str = "source", block_docs: int = BLOCK_DOCS) -> DataFrame:
     """docs with slot (of its block) and position (of the document in the mix, from 0 without gaps but inside last blocks)."""
+    docs = docs.drop("slot", "position")
     placed, rows = ranked(docs, doc_id, source)
     spark = docs.sparkSession
     if not rows:

@@ -39,7 +39,7 @@ def check(rows, weights, block):
 
 def test_mix_keeps_all_rows(spark):
     rows = [(i, ["hot", "a", "b", None][0 if i % 3 else i // 3 % 4], i) for i in range(900)] + [(5, "a", 0), (None, "a", 0)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, slot_ long")
+    df = spark.createDataFrame(rows, "doc_id long, source string, slot long")
     got = source_mix.mixed(df, {"hot": 3, "b": 0.5}, block_docs=4).collect()
     assert sorted(map(str, ((r["doc_id"], r["source"]) for r in got))) == sorted(map(str, ((a, b) for a, b, _ in rows)))
     named = [r.asDict() | {"source": "\x00" if r["source"] is None else r["source"]} for r in got]
