@@ -40,15 +40,18 @@ def file_totals(files: DataFrame) -> DataFrame:
 def co_change(commits: DataFrame, min_together: int = MIN_TOGETHER, max_files: int = MAX_FILES) -> DataFrame:
     """(fileA, fileB, together, totalA, totalB, strength): pairs of files that change together often enough.
 
-    A commit's files are one array of at most max_files, so pairs are made in place: no join, and pair counts are
-    combined before the only shuffle that follows the pairs.
+    A commit's files are one array of at most max_files, so pairs are made in place, without a join, and counted
+    before the only shuffle that follows them. A file's pair with itself counts its commits, so that one pass over
+    the commits gives the totals too.
     """
     wanted = F.array_sort(F.array_distinct(F.filter("files", allowed)))
     baskets = commits.where(F.size("files") <= max_files).select(wanted.alias("f")).where(F.size("f") > 0)
-    indexed = F.transform("f", lambda x, i: F.transform(F.slice(F.col("f"), i + 2, F.size("f")), lambda y: F.struct(x.alias("fileA"), y.alias("fileB"))))
-    pairs = baskets.where(F.size("f") > 1).select(F.explode(F.flatten(indexed)).alias("p")).groupBy("p.fileA", "p.fileB").agg(F.count("*").cast("int").alias("together")).where(F.col("together") >= min_together)
-    totals = baskets.select(F.explode("f").alias("file")).groupBy("file").agg(F.count("*").cast("int").alias("total"))
-    out = pairs.join(totals.select(F.col("file").alias("fileA"), F.col("total").alias("totalA")), "fileA").join(totals.select(F.col("file").alias("fileB"), F.col("total").alias("totalB")), "fileB")
+    pairs = F.transform("f", lambda x, i: F.transform(F.slice(F.col("f"), i + 1, F.size("f")), lambda y: F.struct(x.alias("fileA"), y.alias("fileB"))))
+    counts = baskets.select(F.explode(F.flatten(pairs)).alias("p")).groupBy("p.fileA", "p.fileB").agg(F.count("*").cast("int").alias("together"))
+    kept = cut(counts.where((F.col("fileA") == F.col("fileB")) | (F.col("together") >= min_together)), "pairs")
+    totals = kept.where("fileA = fileB").select(F.col("fileA").alias("file"), F.col("together").alias("total"))
+    found = kept.where("fileA <> fileB")
+    out = found.join(totals.select(F.col("file").alias("fileA"), F.col("total").alias("totalA")), "fileA").join(totals.select(F.col("file").alias("fileB"), F.col("total").alias("totalB")), "fileB")
     strength = round2(F.col("together").cast("double") / F.least("totalA", "totalB"))
     return out.select("fileA", "fileB", "together", "totalA", "totalB", strength.alias("strength"))
 
