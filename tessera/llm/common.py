@@ -15,6 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 WORD_SEPARATORS = " \t\n\x0b\x0c\r"
 #: Rows of an Arrow batch that become Python objects at a time; bounds a task's memory.
 SLICE_ROWS = 500
+#: Rows of an Arrow batch at most: documents are long, and each Python pass of a task holds batches off the heap.
+BATCH_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches held to BATCH_ROWS rows."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(name)) > BATCH_ROWS or int(conf.get(name)) <= 0:
+        conf.set(name, BATCH_ROWS)
+    return df
+
+
 def arrow_map(df: DataFrame, schema: T.StructType, batch: Callable[[pa.RecordBatch], pa.Table | None]) -> DataFrame:
     """mapInArrow of one function on at most SLICE_ROWS rows at a time, its output cast to schema."""
     target = to_arrow_schema(schema)
@@ -51,8 +61,10 @@ def arrow_map(df: DataFrame, schema: T.StructType, batch: Callable[[pa.RecordBat
             for at in range(0, b.num_rows, SLICE_ROWS):
                 if (out := batch(b.slice(at, SLICE_ROWS))) is not None:
                     yield from out.cast(target).to_batches()
+        # the worker lives on; its allocator gives back what this task used
+        pa.default_memory_pool().release_unused()
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def with_columns(b: pa.RecordBatch, **columns: pa.Array) -> pa.Table:

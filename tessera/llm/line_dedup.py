@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import arrow_map, materialise, with_columns
+from tessera.llm.common import arrow_map, materialise, small_batches, with_columns
 
 #: Keys of fewer code points stay; documents that must hold a key before it goes.
 MIN_CHARS, MIN_DOCUMENTS = 40, 5
@@ -113,7 +113,7 @@ def repeat_filter(docs: DataFrame, doc_id: str, text: str, bits: int, min_chars:
             once[at] = True
         return pa.table({"part": t.column("part")[:1].combine_chunks(), "bits": pa.array([np.packbits(again, bitorder="little").tobytes()], pa.binary())})
 
-    found = docs.select(doc_id, text).mapInArrow(build, parts).groupBy("part").applyInArrow(merge, "part long, bits binary")
+    found = small_batches(docs.select(doc_id, text)).mapInArrow(build, parts).groupBy("part").applyInArrow(merge, "part long, bits binary")
     out = np.zeros(max(bits, PART_BITS) // 8, np.uint8)
     for row in found.toLocalIterator():
         at = row["part"] * PART_BITS // 8

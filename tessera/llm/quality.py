@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from tessera.llm.common import arrow_map, materialise, with_columns
+from tessera.llm.common import arrow_map, materialise, small_batches, with_columns
 from tessera.llm.shingles import mixed
 
 #: Buckets of hashed n-grams; labelled rows of each kind at most; seed of the noise; steps of a key.
@@ -67,7 +67,7 @@ def counted(docs: DataFrame, text: str) -> dict[str, np.ndarray]:
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_pydict({"bucket": some, "raw": raw[some], "target": target[some]})
 
-    sums = docs.select(text, "__label").mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    sums = small_batches(docs.select(text, "__label")).mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     out = {"raw": np.zeros(BUCKETS), "target": np.zeros(BUCKETS)}
     for row in sums.collect():  # BUCKETS rows at most
         out["raw"][row["bucket"]], out["target"][row["bucket"]] = row["raw"], row["target"]

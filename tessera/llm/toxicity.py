@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.bpe import Memo
-from tessera.llm.common import arrow_map, materialise, shuffle_partitions
+from tessera.llm.common import arrow_map, materialise, shuffle_partitions, small_batches
 from tessera.llm.quality import labelled
 from tessera.llm.shingles import shingle_hashes
 
@@ -74,7 +74,7 @@ def term_counts(examples: DataFrame, text: str) -> DataFrame:
                     yield sent()
         yield sent()
 
-    return examples.select(text, "label").mapInArrow(run, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    return small_batches(examples.select(text, "label")).mapInArrow(run, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
 def unlike(examples: DataFrame, text: str) -> DataFrame:
