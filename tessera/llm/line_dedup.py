@@ -18,6 +18,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +31,8 @@ MIN_CHARS, MIN_DOCUMENTS = 40, 5
 BITS_A_LINE, POSITIONS, MIN_BITS, MAX_BITS = 16, 2, 1 << 16, 1 << 29
 #: Bits of a filter's part that is merged on its own.
 PART_BITS = 1 << 22
+#: Pieces of a part, one from each task, that are merged at a time.
+FAN_IN = 64
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _SPACE = " \t\n\x0b\x0c\r"
 
@@ -66,18 +69,25 @@ def filter_bits(docs: DataFrame, text: str, min_chars: int) -> int:
 
 
 def _packed(at: np.ndarray) -> bytes:
-    """Ascending positions within a part as compressed differences."""
-    return zlib.compress(np.diff(at, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1) if len(at) else b""
+    """Ascending positions within a part, compressed: as differences, or as bits where they are many."""
+    if len(at) > PART_BITS // 32:
+        bits = np.zeros(PART_BITS, bool)
+        bits[at] = True
+        return b"b" + zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)
+    return b"d" + zlib.compress(np.diff(at, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zlib.decompress(data), np.uint8) if data else np.empty(0, np.uint8)
+    raw = np.frombuffer(zlib.decompress(data[1:]), np.uint8)
+    if data[:1] == b"b":
+        return np.flatnonzero(np.unpackbits(raw, bitorder="little"))
     return np.cumsum(np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64))
 
 
 def repeat_filter(docs: DataFrame, doc_id: str, text: str, bits: int, min_chars: int) -> np.ndarray:
     """The filter of lines seen again, as bytes of 8 bits; its size is bounded by MAX_BITS."""
-    parts = "part long, once binary, again binary"
+    kinds = pa.schema([("part", pa.int64()), ("piece", pa.int64()), ("once", pa.binary()), ("again", pa.binary())])
+    parts = "part long, piece long, once binary, again binary"
 
     def build(batches):
         once, again = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -99,10 +109,11 @@ def repeat_filter(docs: DataFrame, doc_id: str, text: str, bits: int, min_chars:
             if held > 1 << 21:
                 fold()
         fold()
+        piece = TaskContext.get().partitionId()
         for part in np.unique(once // PART_BITS).tolist():
             lo, hi = part * PART_BITS, (part + 1) * PART_BITS
             cut = [a[np.searchsorted(a, lo) : np.searchsorted(a, hi)] - lo for a in (once, again)]
-            yield pa.RecordBatch.from_pydict({"part": [part], "once": [_packed(cut[0])], "again": [_packed(cut[1])]}, pa.schema([("part", pa.int64()), ("once", pa.binary()), ("again", pa.binary())]))
+            yield pa.RecordBatch.from_pydict({"part": [part], "piece": [piece], "once": [_packed(cut[0])], "again": [_packed(cut[1])]}, kinds)
 
     def merge(t: pa.Table) -> pa.Table:
         once, again = np.zeros(PART_BITS, bool), np.zeros(PART_BITS, bool)
@@ -111,13 +122,23 @@ def repeat_filter(docs: DataFrame, doc_id: str, text: str, bits: int, min_chars:
             again[at[once[at]]] = True
             again[_unpacked(a.as_py())] = True
             once[at] = True
-        return pa.table({"part": t.column("part")[:1].combine_chunks(), "bits": pa.array([np.packbits(again, bitorder="little").tobytes()], pa.binary())})
-
-    found = small_batches(docs.select(doc_id, text)).mapInArrow(build, parts).groupBy("part").applyInArrow(merge, "part long, bits binary")
+        return pa.table({"part": t.column("part")[:1], "piece": t.column("piece")[:1], "once": [_packed(np.flatnonzero(once))], "again": [_packed(np.flatnonzero(again))]}, kinds)
+
+    source = small_batches(docs.select(doc_id, text))
+    pieces = source.rdd.getNumPartitions()
+    found = source.mapInArrow(build, parts)
+    while True:
+        # a group has FAN_IN pieces of one part at most, whatever the number of tasks
+        found = found.withColumn("piece", F.expr(f"piece div {FAN_IN}")).groupBy("part", "piece").applyInArrow(merge, parts)
+        pieces = -(-pieces // FAN_IN)
+        if pieces <= 1:
+            break
     out = np.zeros(max(bits, PART_BITS) // 8, np.uint8)
-    for row in found.toLocalIterator():
+    for row in found.select("part", "again").toLocalIterator():
+        part = np.zeros(PART_BITS, bool)
+        part[_unpacked(row["again"])] = True
         at = row["part"] * PART_BITS // 8
-        out[at : at + PART_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
+        out[at : at + PART_BITS // 8] = np.packbits(part, bitorder="little")
     return out
 
 

@@ -14,7 +14,7 @@ With T = 240 coordinates in bands of 5, two sets of resemblance 0.75 share no ba
 Defined cases: null and empty texts and texts without words have no shingle, link with nothing and are kept; fewer
 words than a shingle: the whole sequence is one; long texts are taken whole; rows that repeat an id and text are in
 one class; rows without an id are linked with nothing, have no component and are kept; an empty table gives an
-empty table; other columns of the input don't matter.
+empty table; other columns of the input don't matter. Ids are integers.
 """
 
 from __future__ import annotations
@@ -25,12 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import arrow_map, materialise
 from tessera.llm.components import components
 from tessera.llm.shingles import shingle_set
 from tessera.llm.sketching import band_hashes, similarity_sketch
-from pyspark.sql import types as T
 
 #: Words of a shingle; least resemblance in hundredths; coordinates of a sketch and of a band; classes in a block.
 WORDS, PERCENT, COORDINATES, BAND_ROWS, BLOCK = 5, 75, 240, 5, 512

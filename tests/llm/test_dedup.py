@@ -123,6 +123,7 @@ def test_lines_against_brute_force(spark):
 def test_a_saturated_filter_changes_nothing(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "MIN_BITS", 64)
     monkeypatch.setattr(line_dedup, "MAX_BITS", 64)
+    monkeypatch.setattr(line_dedup, "FAN_IN", 2)
     rows = [(i, f"{'shared line of text ' * 3}{i % 3}\n{'own line of this text ' * 3}{i}") for i in range(30)]
     got = [(x["doc_id"], x["n_lines"], x["n_dropped"], x["kept"]) for x in line_dedup.drop_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got) == brute_lines(rows) and hashlib.sha256(got[0][3].encode())
