@@ -27,7 +27,7 @@ class Config:
     frontend_app_dir: str = frontend.APP_DIR
 
     @staticmethod
-    def discover(start: str, name: str = "codemap.config.json") -> "Config":
+    def discover(start: str, name: str = "tessera.config.json") -> "Config":
         """The nearest configuration file from a folder upwards; a malformed one is an error."""
         for folder in [Path(start).resolve(), *Path(start).resolve().parents]:
             if (folder / name).exists():

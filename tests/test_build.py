@@ -29,7 +29,7 @@ def test_history_without_tickets(spark):
 
 
 def test_config_discovery(tmp_path):
-    (tmp_path / "codemap.config.json").write_text(json.dumps({"ticketPattern": "AB-\\d+"}))
+    (tmp_path / "tessera.config.json").write_text(json.dumps({"ticketPattern": "AB-\\d+"}))
     (tmp_path / "x" / "y").mkdir(parents=True)
     assert build.Config.discover(str(tmp_path / "x" / "y")).ticket_pattern == "AB-\\d+"
 
