@@ -24,11 +24,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
         before = now
         both = e.union(e.select("v", "u"))
-        # tables of their own, so that a join on a hot node can be split
+        # a table of its own, so that the join on a hot node can be split; later joins have few edges a node
         least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialise(large, "edges")
-        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialise(small.union(least).distinct(), "edges")
     raise RuntimeError(f"components aren't found after {MAX_ROUNDS} rounds")
