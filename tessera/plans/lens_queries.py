@@ -157,13 +157,40 @@ def shortest_path(v: Lens) -> DataFrame:
 ORACLES["shortest_path"] = ORACLES["shortest_path"].replace("WITH RECURSIVE ", "WITH RECURSIVE " + sql.EDGES_SQL + ", ", 1)
 
 
+@query(
+    """SELECT id, depth, array_to_string(path, '>') AS path FROM (
+    SELECT id, depth, path, row_number() OVER (PARTITION BY id ORDER BY depth) AS n FROM ways) WHERE n = 1""",
+    sql.EDGES_SQL,
+    # of the ways of one length to a node, only the first can begin a first way further on
+    f"""ways AS (SELECT '{ROOT}' AS id, 0 AS depth, ['{ROOT}'] AS path, []::BIGINT[] AS place
+    UNION ALL SELECT id, depth, path, place FROM (
+      SELECT e.src AS id, w.depth + 1 AS depth, list_append(w.path, e.src) AS path, list_append(w.place, e.seq) AS place, row_number() OVER (PARTITION BY e.src ORDER BY list_append(w.place, e.seq)) AS n
+      FROM ways w JOIN edges e ON e.dst = w.id WHERE w.depth < {DEPTH}) WHERE n = 1)""",
+)
+def shortest_path_whole(v: Lens) -> DataFrame:
+    """shortest_path over all edges."""
+    return graph.reverse_reach(v.edges(), root(v), DEPTH).select("id", "depth", F.array_join("path", ">").alias("path"))
+
+
+def nation_members(v: Lens) -> DataFrame:
+    return v.t("supplier").select(F.concat(F.lit("N:"), F.col("s_nationkey").cast("string")).alias("iface_member"), F.concat(F.lit("S:"), F.col("s_suppkey").cast("string")).alias("impl_member"))
+
+
 @query(
     """SELECT src AS "from", 'S:' || s_suppkey AS "to", 'call' AS kind, file, line, 'interface' AS via FROM edges JOIN supplier ON dst = 'N:' || s_nationkey WHERE kind = 'call' AND src LIKE 'S:%'""",
     sql.EDGES_SQL,
 )
 def interface_expand(v: Lens) -> DataFrame:
-    members = v.t("supplier").select(F.concat(F.lit("N:"), F.col("s_nationkey").cast("string")).alias("iface_member"), F.concat(F.lit("S:"), F.col("s_suppkey").cast("string")).alias("impl_member"))
-    return scan_passes.interface_edges(v.edges().where("`from` like 'S:%'"), members)
+    return scan_passes.interface_edges(v.edges().where("`from` like 'S:%'"), nation_members(v))
+
+
+@query(
+    """SELECT src AS "from", 'S:' || s_suppkey AS "to", 'call' AS kind, file, line, 'interface' AS via FROM edges JOIN supplier ON dst = 'N:' || s_nationkey WHERE kind = 'call'""",
+    sql.EDGES_SQL,
+)
+def interface_expand_whole(v: Lens) -> DataFrame:
+    """interface_expand for all callers."""
+    return scan_passes.interface_edges(v.edges(), nation_members(v))
 
 
 @query("""SELECT 'O:' || o_orderkey AS "from", 'S:' || s_suppkey AS "to", 'call' AS kind, 'O.cs' AS file, (o_orderkey % 100)::INT AS line, 'mediatr' AS via FROM orders JOIN supplier ON o_custkey % 10 = s_suppkey % 10 WHERE o_orderpriority = '2-HIGH' AND s_acctbal > 9000""")
@@ -180,15 +207,30 @@ def mediator_expand(v: Lens) -> DataFrame:
     """below AS (SELECT 'R:' || r_regionkey AS start, 'R:' || r_regionkey AS node FROM region UNION SELECT w.start, p.b FROM below w JOIN pairs p ON p.a = w.node)""",
 )
 def override_expand(v: Lens) -> DataFrame:
-    nation, supplier = v.t("nation"), v.t("supplier").where("s_suppkey % 5 = 0")
+    return overrides(v, v.t("supplier").where("s_suppkey % 5 = 0"), v.t("customer").where("c_custkey % 3 = 0"))
+
+
+def overrides(v: Lens, supplier: DataFrame, customer: DataFrame) -> DataFrame:
+    nation = v.t("nation")
     name = lambda letter, c: F.concat(F.lit(f"{letter}:"), F.col(c).cast("string"))
     one = nation.select(name("R", "n_regionkey").alias("overridden"), name("N", "n_nationkey").alias("override"), F.array("n_name").alias("types"))
     two = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(name("N", "s_nationkey").alias("overridden"), name("S", "s_suppkey").alias("override"), F.array("n_name").alias("types"))
-    calls = v.t("customer").where("c_custkey % 3 = 0").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    calls = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     calls = calls.select(name("C", "c_custkey").alias("from"), name("R", "n_regionkey").alias("to"), F.lit("C.cs").alias("file"), (F.col("c_custkey") % 100).cast("int").alias("line"), F.col("n_name").alias("receiver"))
     return scan_passes.override_edges(calls, one.union(two))
 
 
+@query(
+    """SELECT DISTINCT 'C:' || c_custkey AS "from", b.node AS "to", 'call' AS kind, 'C.cs' AS file, (c_custkey % 100)::INT AS line, 'override' AS via
+    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN below b ON b.start = 'R:' || n_regionkey JOIN pairs p ON p.b = b.node AND p.type = n_name""",
+    """pairs AS (SELECT 'R:' || n_regionkey AS a, 'N:' || n_nationkey AS b, n_name AS type FROM nation UNION ALL SELECT 'N:' || s_nationkey, 'S:' || s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)""",
+    """below AS (SELECT 'R:' || r_regionkey AS start, 'R:' || r_regionkey AS node FROM region UNION SELECT w.start, p.b FROM below w JOIN pairs p ON p.a = w.node)""",
+)
+def override_expand_whole(v: Lens) -> DataFrame:
+    """override_expand of all suppliers for all customers."""
+    return overrides(v, v.t("supplier"), v.t("customer"))
+
+
 @query("SELECT id, name FROM symbols WHERE kind = 'Method' AND id IN (SELECT dst FROM edges)", sql.SYMBOLS_SQL, sql.EDGES_SQL)
 def implicit_constructors(v: Lens) -> DataFrame:
     return scan_passes.implicit_constructors(v.symbols().where("kind = 'Method'"), v.edges()).select("id", "name")
@@ -263,12 +305,28 @@ RENAMES = "renames AS (SELECT l_orderkey AS seq, 'f' || (l_partkey % 400) AS old
       FROM chain c JOIN renames r ON r.old = c.now AND r.seq < c.at_seq) WHERE n = 1)""",
 )
 def rename_resolve(v: Lens) -> DataFrame:
-    item = v.t("lineitem")
+    return renamed(v, v.t("lineitem").where("l_linenumber = 2 and l_orderkey % 10 = 0"))
+
+
+def renamed(v: Lens, asked: DataFrame) -> DataFrame:
     file = lambda k: F.concat(F.lit("f"), k.cast("string"))
     number = F.col("l_partkey") % 400
-    renames = item.where("l_quantity = 50 and l_linenumber = 1").select(F.col("l_orderkey").alias("seq"), file(number).alias("old"), file(number + 1).alias("new"))
-    asked = item.where("l_linenumber = 2 and l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("seq"), file(number).alias("path")).distinct()
-    return history.resolve_renames(asked, renames)
+    renames = v.t("lineitem").where("l_quantity = 50 and l_linenumber = 1").select(F.col("l_orderkey").alias("seq"), file(number).alias("old"), file(number + 1).alias("new"))
+    return history.resolve_renames(asked.select(F.col("l_orderkey").alias("seq"), file(number).alias("path")).distinct(), renames)
+
+
+@query(
+    """SELECT seq, path, now FROM (SELECT seq, path, now, row_number() OVER (PARTITION BY seq, path ORDER BY hops DESC) AS n FROM chain) WHERE n = 1""",
+    RENAMES,
+    "asked AS (SELECT DISTINCT l_orderkey AS seq, 'f' || (l_partkey % 400) AS path FROM lineitem)",
+    """chain AS (SELECT seq, path, path AS now, seq AS at_seq, 0 AS hops FROM asked
+    UNION ALL SELECT seq, path, new, next_seq, hops + 1 FROM (
+      SELECT c.seq, c.path, c.hops, r.new, r.seq AS next_seq, row_number() OVER (PARTITION BY c.seq, c.path, c.hops ORDER BY r.seq DESC) AS n
+      FROM chain c JOIN renames r ON r.old = c.now AND r.seq < c.at_seq) WHERE n = 1)""",
+)
+def rename_resolve_whole(v: Lens) -> DataFrame:
+    """rename_resolve for the path of every line item."""
+    return renamed(v, v.t("lineitem"))
 
 
 @query(
