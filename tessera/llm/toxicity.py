@@ -1,17 +1,18 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over an inverted index of all the examples' words.
 
-Terms are lower-cased words and their beginnings of 4 to 6 letters, so that inflected forms count together. The
-vocabulary is what toxic examples hold significantly more often; document frequencies are of all documents. The
-examples' unit vectors are kept as postings by term, cut into blocks of examples with each term's largest weight
-in the block. A query scans the blocks of the highest upper bounds first, then those alone that can still beat
-its k-th best, which gives the exact nearest examples. Their labels, weighted by powers of the cosine and shrunk to the base rate, are the
-score; the nearest are the evidence.
+Terms are the lower-cased words that any example holds, and those beginnings of 4 to 6 letters that toxic examples
+hold significantly more often, so that inflected forms count together. Words and beginnings that pass that test weigh
+BOOST times as much as others; none is left out. Document frequencies are of all documents. The examples' unit vectors
+are kept as postings by term, but for the commonest terms, which are rows of a matrix. A text's cosines with all
+examples are summed up in full, so its neighbours are the nearest. Their labels, weighted by powers of the cosine and
+shrunk to the base rate, are the score, which is the base rate at least; the nearest are the evidence.
 
 Fitted on a bounded sample: at most EXAMPLES labelled rows of each kind, those of least hash of their id. All rows
-are scored, and term frequencies are counted over all rows.
+are scored, and term frequencies are counted over all rows. Words that no example holds can't tell examples apart and
+are not part of a text's length.
 
-Defined cases: null and empty texts, and texts without a known term, score the base rate; an example is never its
-own neighbour; equal cosines go by the least id; long texts are taken whole; without toxic examples all scores are
+Defined cases: null and empty texts, and texts without a word of any example, score the base rate; an example is never
+its own neighbour; equal cosines go by the least id; long texts are taken whole; without toxic examples all scores are
 the base rate of the labels, without labels 0; labels that repeat an id count once, as the larger; an empty table
 gives an empty table; other columns pass through.
 """
@@ -34,9 +35,11 @@ from tessera.llm.common import arrow_map, materialise, shuffle_partitions, small
 from tessera.llm.quality import labelled
 from tessera.llm.shingles import shingle_hashes
 
-#: Labelled rows of each kind at most; terms at most; neighbours; examples in a block; blocks that are scanned
-#: before bounds are compared; neighbours given as evidence.
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK, FIRST, EVIDENCE = 4_000, 4_096, 25, 64, 4, 3
+#: Labelled rows of each kind at most; terms that pass the label test at most; neighbours; neighbours given as evidence.
+EXAMPLES, TERMS, NEIGHBOURS, EVIDENCE = 4_000, 4_096, 25, 3
+#: How much more a term weighs that passes the label test; terms kept as rows of a matrix at most, and the least share
+#: of examples that hold one; texts whose cosines are summed up together.
+BOOST, COMMON_TERMS, COMMON_SHARE, TOGETHER = 8.0, 256, 1 / 16, 32
 #: Lengths of word beginnings; a term's least toxic examples, log-likelihood ratio and ratio of shares; power of a
 #: cosine in its vote; strength of the base rate.
 BEGINNINGS, MIN_EXAMPLES, MIN_RATIO, MIN_LIFT, POWER, PRIOR = (4, 5, 6), 3, 12.0, 3.0, 3, 1.0
@@ -104,8 +107,20 @@ def vocabulary(counts: DataFrame, n_clean: int, n_toxic: int) -> list[str]:
     return [r["term"] for r in good.orderBy(F.desc("ratio"), "term").limit(TERMS).select("term").collect()]
 
 
+def words_of(examples: DataFrame, text: str) -> list[str]:
+    """The distinct words of the examples, in order."""
+
+    def run(batches):
+        for b in batches:
+            found = set(chain.from_iterable(map(words, b.column(0).to_pylist())))
+            yield pa.RecordBatch.from_pydict({"word": pa.array(list(found), pa.string())})
+
+    found = small_batches(examples.select(text)).mapInArrow(run, "word string").distinct()
+    return sorted(found.toArrow()["word"].to_pylist())  # words of 2 * EXAMPLES rows at most
+
+
 def term_vectors(docs: DataFrame, doc_id: str, text: str, known: list[str]) -> DataFrame:
-    """(id, terms, counts) of every row: the known terms that it holds, and how often."""
+    """(id, terms, counts) of every row: the known terms that it holds, ascending, and how often."""
     number = {t: i for i, t in enumerate(known)}
     shared = docs.sparkSession.sparkContext.broadcast(number)
     schema = T.StructType([T.StructField("id", docs.schema[doc_id].dataType), T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
@@ -116,63 +131,60 @@ def term_vectors(docs: DataFrame, doc_id: str, text: str, known: list[str]) -> D
             of = shared.value
             held[0] = Memo(lambda w: tuple(of[t] for t in terms_of(w) if t in of))
         memo = held[0]
-        rows = [sorted(Counter(chain.from_iterable(filter(None, map(memo.__getitem__, words(x))))).items()) for x in b.column(1).to_pylist()]
-        return pa.table({"id": b.column(0), "terms": pa.array([[t for t, _ in r] for r in rows], pa.list_(pa.int32())), "counts": pa.array([[n for _, n in r] for r in rows], pa.list_(pa.int32()))})
+        rows = [np.unique(np.fromiter(chain.from_iterable(map(memo.__getitem__, words(x))), np.int32), return_counts=True) for x in b.column(1).to_pylist()]
+        ends = np.cumsum([0, *(len(t) for t, _ in rows)]).astype(np.int32)
+        column = lambda i: pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int32), *(r[i] for r in rows)]).astype(np.int32))
+        return pa.table({"id": b.column(0), "terms": column(0), "counts": column(1)})
 
     return arrow_map(docs.select(doc_id, text), schema, run)
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term, in blocks of examples with each term's largest weight there."""
+    """Unit vectors of the examples: rows of a matrix for the commonest terms, postings for all others."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        # examples with the same heaviest term stand together, so that a block's bounds are close to its examples
-        order = sorted(range(len(rows)), key=lambda i: (int(rows[i][0][rows[i][1].argmax()]), -float(rows[i][1].max()), int(ids[i])))
-        ids, labels, rows = ids[order], labels[order], [rows[i] for i in order]
-        self.ids, self.labels, self.n_terms = ids, labels, n_terms
-        self.blocks = -(-len(ids) // BLOCK)
-        example = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows]).astype(np.int64)
+        self.ids, self.labels, n = ids, labels, len(ids)
+        example = np.repeat(np.arange(n), [len(t) for t, _ in rows]).astype(np.int64)
         term = np.concatenate([np.empty(0, np.int64), *(t for t, _ in rows)]).astype(np.int64)
         weight = np.concatenate([np.empty(0), *(w for _, w in rows)])
-        order = np.lexsort((example, term))
-        self.example, self.weight = example[order], weight[order]
-        self.block, self.inside = self.example // BLOCK, self.example % BLOCK
-        cells = term[order] * self.blocks + self.block
-        # where the postings of each term and block begin, and their largest weight
-        self.starts = np.searchsorted(cells, np.arange(n_terms * self.blocks + 1))
-        self.most = np.zeros(n_terms * self.blocks)
-        np.maximum.at(self.most, cells, self.weight)
-        self.most = self.most.reshape(n_terms, self.blocks)
+        held = np.bincount(term, minlength=n_terms)
+        common = np.argsort(-held, kind="stable")[:COMMON_TERMS]
+        common = common[held[common] > n * COMMON_SHARE]
+        # the row of each common term, -1 for others
+        self.row = np.full(n_terms, -1)
+        self.row[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), n))
+        rows_of = self.row[term]
+        self.matrix[rows_of[rows_of >= 0], example[rows_of >= 0]] = weight[rows_of >= 0]
+        example, term, weight = example[rows_of < 0], term[rows_of < 0], weight[rows_of < 0]
+        order = np.argsort(term, kind="stable")
+        self.example, self.weight = example[order].astype(np.int32), weight[order]
+        self.starts = np.searchsorted(term[order], np.arange(n_terms + 1))
+
+    def cosines(self, text: np.ndarray, terms: np.ndarray, weights: np.ndarray, texts: int) -> np.ndarray:
+        """The cosine of each of some texts with every example; text: which of them holds the term."""
+        row = self.row[terms]
+        common = row >= 0
+        given = np.zeros((texts, len(self.matrix)))
+        given[text[common], row[common]] = weights[common]
+        sums = given @ self.matrix
+        terms, text, weights = terms[~common], text[~common], weights[~common]
+        first, count = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
+        at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        cells = np.repeat(text * len(self.ids), count) + self.example[at]
+        return sums + np.bincount(cells, self.weight[at] * np.repeat(weights, count), texts * len(self.ids)).reshape(sums.shape)
+
+    def best(self, cos: np.ndarray, k: int, own) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes and cosines of the k nearest examples that share a term, but for the query itself."""
+        # one more than k, as the query itself may be among them
+        least = max(np.partition(cos, len(cos) - k - 1)[len(cos) - k - 1] - 1e-9, 0) if len(cos) > k else 0
+        at = np.flatnonzero((cos > 0) & (cos >= least))
+        at = at[self.ids[at] != own]
+        at = at[np.lexsort((self.ids[at], -np.round(cos[at], 12)))[:k]]
+        return at, cos[at]
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, own) -> tuple[np.ndarray, np.ndarray]:
-        """Indexes and cosines of the k nearest examples that share a term, but for the query itself."""
-        bound = weights @ self.most[terms]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        at, cos = self._best(order[:FIRST], terms, weights, np.empty(0, np.int64), np.empty(0), k, own)
-        # the blocks whose bound still reaches the k-th best, all at once
-        rest = order[FIRST:]
-        rest = rest[bound[rest] >= cos[k - 1] - 1e-12] if len(at) >= k else rest
-        return self._best(rest, terms, weights, at, cos, k, own) if len(rest) else (at, cos)
-
-    def _best(self, blocks: np.ndarray, terms: np.ndarray, weights: np.ndarray, at: np.ndarray, cos: np.ndarray, k: int, own) -> tuple[np.ndarray, np.ndarray]:
-        """The k best of what is known (at, cos) and the examples of some blocks."""
-        place = np.full(self.blocks, -1)
-        place[blocks] = np.arange(len(blocks))
-        sums = np.zeros(len(blocks) * BLOCK)
-        for t, w in zip(terms.tolist(), weights.tolist()):
-            lo, hi = self.starts[t * self.blocks], self.starts[(t + 1) * self.blocks]
-            block = place[self.block[lo:hi]]
-            sums[(block * BLOCK + self.inside[lo:hi])[block >= 0]] += w * self.weight[lo:hi][block >= 0]
-        here = np.flatnonzero(sums)
-        found = blocks[here // BLOCK] * BLOCK + here % BLOCK
-        fair = self.ids[found] != own
-        at, cos = np.concatenate([at, found[fair]]), np.concatenate([cos, sums[here[fair]]])
-        if len(at) > 4 * k:
-            least = np.partition(cos, len(cos) - k)[len(cos) - k] - 1e-9
-            at, cos = at[cos >= least], cos[cos >= least]
-        best = np.lexsort((self.ids[at], -np.round(cos, 12)))[:k]
-        return at[best], cos[best]
+        return self.best(self.cosines(np.zeros(len(terms), np.int64), terms, weights, 1)[0], k, own)
 
 
 def unit(terms: list[int], counts: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,6 +193,21 @@ def unit(terms: list[int], counts: list[int], idf: np.ndarray) -> tuple[np.ndarr
     return t, w / np.sqrt((w * w).sum()) if len(t) else w
 
 
+def nearest_of(b: pa.RecordBatch, index: BlockMaxIndex, idf: np.ndarray):
+    """(indexes, cosines) of the nearest examples for each row of term vectors."""
+    ids = b.column(0).to_pylist()
+    for lo in range(0, len(ids), TOGETHER):
+        own = ids[lo : lo + TOGETHER]
+        part = b.column(1).slice(lo, len(own))
+        size = np.diff(part.offsets.to_numpy())
+        terms = part.flatten().to_numpy().astype(np.int64)
+        weights = b.column(2).slice(lo, len(own)).flatten().to_numpy() * idf[terms]
+        text = np.repeat(np.arange(len(own)), size)
+        weights = weights / np.sqrt(np.bincount(text, weights * weights, len(own)))[text]
+        cos = index.cosines(text, terms, weights, len(own))
+        yield from (index.best(c, NEIGHBOURS, i) for c, i in zip(cos, own))
+
+
 def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """(doc_id, score, evidence) of every row; labels: the rows that may be learned from."""
     kinds = {r["label"]: r["n"] for r in labels.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("int").alias("label")).agg(F.countDistinct(doc_id).alias("n")).collect()}
@@ -191,15 +218,23 @@ def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     seen = materialise(unlike(examples, text), "examples")
     n = {r["label"]: r["count"] for r in seen.groupBy("label").count().collect()}
     known = vocabulary(term_counts(seen, "text"), n.get(0, 0), n.get(1, 0))
+    boost, tested = len(known), set(known)
+    known += [w for w in words_of(examples, text) if w not in tested]
     n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     vectors = materialise(term_vectors(docs, doc_id, text, known), "vectors")
     total = vectors.count()
     df = np.zeros(len(known))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # TERMS rows at most
-        df[r["t"]] = r["count"]
+    counted = vectors.select(F.explode("terms").alias("t")).groupBy("t").count().toArrow()  # a row for each term
+    df[counted["t"].to_numpy()] = counted["count"].to_numpy()
     idf = np.log((1 + total) / (1 + df)) + 1
-    found = vectors.where(F.size("terms") > 0).join(F.broadcast(sample), "id").dropDuplicates(["id"]).orderBy("id").collect()  # 2 * EXAMPLES rows at most
-    index = BlockMaxIndex(np.array([r["id"] for r in found], np.int64), np.array([r["label"] for r in found], np.int64), [unit(r["terms"], r["counts"], idf) for r in found], len(known))
+    idf[:boost] *= BOOST
+    # 2 * EXAMPLES rows at most, never as Python objects
+    found = vectors.where(F.size("terms") > 0).join(F.broadcast(sample), "id").dropDuplicates(["id"]).orderBy("id").toArrow()
+    ids, terms, counts = (found[c].combine_chunks() for c in ("id", "terms", "counts"))
+    ends = terms.offsets.to_numpy()[1:-1]
+    rows = [unit(t, c, idf) for t, c in zip(np.split(terms.flatten().to_numpy(), ends), np.split(counts.flatten().to_numpy(), ends))] if len(ids) else []
+    index = BlockMaxIndex(ids.to_numpy().astype(np.int64), found["label"].to_numpy().astype(np.int64), rows, len(known))
+    del found, terms, counts, rows
     # the sample has its own share of each label; a vote counts as often as its label is rarer there
     worth = np.array([kinds.get(x, 0) / max(1, n.get(x, 0)) for x in (0, 1)])
     worth = worth / worth.max() if worth.max() else worth
@@ -211,15 +246,14 @@ def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     def run(b: pa.RecordBatch) -> pa.Table:
         index, idf, worth = shared.value
         score, why = [], []
-        for i, terms, counts in zip(*(b.column(x).to_pylist() for x in range(3))):
-            at, cos = index.nearest(*unit(terms, counts, idf), NEIGHBOURS, i) if terms and len(index.ids) else ((), ())
+        for at, cos in nearest_of(b, index, idf):
             if not len(at):
                 score.append(base)
                 why.append([])
                 continue
             y = index.labels[at]
             w = cos**POWER * worth[y]
-            score.append(float(min(1.0, ((w * y).sum() + PRIOR * base) / (w.sum() + PRIOR))))
+            score.append(float(min(1.0, max(base, ((w * y).sum() + PRIOR * base) / (w.sum() + PRIOR)))))
             why.append([{"example": int(index.ids[a]), "label": int(index.labels[a]), "cosine": min(1.0, float(c))} for a, c in zip(at[:EVIDENCE], cos[:EVIDENCE])])
         return pa.table({doc_id: b.column(0), "score": pa.array(score, pa.float64()), "evidence": pa.array(why, near)})
 

@@ -91,6 +91,28 @@ def test_scores_by_hand(spark):
     assert all(e["label"] == 1 and 0 < e["cosine"] <= 1 and e["example"] != 205 for e in got[205]["evidence"])
 
 
+def test_neighbours_are_nearest_by_all_words(spark):
+    """Terms that fail the label test count too: a copy of a toxic example whose insult is rare, and clean words."""
+    r = np.random.default_rng(3)
+    texts = {i: " ".join(f"w{x}" for x in r.zipf(1.5, r.integers(3, 40)) % 300) for i in range(240)}
+    texts |= {300: "thou grumbling sporkhead begone", 301: "thou grumbling sporkhead begone", 302: "sporkhead", 303: texts[17]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    toxic = {i: int(i % 6 == 0 or i == 300) for i in [*range(200), 300]}
+    got = {x["doc_id"]: x for x in toxicity.scores(docs, spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")).collect()}
+    base = sum(toxic.values()) / len(toxic)
+    assert got[301]["score"] >= 0.3 > base and got[302]["score"] > base
+    assert got[301]["evidence"][0]["example"] == 300 and got[303]["evidence"][0]["example"] == 17
+    # no term passes the test here, so all weigh the same
+    held = {i: {w: x.split().count(w) for w in x.split()} for i, x in texts.items()}
+    known = {w for i in toxic for w in held[i]}
+    idf = {w: np.log((1 + len(texts)) / (1 + sum(w in h for h in held.values()))) + 1 for w in known}
+    unit = lambda h: {w: n * idf[w] / np.sqrt(sum((m * idf[x]) ** 2 for x, m in h.items() if x in known)) for w, n in h.items() if w in known}
+    units = {i: unit(h) for i, h in held.items()}
+    for i in texts:
+        cos = sorted(((sum(v * units[j].get(w, 0) for w, v in units[i].items()), j) for j in toxic if j != i), reverse=True)
+        assert np.allclose([e["cosine"] for e in got[i]["evidence"]], [c for c, _ in cos if c > 0][:3])
+
+
 def test_scores_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
