@@ -2,7 +2,9 @@
 
 `store` writes each payload as a track of raw 8 x 8 grey frames of 8-bit samples, so it is kept losslessly.
 `probe` walks the boxes of any ISO media file in a binary column and decodes its sample tables into codec,
-duration and the byte ranges of keyframes; it reads tables only and never decodes a payload.
+duration and the byte ranges of keyframes; it reads tables only and never decodes a payload. The first track's are
+the struct's own fields, those of the others come in `others`. Sizes may be in stsz or stz2; samples of movie
+fragments (moof, traf, trun) follow those of the movie's own tables.
 
 Defined cases: a null payload is the empty one; payloads are padded by bytes 0 up to a positive multiple of the
 frame size; null or malformed media give a null codec and no ranges, with the reason in `error`; equal bytes give
@@ -26,21 +28,21 @@ from tessera.llm.common import arrow_map, with_columns
 #: Bytes of a stored frame (8 x 8 samples of 8 bits), frames a second, frames from one keyframe to the next, frames in a chunk.
 FRAME_BYTES, FRAME_RATE, KEY_INTERVAL, CHUNK_FRAMES = 64, 25, 25, 100
 #: Boxes that hold boxes.
-CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex"}
+CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 #: The identity matrix of the movie and track headers.
 MATRIX = struct.pack(">9I", 1 << 16, 0, 0, 0, 1 << 16, 0, 0, 0, 1 << 30)
 
-MEDIA = T.StructType(
-    [
-        T.StructField("codec", T.StringType()),
-        T.StructField("timescale", T.LongType()),
-        T.StructField("duration", T.LongType()),
-        T.StructField("samples", T.LongType()),
-        T.StructField("keyframes", T.LongType()),
-        T.StructField("ranges", T.ArrayType(T.StructType([T.StructField("at", T.LongType()), T.StructField("bytes", T.LongType())]))),
-        T.StructField("error", T.StringType()),
-    ]
-)
+#: What is read of each track.
+TRACK = [
+    T.StructField("codec", T.StringType()),
+    T.StructField("timescale", T.LongType()),
+    T.StructField("duration", T.LongType()),
+    T.StructField("samples", T.LongType()),
+    T.StructField("keyframes", T.LongType()),
+    T.StructField("ranges", T.ArrayType(T.StructType([T.StructField("at", T.LongType()), T.StructField("bytes", T.LongType())]))),
+    T.StructField("handler", T.StringType()),
+]
+MEDIA = T.StructType([*TRACK, T.StructField("others", T.ArrayType(T.StructType(TRACK))), T.StructField("error", T.StringType())])
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -125,14 +127,85 @@ def tracks(data: bytes) -> list[dict]:
     return found
 
 
+def compact_sizes(view: memoryview, at: int, end: int) -> np.ndarray:
+    """The sizes in a stz2 box: fields of 4, 8 or 16 bits."""
+    bits, (count,) = view[at + 7], struct.unpack_from(">I", view, at + 8)
+    if bits not in (4, 8, 16) or at + 12 + (count * bits + 7) // 8 > end:
+        raise ValueError("a table is cut off")
+    if bits == 4:
+        pairs = np.frombuffer(view, np.uint8, (count + 1) // 2, at + 12)
+        return np.stack([pairs >> 4, pairs & 15], 1).ravel()[:count].astype(np.int64)
+    return np.frombuffer(view, ">u2" if bits == 16 else np.uint8, count, at + 12).astype(np.int64)
+
+
+def fragments(data: bytes) -> dict[int, list[tuple[int, int, int, int]]]:
+    """(offset, size, duration, flags) of the samples in movie fragments, by track id."""
+    view, defaults, found = memoryview(data), {}, {}
+    word = lambda at: struct.unpack_from(">I", view, at)[0]
+    track = base = start = following = 0
+    given = [0, 0, 0]
+    for path, at, end in boxes(view, 0, len(view)):
+        kind = path[-1]
+        if kind == b"trex":
+            defaults[word(at + 4)] = struct.unpack_from(">III", view, at + 12)
+        elif kind == b"moof":
+            start = following = at - 8 if bytes(view[at - 4 : at]) == kind else at - 16
+        elif kind == b"tfhd":
+            flags, track = word(at) & 0xFFFFFF, word(at + 4)
+            at += 8
+            base = start if flags & 0x20000 else following
+            if flags & 1:
+                (base,) = struct.unpack_from(">Q", view, at)
+                at += 8
+            at += 4 * bool(flags & 2)
+            given = list(defaults.get(track, (0, 0, 0)))
+            for i, flag in enumerate((8, 16, 32)):
+                if flags & flag:
+                    given[i] = word(at)
+                    at += 4
+            following = base
+            found.setdefault(track, [])
+        elif kind == b"trun":
+            flags, count = word(at) & 0xFFFFFF, word(at + 4)
+            at += 8
+            if flags & 1:
+                following = base + struct.unpack_from(">i", view, at)[0]
+                at += 4
+            first = None
+            if flags & 4:
+                first = word(at)
+                at += 4
+            width = 4 * sum(bool(flags & f) for f in (0x100, 0x200, 0x400, 0x800))
+            if count > len(data) or at + count * width > end:
+                raise ValueError("a table is cut off")
+            for n in range(count):
+                row = list(given)
+                for i, flag in enumerate((0x100, 0x200, 0x400)):
+                    if flags & flag:
+                        row[i] = word(at)
+                        at += 4
+                at += 4 * bool(flags & 0x800)
+                if not n and first is not None:
+                    row[2] = first
+                if following < 0 or following + row[1] > len(data):
+                    raise ValueError("samples lie beyond the file")
+                found[track].append((following, row[1], row[0], row[2]))
+                following += row[1]
+    return found
+
+
 def samples(data: bytes, track: dict) -> tuple[np.ndarray, np.ndarray]:
     """File offset and size of every sample, by chunk offsets, samples a chunk and sample sizes."""
     view = memoryview(data)
-    at, end = track[b"stsz"]
-    fixed, count = struct.unpack_from(">II", view, at + 4)
-    if fixed and count > len(data):
-        raise ValueError("more samples than bytes")
-    sizes = np.full(count, fixed, np.int64) if fixed else numbers(view, at + 8, end, ">u4")[:, 0]
+    if b"stsz" in track:
+        at, end = track[b"stsz"]
+        fixed, count = struct.unpack_from(">II", view, at + 4)
+        if fixed and count > len(data):
+            raise ValueError("more samples than bytes")
+        sizes = np.full(count, fixed, np.int64) if fixed else numbers(view, at + 8, end, ">u4")[:, 0]
+    else:
+        sizes = compact_sizes(view, *track[b"stz2"])
+        count = len(sizes)
     large = b"co64" in track
     at, end = track[b"co64" if large else b"stco"]
     chunks = numbers(view, at + 4, end, ">u8" if large else ">u4")[:, 0]
@@ -161,32 +234,52 @@ def key_samples(data: bytes, track: dict, count: int) -> np.ndarray:
     return keys
 
 
+def all_samples(data: bytes, track: dict, found: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, int | None]:
+    """Offset and size of every sample of a track, indexes of keyframes, and the duration where fragments add to it."""
+    at = track[b"tkhd"][0] if found else 0
+    parts = found.get(struct.unpack_from(">I", data, at + (20 if data[at] else 12))[0], []) if found else []
+    offsets, sizes = samples(data, track)
+    keys = key_samples(data, track, len(sizes))
+    if not parts:
+        return offsets, sizes, keys, None
+    more = np.array(parts, np.int64)
+    keys = np.concatenate([keys, len(sizes) + np.flatnonzero(more[:, 3] & 0x10000 == 0)])
+    at, end = track[b"stts"]
+    times = numbers(memoryview(data), at + 4, end, ">u4", 2)
+    return np.concatenate([offsets, more[:, 0]]), np.concatenate([sizes, more[:, 1]]), keys, int(times.prod(axis=1).sum() + more[:, 2].sum())
+
+
+def probed_track(data: bytes, track: dict, found: dict) -> dict:
+    at = track[b"stsd"][0]
+    (codec,) = struct.unpack_from("4s", data, at + 12)
+    at = track[b"mdhd"][0]
+    scale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
+    handler = struct.unpack_from("4s", data, track[b"hdlr"][0] + 8)[0].decode("latin-1") if b"hdlr" in track else None
+    offsets, sizes, keys, lasting = all_samples(data, track, found)
+    ranges = [{"at": int(a), "bytes": int(n)} for a, n in zip(offsets[keys], sizes[keys])]
+    return {"codec": codec.decode("latin-1"), "timescale": scale, "duration": duration if lasting is None else lasting, "samples": len(sizes), "keyframes": len(keys), "ranges": ranges, "handler": handler}
+
+
 def probed(data: bytes | None) -> dict:
-    """The MEDIA of one file's first track."""
-    empty = dict.fromkeys(MEDIA.names) | {"ranges": []}
+    """The MEDIA of one file."""
+    empty = dict.fromkeys(MEDIA.names) | {"ranges": [], "others": []}
     if data is None:
         return empty | {"error": "no media"}
     try:
         found = tracks(data)
         if not found:
             return empty | {"error": "no track"}
-        track = found[0]
-        at = track[b"stsd"][0]
-        (codec,) = struct.unpack_from("4s", data, at + 12)
-        at = track[b"mdhd"][0]
-        scale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
-        offsets, sizes = samples(data, track)
-        keys = key_samples(data, track, len(sizes))
+        parts = fragments(data)
+        first, *others = (probed_track(data, t, parts) for t in found)
     except (ValueError, struct.error, KeyError, IndexError) as e:
         return empty | {"error": f"{type(e).__name__}: {e}"}
-    ranges = [{"at": int(a), "bytes": int(n)} for a, n in zip(offsets[keys], sizes[keys])]
-    return {"codec": codec.decode("latin-1"), "timescale": scale, "duration": duration, "samples": len(sizes), "keyframes": len(keys), "ranges": ranges, "error": None}
+    return first | {"others": others, "error": None}
 
 
-def stored_payload(data: bytes | None) -> bytes | None:
-    """The bytes of all samples of the first track, in order; null for malformed media."""
+def stored_payload(data: bytes | None, track: int = 0) -> bytes | None:
+    """The bytes of all samples of a track, in order; null for malformed media."""
     try:
-        offsets, sizes = samples(data, tracks(data)[0])
+        offsets, sizes, _, _ = all_samples(data, tracks(data)[track], fragments(data))
     except (ValueError, struct.error, KeyError, IndexError, TypeError):
         return None
     if not len(offsets):
@@ -225,12 +318,12 @@ def probe(df: DataFrame, media: str = "media", info: str = "info") -> DataFrame:
     return arrow_map(df, schema, run)
 
 
-def read_back(df: DataFrame, media: str = "media", payload: str = "payload") -> DataFrame:
-    """df with the bytes that the stored form's samples hold."""
+def read_back(df: DataFrame, media: str = "media", payload: str = "payload", track: int = 0) -> DataFrame:
+    """df with the bytes that a track's samples hold; the stored form has one track."""
     schema = _fields(df, T.StructField(payload, T.BinaryType()))
 
     def run(b: pa.RecordBatch):
-        found = [stored_payload(x) for x in b.column(media).to_pylist()]
+        found = [stored_payload(x, track) for x in b.column(media).to_pylist()]
         return with_columns(b, **{payload: pa.array(found, pa.binary())}).select(schema.names)
 
     return arrow_map(df, schema, run)

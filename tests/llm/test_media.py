@@ -41,6 +41,46 @@ def test_a_foreign_layout():
     assert info["ranges"] == [{"at": 10, "bytes": 3}, {"at": 13, "bytes": 5}, {"at": 8, "bytes": 2}]
 
 
+def track(number, handler, codec, sizes, offsets=()):
+    """A track of one sample a chunk, with its sizes in a stz2 box of 4-bit fields."""
+    pairs = [*sizes, 0]
+    table = media.box(
+        b"stbl",
+        media.full_box(b"stsd", struct.pack(">I", 1), media.box(codec, bytes(78))),
+        media.full_box(b"stts", struct.pack(">3I", 1, len(sizes), 10)),
+        media.full_box(b"stz2", bytes((0, 0, 0, 4)), struct.pack(">I", len(sizes)), bytes(pairs[i] << 4 | pairs[i + 1] for i in range(0, len(sizes), 2))),
+        media.full_box(b"stsc", struct.pack(">4I", 1, 1, 1, 1) if sizes else bytes(4)),
+        media.full_box(b"stco", struct.pack(f">{1 + len(offsets)}I", len(offsets), *offsets)),
+    )
+    head = media.full_box(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 10 * len(sizes), 0, 0))
+    return media.box(b"trak", media.full_box(b"tkhd", struct.pack(">IIIII", 0, 0, number, 0, 0)), media.box(b"mdia", head, media.full_box(b"hdlr", bytes(4), handler, bytes(13)), media.box(b"minf", table)))
+
+
+def test_sound_before_picture():
+    data = media.box(b"mdat", b"abcdefghij") + media.box(b"moov", track(1, b"soun", b"mp4a", [3, 2], [8, 14]), track(2, b"vide", b"avc1", [3, 1, 1], [11, 16, 17]))
+    info = media.probed(data)
+    assert (info["error"], info["handler"], info["codec"], info["samples"]) == (None, "soun", "mp4a", 2)
+    (video,) = info["others"]
+    assert (video["handler"], video["codec"], video["duration"], video["samples"]) == ("vide", "avc1", 30, 3)
+    assert video["ranges"] == [{"at": 11, "bytes": 3}, {"at": 16, "bytes": 1}, {"at": 17, "bytes": 1}]
+    assert (media.stored_payload(data), media.stored_payload(data, 1)) == (b"abcgh", b"defij")
+
+
+def test_fragments():
+    """A fragment with sizes and first flags of its own; one with a size from trex and an absolute base."""
+    head = media.box(b"moov", track(7, b"vide", b"avc1", []), media.box(b"mvex", media.full_box(b"trex", struct.pack(">5I", 7, 1, 40, 2, 0x10000))))
+    one = lambda at: media.box(b"moof", media.box(b"traf", media.full_box(b"tfhd", struct.pack(">I", 7), flags=0x20000), media.full_box(b"trun", struct.pack(">IiI2I", 2, at, 0, 3, 4), flags=0x205)))
+    first = len(head) + len(one(0)) + 8
+    second = first + 7
+    two = lambda at: media.box(b"moof", media.box(b"traf", media.full_box(b"tfhd", struct.pack(">IQ", 7, at), flags=1), media.full_box(b"trun", struct.pack(">I", 2))))
+    second += len(two(0)) + 8
+    data = head + one(len(one(0)) + 8) + media.box(b"mdat", b"abcdefg") + two(second) + media.box(b"mdat", b"hijk")
+    info = media.probed(data)
+    assert (info["error"], info["samples"], info["keyframes"], info["duration"]) == (None, 4, 1, 160)
+    assert info["ranges"] == [{"at": first, "bytes": 3}] and media.stored_payload(data) == b"abcdefghijk"
+    assert media.probed(data[:-1])["error"] and media.stored_payload(data[:-1]) is None
+
+
 @pytest.mark.parametrize("data", [None, b"", b"x", b"\x00" * 40, b"\xff" * 64, media.box(b"moov", media.box(b"trak", b"")), media.container(bytes(128))[:-100], struct.pack(">I4sQ", 1, b"mdat", 1 << 60)])
 def test_malformed_media(data):
     info = media.probed(data)
