@@ -43,13 +43,18 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token ids (little-endian unsigned 32-bit), their number and digest, and the digest of the decoded text."""
+    """Each document's token ids (little-endian unsigned 32-bit), their number and digest, and the digest of the decoded text, with its slot and position in the mix.
+
+    Rows lose their order where files are read again; the mix depends on the documents alone, so it is dealt again here.
+    """
     path = public_tokenizers.path("word_bpe_49k.json")
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, keep_text=False)
+    encoded = bpe.encode(source_mix.mixed(docs).select("doc_id", "lang", "source", "text", "slot", "position"), path, keep_text=False)
     return bpe.decode(encoded, path).select(
         "doc_id",
         "lang",
         "source",
+        "slot",
+        "position",
         "ids",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

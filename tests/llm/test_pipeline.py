@@ -54,6 +54,13 @@ def test_run_gives_what_the_stages_leave(spark, sf):
     assert 0 < got.count() < spark.read.parquet(f"{sf}/documents.parquet").count()
 
 
+def test_run_tells_the_place_in_the_mix(spark, sf):
+    got = corpus_pipeline.run(spark, sf).select("doc_id", "source", "slot", "position").collect()
+    left = spark.createDataFrame([(r["doc_id"], r["source"]) for r in got], "doc_id long, source string")
+    want = {r["doc_id"]: (r["slot"], r["position"]) for r in source_mix.mixed(left).collect()}
+    assert len({r["position"] for r in got}) == len(got) and {r["doc_id"]: (r["slot"], r["position"]) for r in got} == want
+
+
 def test_empty_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
