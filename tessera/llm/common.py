@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -52,6 +54,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Returns what this task used to the system: the worker lives on, beside those of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def arrow_map(df: DataFrame, schema: T.StructType, batch: Callable[[pa.RecordBatch], pa.Table | None]) -> DataFrame:
     """mapInArrow of one function on at most SLICE_ROWS rows at a time, its output cast to schema."""
     target = to_arrow_schema(schema)
@@ -61,8 +71,7 @@ def arrow_map(df: DataFrame, schema: T.StructType, batch: Callable[[pa.RecordBat
             for at in range(0, b.num_rows, SLICE_ROWS):
                 if (out := batch(b.slice(at, SLICE_ROWS))) is not None:
                     yield from out.cast(target).to_batches()
-        # the worker lives on; its allocator gives back what this task used
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return small_batches(df).mapInArrow(run, schema)
 

@@ -170,8 +170,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text encoded and decoded again."""
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, path, keep_text=False)
-    return bpe.decode(encoded, path).select(
+    return bpe.round_trip(docs, path).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -9,7 +9,7 @@ from tessera.llm import bpe
 from tessera.llm.queries import op9_bpe
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = [None, "", " \n\t ", "Hello, WORLD!! it's don't", "<|endoftext|>a <|startoftext|>", "éÉ é naïve ñandú straße", "日本語 テスト", "İΣΣ Σa", "a" * 5000, "x\x00y", "😀👩‍👩 ok", "12 3½", "<|endoftext", "hello, world!! it's don't"]
+TEXTS = [None, "", " \n\t ", "Hello, WORLD!! it's don't", "<|endoftext|>a <|startoftext|>", "éÉ é naïve ñandú straße", "日本語 テスト", "İΣΣ Σa", "a" * 5000, "x\x00y", "😀👩‍👩 ok", "12 3½", "a\x1cb c\x1d d", "x\x85y\xa0z\u3000w", "a'll re've x's", "ab" * 400, "AΣ ΑΣ", "<|endoftext", "hello, world!! it's don't"]
 
 
 @pytest.fixture(scope="module")
@@ -36,8 +36,27 @@ def test_cuts_are_certain():
     for word in ("qzx", "日本", "wvvq"):
         parts = model.fragments(word)
         assert all((a[-1], b[0]) not in model.inside for a, b in zip(parts, parts[1:]))
-        whole = tuple(p for f in parts for p in f)
-        assert b"".join(map(model._merge, parts)) == model._merge(whole)
+        whole = [p for f in parts for p in f]
+        ids = lambda x: model._merge(list(x), [model.ranks.get(p, model.never) for p in zip(x, x[1:])])
+        assert b"".join(map(ids, parts)) == ids(whole)
+
+
+def test_memos_are_bounded_in_bytes():
+    made = []
+    memo = bpe.Memo(lambda k: made.append(k) or k.encode(), 64 * bpe.ENTRY_BYTES)
+    for i in range(500):
+        assert memo[f"{i:04d}"] == f"{i:04d}".encode()
+        assert memo.held <= memo.limit and len(memo) <= 64
+    assert memo["x" * 10_000] == b"x" * 10_000 and "x" * 10_000 not in memo
+
+
+def test_round_trip_is_encode_then_decode(spark, library):
+    rows = [(i, t, "x") for i, t in enumerate(TEXTS)]
+    got = {r["doc_id"]: r for r in bpe.round_trip(spark.createDataFrame(rows, "doc_id long, text string, decoded string"), PATH).collect()}
+    assert len(got) == len(TEXTS)
+    for i, t, _ in rows:
+        ids, text = expected(library, t)
+        assert np.frombuffer(got[i]["ids"], "<u4").tolist() == ids and got[i]["decoded"] == text
 
 
 def test_empty_table(spark):
