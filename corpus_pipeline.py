@@ -48,8 +48,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows lose their order where files are read again; the mix depends on the documents alone, so it is dealt again here.
     """
     path = public_tokenizers.path("word_bpe_49k.json")
-    encoded = bpe.encode(source_mix.mixed(docs).select("doc_id", "lang", "source", "text", "slot", "position"), path, keep_text=False)
-    return bpe.decode(encoded, path).select(
+    return bpe.round_trip(source_mix.mixed(docs).select("doc_id", "lang", "source", "text", "slot", "position"), path).select(
         "doc_id",
         "lang",
         "source",
