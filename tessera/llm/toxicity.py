@@ -1,26 +1,31 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over an inverted index of all the examples' words.
-
-Terms are the lower-cased words that any example holds, and those beginnings of 4 to 6 letters that toxic examples
-hold significantly more often, so that inflected forms count together. Words and beginnings that pass that test weigh
-BOOST times as much as others; none is left out. Document frequencies are of all documents. The examples' unit vectors
-are kept as postings by term, but for the commonest terms, which are rows of a matrix. A text's cosines with all
-examples are summed up in full, so its neighbours are the nearest. Their labels, weighted by powers of the cosine and
-shrunk to the base rate, are the score, which is the base rate at least; the nearest are the evidence.
-
-Fitted on a bounded sample: at most EXAMPLES labelled rows of each kind, those of least hash of their id. All rows
-are scored, and term frequencies are counted over all rows. Words that no example holds can't tell examples apart and
-are not part of a text's length.
-
-Defined cases: null and empty texts, and texts without a word of any example, score the base rate; an example is never
-its own neighbour; equal cosines go by the least id; long texts are taken whole; without toxic examples all scores are
-the base rate of the labels, without labels 0; labels that repeat an id count once, as the larger; an empty table
-gives an empty table; other columns pass through.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index of all their words.
+
+Terms are all words of the examples, lower-cased, and those beginnings of 4 to 6 letters that toxic examples hold
+significantly more often, so that inflected forms count together. What passes that test weighs BOOST times as much;
+no word is left out. Document frequencies are of all documents. A text's votes are those of the NEIGHBOURS examples
+of highest cosine and of all that tie with the last of them, weighted by powers of the cosine. A monotone map, fitted
+on the votes that the examples themselves get from other texts, turns the share of toxic votes into the score; the
+nearest examples are the evidence.
+
+The index: examples are in blocks of like ones. Rare terms' postings are read in full. Common terms' weights are kept
+by block with their maxima; a block is read only if the bound from its maxima can reach the k-th cosine found so far.
+
+A score depends on nothing but the text: an example with the text's own digest never votes, so that no text is judged
+by its own label, and copies score alike whether they are labelled or not.
+
+Fitted on a bounded sample: at most EXAMPLES labelled rows of each kind, those of least hash of their id; votes and
+the map weigh each kind by its share of all labels. All rows are scored and counted. Words that no example holds can't
+tell examples apart and are not part of a text's length. Terms are told apart by 64-bit hashes.
+
+Defined cases: null and empty texts, texts without a word of any example, and all texts where labels of one kind are
+missing score the base rate of the labels (0 without labels); long texts are taken whole; an example whose id repeats
+with several texts is the least of them; labels that repeat an id count once, as the larger; rows that repeat an id
+are all scored, by their own texts; ids of any type; an empty table gives an empty table; other columns don't matter.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from itertools import chain
 from math import log
 
@@ -29,233 +34,284 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_64_intdigest
 
 from tessera.llm.bpe import Memo
-from tessera.llm.common import arrow_map, materialise, shuffle_partitions, small_batches
+from tessera.llm.common import arrow_map, give_back, materialise, shuffle_partitions, small_batches
 from tessera.llm.quality import labelled
 from tessera.llm.shingles import shingle_hashes
 
-#: Labelled rows of each kind at most; terms that pass the label test at most; neighbours; neighbours given as evidence.
-EXAMPLES, TERMS, NEIGHBOURS, EVIDENCE = 4_000, 4_096, 25, 3
-#: How much more a term weighs that passes the label test; terms kept as rows of a matrix at most, and the least share
-#: of examples that hold one; texts whose cosines are summed up together.
-BOOST, COMMON_TERMS, COMMON_SHARE, TOGETHER = 8.0, 256, 1 / 16, 32
-#: Lengths of word beginnings; a term's least toxic examples, log-likelihood ratio and ratio of shares; power of a
-#: cosine in its vote; strength of the base rate.
-BEGINNINGS, MIN_EXAMPLES, MIN_RATIO, MIN_LIFT, POWER, PRIOR = (4, 5, 6), 3, 12.0, 3.0, 3, 1.0
-#: Terms that a task counts before it sends them on.
-COUNTED_TERMS = 200_000
+#: Labelled rows of each kind at most; neighbours that vote; neighbours given as evidence; power of a cosine in its vote.
+EXAMPLES, NEIGHBOURS, EVIDENCE, POWER = 2_000, 25, 3, 3
+#: How much more a term weighs that passes the label test; its least toxic examples, log-likelihood ratio and ratio of shares.
+BOOST, MIN_EXAMPLES, MIN_RATIO, MIN_LIFT = 8.0, 3, 12.0, 3.0
+#: Lengths of word beginnings; terms that a task counts before it sends them on.
+BEGINNINGS, COUNTED_TERMS = (4, 5, 6), 200_000
+#: Terms kept by block at most, and the least share of examples that hold one; examples of a block; texts scored together.
+COMMON_TERMS, COMMON_SHARE, BLOCK, TOGETHER = 256, 1 / 16, 128, 64
+#: Digits of a cosine by which neighbours tie, and of a score.
+COSINE_DIGITS, SCORE_DIGITS, WORDS_BYTES = 10, 9, 16 << 20
 _WORD = re.compile(r"\w+")
 
 
-def terms_of(word: str) -> list[str]:
-    """The word, and its beginnings marked as such."""
-    return [word, *(f"{word[:n]}-" for n in BEGINNINGS if len(word) >= n)]
-
-
 def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def term_counts(examples: DataFrame, text: str) -> DataFrame:
-    """(term, toxic, clean): the examples of each label that hold it."""
+def term(name: str) -> int:
+    """The 64-bit hash of a word or of a marked beginning, as a signed integer."""
+    h = xxh3_64_intdigest(name.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
 
-    def run(batches):
-        counts = (Counter(), Counter())
 
-        def sent():
-            names = list(counts[0].keys() | counts[1].keys())
-            out = pa.RecordBatch.from_pydict({"term": pa.array(names, pa.string()), "clean": pa.array([counts[0][x] for x in names], pa.int64()), "toxic": pa.array([counts[1][x] for x in names], pa.int64())})
-            counts[0].clear()
-            counts[1].clear()
-            return out
+def beginnings(word: str) -> list[str]:
+    """The word's beginnings, marked as such by what no word holds."""
+    return [f"{word[:n]}-" for n in BEGINNINGS if len(word) >= n]
 
-        for b in batches:
-            for x, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                counts[label].update(set(chain.from_iterable(map(terms_of, set(words(x))))))
-                if len(counts[0]) + len(counts[1]) > COUNTED_TERMS:
-                    yield sent()
-        yield sent()
 
-    return small_batches(examples.select(text, "label")).mapInArrow(run, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+def digest(text: str | None) -> int:
+    return term(text or "")
 
 
-def unlike(examples: DataFrame, text: str) -> DataFrame:
-    """One example (text, label) of each label and least shingle hash, which copies and near copies mostly share."""
-    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("least", T.LongType())])
+def chosen(docs: DataFrame, sample: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, label, text, counts): one row for each example; of copies and near copies of one label, by least shingle hash, one counts."""
+    one = docs.select(doc_id, text).join(F.broadcast(sample), F.col(doc_id) == F.col("id")).groupBy("id", "label").agg(F.coalesce(F.min(text), F.lit("")).alias("text"))
+    schema = T.StructType([*one.schema.fields, T.StructField("least", T.LongType())])
 
     def run(b: pa.RecordBatch) -> pa.Table:
-        least = [int(h.min().view(np.int64)) if len(h := shingle_hashes(x)) else 0 for x in b.column(0).to_pylist()]
-        return pa.table({"text": b.column(0), "label": b.column(1), "least": pa.array(least, pa.int64())})
+        least = [int(h.min().view(np.int64)) if len(h := shingle_hashes(x)) else 0 for x in b.column(2).to_pylist()]
+        return pa.Table.from_batches([b]).append_column("least", pa.array(least, pa.int64()))
 
-    return arrow_map(examples.select(text, "label"), schema, run).dropDuplicates(["label", "least"]).select("text", "label")
+    rows = materialise(arrow_map(one, schema, run), "examples")
+    firsts = rows.groupBy("label", "least").agg(F.min("id").alias("first"))
+    return rows.join(F.broadcast(firsts), ["label", "least"]).select("id", "label", "text", (F.col("id") == F.col("first")).alias("counts"))
 
 
-def vocabulary(counts: DataFrame, n_clean: int, n_toxic: int) -> list[str]:
-    """Terms that toxic examples hold significantly more often, the strongest TERMS of them."""
-    if not n_toxic or not n_clean:
-        return []
-    t, c = F.col("toxic").cast("double"), F.col("clean").cast("double")
-    share = (t + c) / float(n_clean + n_toxic)
-    part = lambda x, n: F.when(x > 0, x * F.log(x / (share * float(n)))).otherwise(0.0)
-    ratio = 2 * (part(t, n_toxic) + part(c, n_clean))
-    lift = (t / n_toxic) / ((c + 0.5) / n_clean)
-    tested = materialise(counts.where(F.col("toxic") >= MIN_EXAMPLES), "terms")
-    # the more terms are tested, the more reach any ratio by chance
-    least = max(MIN_RATIO, 2 * log(max(1, tested.count())))
-    good = tested.withColumn("ratio", ratio).where((F.col("ratio") >= least) & (lift >= MIN_LIFT))
-    return [r["term"] for r in good.orderBy(F.desc("ratio"), "term").limit(TERMS).select("term").collect()]
+def term_counts(examples: DataFrame) -> pa.Table:
+    """(term, whole, toxic, clean): each term of the examples, whether it is a word, and how many of each label that count hold it."""
 
+    def run(batches):
+        counts: dict[str, list[int]] = {}
 
-def words_of(examples: DataFrame, text: str) -> list[str]:
-    """The distinct words of the examples, in order."""
+        def sent() -> pa.RecordBatch:
+            names = list(counts)
+            out = {"term": [term(x) for x in names], "whole": [x[-1] != "-" for x in names], "clean": [counts[x][0] for x in names], "toxic": [counts[x][1] for x in names]}
+            counts.clear()
+            return pa.RecordBatch.from_pydict(out, pa.schema([("term", pa.int64()), ("whole", pa.bool_()), ("clean", pa.int64()), ("toxic", pa.int64())]))
+
+        for b in batches:
+            for label, x, n in zip(*(b.column(i).to_pylist() for i in range(3))):
+                found = set(words(x))
+                for name in chain(found, {p for w in found for p in beginnings(w)}):
+                    counts.setdefault(name, [0, 0])[label] += n
+                if len(counts) > COUNTED_TERMS:
+                    yield sent()
+        yield sent()
+
+    found = small_batches(examples.select("label", "text", F.col("counts").cast("int"))).mapInArrow(run, "term long, whole boolean, clean long, toxic long")
+    # words and beginnings of 2 * EXAMPLES rows at most
+    return found.groupBy("term").agg(F.bool_or("whole").alias("whole"), F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+
+
+def vocabulary(counts: pa.Table, n_clean: int, n_toxic: int) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, weights): all words, and the beginnings that toxic examples hold significantly more often; ascending."""
+    name, whole, c, t = (counts[k].to_numpy() for k in ("term", "whole", "clean", "toxic"))
+    passed = np.zeros(len(name), bool)
+    if n_clean and n_toxic:
+        tested = t >= MIN_EXAMPLES
+        share = (t + c) / (n_clean + n_toxic)
+        part = lambda x, n: x * np.log(np.maximum(x, 1) / np.maximum(share * n, 1e-300))
+        lift = (t / n_toxic) / ((c + 0.5) / n_clean)
+        # the more terms are tested, the more reach any ratio by chance
+        passed = tested & (2 * (part(t, n_toxic) + part(c, n_clean)) >= max(MIN_RATIO, 2 * log(max(1, tested.sum())))) & (lift >= MIN_LIFT)
+    known = whole.astype(bool) | passed
+    order = np.argsort(name[known])
+    return name[known][order], np.where(passed[known][order], BOOST, 1.0)
+
+
+def term_vectors(rows: DataFrame, text: str, known: np.ndarray) -> DataFrame:
+    """rows with digest, terms (numbers of the known terms that the text holds, ascending) and counts instead of the text."""
+    shared = rows.sparkSession.sparkContext.broadcast(known)
+    ints = T.ArrayType(T.IntegerType())
+    schema = T.StructType([f for f in rows.schema.fields if f.name != text] + [T.StructField("digest", T.LongType()), T.StructField("terms", ints), T.StructField("counts", ints)])
 
     def run(batches):
+        number = dict(zip(shared.value.tolist(), range(len(shared.value))))
+        memo = Memo(lambda w: tuple(at for n in (w, *beginnings(w)) if (at := number.get(term(n))) is not None), WORDS_BYTES)
         for b in batches:
-            found = set(chain.from_iterable(map(words, b.column(0).to_pylist())))
-            yield pa.RecordBatch.from_pydict({"word": pa.array(list(found), pa.string())})
+            texts = b.column(text).to_pylist()
+            found = [np.unique(np.fromiter(chain.from_iterable(map(memo.__getitem__, words(x))), np.int32), return_counts=True) for x in texts]
+            ends = np.cumsum([0, *(len(t) for t, _ in found)]).astype(np.int32)
+            column = lambda i: pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int32), *(r[i] for r in found)]).astype(np.int32))
+            kept = [b.column(f.name) for f in schema.fields[:-3]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([digest(x) for x in texts], pa.int64()), column(0), column(1)], names=schema.names)
+        give_back()
 
-    found = small_batches(examples.select(text)).mapInArrow(run, "word string").distinct()
-    return sorted(found.toArrow()["word"].to_pylist())  # words of 2 * EXAMPLES rows at most
+    return small_batches(rows).mapInArrow(run, schema)
 
 
-def term_vectors(docs: DataFrame, doc_id: str, text: str, known: list[str]) -> DataFrame:
-    """(id, terms, counts) of every row: the known terms that it holds, ascending, and how often."""
-    number = {t: i for i, t in enumerate(known)}
-    shared = docs.sparkSession.sparkContext.broadcast(number)
-    schema = T.StructType([T.StructField("id", docs.schema[doc_id].dataType), T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
-    held: dict[int, Memo] = {}
+def document_frequencies(vectors: DataFrame, n_terms: int) -> np.ndarray:
+    """How many rows hold each term; a task adds up its own before anything is sent."""
 
-    def run(b: pa.RecordBatch) -> pa.Table:
-        if not held:
-            of = shared.value
-            held[0] = Memo(lambda w: tuple(of[t] for t in terms_of(w) if t in of))
-        memo = held[0]
-        rows = [np.unique(np.fromiter(chain.from_iterable(map(memo.__getitem__, words(x))), np.int32), return_counts=True) for x in b.column(1).to_pylist()]
-        ends = np.cumsum([0, *(len(t) for t, _ in rows)]).astype(np.int32)
-        column = lambda i: pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int32), *(r[i] for r in rows)]).astype(np.int32))
-        return pa.table({"id": b.column(0), "terms": column(0), "counts": column(1)})
+    def run(batches):
+        held = np.zeros(n_terms, np.int64)
+        for b in batches:
+            held += np.bincount(b.column(0).flatten().to_numpy(), minlength=n_terms)
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_pydict({"t": some, "n": held[some]})
 
-    return arrow_map(docs.select(doc_id, text), schema, run)
+    found = vectors.select("terms").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # a row for each term
+    out = np.zeros(n_terms)
+    out[found["t"].to_numpy()] = found["n"].to_numpy()
+    return out
 
 
 class BlockMaxIndex:
-    """Unit vectors of the examples: rows of a matrix for the commonest terms, postings for all others."""
-
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        self.ids, self.labels, n = ids, labels, len(ids)
-        example = np.repeat(np.arange(n), [len(t) for t, _ in rows]).astype(np.int64)
-        term = np.concatenate([np.empty(0, np.int64), *(t for t, _ in rows)]).astype(np.int64)
-        weight = np.concatenate([np.empty(0), *(w for _, w in rows)])
-        held = np.bincount(term, minlength=n_terms)
+    """Unit vectors of the examples: postings of rare terms, blocks with maxima of common ones."""
+
+    def __init__(self, ids: list, labels: np.ndarray, digests: np.ndarray, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int):
+        n = len(labels)
+        example = np.repeat(np.arange(n), np.diff(ends))
+        held = np.bincount(terms, minlength=n_terms)
         common = np.argsort(-held, kind="stable")[:COMMON_TERMS]
         common = common[held[common] > n * COMMON_SHARE]
         # the row of each common term, -1 for others
         self.row = np.full(n_terms, -1)
         self.row[common] = np.arange(len(common))
-        self.matrix = np.zeros((len(common), n))
-        rows_of = self.row[term]
-        self.matrix[rows_of[rows_of >= 0], example[rows_of >= 0]] = weight[rows_of >= 0]
-        example, term, weight = example[rows_of < 0], term[rows_of < 0], weight[rows_of < 0]
-        order = np.argsort(term, kind="stable")
-        self.example, self.weight = example[order].astype(np.int32), weight[order]
-        self.starts = np.searchsorted(term[order], np.arange(n_terms + 1))
-
-    def cosines(self, text: np.ndarray, terms: np.ndarray, weights: np.ndarray, texts: int) -> np.ndarray:
-        """The cosine of each of some texts with every example; text: which of them holds the term."""
+        rows = self.row[terms]
+        matrix = np.zeros((len(common), n))
+        matrix[rows[rows >= 0], example[rows >= 0]] = weights[rows >= 0]
+        # like examples, by label and heaviest common term, are in one block
+        strongest = matrix.argmax(0) if len(common) else np.zeros(n, int)
+        order = np.lexsort((np.arange(n), strongest, labels))
+        place = np.empty(n, int)
+        place[order] = np.arange(n)
+        self.n, self.blocks = n, -(-n // BLOCK)
+        self.ids, self.labels, self.digests = [ids[i] for i in order], labels[order], digests[order]
+        padded = np.zeros((len(common), self.blocks * BLOCK))
+        padded[:, :n] = matrix[:, order]
+        self.matrix = np.ascontiguousarray(padded.reshape(len(common), self.blocks, BLOCK).transpose(1, 0, 2))
+        self.maxima = self.matrix.max(2) if n else np.zeros((0, len(common)))
+        rare = rows < 0
+        by_term = np.argsort(terms[rare], kind="stable")
+        self.example, self.weight = place[example[rare][by_term]].astype(np.int32), weights[rare][by_term]
+        self.starts = np.searchsorted(terms[rare][by_term], np.arange(n_terms + 1))
+
+    def nearest(self, digests: np.ndarray, text: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int):
+        """For each of some texts (indexes, cosines) of its k nearest examples and what ties, nearest first; text: which of them holds the term."""
+        texts, wide = len(digests), self.blocks * BLOCK
         row = self.row[terms]
         common = row >= 0
-        given = np.zeros((texts, len(self.matrix)))
+        given = np.zeros((texts, self.matrix.shape[1]))
         given[text[common], row[common]] = weights[common]
-        sums = given @ self.matrix
         terms, text, weights = terms[~common], text[~common], weights[~common]
         first, count = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
         at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        cells = np.repeat(text * len(self.ids), count) + self.example[at]
-        return sums + np.bincount(cells, self.weight[at] * np.repeat(weights, count), texts * len(self.ids)).reshape(sums.shape)
-
-    def best(self, cos: np.ndarray, k: int, own) -> tuple[np.ndarray, np.ndarray]:
-        """Indexes and cosines of the k nearest examples that share a term, but for the query itself."""
-        # one more than k, as the query itself may be among them
-        least = max(np.partition(cos, len(cos) - k - 1)[len(cos) - k - 1] - 1e-9, 0) if len(cos) > k else 0
-        at = np.flatnonzero((cos > 0) & (cos >= least))
-        at = at[self.ids[at] != own]
-        at = at[np.lexsort((self.ids[at], -np.round(cos[at], 12)))[:k]]
-        return at, cos[at]
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, own) -> tuple[np.ndarray, np.ndarray]:
-        return self.best(self.cosines(np.zeros(len(terms), np.int64), terms, weights, 1)[0], k, own)
-
-
-def unit(terms: list[int], counts: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    t = np.array(terms, np.int64)
-    w = np.array(counts, float) * idf[t]
-    return t, w / np.sqrt((w * w).sum()) if len(t) else w
-
-
-def nearest_of(b: pa.RecordBatch, index: BlockMaxIndex, idf: np.ndarray):
-    """(indexes, cosines) of the nearest examples for each row of term vectors."""
-    ids = b.column(0).to_pylist()
-    for lo in range(0, len(ids), TOGETHER):
-        own = ids[lo : lo + TOGETHER]
-        part = b.column(1).slice(lo, len(own))
-        size = np.diff(part.offsets.to_numpy())
-        terms = part.flatten().to_numpy().astype(np.int64)
-        weights = b.column(2).slice(lo, len(own)).flatten().to_numpy() * idf[terms]
-        text = np.repeat(np.arange(len(own)), size)
-        weights = weights / np.sqrt(np.bincount(text, weights * weights, len(own)))[text]
-        cos = index.cosines(text, terms, weights, len(own))
-        yield from (index.best(c, NEIGHBOURS, i) for c, i in zip(cos, own))
+        rare = np.bincount(np.repeat(text * wide, count) + self.example[at], self.weight[at] * np.repeat(weights, count), texts * wide).reshape(texts, self.blocks, BLOCK)
+        bound = given @ self.maxima.T + rare.max(2)
+        cos = np.full((texts, self.blocks, BLOCK), -1.0)
+        own = np.zeros((self.blocks, BLOCK), np.int64)
+        own.ravel()[: self.n] = self.digests
+
+        def read(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(0)):
+                who = np.flatnonzero(wanted[:, b])
+                found = np.round(rare[who, b] + given[who] @ self.matrix[b], COSINE_DIGITS)
+                cos[who, b] = np.where(own[b] == digests[who][:, None], -1.0, found)
+
+        # the most promising blocks first; then all that may still hold one of the k nearest
+        begun = bound >= np.sort(bound, 1)[:, -2:][:, :1]
+        read(begun)
+        flat = cos.reshape(texts, wide)[:, : self.n]
+        kth = lambda: np.partition(flat, self.n - k, 1)[:, self.n - k] if self.n > k else np.full(texts, -1.0)
+        read(~begun & (bound >= kth()[:, None] - 1e-9) & (bound > 0))
+        for c, least in zip(flat, kth()):
+            at = np.flatnonzero((c > 0) & (c >= least))
+            at = at[np.argsort(-c[at], kind="stable")]
+            yield at, c[at]
+
+
+def toxic_share(labels: np.ndarray, cos: np.ndarray, worth: np.ndarray) -> float | None:
+    """The share of toxic votes; None without votes."""
+    w = cos**POWER * worth[labels]
+    return float((w * labels).sum() / w.sum()) if len(w) and w.sum() > 0 else None
+
+
+def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, fitted): the ascending distinct x and the weighted isotonic fit of y at each."""
+    values, at = np.unique(x, return_inverse=True)
+    mass, total = np.bincount(at, weight), np.bincount(at, weight * y)
+    pools: list[list[float]] = []  # (total, mass, values)
+    for t, m in zip(total.tolist(), mass.tolist()):
+        pools.append([t, m, 1])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            t2, m2, n2 = pools.pop()
+            pools[-1] = [pools[-1][0] + t2, pools[-1][1] + m2, pools[-1][2] + n2]
+    return values, np.repeat([t / m for t, m, _ in pools], [n for _, _, n in pools])
+
+
+def _votes(b: pa.RecordBatch, index: BlockMaxIndex, weight: np.ndarray):
+    """(indexes, cosines) of the voters for each row with digest, terms and counts."""
+    for lo in range(0, b.num_rows, TOGETHER):
+        part = b.slice(lo, TOGETHER)
+        size = np.diff(part.column("terms").offsets.to_numpy())
+        terms = part.column("terms").flatten().to_numpy().astype(np.int64)
+        weights = part.column("counts").flatten().to_numpy() * weight[terms]
+        text = np.repeat(np.arange(part.num_rows), size)
+        weights = weights / np.sqrt(np.bincount(text, weights * weights, part.num_rows))[text]
+        yield from index.nearest(part.column("digest").to_numpy(), text, terms, weights, NEIGHBOURS)
 
 
 def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """(doc_id, score, evidence) of every row; labels: the rows that may be learned from."""
-    kinds = {r["label"]: r["n"] for r in labels.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("int").alias("label")).agg(F.countDistinct(doc_id).alias("n")).collect()}
+    spark = docs.sparkSession
+    given = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
+    kinds = {r["label"]: r["n"] for r in given.groupBy(F.col(doc_id)).agg(F.max(label).cast("int").alias("label")).groupBy("label").agg(F.count("*").alias("n")).collect()}
     base = kinds.get(1, 0) / max(1, sum(kinds.values()))
+    example = T.StructType([T.StructField("example", docs.schema[doc_id].dataType), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())])
+    schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(example))])
     sample = materialise(labelled(labels, doc_id, label, EXAMPLES), "labels")
-    examples = docs.select(doc_id, text).join(F.broadcast(sample), F.col(doc_id) == F.col("id"))
-    # copies of one text say no more than it does alone
-    seen = materialise(unlike(examples, text), "examples")
-    n = {r["label"]: r["count"] for r in seen.groupBy("label").count().collect()}
-    known = vocabulary(term_counts(seen, "text"), n.get(0, 0), n.get(1, 0))
-    boost, tested = len(known), set(known)
-    known += [w for w in words_of(examples, text) if w not in tested]
-    n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    vectors = materialise(term_vectors(docs, doc_id, text, known), "vectors")
-    total = vectors.count()
-    df = np.zeros(len(known))
-    counted = vectors.select(F.explode("terms").alias("t")).groupBy("t").count().toArrow()  # a row for each term
-    df[counted["t"].to_numpy()] = counted["count"].to_numpy()
-    idf = np.log((1 + total) / (1 + df)) + 1
-    idf[:boost] *= BOOST
-    # 2 * EXAMPLES rows at most, never as Python objects
-    found = vectors.where(F.size("terms") > 0).join(F.broadcast(sample), "id").dropDuplicates(["id"]).orderBy("id").toArrow()
-    ids, terms, counts = (found[c].combine_chunks() for c in ("id", "terms", "counts"))
-    ends = terms.offsets.to_numpy()[1:-1]
-    rows = [unit(t, c, idf) for t, c in zip(np.split(terms.flatten().to_numpy(), ends), np.split(counts.flatten().to_numpy(), ends))] if len(ids) else []
-    index = BlockMaxIndex(ids.to_numpy().astype(np.int64), found["label"].to_numpy().astype(np.int64), rows, len(known))
-    del found, terms, counts, rows
+    examples = materialise(chosen(docs, sample, doc_id, text), "examples")
+    n = {r["label"]: (r["all"], r["counted"]) for r in examples.groupBy("label").agg(F.count("*").alias("all"), F.count_if("counts").alias("counted")).collect()}
+    if len(n) < 2:
+        return docs.select(doc_id, F.lit(base).alias("score"), F.array().cast(schema["evidence"].dataType).alias("evidence"))
+    known, weight = vocabulary(term_counts(examples), n[0][1], n[1][1])
+    vectors = materialise(term_vectors(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "text", known), "vectors")
+    weight = weight * (np.log((1 + vectors.count()) / (1 + document_frequencies(vectors, len(known)))) + 1)
+    of_examples = materialise(term_vectors(examples.select("id", "label", "text"), "text", known), "vectors")
+    # 2 * EXAMPLES rows at most, never as Python objects but for their ids
+    found = of_examples.orderBy("id").toArrow().combine_chunks()
+    terms, counts = (found[c].combine_chunks() for c in ("terms", "counts"))
+    ends, terms, counts = terms.offsets.to_numpy(), terms.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy()
+    weights = counts * weight[terms]
+    owner = np.repeat(np.arange(found.num_rows), np.diff(ends))
+    weights = weights / np.sqrt(np.bincount(owner, weights * weights, found.num_rows))[owner]
+    index = BlockMaxIndex(found["id"].to_pylist(), found["label"].to_numpy().astype(np.int64), found["digest"].to_numpy(), ends, terms, weights, len(known))
+    del found, terms, counts, weights, owner
     # the sample has its own share of each label; a vote counts as often as its label is rarer there
-    worth = np.array([kinds.get(x, 0) / max(1, n.get(x, 0)) for x in (0, 1)])
-    worth = worth / worth.max() if worth.max() else worth
-    shared = docs.sparkSession.sparkContext.broadcast((index, idf, worth))
-    near = pa.list_(pa.struct([("example", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
-    evidence = T.ArrayType(T.StructType([T.StructField("example", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))
-    schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField("score", T.DoubleType()), T.StructField("evidence", evidence)])
+    worth = np.array([kinds.get(x, 0) / n[x][0] for x in (0, 1)])
+    worth = worth / worth.max()
+    shared = spark.sparkContext.broadcast((index, weight, worth))
+
+    def shares(b: pa.RecordBatch) -> pa.Table:
+        index, weight, worth = shared.value
+        return pa.table({"label": b.column("label"), "share": pa.array([toxic_share(index.labels[at], cos, worth) for at, cos in _votes(b, index, weight)], pa.float64())})
+
+    partitions = shuffle_partitions(spark)
+    learned = arrow_map(of_examples.repartition(partitions), T.StructType([T.StructField("label", T.IntegerType()), T.StructField("share", T.DoubleType())]), shares).where("share is not null").toArrow()  # examples
+    y = learned["label"].to_numpy()
+    fitted = spark.sparkContext.broadcast(monotone(learned["share"].to_numpy(), y, worth[y]) if len(y) else None)
+    near = pa.list_(pa.struct([("example", pa.null()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def run(b: pa.RecordBatch) -> pa.Table:
-        index, idf, worth = shared.value
+        index, weight, worth = shared.value
         score, why = [], []
-        for at, cos in nearest_of(b, index, idf):
-            if not len(at):
-                score.append(base)
-                why.append([])
-                continue
-            y = index.labels[at]
-            w = cos**POWER * worth[y]
-            score.append(float(min(1.0, max(base, ((w * y).sum() + PRIOR * base) / (w.sum() + PRIOR)))))
-            why.append([{"example": int(index.ids[a]), "label": int(index.labels[a]), "cosine": min(1.0, float(c))} for a, c in zip(at[:EVIDENCE], cos[:EVIDENCE])])
-        return pa.table({doc_id: b.column(0), "score": pa.array(score, pa.float64()), "evidence": pa.array(why, near)})
+        for at, cos in _votes(b, index, weight):
+            share = toxic_share(index.labels[at], cos, worth)
+            score.append(base if share is None or fitted.value is None else round(float(np.interp(share, *fitted.value)), SCORE_DIGITS))
+            why.append([{"example": index.ids[a], "label": int(index.labels[a]), "cosine": min(1.0, float(c))} for a, c in zip(at[:EVIDENCE].tolist(), cos[:EVIDENCE])])
+        kind = pa.list_(pa.struct([("example", b.schema.field("id").type), *list(near.value_type)[1:]]))
+        return pa.table({doc_id: b.column("id"), "score": pa.array(score, pa.float64()), "evidence": pa.array(why, kind)})
 
     # vectors are small, so their files are few; scores take time by the row
-    return arrow_map(vectors.repartition(shuffle_partitions(docs.sparkSession)), schema, run)
+    return arrow_map(vectors.repartition(partitions), schema, run)

@@ -1,8 +1,14 @@
+import math
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 
 from tessera.llm import quality, toxicity
 from tessera.llm.queries import op6_quality_resample, op7_toxicity_knn
+from tessera.llm.shingles import shingle_hashes
 
 
 def test_buckets():
@@ -59,70 +65,137 @@ def test_quality_query_on_labels(spark):
     assert good / (good + n.get((1, False), 0)) > 0.97 and bad / (bad + n.get((0, True), 0)) > 0.9
 
 
-def test_index_is_exact():
+def brute_votes(mine, others, k):
+    """(cosine, number) of the k nearest others and what ties, by dictionaries."""
+    cos = sorted(((round(sum(v * o.get(w, 0.0) for w, v in mine.items()), 10), j) for j, o in others.items()), reverse=True)
+    cos = [c for c in cos if c[0] > 0]
+    return [c for c in cos if len(cos) <= k or c[0] >= cos[k - 1][0]]
+
+
+def test_index_is_exact(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
     r = np.random.default_rng(0)
     rows = []
-    for _ in range(900):
-        t = np.unique(r.integers(0, 60, r.integers(1, 8)))
+    for i in range(900):
+        # a few common terms, in two groups, and many rare ones
+        t = np.unique(np.concatenate([r.integers(0, 6, r.integers(0, 5)) + 6 * (i % 2), r.integers(12, 400, r.integers(1, 8))]))
         w = r.random(len(t)) + 0.1
         rows.append((t, w / np.sqrt((w * w).sum())))
-    dense = np.zeros((900, 60))
-    for i, (t, w) in enumerate(rows):
-        dense[i, t] = w
-    index = toxicity.BlockMaxIndex(np.arange(900), np.zeros(900, int), rows, 60)
-    for own in range(0, 900, 37):
-        t, w = rows[own]
-        at, cos = index.nearest(t, w, 25, own)
-        want = dense @ dense[own]
-        want[own] = 0
-        want = np.sort(want[want > 0])[::-1][:25]
-        assert np.allclose(cos, want) and own not in index.ids[at]
-
-
-def test_scores_by_hand(spark):
-    rows = [(i, f"some plain text about topic{i % 9} and more of it") for i in range(80)] + [(200 + i, f"you are a vexling number{i} really") for i in range(30)] + [(400, "VEXLINGS!"), (401, None), (402, ""), (403, "nothing known"), (None, "a vexling")]
-    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, score int")
-    labels = spark.createDataFrame([(i, 0) for i in range(80)] + [(200 + i, 1) for i in range(20)] + [(7, None)], "doc_id long, toxic int")
-    got = {r["doc_id"]: r for r in toxicity.scores(docs, labels).collect()}
-    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got.values())
-    assert all(got[200 + i]["score"] >= 0.3 for i in range(30)) and got[400]["score"] >= 0.3 and got[None]["score"] >= 0.3
-    base = 20 / 100
-    assert [got[i]["score"] for i in (401, 402, 403, 3)] == [base] * 4
-    assert all(e["label"] == 1 and 0 < e["cosine"] <= 1 and e["example"] != 205 for e in got[205]["evidence"])
-
-
-def test_neighbours_are_nearest_by_all_words(spark):
-    """Terms that fail the label test count too: a copy of a toxic example whose insult is rare, and clean words."""
-    r = np.random.default_rng(3)
-    texts = {i: " ".join(f"w{x}" for x in r.zipf(1.5, r.integers(3, 40)) % 300) for i in range(240)}
-    texts |= {300: "thou grumbling sporkhead begone", 301: "thou grumbling sporkhead begone", 302: "sporkhead", 303: texts[17]}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    toxic = {i: int(i % 6 == 0 or i == 300) for i in [*range(200), 300]}
-    got = {x["doc_id"]: x for x in toxicity.scores(docs, spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")).collect()}
+    rows[7] = rows[3]
+    ends = np.cumsum([0, *(len(t) for t, _ in rows)])
+    digests = np.arange(900)
+    index = toxicity.BlockMaxIndex(list(range(900)), np.arange(900) % 3 // 2, digests, ends, np.concatenate([t for t, _ in rows]), np.concatenate([w for _, w in rows]), 400)
+    assert index.matrix.shape[1] > 0 and index.blocks > 50
+    own = np.arange(0, 900, 37)
+    text = np.repeat(np.arange(len(own)), [len(rows[i][0]) for i in own])
+    got = index.nearest(digests[own], text, np.concatenate([rows[i][0] for i in own]), np.concatenate([rows[i][1] for i in own]), 25)
+    for i, (at, cos) in zip(own, got):
+        mine = dict(zip(rows[i][0].tolist(), rows[i][1].tolist()))
+        want = brute_votes(mine, {j: dict(zip(t.tolist(), w.tolist())) for j, (t, w) in enumerate(rows) if j != i}, 25)
+        assert np.allclose(cos, [c for c, _ in want], atol=1e-9) and {index.ids[a] for a in at} == {j for _, j in want}
+
+
+def brute_scores(texts, toxic):
+    """Scores of texts (by number) from labels of some of them, without an index, arrays or Spark."""
+    held = {i: Counter(re.findall(r"\w+", (t or "").lower())) for i, t in texts.items()}
+    begin = lambda w: {w[:n] + "-" for n in (4, 5, 6) if len(w) >= n}
     base = sum(toxic.values()) / len(toxic)
-    assert got[301]["score"] >= 0.3 > base and got[302]["score"] > base
-    assert got[301]["evidence"][0]["example"] == 300 and got[303]["evidence"][0]["example"] == 17
-    # no term passes the test here, so all weigh the same
-    held = {i: {w: x.split().count(w) for w in x.split()} for i, x in texts.items()}
-    known = {w for i in toxic for w in held[i]}
-    idf = {w: np.log((1 + len(texts)) / (1 + sum(w in h for h in held.values()))) + 1 for w in known}
-    unit = lambda h: {w: n * idf[w] / np.sqrt(sum((m * idf[x]) ** 2 for x, m in h.items() if x in known)) for w, n in h.items() if w in known}
-    units = {i: unit(h) for i, h in held.items()}
+    firsts = {}
+    for i in sorted(toxic):
+        h = shingle_hashes(texts[i])
+        firsts.setdefault((toxic[i], int(h.min().view(np.int64)) if len(h) else 0), i)
+    counts = (Counter(), Counter())
+    n = Counter(y for y, _ in firsts)
+    for (y, _), i in firsts.items():
+        counts[y].update({x for w in held[i] for x in {w, *begin(w)}})
+    tested = [w for w, k in counts[1].items() if k >= 3]
+    passed = set()
+    for w in tested:
+        t, c = counts[1][w], counts[0][w]
+        share = (t + c) / (n[0] + n[1])
+        ratio = 2 * sum(x * math.log(x / (share * m)) for x, m in ((t, n[1]), (c, n[0])) if x)
+        if ratio >= max(12, 2 * math.log(max(1, len(tested)))) and (t / n[1]) / ((c + 0.5) / n[0]) >= 3:
+            passed.add(w)
+    known = {w for i in toxic for w in held[i]} | passed
+    terms = {i: Counter() for i in texts}
+    for i in texts:
+        for w, k in held[i].items():
+            for x in {w} & known | begin(w) & passed:
+                terms[i][x] += k
+    df = Counter(x for i in texts for x in terms[i])
+    weight = {x: (math.log((1 + len(texts)) / (1 + df[x])) + 1) * (8 if x in passed else 1) for x in known}
+    units = {}
     for i in texts:
-        cos = sorted(((sum(v * units[j].get(w, 0) for w, v in units[i].items()), j) for j in toxic if j != i), reverse=True)
-        assert np.allclose([e["cosine"] for e in got[i]["evidence"]], [c for c, _ in cos if c > 0][:3])
+        v = {x: k * weight[x] for x, k in terms[i].items()}
+        size = math.sqrt(sum(a * a for a in v.values()))
+        units[i] = {x: a / size for x, a in v.items()}
+
+    def share(i):
+        found = [(c**3, toxic[j]) for c, j in brute_votes(units[i], {j: units[j] for j in toxic if (texts[j] or "") != (texts[i] or "")}, 25)]
+        return sum(w * y for w, y in found) / sum(w for w, _ in found) if found else None
+
+    shares = {i: share(i) for i in texts}
+    pairs = sorted((shares[i], toxic[i]) for i in toxic if shares[i] is not None)
+    xs = sorted({x for x, _ in pairs})
+    by = {x: [y for a, y in pairs if a == x] for x in xs}
+    mean = lambda a, b: sum(sum(by[x]) for x in xs[a : b + 1]) / sum(len(by[x]) for x in xs[a : b + 1])
+    # the isotonic fit by its min-max formula
+    fit = [max(min(mean(a, b) for b in range(j, len(xs))) for a in range(j + 1)) for j in range(len(xs))]
+    return {i: base if s is None else float(np.interp(s, xs, fit)) for i, s in shares.items()}
+
+
+def test_scores_against_brute_force(spark):
+    r = np.random.default_rng(3)
+    texts = {i: " ".join(f"w{x}" for x in r.zipf(1.5, r.integers(3, 40)) % 300) + (f" vexling{i % 4}" if i % 6 == 0 else "") for i in range(150)}
+    texts |= {300: "thou grumbling sporkhead begone", 302: "sporkhead", 303: texts[17], 304: texts[12], 305: None, 306: "", 307: "nothing known"}
+    toxic = {i: int(i % 6 == 0 or i == 300) for i in [*range(110), 300]}
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in texts.items()], "doc_id long, text string, score int, digest int")
+    labels = spark.createDataFrame([*toxic.items(), (17, 0), (None, 1), (5, None), (9999, 0)], "doc_id long, toxic int")
+    got = {x["doc_id"]: x for x in toxicity.scores(docs, labels).collect()}
+    want = brute_scores(texts, toxic)
+    base = sum(toxic.values()) / (len(toxic) + 1)
+    assert got.keys() == texts.keys()
+    for i in (305, 306, 307):
+        assert got[i]["score"] == base and got[i]["evidence"] == []
+    # a label without a document counts in the base rate and the votes' worth alone
+    assert max(abs(got[i]["score"] - want[i]) for i in texts if i < 305) < 0.02
+    assert got[303]["score"] == got[17]["score"] and got[304]["score"] == got[12]["score"] > 0.3
+    assert all(e["label"] in (0, 1) and 0 < e["cosine"] <= 1 and texts[e["example"]] != texts[i] for i in texts for e in got[i]["evidence"])
+
+
+def test_toxicity_query_against_brute_force(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    held_out = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in texts}
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if not held_out[r["doc_id"]]}
+    got = {r["doc_id"]: r for r in op7_toxicity_knn(spark, sf).collect()}
+    want = brute_scores(texts, toxic)
+    assert got.keys() == texts.keys() and {i: r["held_out"] for i, r in got.items()} == held_out
+    assert max(abs(got[i]["score"] - want[i]) for i in texts) < 1e-6
+    assert all(r["predicted"] == int(r["score"] >= 0.3) for r in got.values())
+
+
+def test_monotone_fit():
+    x, y = toxicity.monotone(np.array([3.0, 1.0, 2.0, 2.0, 5.0]), np.array([0.0, 0.0, 1.0, 0.0, 1.0]), np.array([1.0, 1.0, 1.0, 1.0, 2.0]))
+    assert x.tolist() == [1, 2, 3, 5] and np.allclose(y, [0, 1 / 3, 1 / 3, 1])
 
 
 def test_scores_without_labels_or_rows(spark):
-    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    assert [r["score"] for r in toxicity.scores(docs, none).collect()] == [0.0]
-    assert toxicity.scores(docs.limit(0), none).count() == 0
+    assert [r["score"] for r in toxicity.scores(docs, none).collect()] == [0.0, 0.0]
+    assert [r["score"] for r in toxicity.scores(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).collect()] == [1.0, 1.0]
+    both = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.scores(docs.limit(0), both).count() == 0
+    named = spark.createDataFrame([("x", "a b"), ("y", "b c"), ("x", "c d")], "doc_id string, text string")
+    assert toxicity.scores(named, spark.createDataFrame([("x", 1), ("y", 0)], "doc_id string, toxic int")).count() == 3
 
 
-def test_toxicity_query_held_out(spark):
-    sf = "/root/testdata/sf0.01"
+def test_toxicity_query_held_out_and_calibrated(spark):
+    sf = "/root/testdata/sf0.1"
     rows = op7_toxicity_knn(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
-    hit = [r for r in rows if r["toxic"] == 1]
-    assert sum(r["predicted"] for r in hit) >= 0.6 * len(hit)
-    assert sum(r["predicted"] for r in rows if r["toxic"] == 0) <= 0.02 * len(rows)
+    hit, clean = [r for r in rows if r["toxic"] == 1], [r for r in rows if r["toxic"] == 0]
+    assert sum(r["predicted"] for r in hit) >= 0.9 * len(hit)
+    assert sum(r["predicted"] for r in clean) <= 0.01 * len(clean)
+    for lo, hi in ((0, 0.3), (0.3, 1.01)):
+        part = [r for r in rows if lo <= r["score"] < hi]
+        assert abs(np.mean([r["score"] for r in part]) - np.mean([r["toxic"] for r in part])) < 0.05
