@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,7 +74,7 @@ LEFT JOIN problems p ON c.conv_id = p.conv_id AND c.call_id = p.call_id
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its group of near duplicates; the least id of a group is kept."""
-    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("n_links")
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 OP3_SQL = r"""
@@ -129,10 +131,15 @@ FROM marked GROUP BY doc_id
 """
 
 
+def target_weight(source: str) -> int:
+    """The target weight of a source: 1 to 9 by its name, as a mixing recipe would list it."""
+    return 1 + zlib.crc32(source.encode()) % 9
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's place in a mix that gives all sources equal shares while they last."""
+    """Every document's place in a mix that gives sources shares by their target weights while they last."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return source_mix.mixed(docs)
+    return source_mix.mixed(docs, target_weight)
 
 
 def op6_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
