@@ -6,9 +6,13 @@ have seen. Only lines whose hash the second filter holds, the suspected repeats,
 a 128-bit digest of the key, with the one document that keeps the line. A filter never misses a repeat, so the
 result is exact whatever its size; a small filter only lets more lines be shuffled.
 
+The repeated keys are sent to all tasks while they are MAX_SENT at most, so that texts stay where they are; beyond
+that each document's lost keys are joined with it by id.
+
 Defined cases: null and empty texts are one empty line; keys shorter than the least length always stay; a key that
 repeats within one document counts once; documents without an id are left as they are and not counted; rows that
-repeat an id count as one document; an empty table gives an empty table; other columns pass through.
+repeat an id count as one document; long texts are taken whole; an empty table gives an empty table; other columns
+pass through, but input columns named like the output's, `__id` or `__digests` are replaced or dropped.
 """
 
 from __future__ import annotations
@@ -33,24 +37,33 @@ BITS_A_LINE, POSITIONS, MIN_BITS, MAX_BITS = 16, 2, 1 << 16, 1 << 29
 PART_BITS = 1 << 22
 #: Pieces of a part, one from each task, that are merged at a time.
 FAN_IN = 64
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_SPACE = " \t\n\x0b\x0c\r"
+#: Repeated keys that are sent to all tasks at most: 24 bytes each.
+MAX_SENT = 1 << 20
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_SPACE = b" \t\n\x0b\x0c\r"
+
 
+def utf8(column: pa.Array) -> list[bytes | None]:
+    return column.cast(pa.binary()).to_pylist()
 
-def line_key(line: str) -> str:
-    line = line.strip(_SPACE)
-    return line.lower() if line.isascii() else line.translate(_LOWER)
 
+def line_keys(text: bytes) -> list[bytes]:
+    """The key of each line of a text in UTF-8."""
+    return [line.strip(_SPACE) for line in text.translate(_LOWER).split(b"\n")]
 
-def digest(key: str) -> bytes:
-    return hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
+def digest(key: bytes, min_chars: int) -> bytes | None:
+    """The key's digest; None if it has fewer code points than min_chars."""
+    if len(key) < 4 * min_chars and (len(key) < min_chars or (not key.isascii() and len(key.decode("utf-8", "surrogatepass")) < min_chars)):
+        return None
+    return hashlib.blake2b(key, digest_size=16).digest()
 
-def line_digests(text: str | None, min_chars: int) -> list[bytes]:
+
+def line_digests(text: bytes | None, min_chars: int) -> list[bytes]:
     """Digests of the text's distinct keys that are long enough."""
     if not text or len(text) < min_chars:
         return []
-    return list({digest(k) for line in text.split("\n") if len(line) >= min_chars and len(k := line_key(line)) >= min_chars})
+    return list({d for k in set(line_keys(text)) if (d := digest(k, min_chars)) is not None})
 
 
 def positions(found: list[bytes], bits: int) -> np.ndarray:
@@ -101,7 +114,7 @@ def repeat_filter(docs: DataFrame, doc_id: str, text: str, bits: int, min_chars:
             once, pending, held = at, [], 0
 
         for b in batches:
-            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, x in zip(b.column(0).to_pylist(), utf8(b.column(1))):
                 if i is not None and (found := line_digests(x, min_chars)):
                     # a document adds each of its bits once
                     pending.append(np.unique(positions(found, bits)))
@@ -142,8 +155,8 @@ def repeat_filter(docs: DataFrame, doc_id: str, text: str, bits: int, min_chars:
     return out
 
 
-def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """(doc_id, digests): for each document that loses lines, the digests of the keys it loses."""
+def repeated_keys(docs: DataFrame, doc_id: str, text: str, min_chars: int, min_documents: int) -> tuple[DataFrame, DataFrame]:
+    """(id, digest) of the suspected repeats, and (digest, keeper) of the keys that enough documents hold."""
     spark = docs.sparkSession
     bits = filter_bits(docs, text, min_chars)
     shared = spark.sparkContext.broadcast(repeat_filter(docs, doc_id, text, bits, min_chars).tobytes())
@@ -153,7 +166,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def suspects(b: pa.RecordBatch):
         again = np.frombuffer(shared.value, np.uint8)
         ids, digests = [], []
-        for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for i, x in zip(b.column(0).to_pylist(), utf8(b.column(1))):
             if i is not None and (found := line_digests(x, min_chars)):
                 at = positions(found, bits)
                 hit = (again[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=1)
@@ -166,30 +179,59 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     held = materialise(arrow_map(docs.select(doc_id, text), schema, suspects), "suspects")
     counted = held.groupBy("digest").agg(F.countDistinct("id").alias("n"), F.max("id").alias("keeper"))
     # a table of its own: the join may send it whole where it is small, and split a hot line's documents where it isn't
-    repeated = materialise(counted.where(F.col("n") >= min_documents).drop("n"), "repeated")
-    lost = held.join(repeated, "digest").where("id <> keeper")
-    return lost.groupBy(F.col("id").alias(doc_id)).agg(F.collect_set("digest").alias("digests"))
+    return held, materialise(counted.where(F.col("n") >= min_documents).drop("n"), "repeated")
+
+
+class Keepers:
+    """The repeated keys and the documents that keep them, in order of the digests' first halves, which must be distinct."""
+
+    def __init__(self, digests: list[bytes], keepers: np.ndarray):
+        halves = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+        order = np.argsort(halves[:, 0])
+        self.first, self.second, self.keeper = halves[order, 0], halves[order, 1], keepers[order]
+
+    @property
+    def distinct(self) -> bool:
+        return bool((self.first[1:] != self.first[:-1]).all())
+
+    def gone(self, found: list[bytes], doc) -> np.ndarray:
+        """Which digests the document loses."""
+        halves = np.frombuffer(b"".join(found), "<u8").reshape(-1, 2)
+        at = np.minimum(np.searchsorted(self.first, halves[:, 0]), len(self.first) - 1)
+        return (self.first[at] == halves[:, 0]) & (self.second[at] == halves[:, 1]) & (self.keeper[at] != doc)
 
 
 def drop_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kept: str = "kept", min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """docs with columns `kept` (the remaining lines), n_lines and n_dropped."""
-    lost = repeated_lines(docs, doc_id, text, min_chars, min_documents).withColumnsRenamed({doc_id: "__id", "digests": "__digests"})
-    joined = docs.join(lost, docs[doc_id] == lost["__id"], "left").drop("__id")
+    docs = docs.drop("__id", "__digests")
+    held, repeated = repeated_keys(docs, doc_id, text, min_chars, min_documents)
     new = [T.StructField(kept, T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
     schema = T.StructType([f for f in docs.schema.fields if f.name not in {f.name for f in new}] + new)
+    keepers = None
+    if (n := repeated.count()) <= MAX_SENT:
+        sent = repeated.toArrow()
+        keepers = Keepers(sent["digest"].to_pylist(), np.array(sent["keeper"].to_pylist()))
+    if keepers is not None and keepers.distinct:
+        source, shared = docs, docs.sparkSession.sparkContext.broadcast(keepers)
+        of = lambda b: b.column(doc_id).to_pylist()
+        gone = lambda found, i: shared.value.gone(found, i) if n and i is not None else np.zeros(len(found), bool)
+    else:
+        lost = held.join(repeated, "digest").where("id <> keeper").groupBy(F.col("id").alias("__id")).agg(F.collect_set("digest").alias("__digests"))
+        source = docs.join(lost, docs[doc_id] == lost["__id"], "left").drop("__id")
+        of = lambda b: [None if x is None else set(x) for x in b.column("__digests").to_pylist()]
+        gone = lambda found, lost: np.array([bool(lost) and d in lost for d in found], bool)
 
     def run(b: pa.RecordBatch):
         texts, n_lines, n_dropped = [], [], []
-        for x, gone in zip(b.column(text).to_pylist(), b.column("__digests").to_pylist()):
-            lines = (x or "").split("\n")
-            if gone:
-                gone = set(gone)
-                stay = [z for z in lines if len(z) < min_chars or len(k := line_key(z)) < min_chars or digest(k) not in gone]
-            else:
-                stay = lines
-            texts.append("\n".join(stay))
-            n_lines.append(len(lines))
-            n_dropped.append(len(lines) - len(stay))
-        return with_columns(b, **{kept: pa.array(texts, pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}).select(schema.names)
-
-    return arrow_map(joined, schema, run)
+        for x, own in zip(utf8(b.column(text)), of(b)):
+            keys = line_keys(x or b"")
+            digests = [digest(k, min_chars) for k in keys]
+            found = list({d for d in digests if d is not None})
+            drop = {d for d, g in zip(found, gone(found, own).tolist()) if g} if found else set()
+            stay = [z for z, d in zip(x.split(b"\n"), digests) if d not in drop] if drop else None
+            texts.append((x or b"") if stay is None else b"\n".join(stay))
+            n_lines.append(len(keys))
+            n_dropped.append(0 if stay is None else len(keys) - len(stay))
+        return with_columns(b, **{kept: pa.array(texts, pa.binary()).cast(pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}).select(schema.names)
+
+    return arrow_map(source, schema, run)
