@@ -66,6 +66,39 @@ def test_missing_ids_repeats_and_empty_table(spark):
     assert minhash_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_repeated_ids_with_other_texts(spark):
+    rows = [(1, "a b c d e f"), (1, "p q r s t u v"), (3, "p q r s t u v w"), (4, "x y z a b c d e f"), (4, "lone text of five words"), (5, "lone text of five words"), (0, None), (0, "lone text of five words")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"], r["n_links"]) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # 1's second text and 3's share three of four shingles
+    assert got == sorted([(1, 2, 1, True, 0), (1, 3, 1, True, 1), (3, 4, 1, False, 1), (4, 5, 4, True, 0), (4, 1, 0, False, 0), (5, 1, 0, False, 0), (0, 0, 0, True, 0), (0, 1, 0, True, 0)])
+
+
+def test_one_row_of_each_component_stays(spark):
+    rows = [(0, "a b c d e f", 1), (1, "A b c d e f", 1), (1, "like nothing else at all", 1), (2, "p q r s t u v w", 1), (2, "p q r s t u v w", 1), (2, "p q r s t u v w", 3), (3, "p q r s t u v w x", 1)]
+    rows += [(4, None, 1), (4, None, 1), (5, "", 1), (None, "a b c d e f", 1), (6, "one word " * 400, 1), (7, "one word " * 400, 1)]
+    got = [tuple(r) for r in minhash_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n long")).collect()]
+    want = [(0, "a b c d e f", 1), (1, "like nothing else at all", 1), (2, "p q r s t u v w", 1), (4, None, 1), (4, None, 1), (5, "", 1), (None, "a b c d e f", 1), (6, "one word " * 400, 1)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert minhash_dedup.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_blocks_by_size_lose_no_link(spark, monkeypatch):
+    """Texts around one long passage meet in few buckets; the hub of a bucket is like few of them."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 4)
+    r = random.Random(9)
+    passage = text(r, 90)
+    rows = [(i, passage + " " + text(r, 3 * (i % 30))) for i in range(120)]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_size_classes_keep_linked_sizes_together():
+    for n in range(1, 4000):
+        least, most = -(-3 * n // 4), 4 * n // 3
+        of = lambda m: int(np.floor(np.log(m) * minhash_dedup.SIZE_STEP))
+        assert of(n) - of(least) <= 1 and of(most) - of(n) <= 1
+
+
 def test_sketches_agree_as_sets_resemble():
     r = np.random.default_rng(3)
     for n in (1, 3, 40, 2000):
@@ -120,6 +153,18 @@ def test_lines_against_brute_force(spark):
     assert line_dedup.drop_repeated(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_both_ways_to_drop_lines(spark, monkeypatch, sent):
+    monkeypatch.setattr(line_dedup, "MAX_SENT", sent)
+    hot = "\u00c9 line that a third of all documents hold, in any case"
+    rows = [(i, f"{hot.upper() if i % 2 else hot}\nown {i}\r\n{'q' * 39}\n{'Q' * 40}\n") for i in range(30)] + [(None, hot), (3, hot), (40, None), (41, "\n" * 3)]
+    df = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], "doc_id long, text string, __id int, __digests string, kept int")
+    got = line_dedup.drop_repeated(df)
+    assert got.columns == ["doc_id", "text", "kept", "n_lines", "n_dropped"]
+    want = sorted(map(repr, brute_lines(rows)))
+    assert sorted(repr((x["doc_id"], x["n_lines"], x["n_dropped"], x["kept"])) for x in got.collect()) == want
+
+
 def test_a_saturated_filter_changes_nothing(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "MIN_BITS", 64)
     monkeypatch.setattr(line_dedup, "MAX_BITS", 64)
