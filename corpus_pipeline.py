@@ -2,6 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 run() writes each stage's result to the shared folder and reads it again for the next one.
+
+Defined cases, of every stage: null and empty texts are documents like others (of log weight 0, without repeated lines,
+like no other, with a place in the mix and without tokens); long texts are taken whole; an empty table gives an empty table; columns
+besides doc_id, text, source, lang and n_chars pass through all stages but the last. Rows that repeat an id: quality
+judges each by its own text, with one noise; line_dedup counts them as one document; near_dedup keeps one row of those
+alike; source_mix and bpe give each a place and ids of its own. Rows without an id: no noise, lines stay, never near
+another. Ties: sort keys at the threshold are all kept; of equal rows either stays.
 """
 
 from __future__ import annotations
@@ -12,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe, line_dedup, minhash_dedup, quality, source_mix
 from tessera.llm.common import materialise, table
+from tessera.llm.queries import target_weight
 
 #: Stages that SQL cannot express: resampling, sketching and encoding. The pipeline is tested against a brute-force version.
 ORACLE_SQL = None
@@ -32,14 +40,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one of least id."""
-    found = minhash_dedup.near_duplicates(docs)
-    gone = found.where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    return minhash_dedup.one_of_each(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the order of the mix, which gives all sources equal shares while they last."""
-    return source_mix.laid_out(source_mix.mixed(docs), docs.columns)
+    """Documents in the order of the mix, which gives sources shares by their target weights while they last."""
+    return source_mix.laid_out(source_mix.mixed(docs, target_weight), docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +54,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows lose their order where files are read again; the mix depends on the documents alone, so it is dealt again here.
     """
     path = public_tokenizers.path("word_bpe_49k.json")
-    return bpe.round_trip(source_mix.mixed(docs).select("doc_id", "lang", "source", "text", "slot", "position"), path).select(
+    return bpe.round_trip(source_mix.mixed(docs, target_weight).select("doc_id", "lang", "source", "text", "slot", "position"), path).select(
         "doc_id",
         "lang",
         "source",
