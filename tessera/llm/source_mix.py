@@ -74,11 +74,11 @@ class Phase:
         return -(-self.slots // self.window)
 
     def run_by(self, t: int, forced: int | None = None) -> list[int]:
-        """The blocks that each source has run in this phase by its slot t: the whole part of its share, or one more by largest remainders."""
+        """The blocks that each source has run in this phase by its slot t: the whole part of its share, or one more by largest remainders; a forced source is rounded up if it has any."""
         whole = self.whole
         out = [t * p // whole for p in self.parts]
-        left = t - sum(out)
-        for i in sorted(range(len(out)), key=lambda i: (i != forced, -(t * self.parts[i] % whole), i))[:left]:
+        over = [t * p % whole for p in self.parts]
+        for i in sorted(range(len(out)), key=lambda i: (i != forced or not over[i], -over[i], i))[: t - sum(out)]:
             out[i] += 1
         return out
 

@@ -36,12 +36,14 @@ def in_order(plan):
     return [s for s, _, _ in sorted(rows, key=lambda x: x[2])], seen
 
 
-@pytest.mark.parametrize("seed", range(12))
+@pytest.mark.parametrize("seed", range(40))
 def test_schedule_keeps_within_a_block(seed, monkeypatch):
     r = random.Random(seed)
     monkeypatch.setattr(source_mix, "MIN_WINDOW", r.choice([1, 7, 50, 4096]))
     n = r.randint(1, 12)
     weights = {f"s{i}": Fraction(r.choice([r.random() + 0.001, r.randint(1, 9), 0.1, Fraction(1, 3)])) for i in range(n)}
+    if seed % 3 == 0:  # shares that often come out even
+        weights = {s: Fraction(r.randint(1, 9)) for s in weights}
     blocks = {s: r.randint(1, 300) for s in weights}
     order, seen = in_order(source_mix.phases(blocks, weights))
     assert seen == blocks and follows(order, weights)
