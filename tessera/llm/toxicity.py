@@ -26,6 +26,8 @@ are all scored, by their own texts; ids of any type; an empty table gives an emp
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 from itertools import chain
 from math import log
 
@@ -59,14 +61,13 @@ def words(text: str | None) -> list[str]:
 
 
 def term(name: str) -> int:
-    """The 64-bit hash of a word or of a marked beginning, as a signed integer."""
-    h = xxh3_64_intdigest(name.encode("utf-8", "surrogatepass"))
+    """The 64-bit hash of a word, as a signed integer."""
+    h = xxh3_64_intdigest(name)
     return h - (1 << 64) if h >> 63 else h
 
 
-def beginnings(word: str) -> list[str]:
-    """The word's beginnings, marked as such by what no word holds."""
-    return [f"{word[:n]}-" for n in BEGINNINGS if len(word) >= n]
+def beginnings(word: str) -> set[str]:
+    return {word[:n] for n in BEGINNINGS if len(word) >= n}
 
 
 def digest(text: str | None) -> int:
@@ -88,35 +89,60 @@ def chosen(docs: DataFrame, sample: DataFrame, doc_id: str, text: str) -> DataFr
 
 
 def term_counts(examples: DataFrame) -> pa.Table:
-    """(term, whole, toxic, clean): each term of the examples, whether it is a word, and how many of each label that count hold it."""
+    """(term, name, toxic, clean): how many examples of each label that count hold a term; a name for beginnings, of those that may pass the test."""
+    kinds = pa.schema([("term", pa.int64()), ("name", pa.string()), ("clean", pa.int64()), ("toxic", pa.int64())])
 
     def run(batches):
-        counts: dict[str, list[int]] = {}
+        counts: tuple[dict[str, list[int]], dict[str, list[int]]] = ({}, {})  # words, beginnings
 
         def sent() -> pa.RecordBatch:
-            names = list(counts)
-            out = {"term": [term(x) for x in names], "whole": [x[-1] != "-" for x in names], "clean": [counts[x][0] for x in names], "toxic": [counts[x][1] for x in names]}
-            counts.clear()
-            return pa.RecordBatch.from_pydict(out, pa.schema([("term", pa.int64()), ("whole", pa.bool_()), ("clean", pa.int64()), ("toxic", pa.int64())]))
+            held = [*counts[0].values(), *counts[1].values()]
+            out = [list(map(term, counts[0])) + [0] * len(counts[1]), [None] * len(counts[0]) + list(counts[1]), [h[0] for h in held], [h[1] for h in held]]
+            counts[0].clear()
+            counts[1].clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds.types)], schema=kinds)
 
         for b in batches:
             for label, x, n in zip(*(b.column(i).to_pylist() for i in range(3))):
                 found = set(words(x))
-                for name in chain(found, {p for w in found for p in beginnings(w)}):
-                    counts.setdefault(name, [0, 0])[label] += n
-                if len(counts) > COUNTED_TERMS:
+                for of, names in zip(counts, (found, set(chain.from_iterable(map(beginnings, found))))):
+                    for name in names:
+                        of.setdefault(name, [0, 0])[label] += n
+                if len(counts[0]) + len(counts[1]) > COUNTED_TERMS:
                     yield sent()
         yield sent()
 
-    found = small_batches(examples.select("label", "text", F.col("counts").cast("int"))).mapInArrow(run, "term long, whole boolean, clean long, toxic long")
+    found = small_batches(examples.select("label", "text", F.col("counts").cast("int"))).mapInArrow(run, "term long, name string, clean long, toxic long")
     # words and beginnings of 2 * EXAMPLES rows at most
-    return found.groupBy("term").agg(F.bool_or("whole").alias("whole"), F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    return found.groupBy("term", "name").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("name").isNull() | (F.col("toxic") >= MIN_EXAMPLES)).toArrow()
 
 
-def vocabulary(counts: pa.Table, n_clean: int, n_toxic: int) -> tuple[np.ndarray, np.ndarray]:
-    """(terms, weights): all words, and the beginnings that toxic examples hold significantly more often; ascending."""
-    name, whole, c, t = (counts[k].to_numpy() for k in ("term", "whole", "clean", "toxic"))
-    passed = np.zeros(len(name), bool)
+@dataclass
+class Vocabulary:
+    """The terms by number: the words' hashes, ascending, then the beginnings; their weights so far."""
+
+    words: np.ndarray
+    beginnings: list[str]
+    weight: np.ndarray
+
+    def numbers(self) -> Callable[[str], tuple[int, ...]]:
+        """A function that gives the numbers of a word and of its beginnings."""
+        word = dict(zip(self.words.tolist(), range(len(self.words)))).get
+        begin = dict(zip(self.beginnings, range(len(self.words), len(self.weight)))).get
+
+        def of(w: str) -> tuple[int, ...]:
+            found = [word(term(w)), *(begin(w[:n]) for n in BEGINNINGS if len(w) >= n)]
+            return tuple(at for at in found if at is not None)
+
+        return of
+
+
+def vocabulary(counts: pa.Table, n_clean: int, n_toxic: int) -> Vocabulary:
+    """All words, and the beginnings that toxic examples hold significantly more often."""
+    hashes, c, t = (counts[k].to_numpy() for k in ("term", "clean", "toxic"))
+    whole = counts["name"].is_null().to_numpy()
+    names = counts["name"].to_pylist()
+    passed = np.zeros(len(hashes), bool)
     if n_clean and n_toxic:
         tested = t >= MIN_EXAMPLES
         share = (t + c) / (n_clean + n_toxic)
@@ -124,20 +150,20 @@ def vocabulary(counts: pa.Table, n_clean: int, n_toxic: int) -> tuple[np.ndarray
         lift = (t / n_toxic) / ((c + 0.5) / n_clean)
         # the more terms are tested, the more reach any ratio by chance
         passed = tested & (2 * (part(t, n_toxic) + part(c, n_clean)) >= max(MIN_RATIO, 2 * log(max(1, tested.sum())))) & (lift >= MIN_LIFT)
-    known = whole.astype(bool) | passed
-    order = np.argsort(name[known])
-    return name[known][order], np.where(passed[known][order], BOOST, 1.0)
+    own = np.flatnonzero(whole)
+    own = own[np.argsort(hashes[own])]
+    begins = sorted(names[i] for i in np.flatnonzero(passed & ~whole))
+    return Vocabulary(hashes[own], begins, np.concatenate([np.where(passed[own], BOOST, 1.0), np.full(len(begins), BOOST)]))
 
 
-def term_vectors(rows: DataFrame, text: str, known: np.ndarray) -> DataFrame:
+def term_vectors(rows: DataFrame, text: str, known: Vocabulary) -> DataFrame:
     """rows with digest, terms (numbers of the known terms that the text holds, ascending) and counts instead of the text."""
     shared = rows.sparkSession.sparkContext.broadcast(known)
     ints = T.ArrayType(T.IntegerType())
     schema = T.StructType([f for f in rows.schema.fields if f.name != text] + [T.StructField("digest", T.LongType()), T.StructField("terms", ints), T.StructField("counts", ints)])
 
     def run(batches):
-        number = dict(zip(shared.value.tolist(), range(len(shared.value))))
-        memo = Memo(lambda w: tuple(at for n in (w, *beginnings(w)) if (at := number.get(term(n))) is not None), WORDS_BYTES)
+        memo = Memo(shared.value.numbers(), WORDS_BYTES)
         for b in batches:
             texts = b.column(text).to_pylist()
             found = [np.unique(np.fromiter(chain.from_iterable(map(memo.__getitem__, words(x))), np.int32), return_counts=True) for x in texts]
@@ -275,9 +301,10 @@ def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     n = {r["label"]: (r["all"], r["counted"]) for r in examples.groupBy("label").agg(F.count("*").alias("all"), F.count_if("counts").alias("counted")).collect()}
     if len(n) < 2:
         return docs.select(doc_id, F.lit(base).alias("score"), F.array().cast(schema["evidence"].dataType).alias("evidence"))
-    known, weight = vocabulary(term_counts(examples), n[0][1], n[1][1])
+    known = vocabulary(term_counts(examples), n[0][1], n[1][1])
     vectors = materialise(term_vectors(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "text", known), "vectors")
-    weight = weight * (np.log((1 + vectors.count()) / (1 + document_frequencies(vectors, len(known)))) + 1)
+    n_terms = len(known.weight)
+    weight = known.weight * (np.log((1 + vectors.count()) / (1 + document_frequencies(vectors, n_terms))) + 1)
     of_examples = materialise(term_vectors(examples.select("id", "label", "text"), "text", known), "vectors")
     # 2 * EXAMPLES rows at most, never as Python objects but for their ids
     found = of_examples.orderBy("id").toArrow().combine_chunks()
@@ -286,7 +313,7 @@ def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     weights = counts * weight[terms]
     owner = np.repeat(np.arange(found.num_rows), np.diff(ends))
     weights = weights / np.sqrt(np.bincount(owner, weights * weights, found.num_rows))[owner]
-    index = BlockMaxIndex(found["id"].to_pylist(), found["label"].to_numpy().astype(np.int64), found["digest"].to_numpy(), ends, terms, weights, len(known))
+    index = BlockMaxIndex(found["id"].to_pylist(), found["label"].to_numpy().astype(np.int64), found["digest"].to_numpy(), ends, terms, weights, n_terms)
     del found, terms, counts, weights, owner
     # the sample has its own share of each label; a vote counts as often as its label is rarer there
     worth = np.array([kinds.get(x, 0) / n[x][0] for x in (0, 1)])
@@ -297,8 +324,7 @@ def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         index, weight, worth = shared.value
         return pa.table({"label": b.column("label"), "share": pa.array([toxic_share(index.labels[at], cos, worth) for at, cos in _votes(b, index, weight)], pa.float64())})
 
-    partitions = shuffle_partitions(spark)
-    learned = arrow_map(of_examples.repartition(partitions), T.StructType([T.StructField("label", T.IntegerType()), T.StructField("share", T.DoubleType())]), shares).where("share is not null").toArrow()  # examples
+    learned = arrow_map(of_examples.repartition(shuffle_partitions(spark)), T.StructType([T.StructField("label", T.IntegerType()), T.StructField("share", T.DoubleType())]), shares).where("share is not null").toArrow()  # examples
     y = learned["label"].to_numpy()
     fitted = spark.sparkContext.broadcast(monotone(learned["share"].to_numpy(), y, worth[y]) if len(y) else None)
     near = pa.list_(pa.struct([("example", pa.null()), ("label", pa.int32()), ("cosine", pa.float64())]))
@@ -313,5 +339,4 @@ def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         kind = pa.list_(pa.struct([("example", b.schema.field("id").type), *list(near.value_type)[1:]]))
         return pa.table({doc_id: b.column("id"), "score": pa.array(score, pa.float64()), "evidence": pa.array(why, kind)})
 
-    # vectors are small, so their files are few; scores take time by the row
-    return arrow_map(vectors.repartition(partitions), schema, run)
+    return arrow_map(vectors, schema, run)
