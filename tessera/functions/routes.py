@@ -6,13 +6,17 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: What a URL expression is made of: a template, a quoted literal, a double-brace hole, or a run of plain code.
-_PIECE = re.compile(r"""`(?P<template>[^`]*)`?|'(?P<single>[^']*)'?|"(?P<double>[^"]*)"?|(?P<hole>\{\{)|(?P<code>[^'"`+]+)""", re.S)
-_HOLE = "{*}"
+#: A parameter of a route, and the character that stands for one while a URL is put together.
+_HOLE, _MARK = "{*}", "\ue000"
+#: ${...} and {{...}} with whatever braces they hold; an open ${ takes the rest of its template.
+_HOLES = regex.compile(r"\$(?<braced>\{(?:[^{}]++|(?&braced))*\})|\{(?&braced)\}|\$\{[^`]*")
+#: The operands of a concatenation: quoted texts, and code.
+_OPERANDS = re.compile(r"""(['"`])(.*?)(?:\1|$)|([^'"`+]+)""", re.S)
 
 
 def _clean(route: Column) -> Column:
@@ -41,70 +45,18 @@ def route_keys(route: Column, inferred: Column) -> Column:
     return F.array_distinct(F.transform(lengths, lambda n: backend_route(F.array_join(F.slice(segments, 1, n), "/"))))
 
 
-def _closed(text: str, at: int) -> int:
-    """Just after the brace that closes a hole whose content begins at `at`."""
-    depth = 1
-    while at < len(text) and depth:
-        depth += {"{": 1, "}": -1}.get(text[at], 0)
-        at += 1
-    return at
-
-
-def _literal(text: str) -> list[str | None]:
-    """A literal's pieces; None for each hole in double braces."""
-    out: list[str | None] = []
-    for i, part in enumerate(re.split(r"\{\{[^}]*\}\}", text)):
-        out += [None] * (i > 0) + [part] * bool(part)
-    return out
-
-
-def _template(text: str) -> list[str | None]:
-    out, at = [], 0
-    while (hole := text.find("${", at)) >= 0:
-        out += [*(_literal(text[at:hole]) if hole > at else []), None]
-        at = _closed(text, hole + 2)
-    return out + (_literal(text[at:]) if at < len(text) else [])
-
-
-def url_pieces(expression: str) -> list[str | None]:
-    """Literal texts and None for each hole of a URL expression, as concatenated."""
-    out: list[str | None] = []
-    at = 0
-    while at < len(expression):
-        if expression[at].isspace() or expression[at] == "+":
-            at += 1
-            continue
-        if expression[at] == "`":
-            # a template ends at the first backtick outside its holes
-            end = at + 1
-            while end < len(expression) and expression[end] != "`":
-                end = _closed(expression, end + 2) if expression.startswith("${", end) else end + 1
-            out += _template(expression[at + 1 : end])
-            at = end + 1
-            continue
-        m = _PIECE.match(expression, at)
-        if m["hole"]:
-            at = _closed(expression, at + 2)
-            at += expression.startswith("}", at)
-            out.append(None)
-            continue
-        if m["code"] is not None:
-            out += [None] * bool(m["code"].strip())
-        else:
-            out += _literal(next(x for x in (m["single"], m["double"]) if x is not None))
-        at = m.end()
-    return out
-
-
 def url_route(expression: str | None) -> tuple[str | None, bool]:
-    """(route, whether a leading base URL was dropped); no route for what has no path."""
-    pieces = url_pieces(expression or "")
-    dropped = bool(pieces) and pieces[0] is None
-    joined = "".join(_HOLE if p is None else p for p in pieces[dropped:])
-    if "/" not in joined:
+    """(route, whether a leading base URL was dropped); no route for what has no path.
+
+    Holes are folded to one character each, from the outside, so that quotes inside them don't matter; what is left
+    are quoted texts, taken as they are, and code, each run of which is a hole.
+    """
+    url = "".join((_MARK if code.strip() else "") if code else quoted for _, quoted, code in _OPERANDS.findall(_HOLES.sub(_MARK, expression or "")))
+    dropped = url.startswith(_MARK)
+    path = url.removeprefix(_MARK)
+    if "/" not in path:
         return None, dropped
-    route = joined.split("?")[0].strip("/").lower()
-    return route or None, dropped
+    return path.partition("?")[0].strip("/").lower().replace(_MARK, _HOLE) or None, dropped
 
 
 @F.pandas_udf(T.StructType([T.StructField("route", T.StringType()), T.StructField("dropped", T.BooleanType())]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,13 +13,19 @@ from pyspark.sql import functions as F
 # Folders that hold no code of the application, below the root.
 SKIPPED = ["node_modules", "dist", "bin", "obj"]
 
-# What a call, a script block, a method field and a URL field look like.
-_CALL = re.compile(r"(?<![\w$])(?:\$|jQuery)\.(ajax|getJSON|get|post)\s*\(")
-_SCRIPT = re.compile(r"<script\b[^>]*>(.*?)</script\s*>", re.I | re.S)
-_METHOD = re.compile(r"""(?:type|method)\s*:\s*['"](\w+)['"]""")
-_URL = re.compile(r"url\s*:\s*")
-#: A quoted string, or one character that opens, closes or separates.
-_TOKEN = re.compile(r"""'(?:[^'\\]|\\.)*'?|"(?:[^"\\]|\\.)*"?|`(?:[^`\\]|\\.)*`?|[()\[\]{},]""", re.S)
+# The request methods of jQuery and the verbs that they imply.
+VERBS = {"ajax": "GET", "get": "GET", "getJSON": "GET", "post": "POST"}
+#: What a script is made of: gaps, texts, names, and single marks.
+_LEXEMES = re.compile(r"""(?P<gap>\s+|//[^\n]*|/\*.*?\*/)|(?P<text>"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?)|(?P<name>[\w$]+)|(?P<mark>.)""", re.S)
+_PLAIN = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@dataclass
+class Lexeme:
+    kind: str
+    text: str
+    start: int
+    end: int
 
 
 def counts(path: Column) -> Column:
@@ -33,73 +40,84 @@ def counts(path: Column) -> Column:
 
 def script_only(text: str) -> str:
     """A view's text with all but its scripts blanked; lines stay where they are."""
-    out, at = [], 0
-    blank = lambda s: re.sub(r"[^\r\n]", " ", s)
-    for m in _SCRIPT.finditer(text):
-        out += [blank(text[at : m.start(1)]), m[1]]
-        at = m.end(1)
+    low, out, at = text.translate(_PLAIN), [], 0
+    blank = lambda s: "".join(c if c in "\r\n" else " " for c in s)
+    while (tag := low.find("<script", at)) >= 0:
+        begin = low.find(">", tag) + 1
+        end = low.find("</script", begin)
+        if not begin or end < 0:
+            break
+        is_tag = not low[tag + 7].isalnum()
+        out += [blank(text[at:begin]), text[begin:end] if is_tag else blank(text[begin:end])]
+        at = end
     return "".join([*out, blank(text[at:])])
 
 
-def value_end(text: str, at: int) -> tuple[int, bool]:
-    """Where the value that begins at `at` ends, and whether something ended it: a comma or the bracket around it."""
+def lexemes(source: str) -> list[Lexeme]:
+    return [Lexeme(m.lastgroup, m[0], m.start(), m.end()) for m in _LEXEMES.finditer(source) if m.lastgroup != "gap"]
+
+
+def parts(tokens: list[Lexeme], at: int) -> tuple[list[list[Lexeme]], bool]:
+    """What a bracket that opened before `at` holds, cut at its own commas, and whether it closes."""
+    out: list[list[Lexeme]] = [[]]
     depth = 0
-    for m in _TOKEN.finditer(text, at):
-        c = m[0]
-        if c in "([{":
-            depth += 1
-        elif c in ")]}":
-            if not depth:
-                return m.start(), True
-            depth -= 1
-        elif c == "," and not depth:
-            return m.start(), True
-    return len(text), False
-
-
-def inside(text: str, at: int) -> str | None:
-    """The text up to the bracket that closes the one before `at`; None where none does."""
-    while True:
-        end, ended = value_end(text, at if at >= 0 else 0)
-        if not ended:
-            return None
-        if text[end] != ",":
-            return text[at:end]
-        rest = inside(text, end + 1)
-        return None if rest is None else text[at : end + 1] + rest
-
-
-def arguments(kind: str, body: str) -> tuple[str, str | None]:
-    """(verb, URL expression or None) of a call's arguments."""
-    end, ended = value_end(body, 0)
-    first = body[:end].strip()
-    if kind != "ajax":
-        return ("POST" if kind == "post" else "GET"), first or None
-    settings, url = "", None
-    if first.startswith("{"):
-        settings = body
-        if m := _URL.search(body):
-            url = body[m.end() : value_end(body, m.end())[0]].strip() or None
-    elif ended:
-        settings, url = body[end + 1 :], first or None
-    elif re.search(r"['\"`]", first):
-        url = first
-    m = _METHOD.search(settings)
-    return (m[1].upper() if m else "GET"), url
+    for t in tokens[at:]:
+        if t.kind == "mark":
+            if t.text in ")]}":
+                if not depth:
+                    return out, True
+                depth -= 1
+            elif t.text in "([{":
+                depth += 1
+            elif t.text == "," and not depth:
+                out.append([])
+                continue
+        out[-1].append(t)
+    return out, False
+
+
+def fields(value: list[Lexeme]) -> dict[str, list[Lexeme]]:
+    """The fields of an object literal by name, the first of each; none of anything else."""
+    out: dict[str, list[Lexeme]] = {}
+    if value and value[0].text == "{":
+        for part in parts(value, 1)[0]:
+            if len(part) > 2 and part[1].text == ":":
+                out.setdefault(part[0].text.strip("'\""), part[2:])
+    return out
+
+
+def request(method: str, given: list[list[Lexeme]]) -> tuple[str, list[Lexeme] | None]:
+    """(verb, URL expression) of a call: jQuery.ajax takes (url, settings) or (settings), the others (url, ...)."""
+    first = given[0]
+    if method != "ajax":
+        return VERBS[method], first
+    settings = fields(first) or (fields(given[1]) if len(given) > 1 else {})
+    named = settings.get("type") or settings.get("method") or []
+    verb = named[0].text.strip("'\"").upper() if len(named) == 1 and named[0].kind == "text" else VERBS[method]
+    if first and first[0].text == "{":
+        return verb, settings.get("url")
+    # a lone name is settings made elsewhere
+    return verb, first if len(given) > 1 or any(t.kind == "text" for t in first) else None
 
 
 def calls_in(text: str, view: bool) -> Iterator[tuple[int, str, str | None, str | None]]:
-    """(line, verb, URL expression, reason why it can't be resolved) of each jQuery call."""
+    """(line, verb, URL expression, reason why it can't be resolved) of each jQuery call, those of ajax first."""
     source = script_only(text) if view else text
-    found = sorted(_CALL.finditer(source), key=lambda m: (m[1] != "ajax", m.start()))
-    for m in found:
-        line = source.count("\n", 0, m.start()) + 1
-        body = inside(source, m.end())
-        verb, url = arguments(m[1], body) if body is not None else ("POST" if m[1] == "post" else "GET", None)
+    tokens = lexemes(source)
+    found = []
+    for i in range(len(tokens) - 3):
+        a, dot, name, bracket = tokens[i : i + 4]
+        if a.text in ("$", "jQuery") and dot.text == "." and name.text in VERBS and bracket.text == "(":
+            found.append((name.text != "ajax", i, a, name.text))
+    for _, i, a, method in sorted(found, key=lambda x: x[:2]):
+        given, closed = parts(tokens, i + 4)
+        verb, value = request(method, given) if closed else (VERBS[method], None)
+        url = source[value[0].start : value[-1].end] if value else None
         reason = None if url else "no URL"
         if url and view and "@" in url:
-            reason = "a routing helper's URL" if re.search(r"@\(?Url\.(Action|RouteUrl)", url) else "a Razor expression"
-        yield line, verb, url, reason
+            helper = url.replace("@(", "@").partition("@Url.")[2]
+            reason = "a routing helper's URL" if helper.startswith(("Action", "RouteUrl")) else "a Razor expression"
+        yield source.count("\n", 0, a.start) + 1, verb, url, reason
 
 
 def scan(files: DataFrame) -> DataFrame:
