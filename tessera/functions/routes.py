@@ -76,3 +76,40 @@ def feature(path: Column, app_dir: str) -> Column:
     starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts) - len(app) + 1, F.lit(1))), lambda i: F.transform(F.slice(parts, i, len(app)), F.lower) == wanted)
     after = F.get(starts, 0) - 1 + len(app)
     return F.when((F.size(starts) > 0) & (after < F.size(parts) - 1), F.get(parts, after)).otherwise(first)
+
+
+# The verbs that a method's name may begin with.
+VERB_NAMES = ["Get", "Post", "Put", "Delete", "Patch", "Head", "Options"]
+
+
+def composed_route(prefix: Column, template: Column) -> Column:
+    """A type's route and a member's: one slash between them; a member's absolute template (from / or ~/) stands alone."""
+    own, outer = F.coalesce(template, F.lit("")), F.btrim(F.coalesce(prefix, F.lit("")), F.lit("/"))
+    absolute = own.startswith("/") | own.startswith("~/")
+    both = F.concat_ws("/", F.when(outer != "", outer), F.when(F.btrim(own, F.lit("/")) != "", F.btrim(own, F.lit("/"))))
+    return F.when(absolute, F.btrim(F.ltrim(own, F.lit("~")), F.lit("/"))).otherwise(both)
+
+
+def filled_route(route: Column, controller: Column, action: Column, area: Column, drop_async: bool = True) -> Column:
+    """The route with its tokens in square brackets, in any case, replaced: a controller without that ending, an action without Async."""
+    name = F.when((F.length(controller) > 10) & controller.endswith("Controller"), F.left(controller, F.length(controller) - 10)).otherwise(controller)
+    method = F.when((F.length(action) > 5) & action.endswith("Async"), F.left(action, F.length(action) - 5)).otherwise(action) if drop_async else action
+    out = route
+    for token, value in (("controller", name), ("action", method), ("area", area)):
+        plain = F.replace(F.replace(F.coalesce(value, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+        out = F.regexp_replace(out, F.lit(rf"(?i)\[{token}\]"), plain)
+    return out
+
+
+def verb_by_name(method: Column) -> Column:
+    """The verb that a method's name begins with, in any case; POST if with none."""
+    out = F.lit("POST")
+    for v in reversed(VERB_NAMES):
+        out = F.when(F.startswith(F.lower(method), F.lit(v.lower())), v.upper()).otherwise(out)
+    return F.coalesce(out, F.lit("POST"))
+
+
+def is_inside(path: Column, folder: str) -> Column:
+    """Whether a path is the folder or below it, in any case and with either slash."""
+    plain = F.concat(F.rtrim(F.lower(F.translate(path, "\\", "/")), F.lit("/")), F.lit("/"))
+    return F.startswith(plain, F.lit(folder.replace("\\", "/").lower().rstrip("/") + "/"))

@@ -36,6 +36,20 @@ def reverse_reach(edges: DataFrame, roots: DataFrame, depth: int, source: str =
     return visited.drop("place")
 
 
+def reach_depths(edges: DataFrame, roots: DataFrame, depth: int, source: str = "from", target: str = "to", root_id: str = "id") -> DataFrame:
+    """(id, depth) of reverse_reach(), for those who don't ask for ways: no path travels, and targets are made distinct before they meet what is known."""
+    arrows = edges.select(F.col(source).alias("id"), F.col(target).alias("to_id"))
+    newest = cut(roots.select(F.col(root_id).alias("id")).distinct().withColumn("depth", F.lit(0)), "reach")
+    visited = newest
+    for level in range(1, depth + 1):
+        met = newest.select(F.col("id").alias("to_id")).join(arrows, "to_id").select("id").distinct()
+        newest = cut(met.join(visited.select("id"), "id", "left_anti").withColumn("depth", F.lit(level)), "reach")
+        if newest.isEmpty():
+            break
+        visited = visited.union(newest)
+    return visited
+
+
 def edges_used(edges: DataFrame, reached: DataFrame, depth: int, target: str = "to") -> DataFrame:
     """Edges whose target is reached at less than `depth`, parallel and cyclic ones included."""
     open_ = reached.where(F.col("depth") < depth).select(F.col("id").alias(target))

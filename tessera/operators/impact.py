@@ -11,11 +11,16 @@ from tessera.functions.text import display_name, is_test_project, strip_prefix
 from tessera.lineage import cut
 from tessera.operators import graph
 
-#: Confirmed entry points above which a symbol is a hub.
-HUB = 30
+#: Confirmed entry points above which a symbol is a hub; depths that may be asked for.
+HUB, LEAST_DEPTH, MOST_DEPTH = 30, 1, 10
 EXPANSIONS = ["interface", "mediatr", "override"]
 
 
+def clamped(depth: int) -> int:
+    """A depth within what may be asked for."""
+    return max(LEAST_DEPTH, min(MOST_DEPTH, depth))
+
+
 def first_rows(df: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
     """The first row of each key in source order."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(seq))).where("__n = 1").drop("__n")
@@ -147,6 +152,17 @@ def impact(index, symbol: str, depth: int = 5) -> Impact:
     )
 
 
+def by_group_size(rows: DataFrame, group: str = "project", order: tuple[str, ...] = ("depth", "display")) -> DataFrame:
+    """rows with the size of their group, the largest groups first, then by group and within it in order."""
+    sizes = rows.groupBy(group).agg(F.count("*").alias("in_group"))
+    return rows.join(sizes, group).orderBy(F.desc("in_group"), group, *order)
+
+
+def sampled(rows: DataFrame, n: int, seed: int = 1, key: str = "id") -> DataFrame:
+    """n rows, the same for the same seed: those of least hash of their key."""
+    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+
+
 def nearest_path(nodes: DataFrame) -> DataFrame:
     """The path of the closest entry point; where there is none, of the nearest caller that isn't classified."""
     order = F.struct(F.when(F.col("bucket") == "entry", 0).otherwise(1).alias("r"), "depth", "project", "display")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.lineage import cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,6 +55,10 @@ class Lens:
             out = out.union(p)
         return out
 
+    def kept_edges(self) -> DataFrame:
+        """edges(), written once: loops read a table of edges, not six views of the base tables."""
+        return cut(self.edges(), "edges")
+
     def edges(self) -> DataFrame:
         def rows(df, a, a_key, b, b_key, kind, via, file, line, seq):
             return df.select(

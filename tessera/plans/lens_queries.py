@@ -41,12 +41,12 @@ REACH = f"""walk AS (
 
 @query("SELECT id, depth FROM reached", sql.EDGES_SQL, REACH)
 def reverse_reach_depth(v: Lens) -> DataFrame:
-    return graph.reverse_reach(v.edges(), root(v), DEPTH).select("id", "depth")
+    return graph.reach_depths(v.kept_edges(), root(v), DEPTH)
 
 
 @query("SELECT kind, depth, count(*) AS n FROM reached JOIN symbols USING (id) GROUP BY kind, depth", sql.SYMBOLS_SQL, sql.EDGES_SQL, REACH)
 def reach_by_kind(v: Lens) -> DataFrame:
-    reached = graph.reverse_reach(v.edges(), root(v), DEPTH).select("id", "depth")
+    reached = graph.reach_depths(v.kept_edges(), root(v), DEPTH)
     return reached.join(v.symbols().select("id", "kind"), "id").groupBy("kind", "depth").agg(F.count("*").alias("n"))
 
 
@@ -59,7 +59,7 @@ BUCKETS = """bucketed AS (
 
 @query("SELECT id, depth, project, display, bucket FROM bucketed", sql.SYMBOLS_SQL, sql.EDGES_SQL, sql.ENTRIES_SQL, REACH, BUCKETS)
 def reach_bucketed(v: Lens) -> DataFrame:
-    reached = graph.reverse_reach(v.edges(), root(v), DEPTH)
+    reached = graph.reach_depths(v.kept_edges(), root(v), DEPTH)
     return impact.buckets(reached, v.symbols(), v.entry_points()).select("id", "depth", "project", "display", "bucket")
 
 
@@ -70,8 +70,8 @@ def reach_bucketed(v: Lens) -> DataFrame:
     REACH,
 )
 def edges_used_via_counts(v: Lens) -> DataFrame:
-    edges = v.edges()
-    return impact.via_counts(graph.edges_used(edges, graph.reverse_reach(edges, root(v), DEPTH), DEPTH))
+    edges = v.kept_edges()
+    return impact.via_counts(graph.edges_used(edges, graph.reach_depths(edges, root(v), DEPTH), DEPTH))
 
 
 @query(
@@ -93,8 +93,8 @@ used AS (
 
 
 def confirmed_used(v: Lens) -> tuple[DataFrame, DataFrame]:
-    edges, symbols = v.edges(), v.symbols()
-    reached = graph.reverse_reach(edges, root(v), DEPTH)
+    edges, symbols = v.kept_edges(), v.symbols()
+    reached = graph.reach_depths(edges, root(v), DEPTH)
     used = impact.with_confirmation(graph.edges_used(edges, reached, DEPTH), symbols, impact.confirmed_types(v.di()), sites=edges)
     return reached, used
 
@@ -121,7 +121,7 @@ class _LensIndex:
 
     def __init__(self, v: Lens):
         spark = v.spark
-        self.symbols, self.edges, self.entry_points, self.di_confirmed = v.symbols(), v.edges(), v.entry_points(), v.di()
+        self.symbols, self.edges, self.entry_points, self.di_confirmed = v.symbols(), v.kept_edges(), v.entry_points(), v.di()
         self.frontend_calls = v.frontend_calls()
         self.api_links = link.link(v.entry_points(), v.frontend_calls()).links
         self.tickets = spark.createDataFrame([], "ticket string, date string, files array<string>")
@@ -142,21 +142,6 @@ def impact_summary(v: Lens) -> DataFrame:
     return impact.impact(_LensIndex(v), ROOT, DEPTH).summary
 
 
-@query(
-    f"""SELECT id, depth, array_to_string(path, '>') AS path FROM (
-    SELECT id, depth, path, row_number() OVER (PARTITION BY id ORDER BY depth, place) AS n FROM ways) WHERE n = 1""",
-    "few AS (SELECT * FROM edges WHERE src LIKE 'N:%' OR src LIKE 'C:%' OR src LIKE 'S:%')",
-    f"""ways AS (SELECT '{ROOT}' AS id, 0 AS depth, ['{ROOT}'] AS path, []::BIGINT[] AS place
-    UNION ALL SELECT e.src, w.depth + 1, list_append(w.path, e.src), list_append(w.place, e.seq) FROM ways w JOIN few e ON e.dst = w.id WHERE w.depth < {DEPTH})""",
-)
-def shortest_path(v: Lens) -> DataFrame:
-    few = v.edges().where("`from` rlike '^[NCS]:'")
-    return graph.reverse_reach(few, root(v), DEPTH).select("id", "depth", F.array_join("path", ">").alias("path"))
-
-
-ORACLES["shortest_path"] = ORACLES["shortest_path"].replace("WITH RECURSIVE ", "WITH RECURSIVE " + sql.EDGES_SQL + ", ", 1)
-
-
 @query(
     """SELECT id, depth, array_to_string(path, '>') AS path FROM (
     SELECT id, depth, path, row_number() OVER (PARTITION BY id ORDER BY depth) AS n FROM ways) WHERE n = 1""",
@@ -164,52 +149,32 @@ ORACLES["shortest_path"] = ORACLES["shortest_path"].replace("WITH RECURSIVE ", "
     # of the ways of one length to a node, only the first can begin a first way further on
     f"""ways AS (SELECT '{ROOT}' AS id, 0 AS depth, ['{ROOT}'] AS path, []::BIGINT[] AS place
     UNION ALL SELECT id, depth, path, place FROM (
-      SELECT e.src AS id, w.depth + 1 AS depth, list_append(w.path, e.src) AS path, list_append(w.place, e.seq) AS place, row_number() OVER (PARTITION BY e.src ORDER BY list_append(w.place, e.seq)) AS n
+      SELECT e.src AS id, w.depth + 1 AS depth, list_append(w.path, e.src) AS path, list_append(w.place, e.seq) AS place, row_number() OVER (PARTITION BY e.src ORDER BY list_append(w.place, e.seq), w.id, w.path) AS n
       FROM ways w JOIN edges e ON e.dst = w.id WHERE w.depth < {DEPTH}) WHERE n = 1)""",
 )
-def shortest_path_whole(v: Lens) -> DataFrame:
-    """shortest_path over all edges."""
-    return graph.reverse_reach(v.edges(), root(v), DEPTH).select("id", "depth", F.array_join("path", ">").alias("path"))
+def shortest_path(v: Lens) -> DataFrame:
+    return graph.reverse_reach(v.kept_edges(), root(v), DEPTH).select("id", "depth", F.array_join("path", ">").alias("path"))
 
 
 def nation_members(v: Lens) -> DataFrame:
     return v.t("supplier").select(F.concat(F.lit("N:"), F.col("s_nationkey").cast("string")).alias("iface_member"), F.concat(F.lit("S:"), F.col("s_suppkey").cast("string")).alias("impl_member"))
 
 
-@query(
-    """SELECT src AS "from", 'S:' || s_suppkey AS "to", 'call' AS kind, file, line, 'interface' AS via FROM edges JOIN supplier ON dst = 'N:' || s_nationkey WHERE kind = 'call' AND src LIKE 'S:%'""",
-    sql.EDGES_SQL,
-)
-def interface_expand(v: Lens) -> DataFrame:
-    return scan_passes.interface_edges(v.edges().where("`from` like 'S:%'"), nation_members(v))
-
-
 @query(
     """SELECT src AS "from", 'S:' || s_suppkey AS "to", 'call' AS kind, file, line, 'interface' AS via FROM edges JOIN supplier ON dst = 'N:' || s_nationkey WHERE kind = 'call'""",
     sql.EDGES_SQL,
 )
-def interface_expand_whole(v: Lens) -> DataFrame:
-    """interface_expand for all callers."""
+def interface_expand(v: Lens) -> DataFrame:
     return scan_passes.interface_edges(v.edges(), nation_members(v))
 
 
-@query("""SELECT 'O:' || o_orderkey AS "from", 'S:' || s_suppkey AS "to", 'call' AS kind, 'O.cs' AS file, (o_orderkey % 100)::INT AS line, 'mediatr' AS via FROM orders JOIN supplier ON o_custkey % 10 = s_suppkey % 10 WHERE o_orderpriority = '2-HIGH' AND s_acctbal > 9000""")
+@query("""SELECT 'O:' || o_orderkey AS "from", 'S:' || s_suppkey AS "to", 'call' AS kind, 'O.cs' AS file, (o_orderkey % 100)::INT AS line, 'mediatr' AS via FROM orders JOIN supplier ON o_custkey % 10 = s_suppkey % 10""")
 def mediator_expand(v: Lens) -> DataFrame:
-    sends = v.t("orders").where("o_orderpriority = '2-HIGH'").select(F.concat(F.lit("O:"), F.col("o_orderkey").cast("string")).alias("from"), (F.col("o_custkey") % 10).alias("request"), F.lit("O.cs").alias("file"), (F.col("o_orderkey") % 100).cast("int").alias("line"))
-    handlers = v.t("supplier").where("s_acctbal > 9000").select((F.col("s_suppkey") % 10).alias("request"), F.concat(F.lit("S:"), F.col("s_suppkey").cast("string")).alias("handler"))
+    sends = v.t("orders").select(F.concat(F.lit("O:"), F.col("o_orderkey").cast("string")).alias("from"), (F.col("o_custkey") % 10).alias("request"), F.lit("O.cs").alias("file"), (F.col("o_orderkey") % 100).cast("int").alias("line"))
+    handlers = v.t("supplier").select((F.col("s_suppkey") % 10).alias("request"), F.concat(F.lit("S:"), F.col("s_suppkey").cast("string")).alias("handler"))
     return scan_passes.mediator_edges(sends, handlers)
 
 
-@query(
-    """SELECT DISTINCT 'C:' || c_custkey AS "from", b.node AS "to", 'call' AS kind, 'C.cs' AS file, (c_custkey % 100)::INT AS line, 'override' AS via
-    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN below b ON b.start = 'R:' || n_regionkey JOIN pairs p ON p.b = b.node AND p.type = n_name WHERE c_custkey % 3 = 0""",
-    """pairs AS (SELECT 'R:' || n_regionkey AS a, 'N:' || n_nationkey AS b, n_name AS type FROM nation UNION ALL SELECT 'N:' || s_nationkey, 'S:' || s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 5 = 0)""",
-    """below AS (SELECT 'R:' || r_regionkey AS start, 'R:' || r_regionkey AS node FROM region UNION SELECT w.start, p.b FROM below w JOIN pairs p ON p.a = w.node)""",
-)
-def override_expand(v: Lens) -> DataFrame:
-    return overrides(v, v.t("supplier").where("s_suppkey % 5 = 0"), v.t("customer").where("c_custkey % 3 = 0"))
-
-
 def overrides(v: Lens, supplier: DataFrame, customer: DataFrame) -> DataFrame:
     nation = v.t("nation")
     name = lambda letter, c: F.concat(F.lit(f"{letter}:"), F.col(c).cast("string"))
@@ -226,8 +191,7 @@ def overrides(v: Lens, supplier: DataFrame, customer: DataFrame) -> DataFrame:
     """pairs AS (SELECT 'R:' || n_regionkey AS a, 'N:' || n_nationkey AS b, n_name AS type FROM nation UNION ALL SELECT 'N:' || s_nationkey, 'S:' || s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)""",
     """below AS (SELECT 'R:' || r_regionkey AS start, 'R:' || r_regionkey AS node FROM region UNION SELECT w.start, p.b FROM below w JOIN pairs p ON p.a = w.node)""",
 )
-def override_expand_whole(v: Lens) -> DataFrame:
-    """override_expand of all suppliers for all customers."""
+def override_expand(v: Lens) -> DataFrame:
     return overrides(v, v.t("supplier"), v.t("customer"))
 
 
@@ -238,35 +202,35 @@ def implicit_constructors(v: Lens) -> DataFrame:
 
 @query(
     """SELECT service, array_to_string(list(DISTINCT impl ORDER BY impl), ',') AS impls FROM (
-    SELECT 'N:' || s_nationkey AS service, 'S:' || (s_suppkey % 40) AS impl FROM supplier UNION ALL SELECT 'N:' || c_nationkey, 'S:' || (c_custkey % 40) FROM customer WHERE c_acctbal > 5000) GROUP BY service"""
+    SELECT 'N:' || s_nationkey AS service, 'S:' || (s_suppkey % 40) AS impl FROM supplier UNION ALL SELECT 'N:' || c_nationkey, 'S:' || (c_custkey % 40) FROM customer) GROUP BY service"""
 )
 def di_map(v: Lens) -> DataFrame:
     name = lambda letter, c: F.concat(F.lit(f"{letter}:"), c.cast("string"))
     one = v.t("supplier").select(name("N", F.col("s_nationkey")).alias("service"), name("S", F.col("s_suppkey") % 40).alias("impl"))
-    two = v.t("customer").where("c_acctbal > 5000").select(name("N", F.col("c_nationkey")).alias("service"), name("S", F.col("c_custkey") % 40).alias("impl"))
+    two = v.t("customer").select(name("N", F.col("c_nationkey")).alias("service"), name("S", F.col("c_custkey") % 40).alias("impl"))
     return scan_passes.di_map(one, two).select("service", F.array_join("impls", ",").alias("impls"))
 
 
 @query(
     """SELECT a.impl, a.service AS attribute_service, array_to_string(f.services, ',') AS fluent_services
     FROM (SELECT 'S:' || l_suppkey AS impl, arg_min('P:' || (l_partkey % 7), l_orderkey * 8 + l_linenumber) AS service FROM lineitem GROUP BY l_suppkey) a
-    JOIN (SELECT 'S:' || l_suppkey AS impl, list(DISTINCT 'P:' || (l_partkey % 7) ORDER BY 'P:' || (l_partkey % 7)) AS services FROM lineitem WHERE l_quantity > 49 GROUP BY l_suppkey) f ON a.impl = f.impl
+    JOIN (SELECT 'S:' || s_suppkey AS impl, list(DISTINCT 'P:' || (s_nationkey % 7) ORDER BY 'P:' || (s_nationkey % 7)) AS services FROM supplier GROUP BY s_suppkey) f ON a.impl = f.impl
     WHERE NOT list_contains(f.services, a.service)"""
 )
 def di_conflict(v: Lens) -> DataFrame:
     item = v.t("lineitem")
     name = lambda letter, c: F.concat(F.lit(f"{letter}:"), c.cast("string"))
     rows = [F.expr("l_orderkey * 8 + l_linenumber").alias("seq"), name("P", F.col("l_partkey") % 7).alias("service"), name("S", F.col("l_suppkey")).alias("impl")]
-    found = scan_passes.di_conflicts(item.select(*rows), item.where("l_quantity > 49").select(*rows))
+    found = scan_passes.di_conflicts(item.select(*rows), v.t("supplier").select(name("P", F.col("s_nationkey") % 7).alias("service"), name("S", F.col("s_suppkey")).alias("impl")))
     return found.select("impl", "attribute_service", F.array_join("fluent_services", ",").alias("fluent_services"))
 
 
 @query(
-    """SELECT id, n AS projects, first_project FROM (SELECT 'P:' || (l_partkey % 500) AS id, count(DISTINCT l_suppkey % 3) AS n, arg_min('prj' || (l_suppkey % 3), l_orderkey * 8 + l_linenumber) AS first_project
-    FROM lineitem WHERE l_quantity = 1 GROUP BY l_partkey % 500) WHERE n > 1"""
+    """SELECT id, n AS projects, first_project FROM (SELECT 'P:' || (l_partkey % 500) AS id, count(DISTINCT l_suppkey % 3) AS n, first('prj' || (l_suppkey % 3) ORDER BY l_orderkey * 8 + l_linenumber, 'prj' || (l_suppkey % 3)) AS first_project
+    FROM lineitem GROUP BY l_partkey % 500) WHERE n > 1"""
 )
 def duplicate_ids(v: Lens) -> DataFrame:
-    item = v.t("lineitem").where("l_quantity = 1")
+    item = v.t("lineitem")
     symbols = item.select(F.concat(F.lit("P:"), (F.col("l_partkey") % 500).cast("string")).alias("id"), F.concat(F.lit("prj"), (F.col("l_suppkey") % 3).cast("string")).alias("project"), F.lit("f").alias("file"), F.expr("l_orderkey * 8 + l_linenumber").alias("seq"))
     return scan_passes.duplicate_ids(symbols).select("id", F.size("projects").cast("long").alias("projects"), F.get("projects", 0).alias("first_project"))
 
@@ -295,19 +259,6 @@ def ticket_rollup(v: Lens) -> DataFrame:
 RENAMES = "renames AS (SELECT l_orderkey AS seq, 'f' || (l_partkey % 400) AS old, 'f' || (l_partkey % 400 + 1) AS new FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1)"
 
 
-@query(
-    """SELECT seq, path, now FROM (SELECT seq, path, now, row_number() OVER (PARTITION BY seq, path ORDER BY hops DESC) AS n FROM chain) WHERE n = 1""",
-    RENAMES,
-    "asked AS (SELECT DISTINCT l_orderkey AS seq, 'f' || (l_partkey % 400) AS path FROM lineitem WHERE l_linenumber = 2 AND l_orderkey % 10 = 0)",
-    """chain AS (SELECT seq, path, path AS now, seq AS at_seq, 0 AS hops FROM asked
-    UNION ALL SELECT seq, path, new, next_seq, hops + 1 FROM (
-      SELECT c.seq, c.path, c.hops, r.new, r.seq AS next_seq, row_number() OVER (PARTITION BY c.seq, c.path, c.hops ORDER BY r.seq DESC) AS n
-      FROM chain c JOIN renames r ON r.old = c.now AND r.seq < c.at_seq) WHERE n = 1)""",
-)
-def rename_resolve(v: Lens) -> DataFrame:
-    return renamed(v, v.t("lineitem").where("l_linenumber = 2 and l_orderkey % 10 = 0"))
-
-
 def renamed(v: Lens, asked: DataFrame) -> DataFrame:
     file = lambda k: F.concat(F.lit("f"), k.cast("string"))
     number = F.col("l_partkey") % 400
@@ -324,8 +275,7 @@ def renamed(v: Lens, asked: DataFrame) -> DataFrame:
       SELECT c.seq, c.path, c.hops, r.new, r.seq AS next_seq, row_number() OVER (PARTITION BY c.seq, c.path, c.hops ORDER BY r.seq DESC) AS n
       FROM chain c JOIN renames r ON r.old = c.now AND r.seq < c.at_seq) WHERE n = 1)""",
 )
-def rename_resolve_whole(v: Lens) -> DataFrame:
-    """rename_resolve for the path of every line item."""
+def rename_resolve(v: Lens) -> DataFrame:
     return renamed(v, v.t("lineitem"))
 
 
@@ -456,12 +406,12 @@ def features_by_endpoint(v: Lens) -> DataFrame:
 
 @query(
     """SELECT o_orderkey AS seq, coalesce(CASE WHEN o_orderstatus = 'P' THEN '' ELSE array_to_string(i.injectors, ',') END, '') AS injectors
-    FROM orders LEFT JOIN (SELECT service, list(injector ORDER BY s) AS injectors FROM (SELECT l_partkey % 50 AS service, l_suppkey % 20 AS injector, min(l_orderkey * 8 + l_linenumber) AS s FROM lineitem WHERE l_quantity > 45 GROUP BY ALL) GROUP BY service) i
+    FROM orders LEFT JOIN (SELECT service, list(injector ORDER BY s, injector::VARCHAR) AS injectors FROM (SELECT l_partkey % 50 AS service, l_suppkey % 20 AS injector, min(l_orderkey * 8 + l_linenumber) AS s FROM lineitem GROUP BY ALL) GROUP BY service) i
     ON o_custkey % 60 = i.service"""
 )
 def injected_by(v: Lens) -> DataFrame:
     calls = v.t("orders").select(F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 60).alias("service"), (F.col("o_orderstatus") == "P").alias("is_component"))
-    injections = v.t("lineitem").where("l_quantity > 45").select(F.expr("l_orderkey * 8 + l_linenumber").alias("seq"), (F.col("l_suppkey") % 20).cast("string").alias("injector"), F.array(F.col("l_partkey") % 50).alias("types"))
+    injections = v.t("lineitem").select(F.expr("l_orderkey * 8 + l_linenumber").alias("seq"), (F.col("l_suppkey") % 20).cast("string").alias("injector"), F.array(F.col("l_partkey") % 50).alias("types"))
     return scan_passes.injected_by(calls, injections).select("seq", F.array_join("injectedBy", ",").alias("injectors"))
 
 
@@ -517,12 +467,12 @@ def capped_entry_points(v: Lens) -> DataFrame:
 
 
 @query(
-    """SELECT file FROM (SELECT 'f' || (l_partkey % 900) AS file FROM lineitem WHERE l_quantity < 2 UNION SELECT 'f' || (l_suppkey % 900) FROM lineitem WHERE l_quantity > 49) WHERE file IN (SELECT 'f' || (p_partkey % 900) FROM part WHERE p_size < 10)"""
+    """SELECT file FROM (SELECT 'f' || (l_partkey % 900) AS file FROM lineitem UNION SELECT 'f' || (l_suppkey % 900) FROM lineitem) WHERE file IN (SELECT 'f' || (p_size % 900) FROM part)"""
 )
 def changed_files(v: Lens) -> DataFrame:
     name = lambda c: F.concat(F.lit("f"), (F.col(c) % 900).cast("string")).alias("file")
     item = v.t("lineitem")
-    return status.changed_files(item.where("l_quantity < 2").select(name("l_partkey")), item.where("l_quantity > 49").select(name("l_suppkey")), v.t("part").where("p_size < 10").select(name("p_partkey")))
+    return status.changed_files(item.select(name("l_partkey")), item.select(name("l_suppkey")), v.t("part").select(name("p_size")))
 
 
 AUDIT = """sites AS (SELECT e.src, e.file, e.line, e.dst, s.containing, s.containing IN (SELECT substr(impl, 3) FROM di) AS bound FROM edges e JOIN symbols s ON e.dst = s.id WHERE e.kind = 'call' AND e.via = 'interface'),
@@ -643,7 +593,7 @@ def blind_spots(v: Lens) -> DataFrame:
     sql.SYMBOLS_SQL, sql.EDGES_SQL, sql.ENTRIES_SQL, REACH, BUCKETS,
 )
 def nearest_path(v: Lens) -> DataFrame:
-    reached = graph.reverse_reach(v.edges(), root(v), DEPTH)
+    reached = graph.reverse_reach(v.kept_edges(), root(v), DEPTH)
     return impact.nearest_path(impact.buckets(reached, v.symbols(), v.entry_points())).select("id", "depth", "display")
 
 

@@ -36,6 +36,22 @@ def test_reverse_reach_is_queue_order(spark, seed):
         assert x["path"][0] == "n0" and x["path"][-1] == x["id"] and len(x["path"]) == x["depth"] + 1
 
 
+def test_depths_alone_are_those_of_the_ways(spark):
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}", i) for i, (a, b) in enumerate([(1, 0), (2, 0), (2, 1), (3, 2), (0, 3), (4, 3), (5, 4), (4, 3), (1, 1)])], "`from` string, `to` string, seq long")
+    start = spark.createDataFrame([("n0",), ("n0",)], "id string")
+    for depth in (0, 2, 3):
+        want = sorted((r["id"], r["depth"]) for r in graph.reverse_reach(edges, start, depth).collect())
+        assert sorted((r["id"], r["depth"]) for r in graph.reach_depths(edges, start, depth).collect()) == want
+    assert [impact.clamped(d) for d in (-3, 1, 5, 99)] == [1, 1, 5, 10]
+
+
+def test_groups_by_size_and_samples(spark):
+    rows = spark.createDataFrame([(str(i), "ab"[i % 3 == 0], i % 2, f"d{9 - i}") for i in range(9)], "id string, project string, depth int, display string")
+    got = [(r["project"], r["depth"], r["display"]) for r in impact.by_group_size(rows).collect()]
+    assert [p for p, *_ in got] == ["a"] * 6 + ["b"] * 3 and got[:6] == sorted(got[:6])
+    assert impact.sampled(rows, 4).collect() == impact.sampled(rows.repartition(5), 4).collect() and impact.sampled(rows, 4).count() == 4
+
+
 def test_depth_zero_and_unknown_root(spark):
     edges = edges_of(spark, [("B", "A", "call", "f", 1, None)])
     for root, depth in (("A", 0), ("X", 5)):

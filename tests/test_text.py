@@ -53,6 +53,17 @@ def test_backend_routes_and_keys(spark):
     assert got == [["api/orders/{*}"], ["a/{*}/{*}", "a/{*}", "a"], ["home/index", "home"], ["home/index"]]
 
 
+def test_composed_and_filled_routes(spark):
+    rows = [("api/[Controller]/", "{id}", "OrdersController", "GetAsync"), ("api", "/abs/x", "C", "A"), ("api", "~/abs/y/", "C", "A"), (None, "[controller]/[ACTION]", "Controller", "Async"), ("a", None, "B", "C"), ("", "", "B", "C")]
+    df = spark.createDataFrame(rows, "p string, t string, c string, a string")
+    got = df.select(routes.filled_route(routes.composed_route(F.col("p"), F.col("t")), F.col("c"), F.col("a"), F.lit(None).cast("string")).alias("r")).collect()
+    assert [r[0] for r in got] == ["api/Orders/{id}", "abs/x", "abs/y", "Controller/Async", "a", ""]
+    names = spark.createDataFrame([("GetAll",), ("deleteX",), ("Options",), ("Save",), (None,)], "m string")
+    assert [r[0] for r in names.select(routes.verb_by_name(F.col("m"))).collect()] == ["GET", "DELETE", "OPTIONS", "POST", "POST"]
+    paths = spark.createDataFrame([("C:\\\\Src\\\\a.cs".replace("\\\\", "\\"),), ("c:/src",), ("c:/srcs/x",)], "p string")
+    assert [r[0] for r in paths.select(routes.is_inside(F.col("p"), "c:/SRC/")).collect()] == [True, True, False]
+
+
 def test_features(spark):
     df = spark.createDataFrame([("src/app/orders/list.ts",), ("x/SRC/App/admin/y/z.ts",), ("src/app/main.ts",), ("main.ts",), ("legacy\\a.js",)], "p string")
     assert [r[0] for r in df.select(routes.feature(F.col("p"), "src/app")).collect()] == ["orders", "admin", "src", "unknown", "legacy"]
