@@ -189,7 +189,7 @@ def links(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, words: in
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id (least id reachable over links), kept, n_links (verified links of its class), text_key (MD5 of a text with shingles)."""
+    """One row for each row of docs: doc_id, n_shingles, component_id (least id reachable over links), kept, n_links (verified links of its class), text_key (MD5 of a text with shingles), component_key (tells components apart)."""
     rows = materialise(described(docs, doc_id, text, words), "described")
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.min_by("bands", "id").alias("bands"))
     # numbers are written, so they stay as they are
@@ -202,11 +202,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     # a table of its own, so that the join on a hot component can be split
     least = materialise(linked_classes.groupBy("component").agg(F.min("least").alias("component_id")), "least")
-    of_class = linked_classes.join(least, "component").select(F.col("digest").alias("linked"), "component_id", "n_links")
+    of_class = linked_classes.join(least, "component").select(F.col("digest").alias("linked"), "component", "component_id", "n_links")
     alone = classes.select("digest", "least")
     joined = rows.join(alone, "digest", "left").join(of_class, F.col("digest") == F.col("linked"), "left")
     component = F.coalesce("component_id", "least", "id")
-    return joined.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "text_key")
+    # an id may repeat with unlike texts, so it doesn't tell components apart
+    key = F.coalesce(F.col("component").cast("string"), F.hex("digest"))
+    return joined.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "text_key", key.alias("component_key"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -215,7 +217,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     Rows, not ids, are dropped: a text that shares its id with another's is judged by itself. Rows without shingles or id stay.
     """
     found = near_duplicates(docs, doc_id, text, words, percent).where("text_key is not null")
-    rows = materialise(found.groupBy(F.col(doc_id).alias("__id"), F.col("text_key").alias("__key")).agg(F.count("*").alias("n"), F.first("component_id").alias("component")), "texts")
+    rows = materialise(found.groupBy(F.col(doc_id).alias("__id"), F.col("text_key").alias("__key")).agg(F.count("*").alias("n"), F.first("component_key").alias("component")), "texts")
     best = F.min(F.struct("__id", "__key"))
     # a table of its own, so that the join on a hot component can be split
     stay = materialise(rows.groupBy("component").agg(best.alias("x")), "stay")

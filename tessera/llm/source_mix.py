@@ -47,7 +47,8 @@ BLOCK_DOCS, RANKED_TOGETHER, SEED = 16, 4_000, 7
 MAX_SOURCES, MIN_WINDOW, MAX_WINDOW, SENT_TOGETHER = 1_000, 4_096, 10_000_000, 50_000
 #: The name of the source of rows without one.
 NO_SOURCE = "\x00"
-_OWN = ["__source", "__hash", "__range", "__order", "__row", "__slots", "__before"]
+#: Columns of the method.
+OWN = ["__source", "__hash", "__range", "__order", "__row", "__slots", "__before"]
 
 
 @dataclass
@@ -154,7 +155,7 @@ def schedule(spark, plan: list[Phase]) -> DataFrame:
 
 def mixed(docs: DataFrame, weights: Mapping[str, float] | Callable[[str], float] | None = None, doc_id: str = "doc_id", source: str = "source", block_docs: int = BLOCK_DOCS) -> DataFrame:
     """docs with slot (of its block) and position (of the document in the mix, from 0 without gaps but inside last blocks)."""
-    spark, docs = docs.sparkSession, docs.drop("slot", "position", *_OWN)
+    spark, docs = docs.sparkSession, docs.drop("slot", "position", *OWN)
     named = docs.withColumn("__source", F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE))).withColumn("__hash", F.xxhash64(F.col(doc_id), F.lit(SEED)))
     counts = named.groupBy("__source").count()
     rows = {r["__source"]: r["count"] for r in counts.limit(MAX_SOURCES + 1).collect()}

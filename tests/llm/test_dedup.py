@@ -75,9 +75,9 @@ def test_repeated_ids_with_other_texts(spark):
 
 def test_one_row_of_each_component_stays(spark):
     rows = [(0, "a b c d e f", 1), (1, "A b c d e f", 1), (1, "like nothing else at all", 1), (2, "p q r s t u v w", 1), (2, "p q r s t u v w", 1), (2, "p q r s t u v w", 3), (3, "p q r s t u v w x", 1)]
-    rows += [(4, None, 1), (4, None, 1), (5, "", 1), (None, "a b c d e f", 1), (6, "one word " * 400, 1), (7, "one word " * 400, 1)]
+    rows += [(4, None, 1), (4, None, 1), (5, "", 1), (None, "a b c d e f", 1), (6, "one word " * 400, 1), (7, "one word " * 400, 1), (8, "two texts of one number", 1), (8, "and they are quite unlike", 1)]
     got = [tuple(r) for r in minhash_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n long")).collect()]
-    want = [(0, "a b c d e f", 1), (1, "like nothing else at all", 1), (2, "p q r s t u v w", 1), (4, None, 1), (4, None, 1), (5, "", 1), (None, "a b c d e f", 1), (6, "one word " * 400, 1)]
+    want = [(0, "a b c d e f", 1), (1, "like nothing else at all", 1), (2, "p q r s t u v w", 1), (4, None, 1), (4, None, 1), (5, "", 1), (None, "a b c d e f", 1), (6, "one word " * 400, 1), (8, "two texts of one number", 1), (8, "and they are quite unlike", 1)]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert minhash_dedup.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -8,7 +8,9 @@ from tokenizers import Tokenizer
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from tessera.llm import quality, source_mix  # noqa: E402
+from tessera.llm.queries import target_weight  # noqa: E402
 from tests.llm.test_dedup import brute, brute_lines  # noqa: E402
+from tests.llm.test_source_mix import check  # noqa: E402
 
 
 def test_stages_against_brute_force(spark, sf):
@@ -39,7 +41,9 @@ def test_stages_against_brute_force(spark, sf):
     four = stage["source_mix"](spark, three, sf)
     assert four.columns == docs.columns
     order = [r["doc_id"] for r in four.collect()]
-    mix = {r["doc_id"]: r["position"] for r in source_mix.mixed(three).collect()}
+    mixed = source_mix.mixed(three, target_weight).collect()
+    check(mixed, {r["source"]: target_weight(r["source"]) for r in mixed})
+    mix = {r["doc_id"]: r["position"] for r in mixed}
     assert sorted(order) == sorted(third) and order == sorted(order, key=mix.__getitem__)
 
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -56,9 +60,31 @@ def test_run_gives_what_the_stages_leave(spark, sf):
 
 def test_run_tells_the_place_in_the_mix(spark, sf):
     got = corpus_pipeline.run(spark, sf).select("doc_id", "source", "slot", "position").collect()
-    left = spark.createDataFrame([(r["doc_id"], r["source"]) for r in got], "doc_id long, source string")
-    want = {r["doc_id"]: (r["slot"], r["position"]) for r in source_mix.mixed(left).collect()}
-    assert len({r["position"] for r in got}) == len(got) and {r["doc_id"]: (r["slot"], r["position"]) for r in got} == want
+    check(got, {r["source"]: target_weight(r["source"]) for r in got})
+
+
+def test_stages_on_odd_rows(spark, sf):
+    line = "a line that is long enough to count and that six documents hold"
+    texts = [None, "", "  ", "x" * 20_000, "word " * 9_000] + [f"{line}\nown words of document number {i} here" for i in range(6)]
+    rows = [(i, t, "en", None if i % 3 else "s", None, "extra", "k") for i, t in enumerate(texts)]
+    rows += [rows[6], (6, "another text under an id that repeats", "en", "s", 1, "extra", "k"), (None, line, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, slot string, kept string")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "quality":  # its labels are of other documents
+            docs = stage(spark, docs, sf)
+            seen[name] = docs.collect()
+            if name != "bpe":
+                assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "slot", "kept"]
+    assert len(seen["line_dedup"]) == len(rows)
+    kept = sorted((r["doc_id"], r["text"]) for r in seen["line_dedup"] if r["doc_id"] is not None and r["doc_id"] >= 5)
+    assert [t for i, t in kept if i == 10] == [texts[10]] and all(line not in t for i, t in kept if i < 10)
+    assert len(seen["near_dedup"]) == len(rows) - 1
+    assert sorted(map(repr, seen["source_mix"])) == sorted(map(repr, seen["near_dedup"]))
+    assert len(seen["bpe"]) == len(rows) - 1 and len({r["position"] for r in seen["bpe"]}) == len(rows) - 1
+    assert {r["n_tokens"] for r in seen["bpe"] if r["doc_id"] in (0, 1, 2)} == {0}
+    quality_kept = corpus_pipeline.quality_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, slot string, kept string"), sf)
+    assert quality_kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "slot", "kept"] and quality_kept.count() <= len(rows)
 
 
 def test_empty_documents(spark, sf):
