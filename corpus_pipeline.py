@@ -25,27 +25,37 @@ from tessera.llm.queries import target_weight
 ORACLE_SQL = None
 
 
+def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns that are named like a stage's own put aside, and how to name them again."""
+    own = {f"__aside_{n}": n for n in names if n in docs.columns}
+    return docs.withColumnsRenamed({v: k for k, v in own.items()}), own
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling rejects go."""
+    docs, own = aside(docs, "log_weight", "sort_key", "kept", "__id", "__label")
     scored = quality.resampled(docs, table(spark, sf_dir, "labels"))
-    return scored.where("kept").select(*docs.columns)
+    return scored.where("kept").select(*docs.columns).withColumnsRenamed(own)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose their repeated lines; n_chars follows. Documents that lose all their lines stay, as empty texts."""
+    docs, own = aside(docs, "kept", "n_lines", "n_dropped", "__id", "__digests")
     left = line_dedup.drop_repeated(docs)
     text = F.when(F.col("text").isNull(), F.lit(None).cast("string")).otherwise(F.col("kept"))
-    return left.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return left.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns).withColumnsRenamed(own)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one of least id."""
-    return minhash_dedup.one_of_each(docs)
+    docs, own = aside(docs, "__id", "__key")
+    return minhash_dedup.one_of_each(docs).withColumnsRenamed(own)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the order of the mix, which gives sources shares by their target weights while they last."""
-    return source_mix.laid_out(source_mix.mixed(docs, target_weight), docs.columns)
+    docs, own = aside(docs, "slot", "position", *source_mix.OWN)
+    return source_mix.laid_out(source_mix.mixed(docs, target_weight), docs.columns).withColumnsRenamed(own)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
