@@ -44,3 +44,22 @@ def test_templates_without_words_are_refused(spark):
 def test_classes(m):
     c = license_scan.width_class(m)
     assert m <= c <= max(m * 1.25 + 1, m + 1) and license_scan.width_class(c) == c
+
+
+def test_versions_tags_and_short_statements(spark):
+    texts = {
+        "Licensed under the MIT License": {"MIT"},
+        "see LICENSE; SPDX-License-Identifier: MIT\nnext": {"MIT"},
+        "SPDX-License-Identifier: LGPL-2.1-or-later": {"LGPL-2.1"},
+        "distributed under the GNU General Public License, version 2, by us": {"GPL-2.0"},
+        "either way the GNU General Public License v3 applies": {"GPL-3.0"},
+        "covered by the GNU Lesser General Public License version 2.1 here": {"LGPL-2.1"},
+        "This file is subject to the terms of the Mozilla Public License, v. 2.0.": {"MPL-2.0"},
+        "a Creative Commons Attribution-ShareAlike 4.0 International License": {"CC-BY-SA-4.0"},
+        "you can modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; ...": {"LGPL-notice"},
+        "under the mitigating license of poets, a general public licensed version 3": set(),
+    }
+    got: dict[int, set[str]] = {}
+    for x in license_scan.scan(rows_of(spark, list(texts))).collect():
+        got.setdefault(x["doc_id"], set()).add(x["license"])
+    assert [got.get(i, set()) for i in range(len(texts))] == list(texts.values())
