@@ -64,12 +64,14 @@ def tickets(commits: DataFrame, pattern: str, max_files: int = MAX_FILES) -> Dat
     """(ticket, commits, date, message, files): commits in log order, files sorted, date and message of the newest commit (least seq)."""
     kept = commits.where(F.size("files") <= max_files).withColumn("files", F.filter("files", allowed)).where(F.size("files") > 0)
     named = kept.withColumn("ticket", F.explode(ticket_ids(F.col("message"), F.col("body"), pattern)))
-    return named.groupBy("ticket").agg(
+    # a file counts once a ticket before any array is made, so that a hot ticket gathers its files, not its commits' lists
+    files = named.select("ticket", F.explode("files").alias("file")).distinct().groupBy("ticket").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    own = named.groupBy("ticket").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("seq", "hash"))), lambda x: x.hash).alias("commits"),
         F.min_by("date", "seq").alias("date"),
         F.min_by("message", "seq").alias("message"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("files")))).alias("files"),
     )
+    return own.join(files, "ticket")
 
 
 def pattern_matches(commits: DataFrame, pattern: str, probe: int = PROBE) -> bool:

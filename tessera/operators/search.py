@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import display_name, find_score, kind_rank, name_tokens, round2, ticket_named, tokenize, tokens_of, type_member
 from tessera.operators.impact import first_rows
 
-FIND_LIMIT, WHERE_LIMIT, REASONS = 20, 10, 5
+FIND_LIMIT, WHERE_LIMIT, REASONS, SALTS = 20, 10, 5, 64
 #: Weights of the three sources of free-text hits.
 TICKET_WEIGHT, ROUTE_WEIGHT, NAME_WEIGHT = 3.0, 2.0, 1.0
 
@@ -31,12 +31,16 @@ def combined(hits: DataFrame) -> DataFrame:
 
     hits: id, score, reason, place; hits of equal score keep their place.
     """
-    order = Window.partitionBy("id").orderBy(F.desc("score"), "place")
-    ranked = hits.where("score > 0").withColumn("n", F.row_number().over(order))
+    order = [F.desc("score"), "place"]
+    # the best of each of SALTS parts first, so that an id with very many hits isn't sorted in one task
+    part = Window.partitionBy("id", "salt")
+    salted = hits.where("score > 0").withColumn("salt", F.pmod(F.xxhash64("reason", "place"), F.lit(SALTS)))
+    parts = salted.withColumn("n", F.row_number().over(part.orderBy(*order))).withColumn("of", F.count("*").over(part)).where(F.col("n") <= REASONS)
+    ranked = parts.withColumn("of", F.when(F.col("n") == 1, F.col("of"))).withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(*order)))
     return ranked.groupBy("id").agg(
-        round2(F.max("score") + F.log2(F.count("*").cast("double"))).alias("score"),
+        round2(F.max("score") + F.log2(F.sum("of").cast("double"))).alias("score"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("n") <= REASONS, F.struct("n", "reason")))), lambda x: x.reason).alias("reasons"),
-        F.greatest(F.count("*") - REASONS, F.lit(0)).cast("int").alias("more"),
+        F.greatest(F.sum("of") - REASONS, F.lit(0)).cast("int").alias("more"),
     )
 
 

@@ -111,6 +111,13 @@ class Lens:
         nation = self.t("nation").join(rich, F.col("n_nationkey") == F.col("k"))
         return nation.select(F.concat(F.lit("T:R"), F.col("n_regionkey").cast("string")).alias("service"), F.concat(F.lit("T:"), F.col("n_name")).alias("impl"))
 
+    def tickets(self) -> DataFrame:
+        """A ticket of each customer, over the files of the customer and the supplier of its number."""
+        key = F.col("c_custkey")
+        place = lambda letter: F.concat(F.lit(f"{letter}/f"), (key % 50).cast("string"), F.lit(".cs"))
+        message = F.concat(F.lit("fix "), "c_name", F.lit(" for "), "c_mktsegment")
+        return self.t("customer").select(F.concat(F.lit("#"), (key + 100).cast("string")).alias("ticket"), F.lit("2024-01-01").alias("date"), message.alias("message"), F.array(place("C"), place("S")).alias("files"))
+
     def commits(self) -> DataFrame:
         """Orders, newest first by key; files are their parts' numbers within 300 files, some without an allowed extension."""
         file = F.concat(F.lit("p/f"), (F.col("l_partkey") % 300).cast("string"), F.when(F.col("l_partkey") % 17 == 0, ".md").otherwise(".cs"))
@@ -159,6 +166,10 @@ DI_SQL = """di AS (
   SELECT 'T:R' || n_regionkey AS service, 'T:' || n_name AS impl FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)
 )"""
 
+TICKETS_SQL = """tickets AS (
+  SELECT '#' || (c_custkey + 100) AS ticket, 'fix ' || c_name || ' for ' || c_mktsegment AS message, ['C/f' || (c_custkey % 50) || '.cs', 'S/f' || (c_custkey % 50) || '.cs'] AS files FROM customer
+)"""
+
 COMMITS_SQL = """commits AS (
   SELECT -o_orderkey AS seq, 'h' || o_orderkey AS hash, strftime(o_orderdate, '%Y-%m-%d') AS date,
     'fix #' || (o_custkey + 100) || CASE WHEN o_orderkey % 5 = 0 THEN ' and #' || (o_orderkey % 400 + 100) ELSE '' END AS message,

@@ -313,7 +313,7 @@ ASKED = "the of order theblah that was"
 def where_rank(v: Lens) -> DataFrame:
     """Free-text hits over documents, scored as names are."""
     tokens = [t for t in text.tokens_of(ASKED) if t != "theblah"]
-    docs = v.t("documents").select("doc_id", text.tokenize("text").alias("words"))
+    docs = v.t("documents").select("doc_id", text.tokenize(F.col("text")).alias("words"))
     score = F.lit(search.NAME_WEIGHT) * F.size(search.overlap(tokens, F.col("words"))) / F.lit(float(len(tokens)))
     hits = docs.select(F.col("doc_id").alias("id"), score.alias("score"), F.lit("text").alias("reason"), F.lit("").alias("place"))
     return search.combined(hits).select(F.col("id").alias("doc_id"), "score")
@@ -382,6 +382,37 @@ def unreferenced_endpoints(v: Lens) -> DataFrame:
     return lens_links(v).unreferenced
 
 
+class _WhereIndex:
+    """What where() needs, from the lens."""
+
+    def __init__(self, v: Lens):
+        self.symbols, self.entry_points, self.frontend_calls, self.tickets = v.symbols(), v.entry_points(), v.frontend_calls(), v.tickets()
+        self.api_links = lens_links(v).links
+
+
+WHERE = "#107 order api orders 000000012 click"
+WORDS = "list_distinct([w FOR w IN regexp_extract_all(lower({}), '[\\p{{L}}\\p{{Nd}}]+') IF len(w) > 1])"
+SHARE = "len(list_intersect(['107', 'order', 'api', 'orders', '000000012', 'click'], {})) / 6.0::DOUBLE"
+
+
+@query(
+    """SELECT id, score, reasons, more, e.id IS NOT NULL AS is_entry FROM (
+      SELECT id, round_even((max(score) + log2(count(*)::DOUBLE)) * 100, 0) / 100 AS score, array_to_string(list(reason ORDER BY n) FILTER (n <= 5), ',') AS reasons, greatest(count(*) - 5, 0)::INT AS more
+      FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, place) AS n FROM hits WHERE score > 0) GROUP BY id) LEFT JOIN entries e USING (id)""",
+    sql.SYMBOLS_SQL, sql.ENTRIES_SQL, sql.CALLS_SQL, sql.TICKETS_SQL, LINKS,
+    f"""based AS (SELECT *, 3.0::DOUBLE * CASE WHEN ticket = '#107' THEN 1.0::DOUBLE ELSE {SHARE.format("words")} END AS base FROM (SELECT ticket, {WORDS.format("message")} AS words, unnest(files) AS file FROM tickets)),
+    shown AS (SELECT id, CASE WHEN containing IS NULL THEN name ELSE containing || '.' || name END AS display FROM symbols),
+    hits AS (
+      SELECT s.id, base * CASE WHEN len({WORDS.format("s.name")}) > 0 AND list_has_all(words, {WORDS.format("s.name")}) THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS score, 'ticket ' || ticket AS reason, '1:' || ticket AS place FROM based b JOIN symbols s ON b.file = s.file WHERE base > 0
+      UNION ALL SELECT id, 2.0::DOUBLE * {SHARE.format(WORDS.format("route"))}, 'route ' || route, '2:' || route FROM entries WHERE route IS NOT NULL
+      UNION ALL SELECT be, 2.0::DOUBLE * {SHARE.format(WORDS.format("feature"))}, 'feature ' || feature, '3:' || fe FROM links JOIN calls ON fe = id
+      UNION ALL SELECT id, 1.0::DOUBLE * {SHARE.format(WORDS.format("display"))}, 'name ' || display, '4:' FROM shown)""",
+)
+def where_symbols(v: Lens) -> DataFrame:
+    """Every symbol that a free text speaks of, by tickets, routes, features and names."""
+    return search.where(_WhereIndex(v), WHERE, limit=None).select("id", "score", F.array_join("reasons", ",").alias("reasons"), "more", "is_entry")
+
+
 @query('SELECT be AS "backendId", fe AS "frontendId", kind AS "matchKind", feature, file, line, confidence FROM links JOIN calls ON fe = id', *LINK_VIEWS)
 def screens(v: Lens) -> DataFrame:
     return impact.screens(v.entry_points(), lens_links(v).links, v.frontend_calls()).drop("route")

@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +100,21 @@ def test_where_ranks_named_ticket_first(spark):
     assert [r["id"] for r in got] == ["M:A.Cancel", "M:A.Other"] and got[0]["score"] == 6.0 and got[0]["reasons"] == ["ticket #500"]
     assert [r["id"] for r in search.where(Index, "login").collect()] == ["M:B.Login"]
     assert search.where(Index, "!!").count() == 0
+
+
+def test_expressions_and_python_tokenize_alike(spark):
+    r = random.Random(5)
+    alphabet = "abzABZ019 _-.\n\t#" + "éĐ漢かﬁ😀"
+    texts = [None, "", "HTTPServer2Get x", "sau khi THEO it"] + ["".join(r.choice(alphabet[: r.choice((15, len(alphabet)))]) for _ in range(r.randrange(30))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for x in df.select("t", text.tokenize(F.col("t")).alias("a"), text.name_tokens(F.col("t")).alias("b")).collect():
+        assert x["a"] == text.tokens_of(x["t"]) and x["b"] == text.tokens_of(x["t"], names=True), x["t"]
+
+
+def test_hits_of_one_id_in_parts(spark):
+    r = random.Random(6)
+    hits = [("a", r.randrange(4) / 2, f"r{i}", f"{i:04}") for i in range(900)] + [("b", 1.0, "r", "x")]
+    got = {x["id"]: x for x in search.combined(spark.createDataFrame(hits, "id string, score double, reason string, place string")).collect()}
+    best = sorted((h for h in hits if h[0] == "a" and h[1] > 0), key=lambda h: (-h[1], h[3]))
+    assert got["a"]["reasons"] == [h[2] for h in best[:5]] and got["a"]["more"] == len(best) - 5
+    assert got["a"]["score"] == round(best[0][1] + math.log2(len(best)), 2) and (got["b"]["score"], got["b"]["more"]) == (1.0, 0)
