@@ -10,7 +10,10 @@ conversation records follow each other by level, turn and identifier. Calls on a
 Defined cases: of calls or results that repeat an identifier in a conversation the first by turn (then by content)
 counts; rows without a conversation or call identifier are left out; calls without result and results without call
 are kept as 'unanswered' and 'orphan'; arguments that are no JSON object are invalid and serialised as null;
-references to unknown calls make a call invalid and are not waited for; tools without a schema are 'unknown_tool';
+objects that name a key twice, or
+hold a number beyond a double's range, count as no JSON; a number is an integer if its value is whole, however written;
+numbers are serialised by value: whole ones by their digits alone, others as the shortest text that gives the same
+double; references to unknown calls make a call invalid and are not waited for; tools without a schema are 'unknown_tool';
 null and empty texts are empty contents; an empty table gives an empty table; other columns don't matter.
 """
 
@@ -18,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise
@@ -29,6 +32,27 @@ Schema = Mapping[str, Mapping[str, tuple[str, bool]]]
 MAX_FIELDS = 20_000
 
 
+def canonical_number(text: Column) -> Column:
+    """A JSON number by its value: 1.0 and 1e0 are 1."""
+    value = text.try_cast("double")
+    whole = (value == F.rint(value)) & (F.abs(value) < 1e37)
+    return F.when(text.rlike(r"^(0|-?[1-9][0-9]*)$") | value.isNull(), text).when(whole, value.cast("decimal(38,0)").cast("string")).otherwise(value.cast("string"))
+
+
+def canonical_numbers(record: Column) -> Column:
+    """Valid compact JSON with each number outside of its strings in canonical form.
+
+    Escaped backslashes and quotes are put aside as control characters, which JSON never holds as they are; what then
+    lies at even places between quotes is outside of strings.
+    """
+    number = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+    bare = F.replace(F.replace(record, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    shown = lambda p: F.array_join(F.flatten(F.zip_with(F.split(p, number), F.regexp_extract_all(p, F.lit(number), F.lit(0)), lambda a, n: F.array(a, F.coalesce(canonical_number(n), F.lit(""))))), "")
+    parts = F.transform(F.split(bare, '"'), lambda p, i: F.when((i % 2 == 0) & p.rlike(r"[0-9][.eE]|-0"), shown(p)).otherwise(p))
+    whole = F.replace(F.replace(F.array_join(parts, '"'), F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+    return F.when(record.rlike(r"[0-9][.eE]|-0"), whole).otherwise(record)
+
+
 def schema_table(spark: SparkSession, schemas: Schema) -> DataFrame:
     rows = [(tool, field, kind, required) for tool, fields in schemas.items() for field, (kind, required) in fields.items()]
     if len(rows) > MAX_FIELDS:
@@ -68,8 +92,9 @@ def checked(calls: DataFrame, schemas: Schema) -> DataFrame:
     fields = {tool: sorted(f) for tool, f in schemas.items()}
     parsed = calls.select("conv_id", "call_id", "name", F.try_parse_json("arguments").alias("v"))
     kind_of = F.schema_of_variant(F.col("value"))
+    amount = F.try_variant_get(F.col("value"), "$", "double")
     kind = (
-        F.when(kind_of == "BIGINT", "integer").when(kind_of.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "number").when(kind_of == "STRING", "string")
+        F.when(kind_of == "BIGINT", "integer").when(kind_of.rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.when(amount == F.rint(amount), "integer").otherwise("number")).when(kind_of == "STRING", "string")
         .when(kind_of == "BOOLEAN", "boolean").when(kind_of.startswith("OBJECT"), "object").when(kind_of.startswith("ARRAY"), "array").otherwise("null")
     )
     # the fields that any schema names, each read by its path; what else an object holds is found by its keys
@@ -110,7 +135,7 @@ def linked(calls: DataFrame, results: DataFrame, schemas: Schema) -> DataFrame:
     status = F.when(F.col("is_call").isNull(), "orphan").when(F.col("is_result").isNull(), "unanswered").otherwise("linked")
     problems = F.concat_ws(",", "problems", "unknown")
     arguments = F.try_parse_json("arguments")
-    as_object = F.when(F.coalesce(F.schema_of_variant(arguments).startswith("OBJECT"), F.lit(False)), F.to_json(arguments)).otherwise("null")
+    as_object = F.when(F.coalesce(F.schema_of_variant(arguments).startswith("OBJECT"), F.lit(False)), canonical_numbers(F.to_json(arguments))).otherwise("null")
     text = lambda c: F.coalesce(F.expr(f"regexp_extract(to_json(named_struct('x', {c})), '(?s)^.\"x\":(.*).$', 1)"), F.lit("null"))
     part = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
     field = lambda name, c: part(name, F.when(F.col(c).isNull(), "null").otherwise(text(c)))

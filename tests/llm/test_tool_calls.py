@@ -50,3 +50,17 @@ def test_order_is_topological(spark):
 
 def test_empty_tables(spark):
     assert run(spark, [], []) == {}
+
+
+@pytest.mark.parametrize(
+    "given, want, problems",
+    [
+        ('{"q": "a", "n": 1.0}', '{"n":1,"q":"a"}', None), ('{"q": "a", "n": 1e2}', '{"n":100,"q":"a"}', None), ('{"q": "a", "n": -0.0}', '{"n":0,"q":"a"}', None),
+        ('{"q": "1.0, \\" 1e2 \\\\", "w": 2.50}', '{"q":"1.0, \\" 1e2 \\\\","w":2.5}', None), ('{"q": "a", "w": 15e-1}', '{"q":"a","w":1.5}', None), ('{"q": "a", "w": 100000000000000000000}', '{"q":"a","w":100000000000000000000}', None),
+        ('{"q": "a", "w": 1e20}', '{"q":"a","w":100000000000000000000}', None), ('{"q": "a", "z": [1.0, {"k.0": [2.5e3, "3.0"]}, -7.0]}', '{"q":"a","z":[1,{"k.0":[2500,"3.0"]},-7]}', "extra:z"),
+        ('{"q": "a", "q": "b"}', "null", "missing:q,not_object"), ('{"q": "a", "n": 1e-3}', '{"n":0.001,"q":"a"}', "type:n"),
+    ],
+)
+def test_numbers_by_value(spark, given, want, problems):
+    got = run(spark, [(1, 1, "a", "find", given, [])], [])[1, "a"]
+    assert got["record"] == '{"arguments":' + want + ',"id":"a","name":"find","result":null}' and got["problems"] == problems
