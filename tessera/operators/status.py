@@ -49,3 +49,54 @@ def advice(state: str, steps: list[tuple[str, str]], degraded: int) -> list[str]
     """What to do next, in order of weight."""
     out = {"NoMeta": ["build the index"], "NoScanCommit": ["scan inside a repository"], "Behind": ["sync again"]}.get(state, [])
     return out + [f"repair step {name}" for name, status in steps if status in ("partial", "failed")] + (["restore projects that failed to load"] if degraded else [])
+
+
+def index_line(meta: dict | str | None, built: bool, age: int | None = None) -> str:
+    """One line on an index: what it holds, or why that isn't known; meta is its document, a problem's text or None."""
+    if not built:
+        return "index: not built"
+    if meta is None:
+        return "index: built, without meta data"
+    if isinstance(meta, str):
+        return f"index: meta data can't be read ({meta})"
+    degraded = len(meta.get("degradedProjects") or [])
+    parts = [f"{meta.get('symbolCount', 0)} symbols", f"{meta.get('edgeCount', 0)} edges", f"{meta.get('projectCount', 0)} projects"]
+    parts += [f"{age} days old"] if age is not None else []
+    return "index: " + ", ".join(parts + ([f"{degraded} degraded"] if degraded else []))
+
+
+def sync_line(marker: dict | str | None, indexed_at: str | None) -> str:
+    """One line on the last sync: none, unreadable, changed since, or complete with the steps that weren't."""
+    if marker is None:
+        return "sync: none is complete"
+    if isinstance(marker, str):
+        return f"sync: {marker}"
+    if marker.get("metaIndexedAt") and indexed_at and marker["metaIndexedAt"] != indexed_at:
+        return "sync: the index has changed since"
+    partial = [s["name"] for s in marker.get("steps", []) if s.get("status") != "ok"]
+    return "sync: complete" + (f", but for {', '.join(partial)}" if partial else "")
+
+
+def freshness_line(state: str, changed: int) -> str:
+    """One line on how far an index lags behind its sources; none where it is at the scanned commit without changes."""
+    known = {"NoMeta": "the index has no meta data", "NoScanCommit": "the index knows no commit", "GitUnavailable": "the repository's state isn't known"}
+    if state in known:
+        return f"freshness: {known[state]}"
+    if state == "AtScannedCommit":
+        return f"freshness: {changed} files changed since the scan" if changed else ""
+    return f"freshness: behind the repository, {changed} relevant files changed"
+
+
+def live_code(wanted: DataFrame, symbols: DataFrame, sources: DataFrame, repo: str) -> DataFrame:
+    """wanted (id) with file, text and `missing`, which says why there is no text, in this order: the id isn't in the
+    index, its file lies outside the repository, isn't there, or has no line of that number.
+
+    symbols: id, file, line, one row an id; sources: file, text.
+    """
+    known = wanted.join(symbols.select("id", "file", "line").withColumn("known", F.lit(True)), "id", "left")
+    found = known.join(sources.select("file", F.col("text")), "file", "left")
+    absolute = F.col("file").rlike(r"^([A-Za-z]:|[\\/])")
+    outside = F.startswith("file", F.lit("../")) | (absolute & ~F.startswith(F.translate("file", "\\", "/"), F.lit(repo.rstrip("/") + "/")))
+    located = F.col("line").between(1, F.size(F.split("text", "\n")))
+    missing = F.when(F.col("known").isNull(), "not in index").when(outside, "outside repository").when(F.col("text").isNull(), "file missing").when(~F.coalesce(located, F.lit(False)), "not located")
+    return found.select("id", "file", "line", F.when(missing.isNull(), F.col("text")).alias("text"), missing.alias("missing"))

@@ -31,6 +31,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a path is a folder that a Spark job has written in whole."""
+    return exists(spark, f"{path}/_SUCCESS")
+
+
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("seq", T.LongType())]))
 
@@ -52,17 +57,17 @@ def read_lines(spark: SparkSession, path: str, schema: T.StructType, required: l
 
 
 def read_document(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Rows of one JSON document (an array or one object), with seq; malformed documents fail, a missing one has no rows."""
+    """Rows of one JSON document (an array or one object) or of a written folder, with seq; malformed documents fail, a missing one has no rows."""
     if not exists(spark, path):
         return empty(spark, schema)
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("seq", F.monotonically_increasing_id())
+    return spark.read.schema(schema).option("multiLine", not is_written(spark, path)).option("mode", "FAILFAST").json(path).withColumn("seq", F.monotonically_increasing_id())
 
 
 def read_map(spark: SparkSession, path: str) -> DataFrame:
-    """(service, impl) of a document that maps each service to a list."""
+    """(service, impl) of a document that maps each service to a list, or of a folder with such a map in each line."""
     if not exists(spark, path):
         return spark.createDataFrame([], schemas.DI)
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.option("wholetext", not is_written(spark, path)).text(path)
     return text.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("service", "impls")).select("service", F.explode("impls").alias("impl"))
 
 
@@ -101,11 +106,27 @@ def load(spark: SparkSession, directory: str) -> CodeIndex:
 
 
 def write_lines(df: DataFrame, path: str) -> None:
-    """One compact object a line, nulls left out; a folder of part files in the order of seq, if any."""
-    ordered = df.orderBy("seq").drop("seq") if "seq" in df.columns else df
+    """One compact object a line, nulls left out; a folder of part files in the order of pass and seq, if any."""
+    order = [c for c in ("pass", "seq") if c in df.columns]
+    ordered = df.orderBy(*order).drop(*order) if order else df
     ordered.write.mode("overwrite").option("ignoreNullFields", True).json(path)
 
 
+def write_map(di: DataFrame, path: str) -> None:
+    """A map of each service to its implementations, one service a line, sorted."""
+    di.orderBy("service").select(F.to_json(F.create_map("service", "impls")).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_index(scan, directory: str) -> None:
+    """All tables that a scan owns: symbols, edges, entry points, both binding maps and diagnostics."""
+    write_lines(scan.symbols, f"{directory}/symbols.jsonl")
+    write_lines(scan.edges, f"{directory}/edges.jsonl")
+    write_lines(scan.entry_points, f"{directory}/entrypoints.json")
+    write_map(scan.di, f"{directory}/di.json")
+    write_map(scan.di_confirmed, f"{directory}/di-confirmed.json")
+    write_diagnostics(scan.diagnostics, f"{directory}/diagnostics")
+
+
 def write_document(value: object, path: str) -> None:
     """A small indented document on the driver's disk, replaced at once."""
     part = f"{path}.{uuid.uuid4().hex}"
@@ -184,10 +205,14 @@ def publish(staging: str, out: str) -> None:
         raise
 
 
+def origin(directory: str) -> str:
+    """What an index's fingerprint is made of: 'sync', the marker's id, or 'files'."""
+    return "sync" if isinstance(read_marker(directory), dict) else "files"
+
+
 def fingerprint(directory: str) -> str:
     """The marker's id, else the names, sizes and times of all files."""
-    marker = read_marker(directory)
-    if isinstance(marker, dict):
-        return marker["syncId"]
+    if origin(directory) == "sync":
+        return read_marker(directory)["syncId"]
     files = sorted(p for p in Path(directory).rglob("*") if p.is_file())
     return "|".join(f"{p.name}:{p.stat().st_size}:{p.stat().st_mtime_ns}" for p in files)
