@@ -84,7 +84,7 @@ def buckets(reached: DataFrame, symbols: DataFrame, entries: DataFrame) -> DataF
     An entry point in a test project is an entry point.
     """
     known = first_rows(symbols).select("id", F.col("name").alias("__name"), "containingType", "kind", "project", "file", "line")
-    points = first_rows(entries).select("id", "type", "httpMethod", "route")
+    points = first_rows(entries).select("id", "type", "httpMethod", "route", "routeInferred")
     out = reached.where("depth > 0").join(known, "id", "left").join(points, "id", "left")
     project = F.coalesce("project", F.lit("?"))
     bucket = F.when(F.col("type").isNotNull(), "entry").when(is_test_project(project), "test").otherwise("intermediate")
@@ -124,6 +124,17 @@ class Impact:
     summary: DataFrame
 
 
+def inferred_route() -> Column:
+    """Whether a node is an http entry point whose route was inferred."""
+    return F.expr("bucket = 'entry' and type = 'http' and coalesce(routeInferred, false)")
+
+
+def edge_counts() -> list[Column]:
+    """Aggregates of the edges used: how many came about in each way that a report must own up to."""
+    ways = {"interface_edges": "via = 'interface'", "unconfirmed_edges": "via = 'interface' and not confirmed", "override_edges": "via = 'override'", "mediator_edges": "via = 'mediatr'", "delegate_edges": "via = 'delegate'"}
+    return [F.count_if(F.expr(which)).alias(name) for name, which in ways.items()]
+
+
 def impact(index, symbol: str, depth: int = 5) -> Impact:
     """The impact of one symbol of a CodeIndex."""
     spark = index.symbols.sparkSession
@@ -140,8 +151,9 @@ def impact(index, symbol: str, depth: int = 5) -> Impact:
     counts = nodes.agg(
         F.count_if(F.expr("bucket = 'entry'")).alias("entry_points"), F.count_if(F.expr("bucket = 'entry' and is_confirmed")).alias("confirmed"),
         F.count_if(F.expr("bucket = 'test'")).alias("tests"), F.count_if(F.expr("bucket = 'intermediate'")).alias("intermediates"),
+        F.count_if(inferred_route()).alias("inferred_routes"),
     )
-    vias = used.agg(F.count_if(F.expr("via = 'interface'")).alias("interface_edges"), F.count_if(F.expr("via = 'interface' and not confirmed")).alias("unconfirmed_edges"), F.count_if(F.expr("via = 'override'")).alias("override_edges"))
+    vias = used.agg(*edge_counts())
     fan = fan_in(index.edges.where(F.col("to") == symbol)).agg(F.coalesce(F.max("direct_fan_in"), F.lit(0)).alias("direct_fan_in"), F.coalesce(F.max("inferred_only"), F.lit(0)).alias("inferred_only"))
     one = counts.crossJoin(F.broadcast(vias)).crossJoin(F.broadcast(fan))  # one row each
     hops = F.col("interface_edges") - F.col("unconfirmed_edges") + F.col("override_edges")
@@ -180,10 +192,28 @@ def snippet(text: Column, lines: int = 40) -> Column:
     return F.struct(F.array_join(F.slice(parts, 1, lines), "\n").alias("text"), F.greatest(F.size(parts) - lines, F.lit(0)).alias("more"))
 
 
-def blind_spots(summary: DataFrame, degraded: DataFrame, quality: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row for each reason why a report may miss something, with its count; reasons without cases are left out."""
+#: Reasons that a report may miss something: those the summary counts, and those of its screens, each with its column.
+SUMMARY_SPOTS = {
+    "inferred_routes": "inferred_routes", "mediator_edges": "mediator_edges", "interface_edges": "interface_edges", "override_edges": "override_edges",
+    "delegate_edges": "delegate_edges", "unconfirmed_interface_edges": "unconfirmed_edges", "inferred_only_callers": "inferred_only",
+}
+SCREEN_SPOTS = {"low_confidence_screens": "low_confidence", "ambiguous_screens": "ambiguous", "suffix_screens": "suffix"}
+
+
+def stacked(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """(reason, n): a row for each of the columns of a one-row table."""
+    return df.select(F.inline(F.array(*(F.struct(F.lit(reason).alias("reason"), F.col(c).cast("long").alias("n")) for reason, c in columns.items()))))
+
+
+def blind_spots(summary: DataFrame, degraded: DataFrame, quality: DataFrame, nodes: DataFrame, known: DataFrame | None = None, meta: DataFrame | None = None) -> DataFrame:
+    """One row for each reason why a report may miss something, with its count; reasons without cases are left out.
+
+    known: the rows of the asked symbol; meta: the index's document. Where they are given and empty, that is a reason too.
+    """
     projects = nodes.select("project").distinct().join(degraded.select("project").distinct(), "project", "left_semi")
-    s = summary.select(F.expr("stack(3, 'unconfirmed_interface_edges', unconfirmed_edges, 'override_edges', override_edges, 'inferred_only_callers', inferred_only) as (reason, n)"))
-    q = quality.select(F.expr("stack(3, 'low_confidence_screens', low_confidence, 'ambiguous_screens', ambiguous, 'suffix_screens', suffix) as (reason, n)"))
-    d = projects.agg(F.lit("degraded_projects").alias("reason"), F.count("*").alias("n"))
-    return s.union(q).union(d).where("n > 0")
+    out = stacked(summary, SUMMARY_SPOTS).union(stacked(quality, SCREEN_SPOTS))
+    out = out.union(projects.agg(F.lit("degraded_projects").alias("reason"), F.count("*").alias("n")))
+    for reason, rows in (("unknown_symbol", known), ("no_meta", meta)):
+        if rows is not None:
+            out = out.union(rows.limit(1).agg(F.lit(reason).alias("reason"), (1 - F.count("*")).alias("n")))
+    return out.where("n > 0")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators.graph import layers
 from tessera.operators.impact import first_rows
 
-HUBS, ENTRIES_A_PROJECT, PROJECTS, GROUPS = 20, 30, 100, 25
+HUBS, ENTRIES_A_PROJECT, PROJECTS, GROUPS, TYPES_A_PROJECT = 20, 30, 100, 25, 200
 
 
 def project_dependencies(edges: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -53,6 +53,18 @@ def features_by_endpoint(links: DataFrame, calls: DataFrame) -> DataFrame:
     return first.groupBy("backendId").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "feature"))), lambda x: x.feature).alias("features"))
 
 
+#: Kinds of symbols that are types of a project's page.
+TYPE_KINDS = ["Class", "Interface", "Struct", "Enum", "Record"]
+
+
+def module_types(symbols: DataFrame, cap: int = TYPES_A_PROJECT) -> DataFrame:
+    """The first types of every project by name, with how many it has; types that several projects hold count in each."""
+    types = symbols.where(F.col("kind").isin(TYPE_KINDS)).select("project", "id", "kind", "name", "file", "line").dropDuplicates(["project", "id"])
+    total = types.groupBy("project").agg(F.count("*").alias("in_project"))
+    ranked = types.withColumn("n", F.row_number().over(Window.partitionBy("project").orderBy("name", "id"))).where(F.col("n") <= cap)
+    return ranked.join(total, "project").orderBy("project", "n")
+
+
 def module_page(symbols: DataFrame, project: str) -> DataFrame:
     """The types of one project."""
-    return symbols.where((F.col("project") == project) & F.col("kind").isin("Class", "Interface", "Struct", "Enum", "Record")).select("id", "kind", "name", "file", "line").orderBy("name", "id")
+    return symbols.where((F.col("project") == project) & F.col("kind").isin(TYPE_KINDS)).select("id", "kind", "name", "file", "line").orderBy("name", "id")

@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import strip_prefix
-from tessera.operators import frontend, history, link, project_map, scan_passes
+from tessera.operators import frontend, history, impact, link, project_map, scan_passes, status
+from tessera.operators.impact import first_rows
+from tessera.plans import reports
 from tessera.sources import git_log, index
 
 
@@ -126,28 +128,66 @@ def read_repository(spark: SparkSession, repo: str, since: str | None = None) ->
 Step = tuple[str, bool, Callable[[str], None], list[str]]
 
 
-def sync(out: str, project: str, steps: list[Step]) -> list[dict]:
-    """Runs the steps into a staging folder beside `out` and swaps it in; a failed optional step loses its tables, a required one ends it."""
-    staging = f"{out}.staging"
-    index.recover(Path(out))
-    if Path(staging).exists():
-        Path(staging).rename(tempfile.mkdtemp(prefix="stale-", dir=Path(staging).parent) + "/stale")
-    Path(staging).mkdir(parents=True)
-    done = []
-    for name, required, run, owned in steps:
-        try:
-            run(staging)
-            done.append({"name": name, "status": "ok"})
-        except Exception as e:
-            if required:
-                raise
-            for file in owned:
-                target = Path(staging) / file
-                shutil.rmtree(target, ignore_errors=True) if target.is_dir() else target.unlink(missing_ok=True)
-            done.append({"name": name, "status": "failed", "detail": str(e)[:500]})
-    index.write_marker(staging, project, done)
-    index.publish(staging, out)
-    return done
+#: Folder of a staging folder whose reports are published after the index.
+DOCS = "docs"
+
+
+def sync(out: str, project: str, steps: list[Step], docs_out: str | None = None) -> list[dict]:
+    """Runs the steps into a staging folder beside `out` and swaps it in; a failed optional step loses its tables, a required one ends it.
+
+    One sync of a place runs at a time. Reports that steps leave in DOCS go to docs_out once the index is in place.
+    """
+    with index.locked(out):
+        staging = f"{out}.staging"
+        index.recover(Path(out))
+        if Path(staging).exists():
+            Path(staging).rename(tempfile.mkdtemp(prefix="stale-", dir=Path(staging).parent) + "/stale")
+        Path(staging).mkdir(parents=True)
+        done = []
+        for name, required, run, owned in steps:
+            try:
+                run(staging)
+                done.append({"name": name, "status": "ok"})
+            except Exception as e:
+                if required:
+                    raise
+                for file in owned:
+                    target = Path(staging) / file
+                    shutil.rmtree(target, ignore_errors=True) if target.is_dir() else target.unlink(missing_ok=True)
+                done.append({"name": name, "status": "failed", "detail": str(e)[:500]})
+        index.write_marker(staging, project, done)
+        index.publish(staging, out)
+        if docs_out:
+            index.publish_docs(f"{out}/{DOCS}", docs_out)
+        return done
+
+
+def docs_step(found: index.CodeIndex, staging: str, earlier: str | None = None) -> None:
+    """The map and a page of each project into the staging folder; what people wrote between the markers of earlier reports stays."""
+    pages = {"MAP.md": reports.map_report(map_tables(found))}
+    for project, text in reports.module_reports(project_map.module_types(found.symbols)):
+        pages[f"modules/{reports.file_name(project)}.md"] = text
+    for name, text in pages.items():
+        old = Path(earlier or "", name)
+        notes = reports.human_notes(old.read_text(encoding="utf-8"), reports.BEGIN, reports.END) if earlier and old.exists() else "\n"
+        target = Path(staging, DOCS, name)
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text(f"{text}\n{reports.BEGIN}{notes}{reports.END}\n", encoding="utf-8")
+
+
+def slice_of(found: index.CodeIndex, symbol: str, repo: str, depth: int = 3, lines: int = 40) -> str:
+    """The slice report of a symbol, with its file as it is in the repository now; nothing outside the repository is read."""
+    spark = found.symbols.sparkSession
+    known = first_rows(found.symbols.where(F.col("id") == symbol)).select("id", "file", "line")
+    row, meta = known.first(), found.meta.first()
+    folder = os.path.join(repo, solution_prefix(meta.asDict()) or "" if meta else "")
+    path = os.path.join(folder, row["file"].replace("\\", "/")) if row else ""
+    outside = bool(row) and not index.inside(repo, os.path.abspath(path))
+    text = Path(path).read_text(encoding="utf-8", errors="replace") if row and not outside and os.path.isfile(path) else None
+    sources = spark.createDataFrame([(row["file"], text)] if text is not None else [], "file string, text string")
+    code = status.live_code(spark.createDataFrame([(symbol,)], "id string"), known, sources, repo)
+    code = code.withColumn("missing", F.lit("outside repository")) if outside else code
+    return reports.slice_report(symbol, impact.impact(found, symbol, depth), code.first(), lines)
 
 
 def link_step(found: index.CodeIndex, staging: str) -> None:

@@ -92,7 +92,7 @@ class Lens:
         verb = F.when(kind == "http", F.when(key % 7 == 0, "ANY").otherwise(F.when(key % 2 == 0, "GET").otherwise("POST")))
         route = F.when(kind == "http", F.concat(F.lit("api/"), F.lower("o_orderpriority").substr(1, 1), F.lit("/orders/"), (key % 211).cast("string"), F.when(key % 3 == 0, "/{id?}").otherwise("")))
         return self.t("orders").where("o_orderpriority = '1-URGENT'").select(
-            F.concat(F.lit("O:"), key.cast("string")).alias("id"), kind.alias("type"), verb.alias("httpMethod"), route.alias("route"), F.lit(None).cast("boolean").alias("routeInferred"), key.cast("long").alias("seq")
+            F.concat(F.lit("O:"), key.cast("string")).alias("id"), kind.alias("type"), verb.alias("httpMethod"), route.alias("route"), F.when(kind == "http", key % 5 == 0).alias("routeInferred"), key.cast("long").alias("seq")
         )
 
     def frontend_calls(self) -> DataFrame:

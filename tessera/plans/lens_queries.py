@@ -116,6 +116,10 @@ def module_fan_in(v: Lens) -> DataFrame:
     return entry.join(graph.propagate(used, root(v), F.col("confirmed")), "id", "left_semi").groupBy("project").agg(F.count("*").alias("entry_points"))
 
 
+#: Http entry points with an inferred route.
+INFERRED = "count(*) FILTER (bucket = 'entry' AND type = 'http' AND substr(b.id, 3)::BIGINT % 5 = 0)"
+
+
 class _LensIndex:
     """What impact() needs, from the lens."""
 
@@ -132,9 +136,10 @@ class _LensIndex:
     f"""SELECT c.*, i.*, f.*, c.confirmed > 30 AS hub,
     CASE WHEN entry_points = 0 AND tests = 0 AND intermediates > 0 THEN NULL WHEN confirmed = 0 AND tests = 0 THEN 0
       ELSE least(greatest(ceil(0.6::DOUBLE * confirmed + 0.15::DOUBLE * (interface_edges - unconfirmed_edges + override_edges) - CASE WHEN tests > 0 THEN 0.5::DOUBLE ELSE 0 END), CASE WHEN confirmed > 0 THEN 1 ELSE 0 END), 10)::INT END AS risk
-    FROM (SELECT count(*) FILTER (bucket = 'entry') AS entry_points, count(*) FILTER (bucket = 'entry' AND s.id IS NOT NULL) AS confirmed, count(*) FILTER (bucket = 'test') AS tests, count(*) FILTER (bucket = 'intermediate') AS intermediates
+    FROM (SELECT count(*) FILTER (bucket = 'entry') AS entry_points, count(*) FILTER (bucket = 'entry' AND s.id IS NOT NULL) AS confirmed, count(*) FILTER (bucket = 'test') AS tests, count(*) FILTER (bucket = 'intermediate') AS intermediates, {INFERRED} AS inferred_routes
       FROM bucketed b LEFT JOIN sure s ON b.id = s.id) c,
-    (SELECT count(*) FILTER (via = 'interface') AS interface_edges, count(*) FILTER (via = 'interface' AND NOT confirmed) AS unconfirmed_edges, count(*) FILTER (via = 'override') AS override_edges FROM used) i,
+    (SELECT count(*) FILTER (via = 'interface') AS interface_edges, count(*) FILTER (via = 'interface' AND NOT confirmed) AS unconfirmed_edges, count(*) FILTER (via = 'override') AS override_edges,
+      count(*) FILTER (via = 'mediatr') AS mediator_edges, count(*) FILTER (via = 'delegate') AS delegate_edges FROM used) i,
     (SELECT count(DISTINCT src) AS direct_fan_in, 0::BIGINT AS inferred_only FROM edges WHERE dst = '{ROOT}' AND kind IN ('call', 'new')) f""",
     sql.SYMBOLS_SQL, sql.EDGES_SQL, sql.ENTRIES_SQL, sql.DI_SQL, REACH, BUCKETS, CONFIRMED,
 )
@@ -608,15 +613,19 @@ def co_changed_with(v: Lens) -> DataFrame:
 @query(
     f"""SELECT reason, n FROM (
       SELECT 'unconfirmed_interface_edges' AS reason, count(*) FILTER (via = 'interface' AND NOT confirmed) AS n FROM used UNION ALL SELECT 'override_edges', count(*) FILTER (via = 'override') FROM used
+      UNION ALL SELECT 'interface_edges', count(*) FILTER (via = 'interface') FROM used UNION ALL SELECT 'mediator_edges', count(*) FILTER (via = 'mediatr') FROM used UNION ALL SELECT 'delegate_edges', count(*) FILTER (via = 'delegate') FROM used
+      UNION ALL SELECT 'inferred_routes', {INFERRED} FROM bucketed b UNION ALL SELECT 'unknown_symbol', (count(*) = 0)::BIGINT FROM symbols WHERE id = '{ROOT}'
       UNION ALL SELECT 'low_confidence_screens', count(*) FILTER (confidence = 'low') FROM links JOIN calls ON fe = id UNION ALL SELECT 'ambiguous_screens', count(*) FILTER (kind = 'ambiguous') FROM links UNION ALL SELECT 'suffix_screens', count(*) FILTER (kind = 'suffix') FROM links
       UNION ALL SELECT 'degraded_projects', count(DISTINCT project) FROM bucketed WHERE project IN (SELECT n_name FROM nation WHERE n_nationkey < 9)) WHERE n > 0""",
     sql.SYMBOLS_SQL, sql.EDGES_SQL, sql.ENTRIES_SQL, sql.CALLS_SQL, sql.DI_SQL, REACH, BUCKETS, CONFIRMED, LINKS,
 )
 def blind_spots(v: Lens) -> DataFrame:
     reached, used = confirmed_used(v)
-    counts = used.agg(F.count_if(F.expr("via = 'interface' and not confirmed")).alias("unconfirmed_edges"), F.count_if(F.expr("via = 'override'")).alias("override_edges"), F.lit(0).cast("long").alias("inferred_only"))
+    nodes = impact.buckets(reached, v.symbols(), v.entry_points())
+    routes = nodes.agg(F.count_if(impact.inferred_route()).alias("inferred_routes"))
+    counts = used.agg(*impact.edge_counts(), F.lit(0).alias("inferred_only")).crossJoin(F.broadcast(routes))  # one row each
     degraded = v.t("nation").where("n_nationkey < 9").select(F.col("n_name").alias("project"))
-    return impact.blind_spots(counts, degraded, screen_quality(v), impact.buckets(reached, v.symbols(), v.entry_points()))
+    return impact.blind_spots(counts, degraded, screen_quality(v), nodes, known=v.symbols().where(F.col("id") == ROOT))
 
 
 @query(

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import itertools
+from collections.abc import Iterator
 
-from tessera.operators.impact import Impact
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
+
+from tessera.operators.impact import Impact, nearest_path
 
 #: Lines of a map; rows of a section.
 MAP_LINES, SECTION_ROWS = 500, 30
@@ -38,6 +42,55 @@ def map_report(tables: dict[str, DataFrame]) -> str:
     return "\n".join(out[:MAP_LINES])
 
 
+#: Between these two, a report holds what people wrote.
+BEGIN, END = "<!-- notes -->", "<!-- end of notes -->"
+
+
+def file_name(project: str) -> str:
+    """A project's name as that of a file: letters, digits, dots, dashes and underscores stay, others become percent codes."""
+    return "".join(c if c.isalnum() or c in "-_" or (c == "." and at) else "".join(f"%{b:02x}" for b in c.encode("utf-8")) for at, c in enumerate(project))
+
+
+def module_reports(types: DataFrame) -> Iterator[tuple[str, str]]:
+    """(project, page) of each project of module_types(), which come in order and one partition at a time."""
+    for project, rows in itertools.groupby(types.toLocalIterator(), lambda r: r["project"]):
+        rows = list(rows)
+        more = rows[0]["in_project"] - len(rows)
+        yield project, "\n".join([f"# {project}", "", *(f"- {r['kind']} {r['name']} ({r['file']}:{r['line']})" for r in rows), *([f"- {more} more"] if more else []), ""])
+
+
+def way_in(symbol: str, result: Impact, line: int | None) -> str:
+    """One line: how the nearest entry point leads to a symbol, or the nearest caller where there is none."""
+    found = nearest_path(result.entry_points.unionByName(result.intermediates)).first()
+    if found is None:
+        return "No caller outside tests is known within this depth."
+    reached = result.entry_points.unionByName(result.intermediates).unionByName(result.tests)
+    named = {r["id"]: r for r in reached.where(F.col("id").isin(found["path"])).collect()}
+    end = named[found["id"]]
+    if found["bucket"] != "entry":
+        label = "unclassified caller"
+    elif end["httpMethod"] is None:
+        label = end["type"]
+    else:
+        label = f"{end['httpMethod']} {end['route'] or 'unknown route'}" + (", inferred" if end["routeInferred"] else "")
+    steps = [named[i]["display"] if i in named else symbol + (f":{line}" if line else "") for i in reversed(found["path"])]
+    return " -> ".join([f"[{label}]", *steps])
+
+
+def slice_report(symbol: str, result: Impact, code: Row, lines: int = 40) -> str:
+    """A symbol's code as it is now, or why it can't be shown, and the way that leads to it; code: a row of live_code()."""
+    out = [f"# Slice of {symbol}", "", "## Code", ""]
+    if code["missing"]:
+        out += [f"No code: {code['missing']}" + (f" ({code['file']})" if code["file"] else ""), ""]
+    else:
+        text = code["text"].split("\n")[code["line"] - 1 :]
+        fence = "`" * 3
+        while any(fence in x for x in text[:lines]):
+            fence += "`"
+        out += [f"{code['file']}:{code['line']}", "", fence, *text[:lines], fence, *([f"{len(text) - lines} more lines"] if len(text) > lines else []), ""]
+    return "\n".join([*out, "## Way in", "", way_in(symbol, result, code["line"]), ""])
+
+
 def human_notes(text: str, begin: str, end: str) -> str:
     """What stands between two markers of an earlier report, to be kept in the next."""
     at = text.find(begin)

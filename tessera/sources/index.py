@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import fcntl
 import json
 import os
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from pathlib import Path
@@ -180,6 +183,34 @@ def _renamed(a: Path, b: Path) -> None:
             time.sleep(wait)
 
 
+@contextmanager
+def locked(out: str) -> Iterator[None]:
+    """Holds the lock of an index's place, a file beside it; an error where another process has it. It ends with its process."""
+    Path(out).parent.mkdir(parents=True, exist_ok=True)
+    with open(f"{out}.lock", "w") as lock:
+        try:
+            fcntl.flock(lock, fcntl.LOCK_EX | fcntl.LOCK_NB)
+        except OSError as e:
+            raise RuntimeError(f"another sync writes to {out}") from e
+        yield
+
+
+def publish_docs(docs: str, out: str) -> list[str]:
+    """Moves the Markdown files of a folder, those in folders below it included, over those of another, each at once; gives their names."""
+    found = sorted(p.relative_to(docs) for p in Path(docs).rglob("*.md"))
+    for name in found:
+        target = Path(out) / name
+        target.parent.mkdir(parents=True, exist_ok=True)
+        _renamed(Path(docs) / name, target)
+    return [str(p) for p in found]
+
+
+def inside(root: str, path: str) -> bool:
+    """Whether a path, taken from root, is root or below it once its dots are resolved; '/ab' isn't below '/a'."""
+    full = os.path.abspath(root)
+    return os.path.commonpath([full, os.path.abspath(os.path.join(full, path))]) == full
+
+
 def recover(out: Path) -> None:
     """Puts a parked index back where a swap was interrupted."""
     parked = out.with_name(out.name + ".old")

@@ -1,5 +1,8 @@
 import json
 
+from pyspark.sql import functions as F
+
+from tessera.operators import impact, project_map
 from tessera.plans import build, reports
 from tessera.sources import index
 from tessera.streaming import snapshots
@@ -50,9 +53,7 @@ def test_sync_publishes_and_drops_failed_tables(spark, directory, tmp_path):  #
     assert [x["status"] for x in done] == ["ok", "ok", "failed"] and not (out / "co-change.jsonl").exists() and (out / "api-links.jsonl").exists()
     found = index.load(spark, str(out))
     assert "Map" in reports.map_report(build.map_tables(found))
-    from tessera.operators.impact import impact
-
-    text = reports.impact_report("M:Svc.Cancel", impact(found, "M:Svc.Cancel"))
+    text = reports.impact_report("M:Svc.Cancel", impact.impact(found, "M:Svc.Cancel"))
     assert "Ctl.Post" in text and "Risk: 1 of 10" in text
     assert reports.human_notes("a<b>kept<e>z", "<b>", "<e>") == "kept"
 
@@ -60,3 +61,48 @@ def test_sync_publishes_and_drops_failed_tables(spark, directory, tmp_path):  #
     query = snapshots.on_publish(snapshots.markers(spark, str(tmp_path)), lambda df, epoch: seen.extend(r["project"] for r in df.collect()), str(tmp_path / "state"))
     query.awaitTermination(60)
     assert seen == ["p"]
+
+
+def test_docs_keep_what_people_wrote(spark, directory, tmp_path):  # noqa: F811
+    with (directory / "symbols.jsonl").open("a") as f:
+        for name in ("B", "A"):
+            f.write(json.dumps({"id": f"T:{name}", "kind": "Class", "name": name, "project": "../Web", "file": "w.cs", "line": 4, "accessibility": "public"}) + "\n")
+
+    def scan(staging):
+        for p in directory.iterdir():
+            (type(p)(staging) / p.name).write_bytes(p.read_bytes())
+
+    out, docs = tmp_path / "site" / "index", tmp_path / "site"
+    steps = [("scan", True, scan, []), ("docs", False, lambda s: build.docs_step(index.load(spark, s), s, str(docs)), [build.DOCS])]
+    assert [x["status"] for x in build.sync(str(out), "p", steps, str(docs))] == ["ok", "ok"]
+    page = docs / "modules" / "%2e.%2fWeb.md"
+    assert page.read_text().splitlines()[:4] == ["# ../Web", "", "- Class A (w.cs:4)", "- Class B (w.cs:4)"]
+    page.write_text(page.read_text().replace(reports.BEGIN, f"{reports.BEGIN} mine"))
+    assert [x["status"] for x in build.sync(str(out), "p", steps, str(docs))] == ["ok", "ok"]
+    assert f"{reports.BEGIN} mine\n{reports.END}" in page.read_text() and "# Map" in (docs / "MAP.md").read_text()
+    assert project_map.module_types(index.load(spark, str(directory)).symbols, 1).select("name", "in_project").first()[:] == ("A", 2)
+
+
+def test_slices(spark, directory, tmp_path):  # noqa: F811
+    found = index.load(spark, str(directory))
+    assert "No code: file missing (f.cs)" in build.slice_of(found, "M:Svc.Cancel", str(tmp_path))
+    (tmp_path / "f.cs").write_text("one\ntwo ```\nthree")
+    text = build.slice_of(found, "M:Svc.Cancel", str(tmp_path), lines=2)
+    assert "f.cs:1\n\n````\none\ntwo ```\n````\n1 more lines" in text
+    assert "[POST api/orders] -> Ctl.Post -> " in text
+    assert "No caller outside tests" in build.slice_of(found, "M:Ctl.Post", str(tmp_path))
+    assert "No code: not in index" in build.slice_of(found, "M:None", str(tmp_path))
+    found.symbols = found.symbols.withColumn("file", F.lit("x/../../f.cs"))
+    assert "No code: outside repository" in build.slice_of(found, "M:Svc.Cancel", str(tmp_path / "deep"))
+
+
+def test_all_blind_spots(spark, directory):  # noqa: F811
+    one = lambda **x: spark.createDataFrame([tuple(x.values())], ", ".join(f"{k} long" for k in x))
+    summary = one(inferred_routes=1, mediator_edges=2, interface_edges=3, override_edges=4, delegate_edges=5, unconfirmed_edges=6, inferred_only=7)
+    quality = one(low_confidence=8, ambiguous=9, suffix=0)
+    projects = spark.createDataFrame([("Web",), ("Web",), ("Api",)], "project string")
+    none = projects.limit(0)
+    got = {r["reason"]: r["n"] for r in impact.blind_spots(summary, projects.where("project = 'Web'"), quality, projects, known=none, meta=none).collect()}
+    want = dict(zip(["inferred_routes", "mediator_edges", "interface_edges", "override_edges", "delegate_edges", "unconfirmed_interface_edges", "inferred_only_callers", "low_confidence_screens", "ambiguous_screens"], range(1, 10)))
+    assert got == want | {"degraded_projects": 1, "unknown_symbol": 1, "no_meta": 1}
+    assert {r["reason"] for r in impact.blind_spots(summary, none, quality, projects, known=projects, meta=projects).collect()} == set(want)

@@ -59,3 +59,26 @@ def test_reasons_for_missing_code(spark):
     sources = spark.createDataFrame([("x.cs", "one\ntwo"), ("/r/x.cs", "")], "file string, text string")
     got = {r["id"]: (r["text"], r["missing"]) for r in status.live_code(spark.createDataFrame([(i,) for i in "abcdef"], "id string"), symbols, sources, "/r").collect()}
     assert got == {"a": ("one\ntwo", None), "b": (None, "outside repository"), "c": (None, "file missing"), "d": (None, "not located"), "e": ("", None), "f": (None, "not in index")}
+
+
+@pytest.mark.parametrize("path, want", [("x/y", True), ("", True), ("x/../y", True), ("../ab", False), ("x/../../b", False), ("/a", False), ("/r/a/b", True), ("/r/ab", False)])
+def test_paths_inside(path, want):
+    assert index.inside("/r/a/", path) == want
+
+
+def test_one_sync_at_a_time(tmp_path):
+    with index.locked(str(tmp_path / "out")):
+        with pytest.raises(RuntimeError):
+            with index.locked(str(tmp_path / "out")):
+                pass
+    with index.locked(str(tmp_path / "out")):
+        pass
+
+
+def test_docs_are_replaced_and_others_stay(tmp_path):
+    for name, text in {"new/MAP.md": "a", "new/modules/P.md": "b", "new/x.txt": "", "old/MAP.md": "c", "old/modules/Q.md": "d"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    assert index.publish_docs(str(tmp_path / "new"), str(tmp_path / "old")) == ["MAP.md", "modules/P.md"]
+    assert [(tmp_path / "old" / n).read_text() for n in ("MAP.md", "modules/P.md", "modules/Q.md")] == ["a", "b", "d"]
+    assert index.publish_docs(str(tmp_path / "none"), str(tmp_path / "old")) == []
