@@ -6,6 +6,7 @@ import json
 import os
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import strip_prefix
+from tessera.lineage import shared_dir
 from tessera.operators import frontend, history, impact, link, project_map, scan_passes, status
 from tessera.operators.impact import first_rows
 from tessera.plans import reports
@@ -116,12 +118,11 @@ def solution_prefix(meta: dict) -> str | None:
 
 def read_repository(spark: SparkSession, repo: str, since: str | None = None) -> DataFrame:
     """A repository's commits with today's names. The log goes through the folder that driver and executors share."""
-    from tessera.lineage import shared_dir
-
-    shared = shared_dir(spark).removeprefix("file://")
-    path = os.path.join(tempfile.mkdtemp(dir=shared if os.path.isdir(shared) else None), "log")
-    git_log.write_log(repo, path, since)
-    return git_log.commits(git_log.parse_log(spark, f"file://{path}"))
+    shared = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    local = os.path.join(tempfile.mkdtemp(prefix="spark-"), "log")
+    git_log.write_log(repo, local, since)
+    index.copy_in(spark, local, shared)
+    return git_log.commits(git_log.parse_log(spark, shared))
 
 
 #: A step: its name, whether the index is useless without it, what it does, and the tables it owns.

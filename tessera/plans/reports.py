@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tessera.operators.impact import Impact, nearest_path
+from tessera.operators.project_map import GROUPS
 
 #: Lines of a map; rows of a section.
 MAP_LINES, SECTION_ROWS = 500, 30
@@ -34,11 +35,20 @@ def impact_report(symbol: str, result: Impact) -> str:
 
 
 def map_report(tables: dict[str, DataFrame]) -> str:
+    """The map of map_tables(); blind spots follow where tables of them are given."""
     out = ["# Map", ""]
     out += section("Projects", tables["projects"], lambda r: f"{r['layer']}: {r['project']} ({r['symbols']} symbols)", 100)
     out += section("Dependencies", tables["dependencies"].orderBy("from_project", "to_project"), lambda r: f"{r['from_project']} -> {r['to_project']}", 100)
     out += section("Entry points", tables["entry_points"].orderBy("project", "n"), lambda r: f"{r['project']}: {r['id']}", 200)
     out += section("Hubs", tables["hubs"], lambda r: f"{r['to']}: {r['edges']}")
+    spots = {
+        "degraded": ("Projects that failed to load", lambda r: r["project"], 30),
+        "unresolved": ("Unresolved bases", lambda r: f"{r['name']}: {r['n']}, first in {r['file']}:{r['line']}", GROUPS),
+        "duplicates": ("Ids in several projects", lambda r: f"{r['id']}: {', '.join(r['projects'])}", 5),
+    }
+    for name, (title, line, rows) in spots.items():
+        if name in tables:
+            out += section(title, tables[name], line, rows)
     return "\n".join(out[:MAP_LINES])
 
 

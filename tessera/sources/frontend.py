@@ -132,7 +132,10 @@ def scan(files: DataFrame) -> DataFrame:
 
 
 def read_sources(spark: SparkSession, root: str) -> DataFrame:
-    """(path below the root, text) of all files; which of them count is scan()'s business."""
+    """(path below the root, text) of the files that count; the scan leaves the others out by name, unread."""
     base = "/" + root.strip("/") + "/"
+    below = lambda path: F.substring_index(path, base, -1)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{js,cshtml,JS,CSHTML}").load(root)
-    return files.select(F.substring_index(F.col("path"), base, -1).alias("path"), F.col("content").cast("string").alias("text"))
+    # a condition on the file's name alone is judged where files are listed; names there are URIs
+    name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return files.where(counts(below(name))).select(below(F.col("path")).alias("path"), F.col("content").cast("string").alias("text"))

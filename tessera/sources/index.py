@@ -34,6 +34,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def copy_in(spark: SparkSession, local: str, path: str) -> None:
+    """Copies a file of the driver's disk to a path of whatever store it names."""
+    named = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target = named(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(named(f"file://{local}"), target)
+
+
 def is_written(spark: SparkSession, path: str) -> bool:
     """Whether a path is a folder that a Spark job has written in whole."""
     return exists(spark, f"{path}/_SUCCESS")

@@ -1,10 +1,14 @@
 import json
+import subprocess
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
+from tessera import lineage
 from tessera.operators import impact, project_map
 from tessera.plans import build, reports
-from tessera.sources import index
+from tessera.sources import frontend, git_log, index
 from tessera.streaming import snapshots
 from tests.test_index import directory  # noqa: F401
 
@@ -106,3 +110,43 @@ def test_all_blind_spots(spark, directory):  # noqa: F811
     want = dict(zip(["inferred_routes", "mediator_edges", "interface_edges", "override_edges", "delegate_edges", "unconfirmed_interface_edges", "inferred_only_callers", "low_confidence_screens", "ambiguous_screens"], range(1, 10)))
     assert got == want | {"degraded_projects": 1, "unknown_symbol": 1, "no_meta": 1}
     assert {r["reason"] for r in impact.blind_spots(summary, none, quality, projects, known=projects, meta=projects).collect()} == set(want)
+
+
+def test_blind_spots_of_a_map(spark, directory):  # noqa: F811
+    tables = build.map_tables(index.load(spark, str(directory)))
+    spots = {"unresolved": spark.createDataFrame([(f"B{i:02}", 2, "f.cs", 1) for i in range(27)], "name string, n long, file string, line int"), "duplicates": spark.createDataFrame([("T:A", ["P", "Q"])], "id string, projects array<string>")}
+    text = reports.map_report(tables | spots)
+    assert "- B24: 2, first in f.cs:1\n- ..." in text and "B25" not in text and "- T:A: P, Q" in text and "failed to load" not in text
+
+
+def test_repository_through_the_shared_folder(spark, tmp_path):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    git("init", "-q", "-b", "main")
+    for i, name in enumerate(("a b.cs", "é.cs")):
+        (tmp_path / name).write_text(f"{i}\n" * 9)
+        git("add", "-A")
+        git("commit", "-q", "-m", f"#{100 + i} change")
+    found = {r["message"]: r["files"] for r in build.read_repository(spark, str(tmp_path)).collect()}
+    assert found == {"#100 change": ["a b.cs"], "#101 change": ["é.cs"]}
+    assert git_log.commit_count(str(tmp_path)) == 2 and git_log.root(str(tmp_path)) == str(tmp_path.resolve())
+    assert git_log.changed_since(str(tmp_path), "HEAD~1") == ["é.cs"]
+    (tmp_path / "a b.cs").write_text("new")
+    git("mv", "é.cs", "e.cs")
+    (tmp_path / "x.cs").write_text("")
+    assert sorted(git_log.uncommitted(str(tmp_path))) == ["a b.cs", "e.cs", "x.cs", "é.cs"]
+    assert git_log.commit_count(str(tmp_path / "none")) is None and git_log.uncommitted(str(tmp_path / "none")) is None
+
+
+def test_skipped_sources_are_not_read(spark, tmp_path):
+    root = tmp_path / "bin +é"
+    for name in ("a.js", "sub dir/b+c.cshtml", "node_modules/x/d.js", "e.min.js", "wwwroot/lib/f.js", "g.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name)
+    got = frontend.read_sources(spark, str(root))
+    assert {r["path"]: r["text"] for r in got.collect()} == {n: n for n in ("a.js", "sub dir/b+c.cshtml")}
+
+
+def test_no_shared_folder_on_a_cluster():
+    context = SimpleNamespace(master="spark://m:1", getConf=dict, getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        lineage.shared_dir(SimpleNamespace(sparkContext=context))
