@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tessera.lineage import cut as materialise  # noqa: F401  what a stage needs more than once is written to the shared folder
+
 #: ASCII white space that separates words in the contracts.
 WORD_SEPARATORS = " \t\n\x0b\x0c\r"
 #: Rows of an Arrow batch that become Python objects at a time; bounds a task's memory.
@@ -29,23 +29,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(df: DataFrame) -> DataFrame:
     """df, with the session's Arrow batches held to BATCH_ROWS rows."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
