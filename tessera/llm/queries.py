@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprint, license_scan, line_dedup, media, minhash_dedup, quality, source_mix, tool_calls, toxicity
+from tessera.llm import bpe, fingerprint, license_scan, line_dedup, media, minhash_dedup, quality, source_mix, token_counts, tool_calls, toxicity
 from tessera.llm.common import table
 from tessera.llm.ordering import with_next
 
@@ -209,5 +209,12 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_tool_calls": op2_tool_calls, "op5_source_mix": op5_source_mix, "op6_quality_resample": op6_quality_resample, "op7_toxicity_knn": op7_toxicity_knn, "op3_minhash_dedup": op3_minhash_dedup, "op4_line_dedup": op4_line_dedup, "op8_media_columns": op8_media_columns, "op9_bpe": op9_bpe, "op10_fingerprint": op10_fingerprint}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of tokens, and whether it is beyond 512."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_tool_calls": op2_tool_calls, "op5_source_mix": op5_source_mix, "op6_quality_resample": op6_quality_resample, "op7_toxicity_knn": op7_toxicity_knn, "op3_minhash_dedup": op3_minhash_dedup, "op4_line_dedup": op4_line_dedup, "op8_media_columns": op8_media_columns, "op9_bpe": op9_bpe, "op10_fingerprint": op10_fingerprint, "op11_token_counts": op11_token_counts}
 ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle_sql(), "op2_tool_calls": OP2_SQL, "op3_minhash_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL}
