@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprint, license_scan, line_dedup, media, minhash_dedup, quality, source_mix, token_counts, tool_calls, toxicity
+from tessera.llm import alignment, bpe, fingerprint, license_scan, line_dedup, media, minhash_dedup, quality, source_mix, token_counts, tool_calls, toxicity
 from tessera.llm.common import table
 from tessera.llm.ordering import with_next
 
@@ -216,5 +216,11 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_tool_calls": op2_tool_calls, "op5_source_mix": op5_source_mix, "op6_quality_resample": op6_quality_resample, "op7_toxicity_knn": op7_toxicity_knn, "op3_minhash_dedup": op3_minhash_dedup, "op4_line_dedup": op4_line_dedup, "op8_media_columns": op8_media_columns, "op9_bpe": op9_bpe, "op10_fingerprint": op10_fingerprint, "op11_token_counts": op11_token_counts}
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens of two vocabularies, aligned, with the strength of its links over all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.alignments(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_tool_calls": op2_tool_calls, "op5_source_mix": op5_source_mix, "op6_quality_resample": op6_quality_resample, "op7_toxicity_knn": op7_toxicity_knn, "op3_minhash_dedup": op3_minhash_dedup, "op4_line_dedup": op4_line_dedup, "op8_media_columns": op8_media_columns, "op9_bpe": op9_bpe, "op10_fingerprint": op10_fingerprint, "op11_token_counts": op11_token_counts, "op12_alignment": op12_alignment}
 ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle_sql(), "op2_tool_calls": OP2_SQL, "op3_minhash_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL}
