@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import alignment, bpe, fingerprint, license_scan, line_dedup, media, minhash_dedup, quality, source_mix, token_counts, tool_calls, toxicity
+from tessera.llm import alignment, bpe, collocations, fingerprint, license_scan, line_dedup, media, minhash_dedup, quality, source_mix, token_counts, tool_calls, toxicity
 from tessera.llm.common import table
 from tessera.llm.ordering import with_next
 
@@ -222,5 +222,44 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignments(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_tool_calls": op2_tool_calls, "op5_source_mix": op5_source_mix, "op6_quality_resample": op6_quality_resample, "op7_toxicity_knn": op7_toxicity_knn, "op3_minhash_dedup": op3_minhash_dedup, "op4_line_dedup": op4_line_dedup, "op8_media_columns": op8_media_columns, "op9_bpe": op9_bpe, "op10_fingerprint": op10_fingerprint, "op11_token_counts": op11_token_counts, "op12_alignment": op12_alignment}
-ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle_sql(), "op2_tool_calls": OP2_SQL, "op3_minhash_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language whose words come together more often than by chance."""
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), worded AS (
+  SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\x20\x09]+') IF x <> ''] AS w FROM pieces
+), grams AS (
+  SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase
+  FROM worded, (SELECT unnest(range(1, 6)) AS k)
+), f AS (
+  SELECT lang, k, phrase, count(*)::BIGINT AS a FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND a >= 100
+), cuts AS (
+  SELECT lang, phrase, k, a, w, unnest(range(1, k)) AS j FROM candidates
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, t.n, c.j, x.a AS l, y.a AS r, (1000::HUGEINT * c.a * t.n) // (x.a::HUGEINT * y.a) AS score
+  FROM cuts c JOIN totals t ON c.lang = t.lang
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.j], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.j + 1:], ' ')
+), best AS (
+  SELECT lang, phrase, a, l, r, n, score FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM candidates q WHERE q.lang = b.lang AND q.phrase <> b.phrase AND 100 * q.a >= 100 * b.a AND contains(' ' || q.phrase || ' ', ' ' || b.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_tool_calls": op2_tool_calls, "op5_source_mix": op5_source_mix, "op6_quality_resample": op6_quality_resample, "op7_toxicity_knn": op7_toxicity_knn, "op3_minhash_dedup": op3_minhash_dedup, "op4_line_dedup": op4_line_dedup, "op8_media_columns": op8_media_columns, "op9_bpe": op9_bpe, "op10_fingerprint": op10_fingerprint, "op11_token_counts": op11_token_counts, "op12_alignment": op12_alignment, "op13_collocations": op13_collocations}
+ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle_sql(), "op2_tool_calls": OP2_SQL, "op3_minhash_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op13_collocations": OP13_SQL}
