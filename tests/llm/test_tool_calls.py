@@ -3,6 +3,7 @@ import json
 import pytest
 
 from tessera.llm import tool_calls
+from tessera.llm.common import materialise
 
 SCHEMAS = {"find": {"q": ("string", True), "n": ("integer", False), "w": ("number", False)}, "go": {"at": ("object", True), "on": ("boolean", False), "ids": ("array", False)}, "none": {}}
 CALL = "conv_id long, turn long, call_id string, name string, arguments string, needs array<string>, status string"
@@ -48,6 +49,17 @@ def test_order_is_topological(spark):
     assert got[1, "u"]["problems"] == "reference:nowhere"
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(tool_calls, "materialise", lambda df, label: made.append(label) or materialise(df, label))
+    n = 2000
+    calls = [(1, i, f"c{i}", "none", "{}", [f"c{i - 1}"] if i else []) for i in range(n)] + [(2, i, f"c{i}", "none", "{}", [f"c{(i + 1) % 50}"]) for i in range(50)]
+    calls += [(1, n + i, f"d{i}", "none", "{}", [f"c{i}", f"d{i - 1}" if i else f"c{n - 1}"]) for i in range(3)] + [(1, 3000, "e", "none", "{}", ["d2"])]
+    got = {k: r["level"] for k, r in run(spark, calls, []).items()}
+    assert got == {**{(1, f"c{i}"): i for i in range(n)}, **{(2, f"c{i}"): None for i in range(50)}, **{(1, f"d{i}"): n + i for i in range(3)}, (1, "e"): n + 3}
+    assert len(made) < 30
+
+
 def test_empty_tables(spark):
     assert run(spark, [], []) == {}
 
@@ -59,6 +71,10 @@ def test_empty_tables(spark):
         ('{"q": "1.0, \\" 1e2 \\\\", "w": 2.50}', '{"q":"1.0, \\" 1e2 \\\\","w":2.5}', None), ('{"q": "a", "w": 15e-1}', '{"q":"a","w":1.5}', None), ('{"q": "a", "w": 100000000000000000000}', '{"q":"a","w":100000000000000000000}', None),
         ('{"q": "a", "w": 1e20}', '{"q":"a","w":100000000000000000000}', None), ('{"q": "a", "z": [1.0, {"k.0": [2.5e3, "3.0"]}, -7.0]}', '{"q":"a","z":[1,{"k.0":[2500,"3.0"]},-7]}', "extra:z"),
         ('{"q": "a", "q": "b"}', "null", "missing:q,not_object"), ('{"q": "a", "n": 1e-3}', '{"n":0.001,"q":"a"}', "type:n"),
+        ('{"q": "a", "w": 1e400}', "null", "missing:q,not_object"), ('{"q": "a", "w": -1.5E+0999}', "null", "missing:q,not_object"), ('{"q": "a", "z": [' + "9" * 400 + "]}", "null", "missing:q,not_object"),
+        ('{"q": "1e400 \\\" 1e999", "w": 1}', '{"q":"1e400 \\\" 1e999","w":1}', None), ('{"q": "Infinity", "w": 1e40}', '{"q":"Infinity","w":1' + "0" * 40 + "}", None),
+        ('{"q": "a", "w": 12345678901234567890.5}', '{"q":"a","w":12345678901234567890.5}', None), ('{"q": "a", "w": 12345678901234567890.00}', '{"q":"a","w":12345678901234567890}', None),
+        ('{"q": "a", "w": -1.25e38}', '{"q":"a","w":-125' + "0" * 36 + "}", None), ('{"q": "a", "w": 0.0001}', '{"q":"a","w":1.0E-4}', None), ('{"q": "a", "w": 1e-4}', '{"q":"a","w":1.0E-4}', None), ('{"q": "a", "w": 0.00}', '{"q":"a","w":0}', None),
     ],
 )
 def test_numbers_by_value(spark, given, want, problems):
