@@ -13,31 +13,49 @@ from pyspark.sql import functions as F
 from tessera.lineage import cut
 
 
-def reverse_reach(edges: DataFrame, roots: DataFrame, depth: int, source: str = "from", target: str = "to", seq: str = "seq", root_id: str = "id") -> DataFrame:
-    """Nodes that reach a root over at most `depth` edges, followed backwards: (id, depth, predecessor, path).
+def reach_ways(edges: DataFrame, roots: DataFrame, depth: int, source: str = "from", target: str = "to", seq: str = "seq", root_id: str = "id") -> DataFrame:
+    """Nodes that reach a root over at most `depth` edges, followed backwards: (id, depth, predecessor, rank).
 
     A node has its depth of first discovery. Among edges that discover it in one round the first in queue order
-    counts: by the place of the node it leads to, then by seq; that node is its predecessor. path leads from the
-    root. Roots need no edge and ids no symbol; depth <= 0 gives the roots alone.
+    counts: by the rank of the node it leads to, then by seq; that node is its predecessor. Ranks order the nodes of one
+    depth as a queue would: rows sorted over ranges are numbered as they are written. No path travels, see paths().
+    Roots need no edge and ids no symbol; depth <= 0 gives the roots alone.
     """
     arrows = edges.select(F.col(source).alias("id"), F.col(target).alias("predecessor"), F.col(seq).cast("long").alias("seq"))
+    ranked = lambda df, *by: df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id())
     start = roots.select(F.col(root_id).alias("id")).distinct()
-    newest = cut(start.select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("predecessor"), F.array("id").alias("path"), F.array().cast("array<bigint>").alias("place")), "reach")
+    newest = cut(ranked(start, "id").select("id", F.lit(0).alias("depth"), F.lit(None).cast(roots.schema[root_id].dataType).alias("predecessor"), "rank"), "reach")
     visited = newest
     for level in range(1, depth + 1):
-        # at one level all places are equally long, so their order is the queue's
-        met = newest.select(F.col("id").alias("predecessor"), "path", "place").join(arrows, "predecessor")
-        met = met.select("id", F.struct(F.concat("place", F.array("seq")).alias("place"), "predecessor", "path").alias("way"))
-        first = met.join(visited.select("id"), "id", "left_anti").groupBy("id").agg(F.min("way").alias("way"))
-        newest = cut(first.select("id", F.lit(level).alias("depth"), "way.predecessor", F.concat("way.path", F.array("id")).alias("path"), "way.place"), "reach")
+        met = newest.select(F.col("id").alias("predecessor"), F.col("rank").alias("before")).join(arrows, "predecessor")
+        met = met.select("id", F.struct("before", "seq", "predecessor").alias("way"))
+        first = met.join(visited.select("id"), "id", "left_anti").groupBy("id").agg(F.min("way").alias("way")).select("id", "way.*")
+        newest = cut(ranked(first, "before", "seq", "id").select("id", F.lit(level).alias("depth"), "predecessor", "rank"), "reach")
         if newest.isEmpty():
             break
         visited = visited.union(newest)
-    return visited.drop("place")
+    return visited
+
+
+def paths(ways: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, path) of the asked ids, from the root, rebuilt from reach_ways(): a join a step for those nodes alone."""
+    steps = ways.select(F.col("id").alias("at"), F.col("predecessor").alias("next"))
+    most = ways.agg(F.max("depth")).first()[0] or 0
+    found = asked.select("id").distinct().join(ways.select("id", "predecessor"), "id").select("id", F.array("id").alias("path"), F.col("predecessor").alias("at"))
+    for _ in range(most):
+        longer = F.when(F.col("at").isNull(), F.col("path")).otherwise(F.concat(F.array("at"), "path"))
+        found = found.join(steps, "at", "left").select("id", longer.alias("path"), F.col("next").alias("at"))
+    return found.select("id", "path")
+
+
+def reverse_reach(edges: DataFrame, roots: DataFrame, depth: int, source: str = "from", target: str = "to", seq: str = "seq", root_id: str = "id") -> DataFrame:
+    """(id, depth, predecessor, path) of reach_ways(), with the path of every node."""
+    ways = reach_ways(edges, roots, depth, source, target, seq, root_id)
+    return ways.drop("rank").join(paths(ways, ways), "id")
 
 
 def reach_depths(edges: DataFrame, roots: DataFrame, depth: int, source: str = "from", target: str = "to", root_id: str = "id") -> DataFrame:
-    """(id, depth) of reverse_reach(), for those who don't ask for ways: no path travels, and targets are made distinct before they meet what is known."""
+    """(id, depth) of reach_ways(), for those who don't ask for ways: no path travels, and targets are made distinct before they meet what is known."""
     arrows = edges.select(F.col(source).alias("id"), F.col(target).alias("to_id"))
     newest = cut(roots.select(F.col(root_id).alias("id")).distinct().withColumn("depth", F.lit(0)), "reach")
     visited = newest

@@ -122,6 +122,7 @@ class Impact:
     tickets: DataFrame
     co_change: DataFrame
     summary: DataFrame
+    ways: DataFrame
 
 
 def inferred_route() -> Column:
@@ -139,10 +140,10 @@ def impact(index, symbol: str, depth: int = 5) -> Impact:
     """The impact of one symbol of a CodeIndex."""
     spark = index.symbols.sparkSession
     root = spark.createDataFrame([(symbol,)], "id string")
-    reached = graph.reverse_reach(index.edges, root, depth)
+    reached = graph.reach_ways(index.edges, root, depth)
     used = cut(with_confirmation(graph.edges_used(index.edges, reached, depth), index.symbols, confirmed_types(index.di_confirmed), sites=index.edges), "used")
     sure = graph.propagate(used, root, F.col("confirmed")).withColumn("is_confirmed", F.lit(True))
-    nodes = cut(buckets(reached, index.symbols, index.entry_points).join(sure, "id", "left").withColumn("is_confirmed", F.coalesce("is_confirmed", F.lit(False))), "nodes")
+    nodes = cut(buckets(reached.select("id", "depth"), index.symbols, index.entry_points).join(sure, "id", "left").withColumn("is_confirmed", F.coalesce("is_confirmed", F.lit(False))), "nodes")
     entry = nodes.where("bucket = 'entry'")
     modules = entry.where("is_confirmed").groupBy("project").agg(F.count("*").alias("entry_points"))
     shown = screens(entry, index.api_links, index.frontend_calls)
@@ -160,7 +161,7 @@ def impact(index, symbol: str, depth: int = 5) -> Impact:
     summary = one.withColumn("hub", F.col("confirmed") > HUB).withColumn("risk", risk_score(F.col("confirmed"), F.col("tests"), hops, F.col("entry_points"), F.col("intermediates")))
     return Impact(
         entry.orderBy("project", "display"), nodes.where("bucket = 'test'").orderBy("display"), nodes.where("bucket = 'intermediate'").orderBy("depth", "display"),
-        modules.orderBy(F.desc("entry_points"), "project"), shown.orderBy("feature", "file", "line"), tickets_of(index.tickets, file), co_changed(index.co_change, file), summary,
+        modules.orderBy(F.desc("entry_points"), "project"), shown.orderBy("feature", "file", "line"), tickets_of(index.tickets, file), co_changed(index.co_change, file), summary, reached,
     )
 
 
@@ -176,9 +177,9 @@ def sampled(rows: DataFrame, n: int, seed: int = 1, key: str = "id") -> DataFram
 
 
 def nearest_path(nodes: DataFrame) -> DataFrame:
-    """The path of the closest entry point; where there is none, of the nearest caller that isn't classified."""
+    """The closest entry point; where there is none, the nearest caller that isn't classified."""
     order = F.struct(F.when(F.col("bucket") == "entry", 0).otherwise(1).alias("r"), "depth", "project", "display")
-    return nodes.where("bucket <> 'test'").agg(F.min_by(F.struct("id", "display", "depth", "path", "bucket"), order).alias("x")).select("x.*").where("id is not null")
+    return nodes.where("bucket <> 'test'").agg(F.min_by(F.struct("id", "display", "depth", "bucket"), order).alias("x")).select("x.*").where("id is not null")
 
 
 def nearest_declaration(declarations: DataFrame, scanned_line: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import routes, text
-from tessera.operators import graph, history, impact, link, project_map, scan_passes, search, status
+from tessera.operators import factored, graph, history, impact, link, project_map, scan_passes, search, status
 from tessera.plans import lens as sql
 from tessera.plans.lens import Lens
 
@@ -173,21 +173,27 @@ def interface_expand(v: Lens) -> DataFrame:
     return scan_passes.interface_edges(v.edges(), nation_members(v))
 
 
-@query("""SELECT 'O:' || o_orderkey AS "from", 'S:' || s_suppkey AS "to", 'call' AS kind, 'O.cs' AS file, (o_orderkey % 100)::INT AS line, 'mediatr' AS via FROM orders JOIN supplier ON o_custkey % 10 = s_suppkey % 10""")
-def mediator_expand(v: Lens) -> DataFrame:
+def mediations(v: Lens) -> tuple[DataFrame, DataFrame]:
+    """Orders send their customer's last digit, which suppliers of that digit handle."""
     sends = v.t("orders").select(F.concat(F.lit("O:"), F.col("o_orderkey").cast("string")).alias("from"), (F.col("o_custkey") % 10).alias("request"), F.lit("O.cs").alias("file"), (F.col("o_orderkey") % 100).cast("int").alias("line"))
     handlers = v.t("supplier").select((F.col("s_suppkey") % 10).alias("request"), F.concat(F.lit("S:"), F.col("s_suppkey").cast("string")).alias("handler"))
-    return scan_passes.mediator_edges(sends, handlers)
+    return sends, handlers
 
 
-def overrides(v: Lens, supplier: DataFrame, customer: DataFrame) -> DataFrame:
+@query("""SELECT 'O:' || o_orderkey AS "from", 'S:' || s_suppkey AS "to", 'call' AS kind, 'O.cs' AS file, (o_orderkey % 100)::INT AS line, 'mediatr' AS via FROM orders JOIN supplier ON o_custkey % 10 = s_suppkey % 10""")
+def mediator_expand(v: Lens) -> DataFrame:
+    return scan_passes.mediator_edges(*mediations(v))
+
+
+def overrides(v: Lens, supplier: DataFrame, customer: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Virtual calls of customers on regions, and who overrides whom."""
     nation = v.t("nation")
     name = lambda letter, c: F.concat(F.lit(f"{letter}:"), F.col(c).cast("string"))
     one = nation.select(name("R", "n_regionkey").alias("overridden"), name("N", "n_nationkey").alias("override"), F.array("n_name").alias("types"))
     two = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(name("N", "s_nationkey").alias("overridden"), name("S", "s_suppkey").alias("override"), F.array("n_name").alias("types"))
     calls = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     calls = calls.select(name("C", "c_custkey").alias("from"), name("R", "n_regionkey").alias("to"), F.lit("C.cs").alias("file"), (F.col("c_custkey") % 100).cast("int").alias("line"), F.col("n_name").alias("receiver"))
-    return scan_passes.override_edges(calls, one.union(two))
+    return calls, one.union(two)
 
 
 @query(
@@ -197,7 +203,77 @@ def overrides(v: Lens, supplier: DataFrame, customer: DataFrame) -> DataFrame:
     """below AS (SELECT 'R:' || r_regionkey AS start, 'R:' || r_regionkey AS node FROM region UNION SELECT w.start, p.b FROM below w JOIN pairs p ON p.a = w.node)""",
 )
 def override_expand(v: Lens) -> DataFrame:
-    return overrides(v, v.t("supplier"), v.t("customer"))
+    return scan_passes.override_edges(*overrides(v, v.t("supplier"), v.t("customer")))
+
+
+#: All edges with those of the expansions; customers, suppliers and orders call.
+ALL_EDGES = """pairs AS (SELECT 'R:' || n_regionkey AS a, 'N:' || n_nationkey AS b, n_name AS type FROM nation UNION ALL SELECT 'N:' || s_nationkey, 'S:' || s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+below AS (SELECT 'R:' || r_regionkey AS start, 'R:' || r_regionkey AS node FROM region UNION SELECT w.start, p.b FROM below w JOIN pairs p ON p.a = w.node),
+more AS (
+  SELECT src, 'S:' || s_suppkey AS dst, 'call' AS kind, file, line, 'interface' AS via FROM edges JOIN supplier ON dst = 'N:' || s_nationkey WHERE kind = 'call'
+  UNION ALL SELECT 'O:' || o_orderkey, 'S:' || s_suppkey, 'call', 'O.cs', (o_orderkey % 100)::INT, 'mediatr' FROM orders JOIN supplier ON o_custkey % 10 = s_suppkey % 10
+  UNION ALL SELECT DISTINCT 'C:' || c_custkey, b.node, 'call', 'C.cs', (c_custkey % 100)::INT, 'override'
+    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN below b ON b.start = 'R:' || n_regionkey JOIN pairs p ON p.b = b.node AND p.type = n_name
+), whole AS (SELECT src, dst, kind, file, line, via FROM edges UNION ALL SELECT * FROM more)"""
+#: Nodes that reach supplier 1 over all edges.
+WHOLE_ROOT, WHOLE_DEPTH = "S:1", 2
+WHOLE_REACH = f"""walk AS (SELECT '{WHOLE_ROOT}' AS id, 0 AS depth UNION SELECT e.src, w.depth + 1 FROM walk w JOIN whole e ON e.dst = w.id WHERE w.depth < {WHOLE_DEPTH}),
+reached AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id)"""
+
+
+def whole_graph(v: Lens) -> factored.Factored:
+    """The edges with all three expansions in two halves."""
+    edges = v.kept_edges()
+    more = factored.interface_calls(edges, nation_members(v)).union(factored.mediator_sends(*mediations(v))).union(factored.override_calls(*overrides(v, v.t("supplier"), v.t("customer"))))
+    return factored.Factored(edges.select(*scan_passes.EDGE).unionByName(more.plain), more.sites, more.members).kept()
+
+
+def whole_root(v: Lens) -> DataFrame:
+    return v.spark.createDataFrame([(WHOLE_ROOT,)], "id string")
+
+
+@query("SELECT id, depth FROM reached", sql.EDGES_SQL, ALL_EDGES, WHOLE_REACH)
+def expanded_reach(v: Lens) -> DataFrame:
+    return factored.reach_depths(whole_graph(v), whole_root(v), WHOLE_DEPTH)
+
+
+@query(f"SELECT via, count(*) AS n FROM whole JOIN reached ON dst = id WHERE depth < {WHOLE_DEPTH} GROUP BY via", sql.EDGES_SQL, ALL_EDGES, WHOLE_REACH)
+def expanded_edges_used(v: Lens) -> DataFrame:
+    f = whole_graph(v)
+    return factored.edges_used(f, factored.reach_depths(f, whole_root(v), WHOLE_DEPTH), WHOLE_DEPTH)
+
+
+@query(
+    """SELECT dst AS "to", count(*) AS direct_fan_in, count(*) FILTER (inferred) AS inferred_only FROM (
+    SELECT dst, src, bool_and(coalesce(via IN ('interface', 'override', 'mediatr'), false)) AS inferred FROM whole WHERE kind IN ('call', 'new') AND src <> dst GROUP BY dst, src) GROUP BY dst""",
+    sql.EDGES_SQL, ALL_EDGES,
+)
+def expanded_fan_in(v: Lens) -> DataFrame:
+    return factored.fan_in(whole_graph(v), impact.is_expansion(F.col("via")))
+
+
+@query(
+    """SELECT DISTINCT id FROM sure""", sql.EDGES_SQL, ALL_EDGES, sql.SYMBOLS_SQL, sql.DI_SQL,
+    """types AS (SELECT DISTINCT substr(impl, 3) AS containing FROM di),
+    sites AS (SELECT DISTINCT e.src, e.file, e.line FROM more e JOIN symbols s ON e.dst = s.id JOIN types t ON s.containing = t.containing WHERE e.via = 'interface'),
+    judged AS (SELECT src, dst FROM edges UNION ALL SELECT src, dst FROM more WHERE via <> 'interface' UNION ALL
+      SELECT e.src, e.dst FROM more e LEFT JOIN sites x ON x.src = e.src AND x.file = e.file AND x.line = e.line LEFT JOIN symbols s ON e.dst = s.id LEFT JOIN types t ON s.containing = t.containing
+      WHERE e.via = 'interface' AND (x.src IS NULL OR t.containing IS NOT NULL))""",
+    f"""sure AS (SELECT '{WHOLE_ROOT}' AS id UNION SELECT u.src FROM sure w JOIN judged u ON u.dst = w.id)""",
+)
+def expanded_confirmed(v: Lens) -> DataFrame:
+    types = impact.first_rows(v.symbols()).select("id", F.col("containingType").alias("containing"))
+    return factored.confirmed_reach(whole_graph(v), whole_root(v), impact.confirmed_types(v.di()), types)
+
+
+@query(
+    """SELECT via, count(DISTINCT src || '|' || coalesce(file, '') || '|' || coalesce(line, 0) || '|' || hub) AS sites, count(DISTINCT hub || '>' || dst) AS members, count(*) AS edges FROM (
+    SELECT src, file, line, dst, via, CASE via WHEN 'interface' THEN substr(dst, 1, 0) || s_nationkey::VARCHAR ELSE (s_suppkey % 10)::VARCHAR END AS hub FROM more JOIN supplier ON dst = 'S:' || s_suppkey WHERE via <> 'override'
+    UNION ALL SELECT src, file, line, dst, via, n_name FROM more JOIN customer ON src = 'C:' || c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE via = 'override') GROUP BY via""",
+    sql.EDGES_SQL, ALL_EDGES,
+)
+def expanded_sizes(v: Lens) -> DataFrame:
+    return factored.sizes(whole_graph(v))
 
 
 @query("SELECT id, name FROM symbols WHERE kind = 'Method' AND id IN (SELECT dst FROM edges)", sql.SYMBOLS_SQL, sql.EDGES_SQL)
@@ -633,7 +709,7 @@ def blind_spots(v: Lens) -> DataFrame:
     sql.SYMBOLS_SQL, sql.EDGES_SQL, sql.ENTRIES_SQL, REACH, BUCKETS,
 )
 def nearest_path(v: Lens) -> DataFrame:
-    reached = graph.reverse_reach(v.kept_edges(), root(v), DEPTH)
+    reached = graph.reach_depths(v.kept_edges(), root(v), DEPTH)
     return impact.nearest_path(impact.buckets(reached, v.symbols(), v.entry_points())).select("id", "depth", "display")
 
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import paths
 from tessera.operators.impact import Impact, nearest_path
 from tessera.operators.project_map import GROUPS
 
@@ -74,8 +75,9 @@ def way_in(symbol: str, result: Impact, line: int | None) -> str:
     found = nearest_path(result.entry_points.unionByName(result.intermediates)).first()
     if found is None:
         return "No caller outside tests is known within this depth."
+    path = paths(result.ways, result.ways.where(F.col("id") == found["id"])).first()["path"]
     reached = result.entry_points.unionByName(result.intermediates).unionByName(result.tests)
-    named = {r["id"]: r for r in reached.where(F.col("id").isin(found["path"])).collect()}
+    named = {r["id"]: r for r in reached.where(F.col("id").isin(path)).collect()}
     end = named[found["id"]]
     if found["bucket"] != "entry":
         label = "unclassified caller"
@@ -83,7 +85,7 @@ def way_in(symbol: str, result: Impact, line: int | None) -> str:
         label = end["type"]
     else:
         label = f"{end['httpMethod']} {end['route'] or 'unknown route'}" + (", inferred" if end["routeInferred"] else "")
-    steps = [named[i]["display"] if i in named else symbol + (f":{line}" if line else "") for i in reversed(found["path"])]
+    steps = [named[i]["display"] if i in named else symbol + (f":{line}" if line else "") for i in reversed(path)]
     return " -> ".join([f"[{label}]", *steps])
 
 
