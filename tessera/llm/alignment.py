@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -34,10 +33,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.llm.bpe import byte_symbols
 from tessera.llm.common import give_back, materialise, small_batches
-from tessera.llm.fragments import MARK, MEMO_BYTES, ByteLevel, Known, Pieces, by_bytes, fragments, load, once, shared_vocabulary, windows
+from tessera.llm.fragments import MARK, ByteLevel, Known, Pieces, by_bytes, fragments, load, once, shared_vocabulary, windows
 
 #: Bytes of text of a slice, whose pairs are added up together; bits of an id in a pair's key.
 SLICE_BYTES, ID_BITS = 4 << 20, 31
+#: Bytes, roughly, of the fragments that a worker remembers.
+MEMO_BYTES = 160 << 20
 #: Characters of a text whose fragments are looked up together.
 WINDOW_CHARS = 1 << 20
 #: What follows a token in a document's groups: another of its side, the other side, the next group, nothing.
@@ -61,22 +62,25 @@ def token_bytes(vocabulary: ByteLevel | Pieces) -> list[bytes]:
 class Side:
     """One tokenizer: the ids of fragments, the bytes of ids, and how ids are written in a document's groups."""
 
-    def __init__(self, vocabulary: ByteLevel | Pieces, limit: int):
+    def __init__(self, vocabulary: ByteLevel | Pieces):
         self.vocabulary, self.bytes = vocabulary, token_bytes(vocabulary)
         self.length = np.array([len(b) for b in self.bytes], np.int64)
-        self.known = Known(self.answer, len, limit)
         width = len(str(len(self.bytes))) + 1
         shown = [f"{i}".encode() + s for i in range(len(self.bytes)) for s in _SIGNS]
         self.shown = np.array(shown, f"S{width}").view(np.uint8).reshape(len(shown), width)
         self.shown_length = np.array([len(s) for s in shown], np.int64)
 
-    def answer(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text after a space; none where their bytes aren't the space and the text."""
-        out = []
-        for t, e in zip(texts, self.vocabulary.after_space(texts)):
-            ids = e if isinstance(e, list) else e.ids
-            same = b"".join(map(self.bytes.__getitem__, ids)) == b" " + t.encode("utf-8")
-            out.append(np.array(ids, "<u4").tobytes() if same else b"")
+    def answer(self, texts: list[str]) -> list[bytes | None]:
+        """The ids of each text after a space; None where their bytes aren't the space and the text."""
+        lists = [e if isinstance(e, list) else e.ids for e in self.vocabulary.after_space(texts)]
+        every = [i for x in lists for i in x]
+        edges = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+        want = [b" " + t.encode("utf-8") for t in texts]
+        data = np.array(every, "<u4").tobytes()
+        out: list[bytes | None] = [data[4 * a : 4 * b] for a, b in zip(edges.tolist(), edges[1:].tolist())]
+        lengths = np.diff(np.concatenate([[0], np.cumsum(self.length[np.array(every, np.int64)])])[edges])
+        if b"".join([self.bytes[i] for i in every]) != b"".join(want) or lengths.tolist() != list(map(len, want)):
+            out = [o if b"".join([self.bytes[i] for i in x]) == w else None for o, x, w in zip(out, lists, want)]
         return out
 
 
@@ -84,27 +88,41 @@ class Aligner:
     """Two tokenizers over the same texts."""
 
     def __init__(self, one: ByteLevel | Pieces, two: ByteLevel | Pieces, limit: int = MEMO_BYTES):
-        self.sides = [Side(one, limit // 2), Side(two, limit // 2)]
-
-    def encoded(self, text: str) -> list[bytes] | None:
-        """The ids of a space and the text on both sides; None where they don't give its bytes. No text, no tokens."""
-        if not text:
-            return None
-        whole = not all(s.vocabulary.cuttable(text) for s in self.sides)
-        out: list[list[bytes]] = [[], []]
-        for part in [text] if whole else windows(text, WINDOW_CHARS):
-            cut = [part] if whole else fragments(part)
-            for s, found in zip(self.sides, out):
-                s.known.learn(set(cut))
-                ids = list(map(s.known.__getitem__, cut))
-                if b"" in ids:
-                    return None
-                found += ids
-        return [b"".join(f) for f in out]
+        self.sides = [Side(one), Side(two)]
+        self.known = Known(lambda texts: list(zip(*(s.answer(texts) for s in self.sides))), lambda x: 140 + sum(len(i or b"") for i in x), limit)
+
+    def encoded(self, texts: list[str]) -> list[list[bytes] | None]:
+        """The ids of a space and each text on both sides; None where they don't give its bytes. No text, no tokens."""
+        found: list[list[list[bytes]] | None] = [[[], []] if t else None for t in texts]
+        waiting, held = [], 0
+
+        def settle():
+            self.known.learn({f for _, cut in waiting for f in cut})
+            for i, cut in waiting:
+                if found[i] is not None:
+                    one, two = zip(*map(self.known.__getitem__, cut))
+                    if None in one or None in two:
+                        found[i] = None
+                    else:
+                        found[i][0].append(b"".join(one))
+                        found[i][1].append(b"".join(two))
+            waiting.clear()
+
+        for i, text in enumerate(texts):
+            if text:
+                whole = not all(s.vocabulary.cuttable(text) for s in self.sides)
+                for part in [text] if whole else windows(text, WINDOW_CHARS):
+                    waiting.append((i, [part] if whole else fragments(part)))
+                    held += len(part)
+                    if held > WINDOW_CHARS:
+                        settle()
+                        held = 0
+        settle()
+        return [f and [b"".join(x) for x in f] for f in found]
 
     def aligned(self, texts: list[str]) -> dict:
         """Of a slice's texts: the numbers of tokens, groups and links of each, its groups' digest, its links as pairs."""
-        found = [self.encoded(t) for t in texts]
+        found = self.encoded(texts)
         some = np.array([i for i, f in enumerate(found) if f], np.int64)
         ids = [np.frombuffer(b"".join(f[k] for f in found if f), "<u4").astype(np.int64) for k in (0, 1)]
         n = [np.array([len(f[k]) // 4 if f else 0 for f in found], np.int64) for k in (0, 1)]

@@ -80,12 +80,12 @@ class Known(dict):
 
     def learn(self, texts: set[str]) -> None:
         """Afterwards every one of the texts has its answer here; what was known before may be gone."""
-        new = texts.difference(self)
+        new = [t for t in texts if t not in self]
         cost = sum(map(len, new)) + ENTRY_BYTES * len(new)
         if self.held + cost > self.limit and self:
             self.clear()
-            self.held, new = 0, texts
-        for batch in balanced(list(new), BATCH_BYTES):
+            self.held, new = 0, list(texts)
+        for batch in balanced(new, BATCH_BYTES):
             for t, a in zip(batch, self.answer(batch)):
                 self[t] = a
                 self.held += ENTRY_BYTES + len(t) + self.size(a)
