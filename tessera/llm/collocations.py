@@ -37,8 +37,8 @@ from tessera.llm.common import give_back, materialise, small_batches
 
 #: Occurrences of a phrase at least; words of a phrase at most; phrases of a language that are reported.
 LEAST, WORDS, TOP = 100, 5, 2000
-#: Words of a shard, roughly; rows that a task sends on together; parts in which a language's phrases are ranked first.
-SHARD_WORDS, SENT_TOGETHER, RANK_PARTS = 1 << 21, 1 << 16, 64
+#: Words of a shard, roughly; rows that a task sends on together; parts in which a language's phrases are ranked first; splits of the input that a task reads, as larger shards have fewer phrases in all.
+SHARD_WORDS, SENT_TOGETHER, RANK_PARTS, SPLITS = 1 << 22, 1 << 16, 64, 4
 #: The byte that stands for a separator of pieces; UTF-8 never has it.
 _MARK = b"\xff"
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
@@ -124,7 +124,8 @@ def shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
         give_back()
 
     own = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.col("text") != ""))
-    return small_batches(own).mapInArrow(run, "shard long, lang string, size long, ids binary, words array<string>, counts array<long>")
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, own.rdd.getNumPartitions() // SPLITS)
+    return small_batches(own.coalesce(tasks)).mapInArrow(run, "shard long, lang string, size long, ids binary, words array<string>, counts array<long>")
 
 
 def suffix_rows(ids: np.ndarray, depth: int) -> np.ndarray:
@@ -154,26 +155,33 @@ def intervals(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.append(begin, len(first)))
 
 
-def extended(step: np.ndarray, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The intervals one word longer: begins, sizes, and which of the given intervals each begins and ends with."""
+def extended(step: np.ndarray, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The intervals one word longer: begins, sizes, which of the given intervals each begins and ends with; and the steps between their rows.
+
+    Rows outside of them can be in no longer interval either, so only theirs stay, numbered anew.
+    """
     node = np.full(len(step) + 1, -1, np.int64)  # the last for steps to nowhere
     node[np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())] = np.repeat(np.arange(len(low)), size)
     later = node[step]
     rows = np.flatnonzero((node[:-1] >= 0) & (later >= 0))
     left, right = node[rows], later[rows]
-    new = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])])) if len(rows) else np.empty(0, np.int64)
-    return rows[new], np.diff(np.append(new, len(rows))), left[new], right[new]
+    begin = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])])) if len(rows) else np.empty(0, np.int64)
+    again = np.full(len(step) + 1, -1, np.int32)
+    again[rows] = np.arange(len(rows), dtype=np.int32)
+    return begin, np.diff(np.append(begin, len(rows))), left[begin], right[begin], again[step[rows]]
 
 
 _ROWS = pa.schema([("shard", pa.int64()), ("rows", pa.int64()), ("step", pa.binary()), ("low", pa.int32()), ("size", pa.int32()), ("left", pa.int64()), ("right", pa.int64())])
 _ROWS_SQL = "shard long, rows long, step binary, low int, size int, left long, right long"
 
 
-def sent(shard: int, low: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(low), SENT_TOGETHER):
-        part = slice(at, at + SENT_TOGETHER)
-        n = len(low[part])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *(pa.array(x[part]).cast(f.type) for x, f in zip((low, size, left, right), list(_ROWS)[3:]))], schema=_ROWS)
+def sent(shard: int, step: np.ndarray, *intervals: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row with the steps of a shard's rows, then rows of its intervals: low, size, left, right."""
+    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((shard, len(step), packed(np.diff(step, prepend=0)), None, None, None, None), _ROWS)], schema=_ROWS)
+    for at in range(0, len(intervals[0]), SENT_TOGETHER):
+        part = [x[at : at + SENT_TOGETHER] for x in intervals]
+        n = len(part[0])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *(pa.array(x).cast(f.type) for x, f in zip(part, list(_ROWS)[3:]))], schema=_ROWS)
 
 
 def indexed(held: DataFrame, numbers: DataFrame, depth: int) -> DataFrame:
@@ -183,24 +191,22 @@ def indexed(held: DataFrame, numbers: DataFrame, depth: int) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 shard, n, ids, known = (b.column(c)[i] for c in ("shard", "size", "ids", "known"))
-                at, numbered = (known.values.field(c).to_numpy() for c in ("at", "id"))
-                order = np.argsort(at)
+                at, number = (known.values.field(c).to_numpy() for c in ("at", "id"))
                 ids = unpacked(ids.as_py(), n.as_py())
                 dense = np.zeros(int(ids.max(initial=0)) + 1, np.int32)  # words that aren't frequent part pieces as marks do
-                dense[at[order]] = np.arange(1, len(at) + 1)
+                dense[at] = np.arange(1, len(at) + 1)
                 first, step = index(dense[ids], depth)
                 low, size = intervals(first)
-                word = numbered[order][first[low] - 1]
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((shard.as_py(), len(step), packed(np.diff(step, prepend=0)), None, None, None, None), _ROWS)], schema=_ROWS)
-                low, size, left, right = extended(step, low, size)
-                yield from sent(shard.as_py(), low, size, word[left], word[right])
+                word = number[first[low] - 1]
+                low, size, left, right, step = extended(step, low, size)
+                yield from sent(shard.as_py(), step, low, size, word[left], word[right])
         give_back()
 
     return held.select("shard", "size", "ids").join(numbers, "shard").mapInArrow(run, _ROWS_SQL)
 
 
 def deeper(steps: DataFrame, frequent: DataFrame) -> DataFrame:
-    """The shards' intervals one word longer than the frequent ones; frequent: (shard, known: array of (low, size, id))."""
+    """The same, one word longer, of the frequent intervals; frequent: (shard, known: array of (low, size, id))."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -208,16 +214,21 @@ def deeper(steps: DataFrame, frequent: DataFrame) -> DataFrame:
                 shard, n, step, known = (b.column(c)[i] for c in ("shard", "rows", "step", "known"))
                 low, size, phrase = (known.values.field(c).to_numpy() for c in ("low", "size", "id"))
                 step = np.cumsum(unpacked(step.as_py(), n.as_py()), dtype=np.int64)
-                low, size, left, right = extended(step, low.astype(np.int64), size.astype(np.int64))
-                yield from sent(shard.as_py(), low, size, phrase[left], phrase[right])
+                low, size, left, right, step = extended(step, low.astype(np.int64), size.astype(np.int64))
+                yield from sent(shard.as_py(), step, low, size, phrase[left], phrase[right])
         give_back()
 
     return steps.join(frequent, "shard").mapInArrow(run, _ROWS_SQL)
 
 
-def numbered(df: DataFrame, label: str) -> DataFrame:
-    """df with an id of each row; numbers are written, so they stay as they are."""
-    return materialise(df.withColumn("id", F.monotonically_increasing_id()), label)
+def frequent_only(counts: DataFrame, key: list[str], n: str, least: int, label: str) -> DataFrame:
+    """The rows whose key comes to `least` or more over all shards, with the sum a, the key's id, and whether the row is the one that stands for its key.
+
+    One shuffle sums a key's shards, of which each has one row, and tells them the sum. The id is that of a row, and written, so it stays as it is.
+    """
+    own = Window.partitionBy(*key)
+    summed = counts.withColumn("row", F.monotonically_increasing_id()).withColumn("a", F.sum(n).over(own)).withColumn("id", F.min("row").over(own))
+    return materialise(summed.where(F.col("a") >= least).withColumn("first", F.col("row") == F.col("id")).drop("row"), label)
 
 
 def score(a: Column, n: Column, l: Column, r: Column) -> Column:  # noqa: E741  the contract's names
@@ -234,28 +245,25 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     after it, 0 without one).
     """
     held = materialise(shards(docs, text, lang), "shards")
-    counted = held.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("shard", "lang", (F.col("at") + 1).alias("at"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    sums = materialise(counted.groupBy("lang", "word").agg(F.sum("n").alias("a")), "words")
-    totals = sums.groupBy("lang").agg(F.sum("a").alias("n"))
+    totals = held.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n"))
+    counts = held.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("shard", "lang", (F.col("at") + 1).alias("at"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
+    known = frequent_only(counts, ["lang", "word"], "n", least, "words")
     none = F.array().cast("array<bigint>")
-    level = numbered(sums.where(F.col("a") >= least).select("lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("before"), none.alias("after")), "level")
-    numbers = counted.join(level.select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("known"))
-    found = materialise(indexed(held, numbers, words), "index")
-    steps, levels = found.where("step is not null").select("shard", "rows", "step"), []
+    level = known.where("first").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("before"), none.alias("after"))
+    found = materialise(indexed(held, known.groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("known")), words), "index")
+    levels = []
     for size in range(2, words + 1):
-        # one shuffle sums a phrase's shards and tells them the sum
-        summed = found.where("step is null").select("shard", "low", "size", "left", "right").withColumn("a", F.sum("size").over(Window.partitionBy("left", "right")))
-        frequent = materialise(summed.where(F.col("a") >= least), "frequent")
+        frequent = frequent_only(found.where("step is null").select("shard", "low", "size", "left", "right"), ["left", "right"], "size", least, "frequent")
         one = level.select(F.col("id").alias("left"), "lang", "phrase", F.col("a").alias("a_left"), "before")
         two = level.select(F.col("id").alias("right"), "last", F.col("a").alias("a_right"), "after")
-        longer = frequent.groupBy("left", "right").agg(F.first("a").alias("a")).join(one, "left").join(two, "right")
-        level = numbered(
-            longer.select("left", "right", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "a", F.concat("before", F.array("a_left")).alias("before"), F.concat("after", F.array("a_right")).alias("after"), F.lit(size).alias("words")), "level"
+        longer = frequent.where("first").select("id", "left", "right", "a").join(one, "left").join(two, "right")
+        level = materialise(
+            longer.select("id", "left", "right", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "a", F.concat("before", F.array("a_left")).alias("before"), F.concat("after", F.array("a_right")).alias("after"), F.lit(size).alias("words")), "level"
         )
         levels.append(level)
         if size < words:
-            back = frequent.join(level.select("left", "right", "id"), ["left", "right"]).groupBy("shard").agg(F.collect_list(F.struct("low", "size", "id")).alias("known"))
-            found = materialise(deeper(steps, back), "longer")
+            back = frequent.groupBy("shard").agg(F.collect_list(F.struct("low", "size", "id")).alias("known"))
+            found = materialise(deeper(found.where("step is not null").select("shard", "rows", "step"), back), "longer")
     out = []
     for level, longer in zip(levels, [*levels[1:], levels[-1].limit(0)]):
         most = lambda side: longer.groupBy(F.col(side).alias("id")).agg(F.max("a").alias(f"most_{side}"))  # noqa: B023, E731

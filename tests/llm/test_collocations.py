@@ -90,7 +90,7 @@ def test_intervals_are_counts(ids, depth):
     names = [(int(first[x]),) for x in low]
     text = ids.tolist()
     for k in range(2, depth + 1):
-        low, size, left, right = collocations.extended(step, low, size)
+        low, size, left, right, step = collocations.extended(step, low, size)
         assert all(names[a][1:] == names[b][:-1] for a, b in zip(left.tolist(), right.tolist()))
         names = [names[a] + names[b][-1:] for a, b in zip(left.tolist(), right.tolist())]
         want = Counter(tuple(text[i : i + k]) for i in range(len(text) - k + 1) if 0 not in text[i : i + k])
