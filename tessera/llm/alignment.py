@@ -33,12 +33,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.llm.bpe import byte_symbols
 from tessera.llm.common import give_back, materialise, small_batches
-from tessera.llm.fragments import MARK, ByteLevel, Known, Pieces, by_bytes, fragments, load, once, shared_vocabulary, windows
+from tessera.llm.fragments import ENTRY_BYTES, MARK, ByteLevel, Known, Pieces, by_bytes, fragments, load, once, shared_vocabulary, windows
 
 #: Bytes of text of a slice, whose pairs are added up together; bits of an id in a pair's key.
 SLICE_BYTES, ID_BITS = 4 << 20, 31
-#: Bytes, roughly, of the fragments that a worker remembers.
-MEMO_BYTES = 160 << 20
+#: Bytes, roughly, of the fragments that a worker remembers; bytes of text that are aligned together.
+MEMO_BYTES, TOGETHER_BYTES = 96 << 20, 1 << 20
 #: Characters of a text whose fragments are looked up together.
 WINDOW_CHARS = 1 << 20
 #: What follows a token in a document's groups: another of its side, the other side, the next group, nothing.
@@ -72,7 +72,7 @@ class Side:
 
     def answer(self, texts: list[str]) -> list[bytes | None]:
         """The ids of each text after a space; None where their bytes aren't the space and the text."""
-        lists = [e if isinstance(e, list) else e.ids for e in self.vocabulary.after_space(texts)]
+        lists = self.vocabulary.after_space(texts)
         every = [i for x in lists for i in x]
         edges = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
         want = [b" " + t.encode("utf-8") for t in texts]
@@ -89,7 +89,7 @@ class Aligner:
 
     def __init__(self, one: ByteLevel | Pieces, two: ByteLevel | Pieces, limit: int = MEMO_BYTES):
         self.sides = [Side(one), Side(two)]
-        self.known = Known(lambda texts: list(zip(*(s.answer(texts) for s in self.sides))), lambda x: 140 + sum(len(i or b"") for i in x), limit)
+        self.known = Known(lambda texts: list(zip(*(s.answer(texts) for s in self.sides))), limit, ENTRY_BYTES + 180)
 
     def encoded(self, texts: list[str]) -> list[list[bytes] | None]:
         """The ids of a space and each text on both sides; None where they don't give its bytes. No text, no tokens."""
@@ -100,7 +100,8 @@ class Aligner:
             self.known.learn({f for _, cut in waiting for f in cut})
             for i, cut in waiting:
                 if found[i] is not None:
-                    one, two = zip(*map(self.known.__getitem__, cut))
+                    got = [self.known[f] for f in cut]
+                    one, two = [x for x, _ in got], [x for _, x in got]
                     if None in one or None in two:
                         found[i] = None
                     else:
@@ -189,15 +190,24 @@ def slices(docs: DataFrame, one: str, two: str, doc_id: str, text: str) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = [s.value for s in shared]
         aligner = once(("aligner", one, two, *map(hash, data)), lambda: Aligner(*(load(p, d, plain_specials=True) for p, d in zip((one, two), data))))
-        number = TaskContext.get().partitionId() << 40
+        number, held, size = TaskContext.get().partitionId() << 40, [], 0
+
+        def row() -> pa.RecordBatch:
+            pairs, codes, counts = np.unique(np.concatenate([x["pairs"] for x in held]), return_inverse=True, return_counts=True)
+            own = {"slice": number, "codes": codes.astype("<u4").tobytes(), "pairs": pairs, "counts": counts, "groups_sha256": [d for x in held for d in x["digests"]]}
+            own |= {k: np.concatenate([x[k] for x in held]) for k in ("n_a", "n_b", "n_groups", "n_links")} | {"ids": pa.concat_arrays([x["ids"] for x in held])}
+            return pa.RecordBatch.from_arrays([listed(own[f.name], f.type) if pa.types.is_list(f.type) else pa.array([own[f.name]], f.type) for f in target], schema=target)
+
         for b in batches:
-            for part in by_bytes(b, text, SLICE_BYTES):
-                x = aligner.aligned([t or "" for t in part.column(text).to_pylist()])
-                pairs, codes, counts = np.unique(x["pairs"], return_inverse=True, return_counts=True)
-                row = {"slice": number, "ids": part.column(doc_id), "groups_sha256": x["digests"], "codes": codes.astype("<u4").tobytes(), "pairs": pairs, "counts": counts} | {k: x[k] for k in ("n_a", "n_b", "n_groups", "n_links")}
-                arrays = [pa.array([row[f.name]], f.type) if not pa.types.is_list(f.type) else listed(row[f.name], f.type) for f in target]
-                yield pa.RecordBatch.from_arrays(arrays, schema=target)
-                number += 1
+            for part in by_bytes(b, text, TOGETHER_BYTES):
+                texts = [t or "" for t in part.column(text).to_pylist()]
+                held.append(aligner.aligned(texts) | {"ids": part.column(doc_id)})
+                size += sum(map(len, texts))
+                if size >= SLICE_BYTES:
+                    yield row()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield row()
         give_back()
 
     return small_batches(docs.select(doc_id, text)).mapInArrow(run, schema)

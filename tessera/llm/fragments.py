@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tessera.llm.bpe import MAX_VOCABULARY_BYTES
+from tessera.llm.bpe import MAX_VOCABULARY_BYTES, byte_symbols
 
 #: Bytes of text that are handled together, bytes of a batch for the library, and characters of a long text's window.
 SLICE_BYTES, BATCH_BYTES, WINDOW_CHARS = 4 << 20, 1 << 18, 1 << 20
@@ -72,23 +72,26 @@ def balanced(texts: list[str], limit: int) -> Iterator[list[str]]:
 
 
 class Known(dict):
-    """Answers for texts, remembered up to so many bytes; `answer` takes a list of unknown texts."""
+    """Answers for texts, remembered up to so many bytes; `answer` takes a list of unknown texts, an entry holds about so many bytes beside its text."""
 
-    def __init__(self, answer: Callable[[list[str]], list], size: Callable[[object], int], limit: int = MEMO_BYTES):
+    def __init__(self, answer: Callable[[list[str]], list], limit: int = MEMO_BYTES, entry: int = ENTRY_BYTES):
         super().__init__()
-        self.answer, self.size, self.limit, self.held = answer, size, limit, 0
+        self.answer, self.limit, self.entry, self.held = answer, limit, entry, 0
 
     def learn(self, texts: set[str]) -> None:
         """Afterwards every one of the texts has its answer here; what was known before may be gone."""
         new = [t for t in texts if t not in self]
-        cost = sum(map(len, new)) + ENTRY_BYTES * len(new)
-        if self.held + cost > self.limit and self:
+        cost = lambda x: sum(map(len, x)) + self.entry * len(x)
+        if self and self.held + cost(new) > self.limit:
             self.clear()
             self.held, new = 0, list(texts)
         for batch in balanced(new, BATCH_BYTES):
-            for t, a in zip(batch, self.answer(batch)):
-                self[t] = a
-                self.held += ENTRY_BYTES + len(t) + self.size(a)
+            self.update(zip(batch, self.answer(batch), strict=True))
+        self.held += cost(new)
+
+
+#: Characters below this one have had their classes in all versions that the libraries use.
+SETTLED = "\u0250"
 
 
 class ByteLevel:
@@ -107,6 +110,34 @@ class ByteLevel:
         whole = any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in d["added_tokens"])
         plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
         self.cuts = bool(plain and not whole and d.get("normalizer") is None and d["model"]["type"] == "BPE")
+        self.special = [t["content"] for t in d["added_tokens"] if not plain_specials]
+        self.quick = self.by_ranks(d["model"]["vocab"], d["model"]["merges"]) if self.cuts else None
+
+    @staticmethod
+    def by_ranks(vocab: dict[str, int], merges: list):
+        """The same vocabulary in the tiktoken library, which is quicker on short texts; None if its ids aren't in the order of its merges."""
+        import public_tokenizers
+        from tiktoken import Encoding
+
+        of = {s: bytes([b]) for b, s in enumerate(byte_symbols())}
+        made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in merges]
+        first = min((vocab[m] for m in made), default=0)
+        if [vocab[m] for m in made] != list(range(first, first + len(made))) or not all(c in of for t in vocab for c in t) or any(vocab.get(s, first) >= first for s in of):
+            return None
+        ranks = {b"".join(of[c] for c in t): i for t, i in vocab.items()}
+        return Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text: by ranks where its characters' classes are settled and it holds no special token."""
+        if self.quick is None:
+            return [e.ids for e in self.encoded(texts)]
+        out = [self.quick(t) if t.isascii() or max(t) < SETTLED else None for t in texts]
+        for i in [i for s in self.special for i, t in enumerate(texts) if s in t]:
+            out[i] = None
+        if rest := [i for i, x in enumerate(out) if x is None]:
+            for i, e in zip(rest, self.encoded([texts[i] for i in rest])):
+                out[i] = e.ids
+        return out
 
     def cuttable(self, text: str) -> bool:
         return self.cuts
@@ -114,8 +145,8 @@ class ByteLevel:
     def encoded(self, texts: list[str]) -> list:
         return self.library.encode_batch_fast(texts, add_special_tokens=False)
 
-    def after_space(self, fragments: list[str]) -> list:
-        return self.encoded([" " + f for f in fragments])
+    def after_space(self, fragments: list[str]) -> list[list[int]]:
+        return self.ids([" " + f for f in fragments])
 
 
 class Pieces:
@@ -180,7 +211,7 @@ class Counter:
 
     def __init__(self, name: str, data: bytes, limit: int = MEMO_BYTES):
         self.vocabulary = load(name, data)
-        self.inner = Known(lambda x: list(map(len, self.vocabulary.after_space(x))), lambda _: 0, limit)
+        self.inner = Known(lambda x: list(map(len, self.vocabulary.after_space(x))), limit)
 
     def count(self, texts: list[str]) -> list[int]:
         # whole is what goes to the library as it is: beginnings, which have no space before them, and uncut texts

@@ -43,6 +43,19 @@ def test_cuts_are_certain(libraries, texts):
         assert counter.count(texts) == [count(t) for t in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.characters(max_codepoint=0x2FF, exclude_categories=["Cs"]), max_size=30) | ODD, max_size=4))
+def test_ranks_give_the_same_ids(libraries, texts):
+    assert COUNTERS[0].vocabulary.ids(texts) == [libraries[0].encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_ranks_and_library_agree_on_all_settled_characters(libraries):
+    every = [chr(i) for i in range(0x250)]
+    texts = ["".join(x + y for y in every[::7]) for x in every] + [f"a{x}b 1{x}2 {x}s'{x} {x}{x}" for x in every]
+    assert COUNTERS[0].vocabulary.quick is not None
+    assert [COUNTERS[0].vocabulary.quick(t) for t in texts] == [e.ids for e in libraries[0].encode_batch(texts, add_special_tokens=False)]
+
+
 def test_windows_put_together_are_the_text():
     text = "one two  three\n four five six seven " * 50
     parts = list(fragments.windows(text, 40))
@@ -61,7 +74,7 @@ def test_batches_are_balanced():
 
 def test_memo_is_bounded():
     made = []
-    known = fragments.Known(lambda x: made.append(len(x)) or list(map(len, x)), lambda _: 0, 100 * (fragments.ENTRY_BYTES + 3))
+    known = fragments.Known(lambda x: made.append(len(x)) or list(map(len, x)), 100 * (fragments.ENTRY_BYTES + 3))
     for i in range(0, 900, 30):
         wanted = {f"{j:03d}" for j in range(i, i + 60)}
         known.learn(wanted)
