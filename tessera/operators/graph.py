@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.lineage import cut
+from tessera.operators.layering import layers  # noqa: F401
 
 
 def reach_ways(edges: DataFrame, roots: DataFrame, depth: int, source: str = "from", target: str = "to", seq: str = "seq", root_id: str = "id") -> DataFrame:
@@ -98,44 +99,3 @@ def propagate(edges: DataFrame, roots: DataFrame, allowed: Column, source: str =
         if newest.isEmpty():
             return seen
         seen = seen.union(newest)
-
-
-def layers(dependencies: DataFrame, nodes: DataFrame, source: str = "from_project", target: str = "to_project", node: str = "project") -> DataFrame:
-    """(project, layer): the longest chain of dependencies below each node, leaves 0.
-
-    Cycles depend on the order of visits, by name: a node in progress counts as 0. Distinct dependencies between
-    projects are a small table by nature; one larger than LAYER_EDGES is refused rather than gathered.
-    """
-    pairs = dependencies.select(source, target).distinct().limit(LAYER_EDGES + 1).collect()
-    names = [r[0] for r in nodes.select(node).distinct().limit(LAYER_EDGES + 1).collect()]
-    if max(len(pairs), len(names)) > LAYER_EDGES:
-        raise ValueError(f"more than {LAYER_EDGES} projects or dependencies")
-    below: dict[str, list[str]] = {}
-    for a, b in sorted(tuple(r) for r in pairs):
-        below.setdefault(a, []).append(b)
-    found: dict[str, int] = {}
-    for name in sorted(names):
-        stack = [(name, iter(below.get(name, ())))]
-        active, best = {name}, {name: -1}
-        while stack and name not in found:
-            top, rest = stack[-1]
-            for b in rest:
-                if b in found or b in active:
-                    best[top] = max(best[top], found.get(b, 0))
-                    continue
-                stack.append((b, iter(below.get(b, ()))))
-                active.add(b)
-                best[b] = -1
-                break
-            else:
-                stack.pop()
-                active.discard(top)
-                found[top] = best[top] + 1
-                if stack:
-                    best[stack[-1][0]] = max(best[stack[-1][0]], found[top])
-    spark = nodes.sparkSession
-    return spark.createDataFrame([(n, found[n]) for n in names], f"{node} string, layer int")
-
-
-#: Project dependencies that layers() gathers at most.
-LAYER_EDGES = 100_000
