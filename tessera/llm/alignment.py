@@ -31,9 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.llm.bpe import byte_symbols
 from tessera.llm.common import give_back, materialise, small_batches
-from tessera.llm.fragments import ENTRY_BYTES, MARK, ByteLevel, Known, Pieces, by_bytes, fragments, load, once, shared_vocabulary, windows
+from tessera.llm.fragments import ENTRY_BYTES, ByteLevel, Known, Pieces, by_bytes, fragments, load, once, shared_vocabulary, split_ids, windows
 
 #: Bytes of text of a slice, whose pairs are added up together; bits of an id in a pair's key.
 SLICE_BYTES, ID_BITS = 4 << 20, 31
@@ -45,26 +44,11 @@ WINDOW_CHARS = 1 << 20
 _SIGNS = [b",", b"|", b";", b""]
 
 
-def token_bytes(vocabulary: ByteLevel | Pieces) -> list[bytes]:
-    """The bytes that each id stands for."""
-    if isinstance(vocabulary, Pieces):
-        lib = vocabulary.library
-        byte = [lib.is_byte(i) for i in range(lib.vocab_size())]
-        return [bytes([int(lib.id_to_piece(i)[3:5], 16)]) if byte[i] else lib.id_to_piece(i).replace(MARK, " ").encode("utf-8") for i in range(lib.vocab_size())]
-    of = {s: bytes([b]) for b, s in enumerate(byte_symbols())}
-    known = vocabulary.library.get_vocab(with_added_tokens=True)
-    out = [b""] * (max(known.values(), default=-1) + 1)
-    for token, i in known.items():
-        out[i] = b"".join(of[c] for c in token) if all(c in of for c in token) else token.encode("utf-8")
-    return out
-
-
 class Side:
     """One tokenizer: the ids of fragments, the bytes of ids, and how ids are written in a document's groups."""
 
     def __init__(self, vocabulary: ByteLevel | Pieces):
-        self.vocabulary, self.bytes = vocabulary, token_bytes(vocabulary)
-        self.length = np.array([len(b) for b in self.bytes], np.int64)
+        self.vocabulary, self.bytes, self.length = vocabulary, vocabulary.bytes, vocabulary.length
         width = len(str(len(self.bytes))) + 1
         shown = [f"{i}".encode() + s for i in range(len(self.bytes)) for s in _SIGNS]
         self.shown = np.array(shown, f"S{width}").view(np.uint8).reshape(len(shown), width)
@@ -72,15 +56,14 @@ class Side:
 
     def answer(self, texts: list[str]) -> list[bytes | None]:
         """The ids of each text after a space; None where their bytes aren't the space and the text."""
-        lists = self.vocabulary.after_space(texts)
-        every = [i for x in lists for i in x]
-        edges = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+        ids, edges = split_ids(self.vocabulary, texts)
         want = [b" " + t.encode("utf-8") for t in texts]
-        data = np.array(every, "<u4").tobytes()
+        data = ids.astype("<u4").tobytes()
         out: list[bytes | None] = [data[4 * a : 4 * b] for a, b in zip(edges.tolist(), edges[1:].tolist())]
-        lengths = np.diff(np.concatenate([[0], np.cumsum(self.length[np.array(every, np.int64)])])[edges])
-        if b"".join([self.bytes[i] for i in every]) != b"".join(want) or lengths.tolist() != list(map(len, want)):
-            out = [o if b"".join([self.bytes[i] for i in x]) == w else None for o, x, w in zip(out, lists, want)]
+        lengths = np.diff(np.concatenate([[0], np.cumsum(self.length[ids])])[edges])
+        if b"".join([self.bytes[i] for i in ids.tolist()]) != b"".join(want) or lengths.tolist() != list(map(len, want)):
+            made = lambda o: b"".join([self.bytes[i] for i in np.frombuffer(o, "<u4").tolist()])
+            out = [o if made(o) == w else None for o, w in zip(out, want)]
         return out
 
 
@@ -208,6 +191,8 @@ def slices(docs: DataFrame, one: str, two: str, doc_id: str, text: str) -> DataF
                     number, held, size = number + 1, [], 0
         if held:
             yield row()
+            held.clear()
+        aligner.known.forget()  # the worker lives on beside those of later stages
         give_back()
 
     return small_batches(docs.select(doc_id, text)).mapInArrow(run, schema)

@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 from functools import partial
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -78,18 +79,57 @@ class Known(dict):
         super().__init__()
         self.answer, self.limit, self.entry, self.held = answer, limit, entry, 0
 
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
     def learn(self, texts: set[str]) -> None:
         """Afterwards every one of the texts has its answer here; what was known before may be gone."""
         new = [t for t in texts if t not in self]
         cost = lambda x: sum(map(len, x)) + self.entry * len(x)
         if self and self.held + cost(new) > self.limit:
-            self.clear()
-            self.held, new = 0, list(texts)
+            self.forget()
+            new = list(texts)
         for batch in balanced(new, BATCH_BYTES):
             self.update(zip(batch, self.answer(batch), strict=True))
         self.held += cost(new)
 
 
+def token_lengths(tokens: list[bytes]) -> np.ndarray:
+    return np.array([len(t) for t in tokens], np.int64)
+
+
+def split_ids(vocabulary: ByteLevel | Pieces, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of each text after a space, put together, and where each text's begin and end.
+
+    Texts between whose ends a cut is certain are encoded as one; where the tokens' bytes tell their ends, each has its
+    own. The others are encoded one by one.
+    """
+    smooth = [i for i, t in enumerate(texts) if t and not t[0].isspace() and not t[-1].isspace()]
+    if not vocabulary.cuts or any(MARK in t for t in texts):
+        smooth = [i for i in smooth if vocabulary.cuttable(texts[i])]
+    size = np.full(len(texts), -1, np.int64)
+    parts: list[tuple[list[int], np.ndarray]] = []
+    for some in vocabulary.alike(texts, smooth):
+        ids = vocabulary.joined([texts[i] for i in some])
+        ends = np.cumsum(vocabulary.length[ids])
+        want = np.cumsum([1 + (len(t) if t.isascii() else len(t.encode("utf-8"))) for t in map(texts.__getitem__, some)])
+        at = np.searchsorted(ends, want)
+        if len(ends) and at[-1] < len(ends) and (ends[at] == want).all():
+            size[some] = np.diff(at, prepend=-1)
+            parts.append((some, ids))
+    if len(rest := np.flatnonzero(size < 0).tolist()):
+        found = vocabulary.after_space([texts[i] for i in rest])
+        size[rest] = [len(x) for x in found]
+        parts.append((rest, np.array([i for x in found for i in x], np.int64)))
+    edges = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    out = np.empty(int(edges[-1]), np.int64)
+    for some, ids in parts:
+        n = size[some]
+        out[np.repeat(edges[some] - np.cumsum(n) + n, n) + np.arange(len(ids))] = ids
+    return out, edges
+
+
 #: Characters below this one have had their classes in all versions that the libraries use.
 SETTLED = "\u0250"
 
@@ -111,42 +151,55 @@ class ByteLevel:
         plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
         self.cuts = bool(plain and not whole and d.get("normalizer") is None and d["model"]["type"] == "BPE")
         self.special = [t["content"] for t in d["added_tokens"] if not plain_specials]
+        of = {s: bytes([b]) for b, s in enumerate(byte_symbols())}
+        known = self.library.get_vocab(with_added_tokens=True)
+        self.bytes = [b""] * (max(known.values(), default=-1) + 1)
+        for token, i in known.items():
+            self.bytes[i] = b"".join(of[c] for c in token) if all(c in of for c in token) else token.encode("utf-8")
+        self.length = token_lengths(self.bytes)
         self.quick = self.by_ranks(d["model"]["vocab"], d["model"]["merges"]) if self.cuts else None
 
-    @staticmethod
-    def by_ranks(vocab: dict[str, int], merges: list):
-        """The same vocabulary in the tiktoken library, which is quicker on short texts; None if its ids aren't in the order of its merges."""
+    def by_ranks(self, vocab: dict[str, int], merges: list):
+        """The same vocabulary in the tiktoken library, which is quicker; None if its ids aren't in the order of its merges."""
         import public_tokenizers
         from tiktoken import Encoding
 
-        of = {s: bytes([b]) for b, s in enumerate(byte_symbols())}
+        singles = byte_symbols()
         made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in merges]
         first = min((vocab[m] for m in made), default=0)
-        if [vocab[m] for m in made] != list(range(first, first + len(made))) or not all(c in of for t in vocab for c in t) or any(vocab.get(s, first) >= first for s in of):
+        if [vocab[m] for m in made] != list(range(first, first + len(made))) or not all(c in singles for t in vocab for c in t) or any(vocab.get(s, first) >= first for s in singles):
             return None
-        ranks = {b"".join(of[c] for c in t): i for t, i in vocab.items()}
-        return Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text: by ranks where its characters' classes are settled and it holds no special token."""
-        if self.quick is None:
-            return [e.ids for e in self.encoded(texts)]
-        out = [self.quick(t) if t.isascii() or max(t) < SETTLED else None for t in texts]
-        for i in [i for s in self.special for i, t in enumerate(texts) if s in t]:
-            out[i] = None
-        if rest := [i for i, x in enumerate(out) if x is None]:
-            for i, e in zip(rest, self.encoded([texts[i] for i in rest])):
-                out[i] = e.ids
-        return out
+        return Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={self.bytes[i]: i for i in vocab.values()}, special_tokens={}).encode_to_numpy
 
     def cuttable(self, text: str) -> bool:
         return self.cuts
 
+    def settled(self, text: str) -> bool:
+        """Whether ranks give the same ids: the characters' classes are settled, and no special token is in it."""
+        return self.quick is not None and (text.isascii() or max(text) < SETTLED) and not any(s in text for s in self.special)
+
+    def alike(self, texts: list[str], of: list[int]) -> Iterator[list[int]]:
+        """The given texts' numbers, those that go by ranks apart from those for the library."""
+        if self.settled("".join(texts)):
+            parts = [of]
+        else:
+            parts = [[], []]
+            for i in of:
+                parts[self.settled(texts[i])].append(i)
+        yield from filter(None, parts)
+
+    def joined(self, texts: list[str]) -> np.ndarray:
+        """The ids of texts alike, each after a space, as one text."""
+        text = " " + " ".join(texts)
+        if self.settled(texts[0]):
+            return self.quick(text, disallowed_special=()).astype(np.int64)
+        return np.array(self.encoded([text])[0].ids, np.int64)
+
     def encoded(self, texts: list[str]) -> list:
         return self.library.encode_batch_fast(texts, add_special_tokens=False)
 
-    def after_space(self, fragments: list[str]) -> list[list[int]]:
-        return self.ids([" " + f for f in fragments])
+    def after_space(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.encoded([" " + t for t in texts])]
 
 
 class Pieces:
@@ -155,7 +208,7 @@ class Pieces:
     def __init__(self, model: bytes):
         from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
-        self.library = SentencePieceProcessor(model_proto=model)
+        self.library = lib = SentencePieceProcessor(model_proto=model)
         spec = sentencepiece_model_pb2.ModelProto()
         spec.ParseFromString(model)
         n, t = spec.normalizer_spec, spec.trainer_spec
@@ -163,11 +216,19 @@ class Pieces:
         user = any(p.type == p.USER_DEFINED for p in spec.pieces)
         merges = t.model_type == t.BPE  # others weigh a whole text's pieces against each other
         self.cuts = not inner and not user and merges and n.add_dummy_prefix and not n.remove_extra_whitespaces and not n.precompiled_charsmap and not t.treat_whitespace_as_suffix
+        self.bytes = [bytes([int(lib.id_to_piece(i)[3:5], 16)]) if lib.is_byte(i) else lib.id_to_piece(i).replace(MARK, " ").encode("utf-8") for i in range(lib.vocab_size())]
+        self.length = token_lengths(self.bytes)
 
     def cuttable(self, text: str) -> bool:
         """A text's own marks are spaces to the library."""
         return self.cuts and MARK not in text
 
+    def alike(self, texts: list[str], of: list[int]) -> Iterator[list[int]]:
+        yield from filter(None, [of])
+
+    def joined(self, texts: list[str]) -> np.ndarray:
+        return np.array(self.library.encode(" ".join(texts), num_threads=1), np.int64)
+
     def encoded(self, texts: list[str]) -> list[list[int]]:
         return self.library.encode(texts, num_threads=1)
 
@@ -211,7 +272,7 @@ class Counter:
 
     def __init__(self, name: str, data: bytes, limit: int = MEMO_BYTES):
         self.vocabulary = load(name, data)
-        self.inner = Known(lambda x: list(map(len, self.vocabulary.after_space(x))), limit)
+        self.inner = Known(lambda x: np.diff(split_ids(self.vocabulary, x)[1]).tolist(), limit)
 
     def count(self, texts: list[str]) -> list[int]:
         # whole is what goes to the library as it is: beginnings, which have no space before them, and uncut texts
