@@ -38,7 +38,9 @@ from tessera.llm.common import give_back, materialise, small_batches
 #: Occurrences of a phrase at least; words of a phrase at most; phrases of a language that are reported.
 LEAST, WORDS, TOP = 100, 5, 2000
 #: Words of a shard, roughly; rows that a task sends on together; parts in which a language's phrases are ranked first; splits of the input that a task reads, as larger shards have fewer phrases in all.
-SHARD_WORDS, SENT_TOGETHER, RANK_PARTS, SPLITS = 1 << 22, 1 << 16, 64, 4
+SHARD_WORDS, SENT_TOGETHER, RANK_PARTS, SPLITS = 1 << 23, 1 << 16, 64, 4
+#: Bits of a place within a shard, and of a shard's number within its task: a row's own number is its shard's and its place.
+PLACE_BITS, OWN_BITS = 31, 12
 #: The byte that stands for a separator of pieces; UTF-8 never has it.
 _MARK = b"\xff"
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
@@ -97,7 +99,10 @@ def shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """(shard, lang, size, ids, words, counts): numbered words of some documents of a language; word i has number i + 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held = TaskContext.get().partitionId() << 40, {}
+        task = TaskContext.get().partitionId()
+        number, held = task << OWN_BITS, {}
+        if task >> (63 - PLACE_BITS - OWN_BITS):
+            raise ValueError("too many tasks to number their shards")
 
         def settled(name: str) -> Iterator[pa.RecordBatch]:
             nonlocal number
@@ -111,6 +116,8 @@ def shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
                 row = {"shard": number, "lang": name, "size": len(ids), "ids": packed(again[ids]), "words": every[some - 1], "counts": n[some]}
                 yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in _SHARDS], schema=_SHARDS)
                 number += 1
+                if number >> OWN_BITS != task:
+                    raise ValueError("too many shards in a task")
 
         for b in batches:
             for name, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -130,9 +137,9 @@ def shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 def suffix_rows(ids: np.ndarray, depth: int) -> np.ndarray:
     """Where words begin in ids, in the order of the `depth` numbers from there on."""
-    padded = np.concatenate([ids, np.zeros(depth, ids.dtype)]).astype(np.int64)
+    padded = np.concatenate([ids, np.zeros(depth, ids.dtype)])
     bits = max(1, int(ids.max(initial=0)).bit_length())
-    rows, left = np.flatnonzero(ids), depth
+    rows, left = np.flatnonzero(ids).astype(np.int32), depth
     while left:
         wide = min(left, 63 // bits)
         left -= wide
@@ -160,8 +167,8 @@ def extended(step: np.ndarray, low: np.ndarray, size: np.ndarray) -> tuple[np.nd
 
     Rows outside of them can be in no longer interval either, so only theirs stay, numbered anew.
     """
-    node = np.full(len(step) + 1, -1, np.int64)  # the last for steps to nowhere
-    node[np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())] = np.repeat(np.arange(len(low)), size)
+    node = np.full(len(step) + 1, -1, np.int32)  # the last for steps to nowhere
+    node[np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())] = np.repeat(np.arange(len(low), dtype=np.int32), size)
     later = node[step]
     rows = np.flatnonzero((node[:-1] >= 0) & (later >= 0))
     left, right = node[rows], later[rows]
@@ -171,21 +178,22 @@ def extended(step: np.ndarray, low: np.ndarray, size: np.ndarray) -> tuple[np.nd
     return begin, np.diff(np.append(begin, len(rows))), left[begin], right[begin], again[step[rows]]
 
 
-_ROWS = pa.schema([("shard", pa.int64()), ("rows", pa.int64()), ("step", pa.binary()), ("low", pa.int32()), ("size", pa.int32()), ("left", pa.int64()), ("right", pa.int64())])
-_ROWS_SQL = "shard long, rows long, step binary, low int, size int, left long, right long"
+#: A shard's index (shard, rows, step) or one of its intervals (place, size, left, right), whose place is the shard's number and the interval's begin.
+_ROWS = pa.schema([("shard", pa.int64()), ("rows", pa.int64()), ("step", pa.binary()), ("place", pa.int64()), ("size", pa.int32()), ("left", pa.int64()), ("right", pa.int64())])
+_ROWS_SQL = "shard long, rows long, step binary, place long, size int, left long, right long"
 
 
 def sent(shard: int, step: np.ndarray, *intervals: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row with the steps of a shard's rows, then rows of its intervals: low, size, left, right."""
     yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((shard, len(step), packed(np.diff(step, prepend=0)), None, None, None, None), _ROWS)], schema=_ROWS)
     for at in range(0, len(intervals[0]), SENT_TOGETHER):
-        part = [x[at : at + SENT_TOGETHER] for x in intervals]
-        n = len(part[0])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *(pa.array(x).cast(f.type) for x, f in zip(part, list(_ROWS)[3:]))], schema=_ROWS)
+        low, *part = (x[at : at + SENT_TOGETHER] for x in intervals)
+        n = len(low)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *(pa.array(x).cast(f.type) for x, f in zip(((shard << PLACE_BITS) | low, *part), list(_ROWS)[3:]))], schema=_ROWS)
 
 
 def indexed(held: DataFrame, numbers: DataFrame, depth: int) -> DataFrame:
-    """Of each shard its index (shard, rows, step) and the intervals of two frequent words (shard, low, size, left, right); numbers: (shard, known: array of (at, id))."""
+    """Of each shard its index (shard, rows, step) and the intervals of two frequent words (place, size, left, right); numbers: (shard, known: array of (at, id))."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,13 +214,13 @@ def indexed(held: DataFrame, numbers: DataFrame, depth: int) -> DataFrame:
 
 
 def deeper(steps: DataFrame, frequent: DataFrame) -> DataFrame:
-    """The same, one word longer, of the frequent intervals; frequent: (shard, known: array of (low, size, id))."""
+    """The same, one word longer, of the frequent intervals; frequent: (shard, known: array of (at, size, id))."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 shard, n, step, known = (b.column(c)[i] for c in ("shard", "rows", "step", "known"))
-                low, size, phrase = (known.values.field(c).to_numpy() for c in ("low", "size", "id"))
+                low, size, phrase = (known.values.field(c).to_numpy() for c in ("at", "size", "id"))
                 step = np.cumsum(unpacked(step.as_py(), n.as_py()), dtype=np.int64)
                 low, size, left, right, step = extended(step, low.astype(np.int64), size.astype(np.int64))
                 yield from sent(shard.as_py(), step, low, size, phrase[left], phrase[right])
@@ -222,13 +230,19 @@ def deeper(steps: DataFrame, frequent: DataFrame) -> DataFrame:
 
 
 def frequent_only(counts: DataFrame, key: list[str], n: str, least: int, label: str) -> DataFrame:
-    """The rows whose key comes to `least` or more over all shards, with the sum a, the key's id, and whether the row is the one that stands for its key.
+    """The rows (place and others) whose key comes to `least` or more over all shards, with the sum a, the key's id, and whether the row is the one that stands for its key.
 
-    One shuffle sums a key's shards, of which each has one row, and tells them the sum. The id is that of a row, and written, so it stays as it is.
+    One shuffle sums a key's shards, of which each has one row, and tells them the sum. The id is the least place.
     """
     own = Window.partitionBy(*key)
-    summed = counts.withColumn("row", F.monotonically_increasing_id()).withColumn("a", F.sum(n).over(own)).withColumn("id", F.min("row").over(own))
-    return materialise(summed.where(F.col("a") >= least).withColumn("first", F.col("row") == F.col("id")).drop("row"), label)
+    summed = counts.withColumn("a", F.sum(n).over(own)).withColumn("id", F.min("place").over(own))
+    return materialise(summed.where(F.col("a") >= least).withColumn("first", F.col("place") == F.col("id")), label)
+
+
+def by_shard(frequent: DataFrame, *columns: str) -> DataFrame:
+    """(shard, known: array of (at, columns and id)), of the frequent rows."""
+    at = F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int").alias("at")
+    return frequent.groupBy(F.shiftright("place", PLACE_BITS).alias("shard")).agg(F.collect_list(F.struct(at, *columns, "id")).alias("known"))
 
 
 def score(a: Column, n: Column, l: Column, r: Column) -> Column:  # noqa: E741  the contract's names
@@ -246,14 +260,15 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     """
     held = materialise(shards(docs, text, lang), "shards")
     totals = held.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n"))
-    counts = held.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("shard", "lang", (F.col("at") + 1).alias("at"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
+    counts = held.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x"))
+    counts = counts.select("lang", F.shiftleft("shard", PLACE_BITS).bitwiseOR(F.col("at").cast("long") + 1).alias("place"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     known = frequent_only(counts, ["lang", "word"], "n", least, "words")
     none = F.array().cast("array<bigint>")
     level = known.where("first").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("before"), none.alias("after"))
-    found = materialise(indexed(held, known.groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("known")), words), "index")
+    found = materialise(indexed(held, by_shard(known), words), "index")
     levels = []
     for size in range(2, words + 1):
-        frequent = frequent_only(found.where("step is null").select("shard", "low", "size", "left", "right"), ["left", "right"], "size", least, "frequent")
+        frequent = frequent_only(found.where("step is null").select("place", "size", "left", "right"), ["left", "right"], "size", least, "frequent")
         one = level.select(F.col("id").alias("left"), "lang", "phrase", F.col("a").alias("a_left"), "before")
         two = level.select(F.col("id").alias("right"), "last", F.col("a").alias("a_right"), "after")
         longer = frequent.where("first").select("id", "left", "right", "a").join(one, "left").join(two, "right")
@@ -262,8 +277,7 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
         )
         levels.append(level)
         if size < words:
-            back = frequent.groupBy("shard").agg(F.collect_list(F.struct("low", "size", "id")).alias("known"))
-            found = materialise(deeper(found.where("step is not null").select("shard", "rows", "step"), back), "longer")
+            found = materialise(deeper(found.where("step is not null").select("shard", "rows", "step"), by_shard(frequent, "size")), "longer")
     out = []
     for level, longer in zip(levels, [*levels[1:], levels[-1].limit(0)]):
         most = lambda side: longer.groupBy(F.col(side).alias("id")).agg(F.max("a").alias(f"most_{side}"))  # noqa: B023, E731
