@@ -112,18 +112,29 @@ def co_changed(co_change: DataFrame, file: str) -> DataFrame:
 
 @dataclass
 class Impact:
-    """Everything a report needs; renderers ask nothing more."""
+    """Everything a report needs; renderers ask nothing more. What goes beyond the graph is looked up when it is asked for."""
 
+    index: object
+    file: str
     entry_points: DataFrame
     tests: DataFrame
     intermediates: DataFrame
     modules: DataFrame
-    screens: DataFrame
-    tickets: DataFrame
-    co_change: DataFrame
     summary: DataFrame
     ways: DataFrame
 
+    @property
+    def screens(self) -> DataFrame:
+        return screens(self.entry_points, self.index.api_links, self.index.frontend_calls).orderBy("feature", "file", "line")
+
+    @property
+    def tickets(self) -> DataFrame:
+        return tickets_of(self.index.tickets, self.file)
+
+    @property
+    def co_change(self) -> DataFrame:
+        return co_changed(self.index.co_change, self.file)
+
 
 def inferred_route() -> Column:
     """Whether a node is an http entry point whose route was inferred."""
@@ -146,7 +157,6 @@ def impact(index, symbol: str, depth: int = 5) -> Impact:
     nodes = cut(buckets(reached.select("id", "depth"), index.symbols, index.entry_points).join(sure, "id", "left").withColumn("is_confirmed", F.coalesce("is_confirmed", F.lit(False))), "nodes")
     entry = nodes.where("bucket = 'entry'")
     modules = entry.where("is_confirmed").groupBy("project").agg(F.count("*").alias("entry_points"))
-    shown = screens(entry, index.api_links, index.frontend_calls)
     own = first_rows(index.symbols.where(F.col("id") == symbol)).select("file").first()
     file = own["file"] if own else ""
     counts = nodes.agg(
@@ -160,8 +170,8 @@ def impact(index, symbol: str, depth: int = 5) -> Impact:
     hops = F.col("interface_edges") - F.col("unconfirmed_edges") + F.col("override_edges")
     summary = one.withColumn("hub", F.col("confirmed") > HUB).withColumn("risk", risk_score(F.col("confirmed"), F.col("tests"), hops, F.col("entry_points"), F.col("intermediates")))
     return Impact(
-        entry.orderBy("project", "display"), nodes.where("bucket = 'test'").orderBy("display"), nodes.where("bucket = 'intermediate'").orderBy("depth", "display"),
-        modules.orderBy(F.desc("entry_points"), "project"), shown.orderBy("feature", "file", "line"), tickets_of(index.tickets, file), co_changed(index.co_change, file), summary, reached,
+        index, file, entry.orderBy("project", "display"), nodes.where("bucket = 'test'").orderBy("display"), nodes.where("bucket = 'intermediate'").orderBy("depth", "display"),
+        modules.orderBy(F.desc("entry_points"), "project"), summary, reached,
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,20 +117,46 @@ def module_fan_in(v: Lens) -> DataFrame:
     return entry.join(graph.propagate(used, root(v), F.col("confirmed")), "id", "left_semi").groupBy("project").agg(F.count("*").alias("entry_points"))
 
 
+LINKS = """keys AS (
+  SELECT id, verb, regexp_replace(route, '\\{[^}]*\\}', '{*}', 'g') AS key FROM entries WHERE type = 'http'
+  UNION SELECT id, verb, regexp_replace(route, '/\\{id\\?\\}$', '') FROM entries WHERE type = 'http'
+), exact_all AS (
+  SELECT c.id AS fe, k.id AS be, CASE WHEN k.verb = c.verb THEN 0 ELSE 1 END AS p FROM calls c JOIN keys k ON c.route = k.key AND k.verb IN (c.verb, 'ANY')
+), exact AS (SELECT DISTINCT fe, be FROM exact_all e WHERE p = (SELECT min(p) FROM exact_all x WHERE x.fe = e.fe)
+), suffix_all AS (
+  SELECT c.id AS fe, k.id AS be, CASE WHEN k.verb = c.verb THEN 0 ELSE 1 END AS p FROM calls c JOIN keys k ON k.verb IN (c.verb, 'ANY') AND ends_with(k.key, '/' || c.route)
+  WHERE c.dropped AND c.id NOT IN (SELECT fe FROM exact)
+), suffix AS (SELECT DISTINCT fe, be FROM suffix_all e WHERE p = (SELECT min(p) FROM suffix_all x WHERE x.fe = e.fe)
+), links AS (
+  SELECT fe, be, CASE WHEN count(*) OVER (PARTITION BY fe) > 1 THEN 'ambiguous' ELSE 'exact' END AS kind FROM exact
+  UNION ALL SELECT fe, be, CASE WHEN count(*) OVER (PARTITION BY fe) > 1 THEN 'ambiguous' ELSE 'suffix' END FROM suffix
+)"""
+LINK_VIEWS = (sql.ENTRIES_SQL, sql.CALLS_SQL, LINKS)
+
+#: The supplier that some queries ask for.
+WHOLE_ROOT = "S:1"
+
+
 #: Http entry points with an inferred route.
 INFERRED = "count(*) FILTER (bucket = 'entry' AND type = 'http' AND substr(b.id, 3)::BIGINT % 5 = 0)"
 
 
 class _LensIndex:
-    """What impact() needs, from the lens."""
+    """What impact() needs, from the lens; the parts beyond the graph are made when they are asked for."""
 
     def __init__(self, v: Lens):
-        spark = v.spark
-        self.symbols, self.edges, self.entry_points, self.di_confirmed = v.symbols(), v.kept_edges(), v.entry_points(), v.di()
-        self.frontend_calls = v.frontend_calls()
-        self.api_links = link.link(v.entry_points(), v.frontend_calls()).links
-        self.tickets = spark.createDataFrame([], "ticket string, date string, files array<string>")
-        self.co_change = spark.createDataFrame([], "fileA string, fileB string, strength double")
+        self.v, self.symbols, self.edges, self.entry_points, self.di_confirmed = v, v.symbols(), v.kept_edges(), v.entry_points(), v.di()
+        self.frontend_calls, self.tickets = v.frontend_calls(), v.tickets()
+
+    @cached_property
+    def api_links(self) -> DataFrame:
+        return link.link(self.entry_points, self.frontend_calls).links
+
+    @cached_property
+    def co_change(self) -> DataFrame:
+        """Pairs of the lens's commits, whose parts' files are taken for those of suppliers."""
+        pairs = history.co_change(self.v.commits())
+        return pairs.withColumns({c: F.regexp_replace(c, "^p/", "S/") for c in ("fileA", "fileB")})
 
 
 @query(
@@ -147,6 +174,22 @@ def impact_summary(v: Lens) -> DataFrame:
     return impact.impact(_LensIndex(v), ROOT, DEPTH).summary
 
 
+@query(
+    f"""SELECT 'ticket' AS kind, ticket AS what, NULL::DOUBLE AS strength FROM tickets WHERE list_contains(files, 'S/f1.cs')
+    UNION ALL SELECT 'co_change', replace("fileA", 'p/', 'S/') || '|' || replace("fileB", 'p/', 'S/'), round_even(together::DOUBLE / least(a.total, b.total) * 100, 0) / 100
+      FROM (SELECT x.file AS "fileA", y.file AS "fileB", count(*) AS together FROM kept x JOIN kept y ON x.seq = y.seq AND x.file < y.file WHERE x.file = 'p/f1.cs' OR y.file = 'p/f1.cs' GROUP BY ALL HAVING count(*) >= 3) p
+      JOIN totals a ON a.file = "fileA" JOIN totals b ON b.file = "fileB"
+    UNION ALL SELECT 'screen', fe, NULL FROM links JOIN (SELECT DISTINCT e.id FROM edges JOIN entries e ON src = e.id WHERE dst = 'S:1' AND type = 'http') ON be = id""",
+    sql.EDGES_SQL, sql.TICKETS_SQL, sql.COMMITS_SQL, "totals AS (SELECT file, count(*) AS total FROM kept GROUP BY file)", *LINK_VIEWS,
+)
+def impact_context(v: Lens) -> DataFrame:
+    """Tickets and co-changes of a supplier's file, and the screens whose calls come to it in one step."""
+    found = impact.impact(_LensIndex(v), WHOLE_ROOT, 1)
+    none = F.lit(None).cast("double").alias("strength")
+    pairs = found.co_change.select(F.lit("co_change").alias("kind"), F.concat("fileA", F.lit("|"), "fileB").alias("what"), "strength")
+    return found.tickets.select(F.lit("ticket").alias("kind"), F.col("ticket").alias("what"), none).union(pairs).union(found.screens.select(F.lit("screen").alias("kind"), F.col("frontendId").alias("what"), none))
+
+
 @query(
     """SELECT id, depth, array_to_string(path, '>') AS path FROM (
     SELECT id, depth, path, row_number() OVER (PARTITION BY id ORDER BY depth) AS n FROM ways) WHERE n = 1""",
@@ -215,8 +258,8 @@ more AS (
   UNION ALL SELECT DISTINCT 'C:' || c_custkey, b.node, 'call', 'C.cs', (c_custkey % 100)::INT, 'override'
     FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN below b ON b.start = 'R:' || n_regionkey JOIN pairs p ON p.b = b.node AND p.type = n_name
 ), whole AS (SELECT src, dst, kind, file, line, via FROM edges UNION ALL SELECT * FROM more)"""
-#: Nodes that reach supplier 1 over all edges.
-WHOLE_ROOT, WHOLE_DEPTH = "S:1", 2
+#: Nodes that reach that supplier over all edges.
+WHOLE_DEPTH = 2
 WHOLE_REACH = f"""walk AS (SELECT '{WHOLE_ROOT}' AS id, 0 AS depth UNION SELECT e.src, w.depth + 1 FROM walk w JOIN whole e ON e.dst = w.id WHERE w.depth < {WHOLE_DEPTH}),
 reached AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id)"""
 
@@ -422,23 +465,6 @@ def top_reasons(v: Lens) -> DataFrame:
     return search.combined(hits).select("id", "score", F.array_join("reasons", ",").alias("reasons"), "more")
 
 
-LINKS = """keys AS (
-  SELECT id, verb, regexp_replace(route, '\\{[^}]*\\}', '{*}', 'g') AS key FROM entries WHERE type = 'http'
-  UNION SELECT id, verb, regexp_replace(route, '/\\{id\\?\\}$', '') FROM entries WHERE type = 'http'
-), exact_all AS (
-  SELECT c.id AS fe, k.id AS be, CASE WHEN k.verb = c.verb THEN 0 ELSE 1 END AS p FROM calls c JOIN keys k ON c.route = k.key AND k.verb IN (c.verb, 'ANY')
-), exact AS (SELECT DISTINCT fe, be FROM exact_all e WHERE p = (SELECT min(p) FROM exact_all x WHERE x.fe = e.fe)
-), suffix_all AS (
-  SELECT c.id AS fe, k.id AS be, CASE WHEN k.verb = c.verb THEN 0 ELSE 1 END AS p FROM calls c JOIN keys k ON k.verb IN (c.verb, 'ANY') AND ends_with(k.key, '/' || c.route)
-  WHERE c.dropped AND c.id NOT IN (SELECT fe FROM exact)
-), suffix AS (SELECT DISTINCT fe, be FROM suffix_all e WHERE p = (SELECT min(p) FROM suffix_all x WHERE x.fe = e.fe)
-), links AS (
-  SELECT fe, be, CASE WHEN count(*) OVER (PARTITION BY fe) > 1 THEN 'ambiguous' ELSE 'exact' END AS kind FROM exact
-  UNION ALL SELECT fe, be, CASE WHEN count(*) OVER (PARTITION BY fe) > 1 THEN 'ambiguous' ELSE 'suffix' END FROM suffix
-)"""
-LINK_VIEWS = (sql.ENTRIES_SQL, sql.CALLS_SQL, LINKS)
-
-
 def lens_links(v: Lens) -> link.Links:
     return link.link(v.entry_points(), v.frontend_calls())
 
