@@ -87,26 +87,64 @@ def looks_like_pull_requests(found: DataFrame) -> DataFrame:
     return found.agg(F.count("*").alias("tickets"), F.count_if(hit).alias("pr_like")).withColumn("warn", (F.col("tickets") >= 5) & (F.col("pr_like") * 2 > F.col("tickets")))
 
 
-def resolve_renames(paths: DataFrame, renames: DataFrame) -> DataFrame:
+def time_blocks(moves: DataFrame, blocks: int) -> list[int]:
+    """Cuts of the moves' times into about that many blocks of like size; a bounded list."""
+    shares = [i / blocks for i in range(1, blocks)]
+    found = moves.agg(F.percentile_approx("at", shares, 20 * blocks)).first()[0]
+    return sorted(set(found or []))
+
+
+def latest(probes: DataFrame, moves: DataFrame, cuts: list[int]) -> DataFrame:
+    """probes (path, at, *) with `move`, the last of moves (path, at, move) at the same path before `at`; null without one.
+
+    An as-of lookup by blocks of time: each block of a path is ordered alone, and takes what came last before it from
+    the path's earlier blocks, of which there are as many as cuts at most. So a path with most of the moves is no group.
+    """
+    block = F.lit(len(cuts))
+    for i, c in reversed(list(enumerate(cuts))):
+        block = F.when(F.col("at") < c, F.lit(i)).otherwise(block)
+    if len(cuts) > 32:  # a nest of this depth isn't compiled any more
+        block = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("at")))
+    told = moves.groupBy("path", "at").agg(F.max("move").alias("move")).withColumn("block", block)
+    ends = cut(told.groupBy("path", "block").agg(F.max(F.struct("at", "move")).alias("x")), "ends")
+    asked = probes.withColumn("block", block)
+    # a block that is asked for takes the last end of an earlier one
+    open_ = asked.select("path", "block").distinct().withColumn("x", F.lit(None).cast(ends.schema["x"].dataType))
+    before = Window.partitionBy("path").orderBy("block").rangeBetween(Window.unboundedPreceding, -1)
+    carried = ends.union(open_).withColumn("carried", F.last("x", ignorenulls=True).over(before)).where("x is null").select("path", "block", F.col("carried.move").alias("carried"))
+    own = [c for c in probes.columns if c not in ("path", "at")]
+    none = F.lit(None).cast(told.schema["move"].dataType).alias("move")
+    rows = told.select("path", "block", "at", "move", *(F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in own)).union(asked.select("path", "block", "at", none, *own))
+    within = Window.partitionBy("path", "block").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    looked = rows.withColumn("found", F.last("move", ignorenulls=True).over(within)).where("move is null")
+    return looked.join(carried, ["path", "block"], "left").select("path", "at", *own, F.coalesce("found", "carried").alias("move"))
+
+
+def resolve_renames(paths: DataFrame, renames: DataFrame, blocks: int = 64) -> DataFrame:
     """paths (seq, path) with `now`, the path's name today; seq counts from the newest commit.
 
-    renames: seq, old, new. A path is what its latest rename in a newer commit made of it, and so on. Each hop is an
-    as-of lookup, done as one window over the union of both tables; hops repeat until none applies.
+    renames: seq, old, new. A path is what its latest rename in a newer commit made of it, and so on. Every rename's
+    next one is looked up once; then each round doubles how far a rename sees, so hops take the logarithm of their
+    number in rounds. Of a path's several renames in one commit the one to the greatest name counts; a rename or a path
+    without a commit or a name is left out, or keeps its name.
     """
-    moves = renames.select(F.col("old").alias("path"), F.col("seq").alias("at"), F.col("new")).withColumn("key", F.lit(None).cast("struct<seq:bigint,path:string>"))
-    state = cut(paths.select(F.struct(F.col("seq").cast("bigint").alias("seq"), "path").alias("key")).distinct().select("key", "key.path", F.col("key.seq").alias("at")), "paths")
-    done = None
-    while True:
-        probes = state.select("path", "at", F.lit(None).cast("string").alias("new"), "key")
-        # the last rename before a row by seq: the latest one that is newer than the commit
-        back = Window.partitionBy("path").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-        hop = F.last(F.when(F.col("key").isNull(), F.struct("new", "at")), ignorenulls=True).over(back)
-        looked = cut(moves.select("path", "at", "new", "key").union(probes).withColumn("hop", hop).where("key is not null").select("key", "path", "at", "hop"), "paths")
-        stopped = looked.where("hop is null").select("key", "path")
-        done = stopped if done is None else done.union(stopped)
-        state = looked.where("hop is not null").select("key", F.col("hop.new").alias("path"), F.col("hop.at").alias("at"))
-        if state.isEmpty():
-            return paths.join(done.select("key.seq", F.col("key.path").alias("path"), F.col("path").alias("now")), ["seq", "path"])
+    known = renames.where("seq is not null and old is not null and new is not null").groupBy("old", F.col("seq").cast("bigint").alias("at")).agg(F.max("new").alias("new"))
+    moves = cut(known.withColumn("id", F.monotonically_increasing_id()), "moves")
+    cuts = time_blocks(moves, blocks)
+    events = moves.select(F.col("old").alias("path"), "at", F.struct("id", "new").alias("move"))
+    ahead = latest(moves.select(F.col("new").alias("path"), "at", "id"), events, cuts)
+    far = cut(ahead.join(moves.select("id", F.col("new").alias("name")), "id").select("id", "name", F.col("move.id").alias("next"), F.col("move.new").alias("next_name")), "hops")
+    far = far.select("id", F.coalesce("next_name", "name").alias("name"), "next")
+    while not far.where("next is not null").isEmpty():
+        more = far.select(F.col("id").alias("next"), F.col("name").alias("later"), F.col("next").alias("after"))
+        met = far.join(more, "next", "left")
+        far = cut(met.select("id", F.coalesce("later", "name").alias("name"), F.col("after").alias("next")), "hops")
+    asked = paths.select(F.col("seq").cast("bigint").alias("at"), "path").distinct()
+    whole = asked.where("at is not null and path is not null")
+    first = latest(whole, events, cuts).select(F.col("at").alias("seq"), "path", F.col("move.id").alias("id"))
+    now = cut(first.join(far.select("id", "name"), "id", "left").where("name is not null").select(F.col("seq").alias("__seq"), F.col("path").alias("__path"), F.col("name").alias("__now")), "names")
+    joined = paths.join(now, (F.col("seq") == F.col("__seq")) & (F.col("path") == F.col("__path")), "left")
+    return joined.select(*paths.columns, F.coalesce("__now", "path").alias("now"))
 
 
 def unjoinable(found: DataFrame, symbols: DataFrame) -> bool:

@@ -380,27 +380,26 @@ def ticket_rollup(v: Lens) -> DataFrame:
     return found.select("ticket", F.size("commits").cast("long").alias("commits"), F.get("commits", 0).alias("newest"), "date", "message", F.size("files").cast("long").alias("files"), F.get("files", 0).alias("first_file"))
 
 
-RENAMES = "renames AS (SELECT l_orderkey AS seq, 'f' || (l_partkey % 400) AS old, 'f' || (l_partkey % 400 + 1) AS new FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1)"
-
-
-def renamed(v: Lens, asked: DataFrame) -> DataFrame:
-    file = lambda k: F.concat(F.lit("f"), k.cast("string"))
-    number = F.col("l_partkey") % 400
-    renames = v.t("lineitem").where("l_quantity = 50 and l_linenumber = 1").select(F.col("l_orderkey").alias("seq"), file(number).alias("old"), file(number + 1).alias("new"))
-    return history.resolve_renames(asked.select(F.col("l_orderkey").alias("seq"), file(number).alias("path")).distinct(), renames)
+RENAMED = "CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE l_partkey % 400 END"
 
 
 @query(
-    """SELECT seq, path, now FROM (SELECT seq, path, now, row_number() OVER (PARTITION BY seq, path ORDER BY hops DESC) AS n FROM chain) WHERE n = 1""",
-    RENAMES,
-    "asked AS (SELECT DISTINCT l_orderkey AS seq, 'f' || (l_partkey % 400) AS path FROM lineitem)",
-    """chain AS (SELECT seq, path, path AS now, seq AS at_seq, 0 AS hops FROM asked
-    UNION ALL SELECT seq, path, new, next_seq, hops + 1 FROM (
-      SELECT c.seq, c.path, c.hops, r.new, r.seq AS next_seq, row_number() OVER (PARTITION BY c.seq, c.path, c.hops ORDER BY r.seq DESC) AS n
-      FROM chain c JOIN renames r ON r.old = c.now AND r.seq < c.at_seq) WHERE n = 1)""",
-)
+    """SELECT a.seq, a.path, coalesce(g.new, f.new, a.path) AS now
+    FROM asked a ASOF LEFT JOIN (SELECT * FROM renames WHERE old LIKE 'f%') f ON a.path = f.old AND a.seq > f.seq
+    ASOF LEFT JOIN (SELECT * FROM renames WHERE old LIKE 'g%') g ON f.new = g.old AND f.seq > g.seq""",
+    f"""renames AS (
+      SELECT l_orderkey AS seq, 'f' || {RENAMED} AS old, max('g' || (l_suppkey % 50)) AS new FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL
+      UNION ALL SELECT l_orderkey, 'g' || (l_suppkey % 50), max('h' || l_linenumber) FROM lineitem WHERE l_linenumber > 3 GROUP BY ALL)""",
+    f"asked AS (SELECT DISTINCT l_orderkey AS seq, 'f' || {RENAMED} AS path FROM lineitem)",
+)
 def rename_resolve(v: Lens) -> DataFrame:
-    return renamed(v, v.t("lineitem"))
+    """Every part's file at each order, by renames of all items: a third of them is of one file; a rename may follow another."""
+    item = v.t("lineitem")
+    name = lambda letter, k: F.concat(F.lit(letter), k.cast("string"))
+    file, group = name("f", F.expr(RENAMED)), name("g", F.col("l_suppkey") % 50)
+    early = F.col("l_linenumber") <= 3
+    renames = item.select(F.col("l_orderkey").alias("seq"), F.when(early, file).otherwise(group).alias("old"), F.when(early, group).otherwise(name("h", F.col("l_linenumber"))).alias("new"))
+    return history.resolve_renames(item.select(F.col("l_orderkey").alias("seq"), file.alias("path")).distinct(), renames)
 
 
 @query(
