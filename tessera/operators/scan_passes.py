@@ -6,40 +6,71 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import strip_prefix
+from tessera.lineage import cut
 from tessera.operators.graph import closure
 
 EDGE = ["from", "to", "kind", "file", "line", "via"]
+#: Column of the order in which a pass emits its edges: the place of the call, then that of what it expands to.
+PLACE = "at"
 
 
-def interface_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """A call edge to every implementation of a called interface member; members: iface_member, impl_member."""
-    pairs = members.select(F.col("iface_member").alias("to"), "impl_member").where("to <> impl_member").distinct()
-    return edges.where("kind = 'call'").join(pairs, "to").select("from", F.col("impl_member").alias("to"), F.lit("call").alias("kind"), "file", "line", F.lit("interface").alias("via"))
+def placed(df: DataFrame, ordered: bool, *by: str) -> DataFrame:
+    """Edges, with their place if they are to be ordered; a part without a seq of its own comes in the order of names."""
+    if not ordered:
+        return df.select(*EDGE)
+    key = [F.col(c).cast("long") if c in df.columns else F.lit(0).cast("long") for c in by]
+    return df.select(*EDGE, F.array(*key).alias(PLACE))
 
 
-def mediator_edges(sends: DataFrame, handlers: DataFrame) -> DataFrame:
-    """An edge from where a request is sent to each of its handlers; sends: from, request, file, line; handlers: request, handler."""
-    return sends.join(handlers.select("request", "handler").distinct(), "request").select("from", F.col("handler").alias("to"), F.lit("call").alias("kind"), "file", "line", F.lit("mediatr").alias("via"))
+def interface_edges(edges: DataFrame, members: DataFrame, ordered: bool = False) -> DataFrame:
+    """A call edge to every implementation of a called interface member; members: iface_member, impl_member, and member_seq where order matters."""
+    own = ["member_seq"] if "member_seq" in members.columns else []
+    pairs = members.select(F.col("iface_member").alias("to"), "impl_member", *own).where("to <> impl_member")
+    pairs = pairs.groupBy("to", "impl_member").agg(F.min("member_seq").alias("member_seq")) if own else pairs.distinct()
+    met = edges.where("kind = 'call'").drop("via", *own).join(pairs, "to").drop("to")
+    return placed(met.withColumnRenamed("impl_member", "to").withColumn("via", F.lit("interface")), ordered, "seq", "member_seq")
 
 
-def override_edges(calls: DataFrame, overrides: DataFrame) -> DataFrame:
+def mediator_edges(sends: DataFrame, handlers: DataFrame, ordered: bool = False) -> DataFrame:
+    """An edge from where a request is sent to each of its handlers; sends: from, request, file, line; handlers: request, handler; both seq where order matters."""
+    own = ["handler_seq"] if "seq" in handlers.columns else []
+    pairs = handlers.groupBy("request", "handler").agg(F.min("seq").alias("handler_seq")) if own else handlers.select("request", "handler").distinct()
+    met = sends.join(pairs, "request").withColumnRenamed("handler", "to").withColumn("kind", F.lit("call")).withColumn("via", F.lit("mediatr"))
+    return placed(met, ordered, "seq", "handler_seq")
+
+
+def override_edges(calls: DataFrame, overrides: DataFrame, ordered: bool = False) -> DataFrame:
     """An edge from each virtual call to every override below its target that the receiver's type allows.
 
-    calls: from, to, file, line, receiver; overrides: overridden, override, types. The closure is taken once over the
-    distinct targets, and goes on through overrides that the receiver rejects.
+    calls: from, to, file, line, receiver, and seq where order matters; overrides: overridden, override, types. The
+    closure is taken once over the distinct targets, and goes on through overrides that the receiver rejects. An edge
+    that several calls bring has the place of the first.
     """
     below = closure(overrides, calls, "overridden", "override", "to").withColumnsRenamed({"start": "to", "node": "override"})
     types = overrides.groupBy("override").agg(F.array_distinct(F.flatten(F.collect_list("types"))).alias("types"))
     met = calls.join(below, "to").join(types, "override").where(F.array_contains("types", F.col("receiver")))
-    return met.select("from", F.col("override").alias("to"), F.lit("call").alias("kind"), "file", "line", F.lit("override").alias("via")).distinct()
+    met = met.drop("to").withColumnRenamed("override", "to").withColumn("kind", F.lit("call")).withColumn("via", F.lit("override"))
+    if not ordered:
+        return met.select(*EDGE).distinct()
+    return placed(met, True, "seq").groupBy(*EDGE).agg(F.min(PLACE).alias(PLACE))
 
 
 def complete_edges(edges: DataFrame, *more: DataFrame) -> DataFrame:
-    """All edges in the order of the passes, numbered: the raw ones keep their seq, each pass follows."""
-    numbered = edges.select(*EDGE, F.lit(0).alias("pass"), "seq")
+    """All edges in the order of the passes, numbered by pass and seq: the raw ones keep their seq, each pass follows in the order of its places, then of names.
+
+    Rows of the passes are sorted over ranges and numbered as they come, so that no task sorts them all; the numbers
+    are written, and stay in this order whatever reads the table.
+    """
+    if not more:
+        return edges.select(*EDGE, F.lit(0).alias("pass"), F.col("seq").cast("long").alias("seq"))
+    none = F.array().cast("array<bigint>")
+    rows = None
     for i, m in enumerate(more, 1):
-        numbered = numbered.unionByName(m.select(*EDGE, F.lit(i).alias("pass"), F.xxhash64(*EDGE).alias("seq")))
-    return numbered
+        one = m.select(*EDGE, F.lit(i).alias("pass"), (F.col(PLACE) if PLACE in m.columns else none).alias(PLACE))
+        rows = one if rows is None else rows.unionByName(one)
+    by = ["pass", PLACE, *EDGE]
+    numbered = cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("seq", F.monotonically_increasing_id()).drop(PLACE), "edges")
+    return edges.select(*EDGE, F.lit(0).alias("pass"), F.col("seq").cast("long").alias("seq")).unionByName(numbered)
 
 
 def implicit_constructors(candidates: DataFrame, edges: DataFrame) -> DataFrame:

@@ -75,11 +75,11 @@ def complete_scan(f: Facts, config: Config) -> Scan:
     none = spark.createDataFrame([], "service string, impl string")
     passes = []
     if f.interface_members is not None:
-        passes.append(scan_passes.interface_edges(f.edges, f.interface_members))
+        passes.append(scan_passes.interface_edges(f.edges, f.interface_members, ordered=True))
     if f.virtual_calls is not None and f.overrides is not None:
-        passes.append(scan_passes.override_edges(f.virtual_calls, f.overrides))
+        passes.append(scan_passes.override_edges(f.virtual_calls, f.overrides, ordered=True))
     if f.sends is not None and f.handlers is not None:
-        passes.append(scan_passes.mediator_edges(f.sends, f.handlers))
+        passes.append(scan_passes.mediator_edges(f.sends, f.handlers, ordered=True))
     edges = scan_passes.complete_edges(f.edges, *passes)
     manual = [(s, i) for s, impls in config.di_overrides.items() for i in impls]
     overrides = spark.createDataFrame(manual, "service string, impl string") if manual else none
@@ -165,7 +165,7 @@ def sync(out: str, project: str, steps: list[Step], docs_out: str | None = None)
 
 def docs_step(found: index.CodeIndex, staging: str, earlier: str | None = None) -> None:
     """The map and a page of each project into the staging folder; what people wrote between the markers of earlier reports stays."""
-    pages = {"MAP.md": reports.map_report(map_tables(found))}
+    pages = {"MAP.md": reports.map_report(map_tables(found) | blind_tables(found, f"{staging}/diagnostics"))}
     for project, text in reports.module_reports(project_map.module_types(found.symbols)):
         pages[f"modules/{reports.file_name(project)}.md"] = text
     for name, text in pages.items():
@@ -208,6 +208,19 @@ def map_tables(found: index.CodeIndex) -> dict[str, DataFrame]:
     }
 
 
+def blind_tables(found: index.CodeIndex, diagnostics: str) -> dict[str, DataFrame]:
+    """What a map can't see, of an index's document and of those diagnostics that were written: failed projects, unresolved bases, ids of several projects."""
+    spark = found.meta.sparkSession
+    degraded = found.meta.select(F.explode("degradedProjects").alias("project")).distinct().orderBy("project")
+    out = {} if degraded.isEmpty() else {"degraded": degraded}
+    listed = lambda name, schema: index.read_diagnostics(spark, diagnostics, name, schema)
+    if (bases := listed("unresolvedBases", "seq long, name string, file string, line int")) is not None:
+        out["unresolved"] = project_map.unresolved_bases(bases).orderBy(F.desc("n"), "name")
+    if (ids := listed("duplicateDocIdsAcrossProjects", "id string, projects array<string>, files array<string>")) is not None:
+        out["duplicates"] = ids.orderBy("id")
+    return out
+
+
 def confirmed_implementations(di: DataFrame) -> DataFrame:
     """(containing) of a (service, impls) map."""
     return di.select(strip_prefix(F.explode("impls")).alias("containing")).distinct()

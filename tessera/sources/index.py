@@ -154,6 +154,13 @@ def write_diagnostics(lists: dict[str, DataFrame], path: str) -> None:
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("list").parquet(path)
 
 
+def read_diagnostics(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame | None:
+    """The rows of a written list; None where it wasn't written."""
+    if not exists(spark, f"{path}/list={name}"):
+        return None
+    return spark.read.schema("row string").parquet(f"{path}/list={name}").select(F.from_json("row", schema).alias("r")).select("r.*")
+
+
 def meta_of(index: CodeIndex, head: str | None, branch: str | None, solution: str, degraded: list[str]) -> dict:
     counts = index.symbols.agg(F.countDistinct("project").alias("p"), F.count("*").alias("s")).first()
     return {
