@@ -143,8 +143,12 @@ def suffix_rows(ids: np.ndarray, depth: int) -> np.ndarray:
     while left:
         wide = min(left, 63 // bits)
         left -= wide
-        key = reduce(lambda k, j: (k << bits) | padded[rows + j], range(left, left + wide), np.zeros(len(rows), np.int64))
+        key = np.zeros(len(rows), np.int64)
+        for j in range(left, left + wide):
+            key <<= bits
+            key |= padded[rows + j]
         rows = rows[np.argsort(key, kind="stable")]
+        del key
     return rows
 
 
