@@ -88,6 +88,22 @@ def closure(pairs: DataFrame, starts: DataFrame, source: str, target: str, start
         seen = seen.union(newest)
 
 
+def inherited(bases: DataFrame, own: DataFrame, node: str, base: str, item: str) -> DataFrame:
+    """(node, item): the items of each node and of all that it goes back to; bases: one base a node at most, own: (node, item).
+
+    Each round doubles how far back a node sees: it adds the items of the node at the end of its view, and sees what
+    that one sees. A chain takes the logarithm of its length in rounds, and so does a cycle, whose views never end.
+    """
+    ahead = cut(bases.select(F.col(node).alias("a"), F.col(base).alias("b")).where("a is not null and b is not null"), "bases")
+    have = cut(own.select(F.col(node).alias("a"), F.col(item).alias("item")).distinct(), "items")
+    for _ in range(ahead.count().bit_length() + 1):
+        if ahead.isEmpty():
+            break
+        have = cut(have.union(ahead.join(have.withColumnRenamed("a", "b"), "b").select("a", "item")).distinct(), "items")
+        ahead = cut(ahead.join(ahead.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")), "bases")
+    return have.select(F.col("a").alias(node), F.col("item").alias(item))
+
+
 def propagate(edges: DataFrame, roots: DataFrame, allowed: Column, source: str = "from", target: str = "to") -> DataFrame:
     """Nodes (id) that reach a root backwards over allowed edges alone, to the fixpoint."""
     steps = cut(edges.where(F.coalesce(allowed, F.lit(False))).select(F.col(source).alias("id"), F.col(target).alias("to_id")).distinct(), "steps")

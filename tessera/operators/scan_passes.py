@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import strip_prefix
 from tessera.lineage import cut
-from tessera.operators.graph import closure
+from tessera.operators.graph import closure, inherited
 
 EDGE = ["from", "to", "kind", "file", "line", "via"]
 #: Column of the order in which a pass emits its edges: the place of the call, then that of what it expands to.
@@ -124,10 +124,10 @@ def client_members(classes: DataFrame) -> DataFrame:
 
     classes: seq, className, baseName, clientMembers; the first description of a class counts; cycles end by themselves.
     """
-    one = classes.withColumn("n", F.row_number().over(Window.partitionBy("className").orderBy("seq"))).where("n = 1")
-    bases = one.where("baseName is not null").select("className", "baseName")
-    up = closure(bases, one, "className", "baseName", "className").union(one.select("className", "className"))
-    return up.join(one.select(F.col("className").alias("node"), F.explode("clientMembers").alias("member")), "node").select(F.col("start").alias("className"), "member").distinct()
+    described = [c for c in classes.columns if c not in ("className", "seq")]
+    one = cut(classes.groupBy("className").agg(F.min_by(F.struct(*described), "seq").alias("x")).select("className", "x.*"), "classes")
+    own = one.select("className", F.explode("clientMembers").alias("member"))
+    return inherited(one.select("className", "baseName"), own, "className", "baseName", "member")
 
 
 def audit(sites: DataFrame, bound: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.lineage import cut
 from tessera.operators import graph, impact
 
 EDGE = "`from` string, `to` string, kind string, file string, line int, via string, seq long"
@@ -103,3 +104,14 @@ def test_closure_ends_on_cycles(spark):
     pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "x string, y string")
     got = {tuple(r) for r in graph.closure(pairs, pairs.where("x = 'a'"), "x", "y", "x").collect()}
     assert got == {("a", "b"), ("a", "c")}
+
+
+def test_a_long_line_of_bases_takes_few_rounds(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(graph, "cut", lambda df, label: made.append(label) or cut(df, label))
+    n = 10_000
+    bases = spark.createDataFrame([(f"c{i}", f"c{i - 1}" if i else None) for i in range(n)] + [("x", "y"), ("y", "z"), ("z", "x"), ("s", "s"), ("w", "unknown")], "className string, baseName string")
+    own = spark.createDataFrame([("c0", "m0"), ("c5000", "m1"), ("y", "m2"), ("z", "m3"), ("s", "m4"), ("s", "m4"), ("unknown", "m5")], "className string, member string")
+    got = {tuple(r) for r in graph.inherited(bases, own, "className", "baseName", "member").collect()}
+    want = {(f"c{i}", "m0") for i in range(n)} | {(f"c{i}", "m1") for i in range(5000, n)} | {(a, m) for a in "xyz" for m in ("m2", "m3")} | {("s", "m4"), ("w", "m5"), ("unknown", "m5")}
+    assert got == want and len(made) <= 2 + 2 * 15
