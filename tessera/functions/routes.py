@@ -78,8 +78,8 @@ def feature(path: Column, app_dir: str) -> Column:
     return F.when((F.size(starts) > 0) & (after < F.size(parts) - 1), F.get(parts, after)).otherwise(first)
 
 
-# The verbs that a method's name may begin with.
-VERB_NAMES = ["Get", "Post", "Put", "Delete", "Patch", "Head", "Options"]
+# The plain HTTP verbs that a method's name may begin with.
+VERBS = ["DELETE", "GET", "HEAD", "OPTIONS", "PATCH", "POST", "PUT"]
 
 
 def composed_route(prefix: Column, template: Column) -> Column:
@@ -104,8 +104,8 @@ def filled_route(route: Column, controller: Column, action: Column, area: Column
 def verb_by_name(method: Column) -> Column:
     """The verb that a method's name begins with, in any case; POST if with none."""
     out = F.lit("POST")
-    for v in reversed(VERB_NAMES):
-        out = F.when(F.startswith(F.lower(method), F.lit(v.lower())), v.upper()).otherwise(out)
+    for v in VERBS:
+        out = F.when(F.startswith(F.upper(method), F.lit(v)), v).otherwise(out)
     return F.coalesce(out, F.lit("POST"))
 
 

@@ -742,3 +742,97 @@ def nearest_path(v: Lens) -> DataFrame:
 def nearest_declaration(v: Lens) -> DataFrame:
     found = v.t("lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_linenumber").alias("line"))
     return impact.nearest_declaration(found, 3).select(F.col("id").alias("l_suppkey"), F.col("line").cast("int").alias("line"))
+
+
+@query(
+    """SELECT 'P:' || l_partkey AS id, l_orderkey AS "order", l_suppkey AS supplier FROM (
+    SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 8 + l_linenumber) AS n FROM lineitem) WHERE n = 1"""
+)
+def first_rows(v: Lens) -> DataFrame:
+    """The first item of each part, in source order."""
+    item = v.t("lineitem").select(F.concat(F.lit("P:"), F.col("l_partkey").cast("string")).alias("id"), F.col("l_orderkey").alias("order"), F.col("l_suppkey").alias("supplier"), F.expr("l_orderkey * 8 + l_linenumber").alias("seq"))
+    return impact.first_rows(item).drop("seq")
+
+
+@query("SELECT s_suppkey AS id, s_nationkey AS nation, count(*) OVER (PARTITION BY s_nationkey) AS in_group FROM supplier")
+def group_sizes(v: Lens) -> DataFrame:
+    """Suppliers with the number of those of their nation."""
+    rows = v.t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"))
+    return impact.by_group_size(rows, "nation", ("id",)).select("id", "nation", "in_group")
+
+
+@query(
+    """SELECT doc_id, array_to_string(l[1:3], chr(10)) AS head, greatest(len(l) - 3, 0)::INT AS more FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"""
+)
+def snippets(v: Lens) -> DataFrame:
+    """The first three lines of each text, and how many follow."""
+    return v.t("documents").select("doc_id", impact.snippet(F.col("text"), 3).alias("x")).select("doc_id", F.col("x.text").alias("head"), F.col("x.more").alias("more"))
+
+
+@query(
+    """SELECT id, CASE WHEN starts_with(t, '/') OR starts_with(t, '~/') THEN trim(ltrim(t, '~'), '/') ELSE concat_ws('/', nullif(trim(p, '/'), ''), nullif(trim(t, '/'), '')) END AS route
+    FROM (SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN '/api/' || p_brand || '/' WHEN 1 THEN 'api/' || p_brand WHEN 2 THEN '/' ELSE '' END AS p,
+      CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN '/' || p_type WHEN 2 THEN '~/' || p_type || '/' WHEN 3 THEN p_type || '/' ELSE p_type END AS t FROM part)"""
+)
+def composed_routes(v: Lens) -> DataFrame:
+    """Routes put together from a type's and a member's."""
+    size, key, brand, kind = F.col("p_size") % 4, F.col("p_partkey") % 5, F.col("p_brand"), F.col("p_type")
+    prefix = F.when(size == 0, F.concat(F.lit("/api/"), brand, F.lit("/"))).when(size == 1, F.concat(F.lit("api/"), brand)).when(size == 2, "/").otherwise("")
+    own = F.when(key == 0, "").when(key == 1, F.concat(F.lit("/"), kind)).when(key == 2, F.concat(F.lit("~/"), kind, F.lit("/"))).when(key == 3, F.concat(kind, F.lit("/"))).otherwise(kind)
+    return v.t("part").select(F.col("p_partkey").alias("id"), routes.composed_route(prefix, own).alias("route"))
+
+
+@query(
+    """SELECT id, replace(replace(replace(replace(r, '[controller]', c), '[Action]', a), '[area]', ''), '[CONTROLLER]', c) AS route FROM (
+    SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN 'api/[controller]/[Action]' WHEN 1 THEN '[area]/[CONTROLLER]' ELSE 'fixed' END AS r,
+      replace(p_brand, '#', '$') AS c, CASE WHEN p_partkey % 4 = 0 THEN 'Get' || p_size WHEN p_partkey % 4 = 1 THEN 'Async' ELSE 'Find' END AS a FROM part)"""
+)
+def filled_routes(v: Lens) -> DataFrame:
+    """Routes whose tokens are replaced by the names of a controller and an action."""
+    size, key = F.col("p_size") % 3, F.col("p_partkey") % 4
+    route = F.when(size == 0, "api/[controller]/[Action]").when(size == 1, "[area]/[CONTROLLER]").otherwise("fixed")
+    action = F.when(key == 0, F.concat(F.lit("Get"), F.col("p_size").cast("string"))).when(key == 1, "Async").otherwise("FindAsync")
+    controller = F.concat(F.translate("p_brand", "#", "$"), F.lit("Controller"))
+    return v.t("part").select(F.col("p_partkey").alias("id"), routes.filled_route(route, controller, action, F.lit(None).cast("string")).alias("route"))
+
+
+@query(
+    """SELECT id, CASE WHEN starts_with(m, 'get') THEN 'GET' WHEN starts_with(m, 'put') THEN 'PUT' WHEN starts_with(m, 'delete') THEN 'DELETE' ELSE 'POST' END AS verb
+    FROM (SELECT l_orderkey * 8 + l_linenumber AS id, lower(CASE l_partkey % 5 WHEN 0 THEN 'Get' WHEN 1 THEN 'PUT' WHEN 2 THEN 'delete' WHEN 3 THEN 'Posted' ELSE 'Make' END || l_returnflag) AS m FROM lineitem)"""
+)
+def verbs_by_name(v: Lens) -> DataFrame:
+    """The verbs that methods' names begin with."""
+    kind = F.col("l_partkey") % 5
+    name = F.concat(F.when(kind == 0, "Get").when(kind == 1, "PUT").when(kind == 2, "delete").when(kind == 3, "Posted").otherwise("Make"), "l_returnflag")
+    return v.t("lineitem").select(F.expr("l_orderkey * 8 + l_linenumber").alias("id"), routes.verb_by_name(name).alias("verb"))
+
+
+@query(
+    r"""SELECT id, p = 'src/app' OR starts_with(p, 'src/app/') AS inside FROM (SELECT p_partkey AS id, rtrim(lower(replace(CASE p_partkey % 4 WHEN 0 THEN 'SRC\App\' || p_brand WHEN 1 THEN 'src/application/' || p_brand WHEN 2 THEN 'src/app/' ELSE p_brand END, '\', '/')), '/') AS p FROM part)"""
+)
+def inside_folder(v: Lens) -> DataFrame:
+    """Whether paths are in a folder, in any case and with either slash."""
+    kind, brand = F.col("p_partkey") % 4, F.col("p_brand")
+    path = F.when(kind == 0, F.concat(F.lit("SRC\\App\\"), brand)).when(kind == 1, F.concat(F.lit("src/application/"), brand)).when(kind == 2, "src/app/").otherwise(brand)
+    return v.t("part").select(F.col("p_partkey").alias("id"), routes.is_inside(path, "src/app").alias("inside"))
+
+
+@query(
+    """SELECT DISTINCT file FROM (SELECT 'f' || (l_partkey % 5000) AS file FROM lineitem UNION ALL SELECT 'f' || (o_custkey * 3) FROM orders) WHERE file IN (SELECT 'f' || p_partkey FROM part)"""
+)
+def changed_files(v: Lens) -> DataFrame:
+    """Files that items or orders name, of those that are parts."""
+    file = lambda df, k: df.select(F.concat(F.lit("f"), k.cast("string")).alias("file"))
+    return status.changed_files(file(v.t("lineitem"), F.col("l_partkey") % 5000), file(v.t("orders"), F.col("o_custkey") * 3), file(v.t("part"), F.col("p_partkey")))
+
+
+@query(
+    """SELECT count(*) AS tickets, count(*) FILTER (hit) AS pr_like, count(*) >= 5 AND count(*) FILTER (hit) * 2 > count(*) AS warn FROM (
+    SELECT contains(message, '(#' || k || ')') OR contains(lower(message), 'pull request #' || k) AS hit FROM (
+      SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'fix (#' || o_orderkey || ')' WHEN 1 THEN 'Merge Pull Request #' || o_orderkey ELSE 'fix #' || o_orderkey END AS message FROM orders))"""
+)
+def pull_request_like(v: Lens) -> DataFrame:
+    """Whether most tickets are numbers of pull requests by their messages."""
+    key, kind = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 3
+    message = F.when(kind == 0, F.concat(F.lit("fix (#"), key, F.lit(")"))).when(kind == 1, F.concat(F.lit("Merge Pull Request #"), key)).otherwise(F.concat(F.lit("fix #"), key))
+    return history.looks_like_pull_requests(v.t("orders").select(F.concat(F.lit("#"), key).alias("ticket"), message.alias("message")))
