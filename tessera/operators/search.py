@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import display_name, find_score, kind_rank, name_tokens, round2, ticket_named, tokenize, tokens_of, type_member
 from tessera.operators.impact import first_rows
+from tessera.sources import postings
 
 FIND_LIMIT, WHERE_LIMIT, REASONS, SALTS = 20, 10, 5, 64
 #: Weights of the three sources of free-text hits.
@@ -69,13 +70,25 @@ def name_hits(symbols: DataFrame, tokens: list[str]) -> DataFrame:
     return symbols.select("id", score.alias("score"), F.concat(F.lit("name "), shown).alias("reason"), F.lit("4:").alias("place"))
 
 
-def where(index, query: str, limit: int | None = WHERE_LIMIT) -> DataFrame:
-    """The symbols that a free text speaks of, with score and reasons; none for a query without tokens."""
+def indexed_hits(index, path: str, symbols: DataFrame, query: str, tokens: list[str]) -> DataFrame:
+    """The hits of where() by a search index: only what its tickets lead to is looked at more closely."""
+    found = postings.found_tokens(symbols.sparkSession, path, tokens)
+    weight = F.when(F.col("kind") == postings.NAME, NAME_WEIGHT).otherwise(ROUTE_WEIGHT)
+    own = found.where(F.col("kind") != postings.TICKET).select("id", (weight * F.col("n") / F.lit(float(len(tokens)))).alias("score"), "reason", "place")
+    met = found.where(F.col("kind") == postings.TICKET).select(F.col("id").alias("ticket"))
+    named = index.tickets.where(ticket_named(query)("ticket")).select("ticket")
+    return ticket_hits(index.tickets.join(met.union(named).distinct(), "ticket", "left_semi"), symbols, query, tokens).union(own)
+
+
+def where(index, query: str, limit: int | None = WHERE_LIMIT, path: str | None = None) -> DataFrame:
+    """The symbols that a free text speaks of, with score and reasons; none for a query without tokens. path: the index's search index, if one was written."""
     symbols = first_rows(index.symbols)
     points = first_rows(index.entry_points)
     tokens = tokens_of(query)
     if not tokens:
         hits = symbols.select("id", F.lit(0.0).alias("score"), F.lit("").alias("reason"), F.lit("").alias("place")).limit(0)
+    elif path:
+        hits = indexed_hits(index, path, symbols, query, tokens)
     else:
         hits = ticket_hits(index.tickets, symbols, query, tokens).union(route_hits(points, index.api_links, index.frontend_calls, tokens)).union(name_hits(symbols, tokens))
     entry = points.select("id").withColumn("is_entry", F.lit(True))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import routes, text
+from tessera.lineage import shared_dir
 from tessera.operators import factored, graph, history, impact, link, project_map, scan_passes, search, status
 from tessera.plans import lens as sql
 from tessera.plans.lens import Lens
+from tessera.sources import postings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -501,7 +504,7 @@ WORDS = "list_distinct([w FOR w IN regexp_extract_all(lower({}), '[\\p{{L}}\\p{{
 SHARE = "len(list_intersect(['107', 'order', 'api', 'orders', '000000012', 'click'], {})) / 6.0::DOUBLE"
 
 
-@query(
+WHERE_SQL = (
     """SELECT id, score, reasons, more, e.id IS NOT NULL AS is_entry FROM (
       SELECT id, round_even((max(score) + log2(count(*)::DOUBLE)) * 100, 0) / 100 AS score, array_to_string(list(reason ORDER BY n) FILTER (n <= 5), ',') AS reasons, greatest(count(*) - 5, 0)::INT AS more
       FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, place) AS n FROM hits WHERE score > 0) GROUP BY id) LEFT JOIN entries e USING (id)""",
@@ -514,11 +517,22 @@ SHARE = "len(list_intersect(['107', 'order', 'api', 'orders', '000000012', 'clic
       UNION ALL SELECT be, 2.0::DOUBLE * {SHARE.format(WORDS.format("feature"))}, 'feature ' || feature, '3:' || fe FROM links JOIN calls ON fe = id
       UNION ALL SELECT id, 1.0::DOUBLE * {SHARE.format(WORDS.format("display"))}, 'name ' || display, '4:' FROM shown)""",
 )
+
+
+@query(*WHERE_SQL)
 def where_symbols(v: Lens) -> DataFrame:
     """Every symbol that a free text speaks of, by tickets, routes, features and names."""
     return search.where(_WhereIndex(v), WHERE, limit=None).select("id", "score", F.array_join("reasons", ",").alias("reasons"), "more", "is_entry")
 
 
+@query(*WHERE_SQL)
+def where_indexed(v: Lens) -> DataFrame:
+    """The same by a search index, which is written first."""
+    index, path = _WhereIndex(v), f"{shared_dir(v.spark)}/postings-{uuid.uuid4().hex}"
+    postings.write_postings(index, path)
+    return search.where(index, WHERE, None, path).select("id", "score", F.array_join("reasons", ",").alias("reasons"), "more", "is_entry")
+
+
 @query('SELECT be AS "backendId", fe AS "frontendId", kind AS "matchKind", feature, file, line, confidence FROM links JOIN calls ON fe = id', *LINK_VIEWS)
 def screens(v: Lens) -> DataFrame:
     return impact.screens(v.entry_points(), lens_links(v).links, v.frontend_calls()).drop("route")
