@@ -107,8 +107,9 @@ def shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
         def settled(name: str) -> Iterator[pa.RecordBatch]:
             nonlocal number
             g = held.pop(name)
-            every = np.array([w.decode("utf-8") for w in list(g.number)[1:]], object)
-            for ids in cut_at_marks(np.concatenate(g.parts), SHARD_WORDS):
+            every, whole = np.array([w.decode("utf-8") for w in list(g.number)[1:]], object), np.concatenate(g.parts)
+            del g
+            for ids in cut_at_marks(whole, SHARD_WORDS):
                 n = np.bincount(ids, minlength=len(every) + 1)
                 some = np.flatnonzero(n[1:]) + 1
                 again = np.zeros(len(n), np.int32)
@@ -147,8 +148,10 @@ def suffix_rows(ids: np.ndarray, depth: int) -> np.ndarray:
         for j in range(left, left + wide):
             key <<= bits
             key |= padded[rows + j]
-        rows = rows[np.argsort(key, kind="stable")]
+        order = np.argsort(key, kind="stable")
         del key
+        rows = rows[order]
+        del order
     return rows
 
 
@@ -172,10 +175,16 @@ def extended(step: np.ndarray, low: np.ndarray, size: np.ndarray) -> tuple[np.nd
     Rows outside of them can be in no longer interval either, so only theirs stay, numbered anew.
     """
     node = np.full(len(step) + 1, -1, np.int32)  # the last for steps to nowhere
-    node[np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())] = np.repeat(np.arange(len(low), dtype=np.int32), size)
+    named = np.repeat(np.arange(len(low), dtype=np.int32), size)
+    if len(named) == len(step):  # all rows, as at first
+        node[:-1] = named
+    else:
+        node[np.repeat(low - np.cumsum(size) + size, size) + np.arange(len(named))] = named
+    del named
     later = node[step]
-    rows = np.flatnonzero((node[:-1] >= 0) & (later >= 0))
+    rows = np.flatnonzero((node[:-1] >= 0) & (later >= 0)).astype(np.int32)
     left, right = node[rows], later[rows]
+    del node, later
     begin = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])])) if len(rows) else np.empty(0, np.int64)
     again = np.full(len(step) + 1, -1, np.int32)
     again[rows] = np.arange(len(rows), dtype=np.int32)
@@ -207,9 +216,11 @@ def indexed(held: DataFrame, numbers: DataFrame, depth: int) -> DataFrame:
                 ids = unpacked(ids.as_py(), n.as_py())
                 dense = np.zeros(int(ids.max(initial=0)) + 1, np.int32)  # words that aren't frequent part pieces as marks do
                 dense[at] = np.arange(1, len(at) + 1)
-                first, step = index(dense[ids], depth)
+                ids = dense[ids]
+                first, step = index(ids, depth)
                 low, size = intervals(first)
                 word = number[first[low] - 1]
+                del ids, first
                 low, size, left, right, step = extended(step, low, size)
                 yield from sent(shard.as_py(), step, low, size, word[left], word[right])
         give_back()
