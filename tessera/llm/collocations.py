@@ -38,7 +38,7 @@ from tessera.llm.common import give_back, materialise, small_batches
 #: Occurrences of a phrase at least; words of a phrase at most; phrases of a language that are reported.
 LEAST, WORDS, TOP = 100, 5, 2000
 #: Words of a shard, roughly; rows that a task sends on together; parts in which a language's phrases are ranked first; splits of the input that a task reads, as larger shards have fewer phrases in all.
-SHARD_WORDS, SENT_TOGETHER, RANK_PARTS, SPLITS = 1 << 23, 1 << 16, 64, 4
+SHARD_WORDS, SENT_TOGETHER, RANK_PARTS, SPLITS = 7 << 20, 1 << 16, 64, 4
 #: Bits of a place within a shard, and of a shard's number within its task: a row's own number is its shard's and its place.
 PLACE_BITS, OWN_BITS = 31, 12
 #: The byte that stands for a separator of pieces; UTF-8 never has it.
@@ -116,6 +116,8 @@ def shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
                 again[some] = np.arange(1, len(some) + 1)
                 row = {"shard": number, "lang": name, "size": len(ids), "ids": packed(again[ids]), "words": every[some - 1], "counts": n[some]}
                 yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in _SHARDS], schema=_SHARDS)
+                del n, again, row
+                give_back()
                 number += 1
                 if number >> OWN_BITS != task:
                     raise ValueError("too many shards in a task")
@@ -221,7 +223,9 @@ def indexed(held: DataFrame, numbers: DataFrame, depth: int) -> DataFrame:
                 low, size = intervals(first)
                 word = number[first[low] - 1]
                 del ids, first
+                give_back()  # arrays of this size stay with the process otherwise
                 low, size, left, right, step = extended(step, low, size)
+                give_back()
                 yield from sent(shard.as_py(), step, low, size, word[left], word[right])
         give_back()
 
