@@ -37,17 +37,20 @@ def file_totals(files: DataFrame) -> DataFrame:
     return files.groupBy("file").agg(F.count("*").cast("int").alias("total"))
 
 
-def co_change(commits: DataFrame, min_together: int = MIN_TOGETHER, max_files: int = MAX_FILES) -> DataFrame:
-    """(fileA, fileB, together, totalA, totalB, strength): pairs of files that change together often enough.
+def pair_counts(commits: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
+    """(fileA, fileB, together) of the files of commits that aren't noise; a file's pair with itself counts its commits.
 
     A commit's files are one array of at most max_files, so pairs are made in place, without a join, and counted
-    before the only shuffle that follows them. A file's pair with itself counts its commits, so that one pass over
-    the commits gives the totals too.
+    before the only shuffle that follows them.
     """
     wanted = F.array_sort(F.array_distinct(F.filter("files", allowed)))
     baskets = commits.where(F.size("files") <= max_files).select(wanted.alias("f")).where(F.size("f") > 0)
     pairs = F.transform("f", lambda x, i: F.transform(F.slice(F.col("f"), i + 1, F.size("f")), lambda y: F.struct(x.alias("fileA"), y.alias("fileB"))))
-    counts = baskets.select(F.explode(F.flatten(pairs)).alias("p")).groupBy("p.fileA", "p.fileB").agg(F.count("*").cast("int").alias("together"))
+    return baskets.select(F.explode(F.flatten(pairs)).alias("p")).groupBy("p.fileA", "p.fileB").agg(F.count("*").cast("int").alias("together"))
+
+
+def strengths(counts: DataFrame, min_together: int = MIN_TOGETHER) -> DataFrame:
+    """(fileA, fileB, together, totalA, totalB, strength) of the pairs counted often enough; totals are files' pairs with themselves."""
     kept = cut(counts.where((F.col("fileA") == F.col("fileB")) | (F.col("together") >= min_together)), "pairs")
     totals = kept.where("fileA = fileB").select(F.col("fileA").alias("file"), F.col("together").alias("total"))
     found = kept.where("fileA <> fileB")
@@ -56,6 +59,11 @@ def co_change(commits: DataFrame, min_together: int = MIN_TOGETHER, max_files: i
     return out.select("fileA", "fileB", "together", "totalA", "totalB", strength.alias("strength"))
 
 
+def co_change(commits: DataFrame, min_together: int = MIN_TOGETHER, max_files: int = MAX_FILES) -> DataFrame:
+    """(fileA, fileB, together, totalA, totalB, strength): pairs of files that change together often enough, from one pass over the commits."""
+    return strengths(pair_counts(commits, max_files), min_together)
+
+
 def ranked_co_change(pairs: DataFrame) -> DataFrame:
     return pairs.orderBy(F.desc("strength"), "fileA", "fileB")
 
