@@ -128,6 +128,28 @@ class Lens:
             (-key).cast("long").alias("seq"), F.concat(F.lit("h"), key.cast("string")).alias("hash"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), message.alias("message"), "files", F.lit("").alias("body")
         )
 
+    def source_files(self) -> DataFrame:
+        """A file of each part in the folder of its brand, some in folders of their own."""
+        key = F.col("p_partkey")
+        sub = F.when(key % 10 == 0, "obj/").when(key % 10 == 1, "bin/").when(key % 10 == 2, "sub/bin/").when(key % 10 == 3, "Gen/").otherwise("")
+        ending = F.when(key % 7 == 0, ".md").when(key % 7 == 1, ".g.cs").otherwise(".cs")
+        return self.t("part").select(F.concat(F.lit("src/"), "p_brand", F.lit("/"), sub, F.lit("p"), key.cast("string"), ending).alias("file"))
+
+    def project_files(self) -> DataFrame:
+        """A project file of each brand; the brand's number says how its items are given."""
+        digit = (F.substring_index("p_brand", "#", -1).cast("int") % 5).cast("string")
+        least = F.expr("min(p_partkey) filter (where p_partkey % 10 = 0 and p_partkey % 7 > 1)").cast("string")
+        sdk, plain = F.lit('<Project Sdk="Microsoft.NET.Sdk">'), F.lit('<Project xmlns="http://schemas.microsoft.com/developer/msbuild/2003">')
+        items = (
+            F.when(digit == "1", F.concat(sdk, F.lit("<ItemGroup>")))
+            .when(digit == "2", F.concat(sdk, F.lit(r'<ItemGroup><Compile Remove="Gen\**\*.cs" />')))
+            .when(digit == "3", F.concat(sdk, F.lit(r'<PropertyGroup><EnableDefaultCompileItems>false</EnableDefaultCompileItems></PropertyGroup><ItemGroup><Compile Include="**\*.g.cs" /><Compile Include="..\Brand#1\*.cs" />')))
+            .when(digit == "4", F.concat(plain, F.lit(r'<ItemGroup><Compile Include="Gen\*" />')))
+            .otherwise(F.concat(plain, F.lit(r'<ItemGroup><Compile Include="obj\p'), F.coalesce(least, F.lit("none")), F.lit('.cs" />')))
+        )
+        text = F.concat(items, F.lit(r'<ProjectReference Include="..\Brand#1/p.csproj" /></ItemGroup></Project>'))
+        return self.t("part").groupBy("p_brand").agg(text.alias("text")).select(F.concat(F.lit("src/"), "p_brand", F.lit("/p.csproj")).alias("path"), "text")
+
 
 # The same views for the oracle.
 SYMBOLS_SQL = """symbols AS (
@@ -176,3 +198,8 @@ COMMITS_SQL = """commits AS (
     list('p/f' || (l_partkey % 300) || CASE WHEN l_partkey % 17 = 0 THEN '.md' ELSE '.cs' END ORDER BY l_linenumber) AS files
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_custkey, o_orderdate
 ), commit_files AS (SELECT DISTINCT seq, unnest(files) AS file FROM commits WHERE len(files) <= 100), kept AS (SELECT * FROM commit_files WHERE file LIKE '%.cs')"""
+
+SOURCES_SQL = """sources AS (
+  SELECT p_brand AS brand, p_partkey AS k, 'src/' || p_brand || '/' || CASE p_partkey % 10 WHEN 0 THEN 'obj/' WHEN 1 THEN 'bin/' WHEN 2 THEN 'sub/bin/' WHEN 3 THEN 'Gen/' ELSE '' END || 'p' || p_partkey
+    || CASE p_partkey % 7 WHEN 0 THEN '.md' WHEN 1 THEN '.g.cs' ELSE '.cs' END AS file FROM part
+), brands AS (SELECT brand, 'src/' || brand || '/p.csproj' AS project, (split_part(brand, '#', 2)::INT % 5)::VARCHAR AS digit, min(k) FILTER (k % 10 = 0 AND k % 7 > 1) AS least FROM sources GROUP BY brand)"""

@@ -14,7 +14,8 @@ from tessera.lineage import shared_dir
 from tessera.operators import factored, graph, history, impact, link, project_map, scan_passes, search, status
 from tessera.plans import lens as sql
 from tessera.plans.lens import Lens
-from tessera.sources import postings
+from tessera.sources import postings, projects
+from tessera.streaming import co_change as stream_co_change
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -362,17 +363,49 @@ def duplicate_ids(v: Lens) -> DataFrame:
     return scan_passes.duplicate_ids(symbols).select("id", F.size("projects").cast("long").alias("projects"), F.get("projects", 0).alias("first_project"))
 
 
-@query(
-    """SELECT "fileA", "fileB", together::INT AS together, a.total::INT AS "totalA", b.total::INT AS "totalB", round_even(together::DOUBLE / least(a.total, b.total) * 100, 0) / 100 AS strength
+CO_CHANGE = """SELECT "fileA", "fileB", together::INT AS together, a.total::INT AS "totalA", b.total::INT AS "totalB", round_even(together::DOUBLE / least(a.total, b.total) * 100, 0) / 100 AS strength
     FROM (SELECT x.file AS "fileA", y.file AS "fileB", count(*) AS together FROM kept x JOIN kept y ON x.seq = y.seq AND x.file < y.file GROUP BY ALL HAVING count(*) >= 3) p
-    JOIN totals a ON a.file = "fileA" JOIN totals b ON b.file = "fileB" """,
-    sql.COMMITS_SQL,
-    "totals AS (SELECT file, count(*) AS total FROM kept GROUP BY file)",
-)
+    JOIN totals a ON a.file = "fileA" JOIN totals b ON b.file = "fileB" """
+TOTALS = "totals AS (SELECT file, count(*) AS total FROM kept GROUP BY file)"
+
+
+@query(CO_CHANGE, sql.COMMITS_SQL, TOTALS)
 def co_change(v: Lens) -> DataFrame:
     return history.co_change(v.commits())
 
 
+@query(CO_CHANGE, sql.COMMITS_SQL, TOTALS)
+def co_change_incremental(v: Lens) -> DataFrame:
+    """The same pairs kept up to date over commits that are published in parts, a third of them twice."""
+    place = f"{shared_dir(v.spark)}/co-change-{uuid.uuid4().hex}"
+    commits = v.commits()
+    schema = commits.schema
+    commits.write.parquet(f"{place}/in/part=0")
+    published = v.spark.read.schema(schema).parquet(f"{place}/in/part=0")
+    published.where("seq % 3 = 0").write.parquet(f"{place}/in/part=1")
+    files = len(published.inputFiles())
+    stream = v.spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", max(1, files // 2)).parquet(f"{place}/in")
+    stream_co_change.start(stream, f"{place}/out", f"{place}/state").awaitTermination()
+    return stream_co_change.co_change(v.spark, f"{place}/out")
+
+
+@query(
+    """SELECT project, file FROM sources s JOIN brands b ON s.brand = b.brand AND file NOT LIKE '%.md' AND k % 10 > 1 AND (digit = '1' OR (digit = '2' AND k % 10 <> 3) OR (digit = '3' AND k % 7 = 1))
+    UNION SELECT project, file FROM sources s JOIN brands b ON digit = '3' AND s.brand = 'Brand#1' AND k % 10 > 3 AND file NOT LIKE '%.md'
+    UNION SELECT project, file FROM sources s JOIN brands b ON digit = '4' AND s.brand = b.brand AND k % 10 = 3
+    UNION SELECT project, file FROM sources s JOIN brands b ON digit = '0' AND s.brand = b.brand AND k = least""",
+    sql.SOURCES_SQL,
+)
+def project_files(v: Lens) -> DataFrame:
+    """The files that brands' projects compile: default items, removals, shared folders, old projects, single files."""
+    return projects.compile_files(projects.parsed(v.project_files()), v.source_files())
+
+
+@query("SELECT project, 'src/Brand#1/p.csproj' AS reference FROM brands", sql.SOURCES_SQL)
+def project_references(v: Lens) -> DataFrame:
+    return projects.references(projects.parsed(v.project_files()))
+
+
 @query(
     """SELECT ticket, count(DISTINCT c.seq) AS commits, arg_min(c.hash, c.seq) AS newest, arg_min(c.date, c.seq) AS date, arg_min(c.message, c.seq) AS message, count(DISTINCT k.file) AS files, min(k.file) AS first_file
     FROM (SELECT DISTINCT seq, hash, date, message, unnest(regexp_extract_all(message, '#\\d{3,6}')) AS ticket FROM commits) c JOIN kept k ON c.seq = k.seq GROUP BY ticket""",
