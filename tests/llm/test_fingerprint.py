@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -68,3 +69,29 @@ def test_query(spark, sf):
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert r["fingerprint"] == fingerprint.packed(x).hex() and r["edited_fingerprint"] == fingerprint.packed(y).hex()
         assert r["near_edited"] == pytest.approx(fingerprint.resemblance(x, y)) and r["near_next"] == pytest.approx(fingerprint.resemblance(x, z))
+
+
+def plain_shingles(text):
+    """Five-word shingles as strings, without the library's words or hashes."""
+    found = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))} if found else set()
+
+
+def test_query_against_sets_of_strings(spark, sf):
+    """Likeness and size are exact where both sets fit into the sketch, and within five deviations else."""
+    docs = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    rows = {r["doc_id"]: r for r in op10_fingerprint(spark, sf).collect()}
+    prints, exact = {}, 0
+    for i, (d, t) in enumerate(docs):
+        following = docs[(i + 1) % len(docs)][1]
+        half = len(t) // 2
+        own, r = plain_shingles(t), rows[d]
+        for other, near in ((plain_shingles(t[: len(t) - half] + following[:half]), r["near_edited"]), (plain_shingles(following), r["near_next"])):
+            want = len(own & other) / len(own | other) if own | other else 1.0
+            small = max(len(own), len(other)) <= fingerprint.K
+            exact += small
+            assert near == pytest.approx(want, abs=1e-9 if small and len(own | other) <= fingerprint.K else 5 * 0.5 / fingerprint.K**0.5), d
+        assert r["n_distinct"] == pytest.approx(len(own), rel=0 if len(own) < fingerprint.K else 5 / fingerprint.K**0.5), d
+        prints.setdefault(frozenset(own), set()).add(r["fingerprint"])
+    assert exact > 20 and all(len(p) == 1 for p in prints.values())
+    assert len({p for ps in prints.values() for p in ps}) == len(prints)

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from tessera.llm import quality, toxicity
 from tessera.llm.queries import op6_quality_resample, op7_toxicity_knn
@@ -65,6 +66,63 @@ def test_quality_query_on_labels(spark):
     assert good / (good + n.get((1, False), 0)) > 0.97 and bad / (bad + n.get((0, True), 0)) > 0.9
 
 
+def brute_resampled(texts, good, noise):
+    """(log weight, kept) of texts (by id) from labels of some, with dictionaries: no arrays, digits or cuts of the library."""
+    full = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    def grams(text):
+        h = [xxhash.xxh3_64_intdigest(w) for w in re.findall(r"\w+|[^\w\s]+", (text or "").lower())]
+        pairs = [0xA0761D6478BD642F if a == b else mix((a * 0x9E3779B97F4A7C15 + b) & full) for a, b in zip(h, h[1:])]
+        return [x % 65536 for x in h + pairs]
+
+    raw, target = Counter(), Counter()
+    for i, t in texts.items():
+        raw.update(grams(t))
+        if good.get(i) == 1:
+            target.update(grams(t))
+    share = lambda c, b: (c[b] + 1) / (sum(c.values()) + 65536)
+    ratio = {b: math.log(share(target, b) / share(raw, b)) for b in raw}
+    weight = {i: math.fsum(ratio[b] for b in grams(t)) for i, t in texts.items()}
+    known = sorted((weight[i], y) for i, y in good.items())
+    n = Counter(y for _, y in known)
+    # of all places between two labelled weights the one that tells the labels apart best, the lowest of equals
+    gain = lambda at: sum(y for _, y in known[at:]) / n[1] + sum(1 - y for _, y in known[:at]) / n[0]
+    at = max(range(len(known) + 1), key=lambda a: (round(gain(a), 9), -a))
+    cut = (known[at - 1][0] + known[at][0]) / 2
+    k = sum(w >= cut for w in weight.values())
+    keys = {i: round((w + noise[i]) * (1 << 20)) for i, w in weight.items()}
+    least = sorted(keys.values(), reverse=True)[k - 1]
+    return {i: (weight[i], keys[i] >= least) for i in texts}
+
+
+def test_quality_query_against_brute_force(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    good = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["doc_id"] in texts}
+    u = spark.createDataFrame([(i,) for i in texts], "i long").selectExpr("i", "(pmod(xxhash64(i, 42), 1099511627776) + 0.5D) / 1099511627776D AS u").collect()
+    want = brute_resampled(texts, good, {r["i"]: -math.log(-math.log(r["u"])) for r in u})
+    got = {r["doc_id"]: r for r in op6_quality_resample(spark, sf).collect()}
+    assert got.keys() == want.keys() and 0 < sum(kept for _, kept in want.values()) < len(want)
+    assert max(abs(got[i]["log_weight"] - w) for i, (w, _) in want.items()) < 1e-6
+    assert {i for i in got if got[i]["kept"]} == {i for i, (_, kept) in want.items() if kept}
+
+
+def test_quality_on_labels_that_it_has_not_seen(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    half = labels.where("crc32(cast(doc_id as string)) % 2 = 0")
+    rest = labels.where("crc32(cast(doc_id as string)) % 2 = 1")
+    found = quality.resampled(docs, half, keep_text=False).join(rest, "doc_id").groupBy("quality", "kept").count().collect()
+    n = {(r["quality"], r["kept"]): r["count"] for r in found}
+    assert n[1, True] >= 0.93 * (n[1, True] + n.get((1, False), 0))
+    assert n[0, False] >= 0.97 * (n[0, False] + n.get((0, True), 0))
+
+
 def brute_votes(mine, others, k):
     """(cosine, number) of the k nearest others and what ties, by dictionaries."""
     cos = sorted(((round(sum(v * o.get(w, 0.0) for w, v in mine.items()), 10), j) for j, o in others.items()), reverse=True)
