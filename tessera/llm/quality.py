@@ -4,7 +4,8 @@ Two generative models over hashed word n-grams, one of the target text (document
 text, give every document the log of its importance weight: the sum of log ratios over its unigrams and bigrams.
 Adding independent Gumbel noise and taking the k largest samples k documents without replacement in proportion to
 their weights. k is the number of documents whose weight lies above the cut that separates the labelled ones best,
-so it follows the corpus. The k-th largest key is found exactly by counting in ranges of the key, digit by digit.
+so it follows the corpus. For the cut a text of the target is weighed by a model of the others, or else the cut would
+suit texts that the model has seen, and unseen good ones would go. The k-th largest key is found exactly by counting in ranges of the key, digit by digit.
 
 The target model is fitted on at most TARGET_ROWS labelled rows, those of least hash of their id; the raw model,
 the weights, k and the threshold are of all rows.
@@ -74,14 +75,28 @@ def counted(docs: DataFrame, text: str) -> dict[str, np.ndarray]:
     return out
 
 
-def weighted(docs: DataFrame, ratios: np.ndarray, text: str) -> DataFrame:
-    """docs with log_weight."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
-    schema = T.StructType([f for f in docs.schema.fields if f.name != "log_weight"] + [T.StructField("log_weight", T.DoubleType())])
+def weighted(docs: DataFrame, counts: dict[str, np.ndarray], text: str) -> DataFrame:
+    """docs with log_weight and __unseen, the weight that a labelled text has by a target model of the other texts; null without a label."""
+    raw, target = counts["raw"], counts["target"]
+    ratios = np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS)) if target.any() else np.zeros(BUCKETS)
+    shared = docs.sparkSession.sparkContext.broadcast((ratios, target))
+    own = ("log_weight", "__unseen")
+    schema = T.StructType([f for f in docs.schema.fields if f.name not in own] + [T.StructField(n, T.DoubleType()) for n in own])
 
     def run(b: pa.RecordBatch) -> pa.Table:
-        r = shared.value
-        return with_columns(b, log_weight=pa.array([float(r[ngram_buckets(x)].sum()) for x in b.column(text).to_pylist()], pa.float64())).select(schema.names)
+        ratios, target = shared.value
+        total = target.sum()
+        weights, unseen = [], []
+        for x, label in zip(b.column(text).to_pylist(), b.column("__label").to_pylist()):
+            found = ngram_buckets(x)
+            w = float(ratios[found].sum())
+            weights.append(w)
+            if label == 1 and len(found):
+                at, n = np.unique(found, return_counts=True)
+                seen = np.log((target[at] + 1) / (total + BUCKETS))
+                w += float((n * (np.log((target[at] - n + 1) / (total - len(found) + BUCKETS)) - seen)).sum())
+            unseen.append(None if label is None else w)
+        return with_columns(b, log_weight=pa.array(weights, pa.float64()), __unseen=pa.array(unseen, pa.float64())).select(schema.names)
 
     return arrow_map(docs, schema, run)
 
@@ -119,17 +134,15 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> int | None:
 def resampled(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", keep_text: bool = True) -> DataFrame:
     """docs (without texts unless asked) with log_weight, sort_key (weight and noise in integer steps) and kept (whether the sample has it)."""
     sample = labelled(labels, doc_id, label, TARGET_ROWS).withColumnsRenamed({"id": "__id", "label": "__label"})
-    marked = docs.drop("__id", "__label").join(F.broadcast(sample), F.col(doc_id) == F.col("__id"), "left").drop("__id")
+    marked = docs.drop("__id", "__label", "__unseen").join(F.broadcast(sample), F.col(doc_id) == F.col("__id"), "left").drop("__id")
     counts = counted(marked, text)
-    smooth = {k: np.log((v + 1) / (v.sum() + BUCKETS)) for k, v in counts.items()}
-    ratios = smooth["target"] - smooth["raw"] if counts["target"].any() else np.zeros(BUCKETS)
     u = (F.pmod(F.xxhash64(F.col(doc_id), F.lit(SEED)), F.lit(1 << 40)) + 0.5) / (1 << 40)
     noise = F.when(F.col(doc_id).isNull(), 0.0).otherwise(-F.log(-F.log(u)))
     key = F.least(F.greatest(F.round((F.col("log_weight") + noise) * STEPS), F.lit(-float(OFFSET))), F.lit(float(OFFSET - 1))).cast("long") + OFFSET
-    scored = weighted(marked, ratios, text).withColumn("sort_key", key)
+    scored = weighted(marked, counts, text).withColumn("sort_key", key)
     scored = materialise(scored if keep_text else scored.drop(text), "weights")
-    known = scored.where("__label is not null").select("log_weight", "__label").collect()  # 2 * TARGET_ROWS rows, but for repeated ids
+    known = scored.where("__label is not null").select("__unseen", "__label").collect()  # 2 * TARGET_ROWS rows, but for repeated ids
     cut = best_cut([tuple(r) for r in known])
     k = scored.count() if cut is None else scored.where(F.col("log_weight") >= cut).count()
     least = kth_largest(scored, "sort_key", k) if k else 1 << 62
-    return scored.drop("__label").withColumn("kept", F.col("sort_key") >= F.lit(0 if least is None else least))
+    return scored.drop("__label", "__unseen").withColumn("kept", F.col("sort_key") >= F.lit(0 if least is None else least))

@@ -85,10 +85,12 @@ def brute_resampled(texts, good, noise):
         raw.update(grams(t))
         if good.get(i) == 1:
             target.update(grams(t))
-    share = lambda c, b: (c[b] + 1) / (sum(c.values()) + 65536)
-    ratio = {b: math.log(share(target, b) / share(raw, b)) for b in raw}
-    weight = {i: math.fsum(ratio[b] for b in grams(t)) for i, t in texts.items()}
-    known = sorted((weight[i], y) for i, y in good.items())
+    def weight_by(target, i):
+        size, raws = sum(target.values()) + 65536, sum(raw.values()) + 65536
+        return math.fsum(math.log((target[b] + 1) / size) - math.log((raw[b] + 1) / raws) for b in grams(texts[i]))
+
+    weight = {i: weight_by(target, i) for i in texts}
+    known = sorted((weight_by(target - Counter(grams(texts[i])), i) if y else weight[i], y) for i, y in good.items())
     n = Counter(y for _, y in known)
     # of all places between two labelled weights the one that tells the labels apart best, the lowest of equals
     gain = lambda at: sum(y for _, y in known[at:]) / n[1] + sum(1 - y for _, y in known[:at]) / n[0]
