@@ -33,7 +33,7 @@ def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling rejects go."""
-    docs, own = aside(docs, "log_weight", "sort_key", "kept", "__id", "__label")
+    docs, own = aside(docs, "log_weight", "sort_key", "kept", "__id", "__label", "__unseen")
     scored = quality.resampled(docs, table(spark, sf_dir, "labels"))
     return scored.where("kept").select(*docs.columns).withColumnsRenamed(own)
 
