@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.graph import layers
 from tessera.operators.impact import first_rows
+from tessera.operators.link import Factored
 
 HUBS, ENTRIES_A_PROJECT, PROJECTS, GROUPS, TYPES_A_PROJECT = 20, 30, 100, 25, 200
 
@@ -46,10 +47,16 @@ def entry_points_by_project(entries: DataFrame, symbols: DataFrame, cap: int = E
     return ranked.join(total, "project").withColumn("not_shown", F.greatest(F.col("in_project") - cap, F.lit(0)))
 
 
-def features_by_endpoint(links: DataFrame, calls: DataFrame) -> DataFrame:
+def features_by_endpoint(links: DataFrame | Factored, calls: DataFrame) -> DataFrame:
     """(backendId, features): the features that call each endpoint, as first linked; links: seq, frontendId, backendId."""
     feature = first_rows(calls).select(F.col("id").alias("frontendId"), "feature")
-    first = links.join(feature, "frontendId").groupBy("backendId", "feature").agg(F.min("seq").alias("seq"))
+    if isinstance(links, Factored):
+        # the first call of a feature with each shape, then with each class of endpoints
+        first = links.calls.join(feature, "frontendId").groupBy("shape", "feature").agg(F.min("seq").alias("seq"))
+        first = links.matches.join(first, "shape").groupBy("class", "feature").agg(F.min("seq").alias("seq"))
+        first = links.endpoints.join(first, "class").groupBy(F.col("id").alias("backendId"), "feature").agg(F.min("seq").alias("seq"))
+    else:
+        first = links.join(feature, "frontendId").groupBy("backendId", "feature").agg(F.min("seq").alias("seq"))
     return first.groupBy("backendId").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "feature"))), lambda x: x.feature).alias("features"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import display_name, find_score, kind_rank, name_tokens, round2, ticket_named, tokenize, tokens_of, type_member
 from tessera.operators.impact import first_rows
+from tessera.operators.link import Factored
 from tessera.sources import postings
 
 FIND_LIMIT, WHERE_LIMIT, REASONS, SALTS = 20, 10, 5, 64
@@ -27,21 +28,31 @@ def overlap(query: list[str], tokens) -> "F.Column":
     return F.array_intersect(F.array(*(F.lit(q) for q in query)).cast("array<string>"), tokens)
 
 
+def leaders(hits: DataFrame, *by: str) -> DataFrame:
+    """The REASONS best hits of each group, of which the first stands for all of the group by its `hits`.
+
+    hits: score, reason, place, and hits where a row stands for several or none; hits of equal score keep their place.
+    """
+    order = [F.desc("score"), "place"]
+    counted = hits if "hits" in hits.columns else hits.withColumn("hits", F.lit(1).cast("long"))
+    # the best of each of SALTS parts first, so that a group with very many hits isn't sorted in one task
+    part, whole = Window.partitionBy(*by, "salt"), Window.partitionBy(*by)
+    out = counted.where("score > 0").withColumn("salt", F.pmod(F.xxhash64("reason", "place"), F.lit(SALTS)))
+    for window in (part, whole):
+        out = out.withColumn("n", F.row_number().over(window.orderBy(*order))).withColumn("of", F.sum("hits").over(window)).where(F.col("n") <= REASONS)
+        out = out.withColumn("hits", F.when(F.col("n") == 1, F.col("of")).otherwise(0)).drop("of")
+    return out.drop("salt")
+
+
 def combined(hits: DataFrame) -> DataFrame:
     """(id, score, reasons, more): the best hit plus log2 of their number, and the REASONS best reasons.
 
-    hits: id, score, reason, place; hits of equal score keep their place.
+    hits: id and what leaders() asks for.
     """
-    order = [F.desc("score"), "place"]
-    # the best of each of SALTS parts first, so that an id with very many hits isn't sorted in one task
-    part = Window.partitionBy("id", "salt")
-    salted = hits.where("score > 0").withColumn("salt", F.pmod(F.xxhash64("reason", "place"), F.lit(SALTS)))
-    parts = salted.withColumn("n", F.row_number().over(part.orderBy(*order))).withColumn("of", F.count("*").over(part)).where(F.col("n") <= REASONS)
-    ranked = parts.withColumn("of", F.when(F.col("n") == 1, F.col("of"))).withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(*order)))
-    return ranked.groupBy("id").agg(
-        round2(F.max("score") + F.log2(F.sum("of").cast("double"))).alias("score"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("n") <= REASONS, F.struct("n", "reason")))), lambda x: x.reason).alias("reasons"),
-        F.greatest(F.sum("of") - REASONS, F.lit(0)).cast("int").alias("more"),
+    return leaders(hits, "id").groupBy("id").agg(
+        round2(F.max("score") + F.log2(F.sum("hits").cast("double"))).alias("score"),
+        F.transform(F.array_sort(F.collect_list(F.struct("n", "reason"))), lambda x: x.reason).alias("reasons"),
+        F.greatest(F.sum("hits") - REASONS, F.lit(0)).cast("int").alias("more"),
     )
 
 
@@ -55,13 +66,29 @@ def ticket_hits(tickets: DataFrame, symbols: DataFrame, query: str, tokens: list
     return files.join(names, "file").select("id", (F.col("base") * F.when(whole, 2.0).otherwise(1.0)).alias("score"), F.concat(F.lit("ticket "), "ticket").alias("reason"), F.concat(F.lit("1:"), "ticket").alias("place"))
 
 
-def route_hits(entries: DataFrame, links: DataFrame, calls: DataFrame, tokens: list[str]) -> DataFrame:
-    """Hits of entry points by their route, and one for each link by the feature of its call."""
+def route_hits(entries: DataFrame, links: DataFrame | Factored, calls: DataFrame, tokens: list[str]) -> DataFrame:
+    """Hits of entry points by their route, and those for the links by the features of their calls."""
     score = lambda c: F.lit(ROUTE_WEIGHT) * F.size(overlap(tokens, tokenize(F.coalesce(c, F.lit(""))))) / F.lit(float(len(tokens)))
-    routes = entries.where("route is not null").select("id", score("route").alias("score"), F.concat(F.lit("route "), "route").alias("reason"), F.concat(F.lit("2:"), "route").alias("place"))
-    shown = links.join(first_rows(calls).select(F.col("id").alias("frontendId"), "feature"), "frontendId")
-    features = shown.select(F.col("backendId").alias("id"), score("feature").alias("score"), F.concat(F.lit("feature "), "feature").alias("reason"), F.concat(F.lit("3:"), "frontendId").alias("place"))
-    return routes.union(features)
+    routes = entries.where("route is not null").select("id", score("route").alias("score"), F.concat(F.lit("route "), "route").alias("reason"), F.concat(F.lit("2:"), "route").alias("place"), F.lit(1).cast("long").alias("hits"))
+    found = first_rows(calls).select(F.col("id").alias("frontendId"), score("feature").alias("score"), F.concat(F.lit("feature "), "feature").alias("reason"), F.concat(F.lit("3:"), "id").alias("place"))
+    return routes.union(feature_hits(links, found))
+
+
+def feature_hits(links: DataFrame | Factored, found: DataFrame) -> DataFrame:
+    """Hits of endpoints for their links: one each, or of factored links the best, which stand for all.
+
+    found: frontendId, score, reason, place. Endpoints of a class have the same hits, so these are ranked by shape and by class.
+    """
+    row = ["id", "score", "reason", "place", "hits"]
+    if not isinstance(links, Factored):
+        return links.join(found, "frontendId").select(F.col("backendId").alias("id"), "score", "reason", "place", F.lit(1).cast("long").alias("hits"))
+    by_shape = leaders(links.calls.select("shape", "frontendId").join(found, "frontendId"), "shape").drop("n", "frontendId")
+    by_class = leaders(links.matches.select("shape", "class").join(by_shape, "shape"), "class")
+    return links.endpoints.join(by_class, "class").select(*row)
+
+
+def plain_hits(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("hits", F.lit(1).cast("long"))
 
 
 def name_hits(symbols: DataFrame, tokens: list[str]) -> DataFrame:
@@ -71,13 +98,15 @@ def name_hits(symbols: DataFrame, tokens: list[str]) -> DataFrame:
 
 
 def indexed_hits(index, path: str, symbols: DataFrame, query: str, tokens: list[str]) -> DataFrame:
-    """The hits of where() by a search index: only what its tickets lead to is looked at more closely."""
+    """The hits of where() by a search index: only what its tickets and calls lead to is looked at more closely."""
     found = postings.found_tokens(symbols.sparkSession, path, tokens)
     weight = F.when(F.col("kind") == postings.NAME, NAME_WEIGHT).otherwise(ROUTE_WEIGHT)
-    own = found.where(F.col("kind") != postings.TICKET).select("id", (weight * F.col("n") / F.lit(float(len(tokens)))).alias("score"), "reason", "place")
+    scored = found.withColumn("score", weight * F.col("n") / F.lit(float(len(tokens))))
+    own = scored.where(F.col("kind").isin(postings.NAME, postings.ROUTE, postings.FEATURE)).select("id", "score", "reason", "place")
+    features = feature_hits(index.api_links, scored.where(F.col("kind") == postings.CALL).select(F.col("id").alias("frontendId"), "score", "reason", "place"))
     met = found.where(F.col("kind") == postings.TICKET).select(F.col("id").alias("ticket"))
     named = index.tickets.where(ticket_named(query)("ticket")).select("ticket")
-    return ticket_hits(index.tickets.join(met.union(named).distinct(), "ticket", "left_semi"), symbols, query, tokens).union(own)
+    return plain_hits(ticket_hits(index.tickets.join(met.union(named).distinct(), "ticket", "left_semi"), symbols, query, tokens).union(own)).union(features)
 
 
 def where(index, query: str, limit: int | None = WHERE_LIMIT, path: str | None = None) -> DataFrame:
@@ -90,7 +119,7 @@ def where(index, query: str, limit: int | None = WHERE_LIMIT, path: str | None =
     elif path:
         hits = indexed_hits(index, path, symbols, query, tokens)
     else:
-        hits = ticket_hits(index.tickets, symbols, query, tokens).union(route_hits(points, index.api_links, index.frontend_calls, tokens)).union(name_hits(symbols, tokens))
+        hits = plain_hits(ticket_hits(index.tickets, symbols, query, tokens).union(name_hits(symbols, tokens))).union(route_hits(points, index.api_links, index.frontend_calls, tokens))
     entry = points.select("id").withColumn("is_entry", F.lit(True))
     out = combined(hits).join(symbols.select("id", "kind", "name", "containingType", "project", "file", "line"), "id").join(entry, "id", "left")
     out = out.withColumn("is_entry", F.coalesce("is_entry", F.lit(False))).withColumn("display", display_name(F.col("name"), F.col("containingType"), F.col("id")))

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import display_name, name_tokens, tokenize
 from tessera.operators.impact import first_rows
+from tessera.operators.link import Factored
 
 #: Folders that tokens are dealt to.
 BUCKETS = 64
 #: What a token was found in.
-NAME, ROUTE, FEATURE, TICKET = "name", "route", "feature", "ticket"
+NAME, ROUTE, FEATURE, CALL, TICKET = "name", "route", "feature", "call", "ticket"
 
 
 def bucket_of(token: Column, buckets: int) -> Column:
@@ -24,15 +25,21 @@ def bucket_of(token: Column, buckets: int) -> Column:
 
 
 def postings(index) -> DataFrame:
-    """(kind, id, reason, place, token) of all that a search looks at; of a ticket's rows id is the ticket."""
+    """(kind, id, reason, place, token) of all that a search looks at; of a ticket's rows id is the ticket.
+
+    Of factored links the calls' features are held, not those of every linked endpoint; a search looks up their links.
+    """
     symbols, points = first_rows(index.symbols), first_rows(index.entry_points)
     rows = lambda df, kind, id_, reason, place, tokens: df.select(F.lit(kind).alias("kind"), F.col(id_).alias("id"), reason.alias("reason"), place.alias("place"), F.explode(tokens).alias("token"))
     shown = display_name(F.col("name"), F.col("containingType"), F.col("id"))
-    linked = index.api_links.join(first_rows(index.frontend_calls).select(F.col("id").alias("frontendId"), "feature"), "frontendId")
+    calls = first_rows(index.frontend_calls).where("feature is not null").select(F.col("id").alias("frontendId"), "feature")
+    feature, kind, of = calls, CALL, "frontendId"
+    if not isinstance(index.api_links, Factored):
+        feature, kind, of = index.api_links.join(calls, "frontendId"), FEATURE, "backendId"
     parts = [
         rows(symbols, NAME, "id", F.concat(F.lit("name "), shown), F.lit("4:"), name_tokens(shown)),
         rows(points.where("route is not null"), ROUTE, "id", F.concat(F.lit("route "), "route"), F.concat(F.lit("2:"), "route"), tokenize(F.col("route"))),
-        rows(linked.where("feature is not null"), FEATURE, "backendId", F.concat(F.lit("feature "), "feature"), F.concat(F.lit("3:"), "frontendId"), tokenize(F.col("feature"))),
+        rows(feature, kind, of, F.concat(F.lit("feature "), "feature"), F.concat(F.lit("3:"), "frontendId"), tokenize(F.col("feature"))),
         rows(index.tickets.where("message is not null"), TICKET, "ticket", F.lit(""), F.lit(""), tokenize(F.col("message"))),
     ]
     out = parts[0]
