@@ -68,3 +68,22 @@ def test_nothing_to_expand(spark):
     f = factored.interface_calls(edges, members).union(factored.mediator_sends(sends, handlers)).union(factored.override_calls(calls, overrides))
     assert f.edges().count() == 0 and factored.fan_in(f, F.lit(False)).count() == 0
     assert [tuple(r) for r in factored.reach_depths(f, spark.createDataFrame([("a",)], "id string"), 3).collect()] == [("a", 0)]
+
+
+def test_callers_are_counted_by_their_sets_of_hubs(spark, monkeypatch):
+    sites = [(f"c{i}", f"h{h}", "call", "f", h, "interface") for i in range(200) for h in (0, 1 + i % 2)]
+    members = [(f"h{h}", f"x{i}") for i in range(40) for h in range(3) if (i + 1) & 1 << h or h == 0]
+    plain = [("c1", "x1", "call", "f", 9, None), ("x2", "x3", "new", "f", 9, None), ("c0", "c1", "call", "f", 9, None)]
+    schema = "`from` string, `to` string, kind string, file string, line int, via string"
+    f = factored.Factored(spark.createDataFrame(plain, schema), spark.createDataFrame(sites + [("x5", *sites[0][1:])], schema.replace("`to`", "hub")), spark.createDataFrame(members, "hub string, `to` string"))
+    written, write = [], factored.cut
+
+    def counted(df, label="step"):
+        out = write(df, label)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(factored, "cut", counted)
+    got = sorted(map(tuple, factored.fan_in(f, impact.is_expansion(F.col("via"))).collect()))
+    assert got == sorted(map(tuple, impact.fan_in(f.edges()).collect())) and len(got) == 41
+    assert max(written) <= 201
