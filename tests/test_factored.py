@@ -87,3 +87,13 @@ def test_callers_are_counted_by_their_sets_of_hubs(spark, monkeypatch):
     got = sorted(map(tuple, factored.fan_in(f, impact.is_expansion(F.col("via"))).collect()))
     assert got == sorted(map(tuple, impact.fan_in(f.edges()).collect())) and len(got) == 41
     assert max(written) <= 201
+
+
+def test_calls_are_dealt_before_they_are_expanded(spark):
+    one = spark.createDataFrame([(f"c{i}", "I", "call", "f", i, None) for i in range(400)], "`from` string, `to` string, kind string, file string, line int, via string").coalesce(1)
+    made = scan_passes.interface_edges(one, spark.createDataFrame([("I", f"x{i}") for i in range(30)], "iface_member string, impl_member string"))
+    parts = made.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in parts) == 12000 and len(parts) > spark.sparkContext.defaultParallelism
+    calls = spark.createDataFrame([("c", "A", "f", 1, "x"), ("c", "A", "f", 1, "y"), ("d", "A", "f", 1, "x"), ("d", "A", "f", 1, "x")], "`from` string, `to` string, file string, line int, receiver string")
+    overrides = spark.createDataFrame([("A", "B", ["x", "y"]), ("A", "C", ["x"])], "overridden string, override string, types array<string>")
+    assert sorted((r["from"], r["to"]) for r in scan_passes.override_edges(calls, overrides).collect()) == [("c", "B"), ("c", "C"), ("d", "B"), ("d", "C")]
