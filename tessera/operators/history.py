@@ -143,14 +143,15 @@ def resolve_renames(paths: DataFrame, renames: DataFrame, blocks: int = 64) -> D
     ahead = latest(moves.select(F.col("new").alias("path"), "at", "id"), events, cuts)
     far = cut(ahead.join(moves.select("id", F.col("new").alias("name")), "id").select("id", "name", F.col("move.id").alias("next"), F.col("move.new").alias("next_name")), "hops")
     far = far.select("id", F.coalesce("next_name", "name").alias("name"), "next")
-    while not far.where("next is not null").isEmpty():
+    # what sees to the end of its chain is settled: it takes no part in further rounds, where its null would be one hot key
+    while not (waiting := far.where("next is not null")).isEmpty():
         more = far.select(F.col("id").alias("next"), F.col("name").alias("later"), F.col("next").alias("after"))
-        met = far.join(more, "next", "left")
-        far = cut(met.select("id", F.coalesce("later", "name").alias("name"), F.col("after").alias("next")), "hops")
+        met = waiting.join(more, "next").select("id", F.col("later").alias("name"), F.col("after").alias("next"))
+        far = far.where("next is null").union(cut(met, "hops"))
     asked = paths.select(F.col("seq").cast("bigint").alias("at"), "path").distinct()
     whole = asked.where("at is not null and path is not null")
     first = latest(whole, events, cuts).select(F.col("at").alias("seq"), "path", F.col("move.id").alias("id"))
-    now = cut(first.join(far.select("id", "name"), "id", "left").where("name is not null").select(F.col("seq").alias("__seq"), F.col("path").alias("__path"), F.col("name").alias("__now")), "names")
+    now = cut(first.where("id is not null").join(far.select("id", "name"), "id").select(F.col("seq").alias("__seq"), F.col("path").alias("__path"), F.col("name").alias("__now")), "names")
     joined = paths.join(now, (F.col("seq") == F.col("__seq")) & (F.col("path") == F.col("__path")), "left")
     return joined.select(*paths.columns, F.coalesce("__now", "path").alias("now"))
 

@@ -39,3 +39,18 @@ def test_a_long_chain(spark):
     renames = [(n - i, f"p{i}", f"p{i + 1}") for i in range(n)]
     assert run(spark, [(n + 1, "p0"), (n // 2 + 1, f"p{n // 2}"), (0, "p0")], renames, 8) == sorted(map(repr, [(n + 1, "p0", f"p{n}"), (n // 2 + 1, f"p{n // 2}", f"p{n}"), (0, "p0", "p0")]))
     assert run(spark, [(1, "a")], [], 8) == [repr((1, "a", "a"))]
+
+
+def test_settled_renames_take_no_part_in_rounds(spark, monkeypatch):
+    rows, kept = [], history.cut
+
+    def counted(df, label="step"):
+        out = kept(df, label)
+        if label == "hops":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(history, "cut", counted)
+    renames = [(i, f"p{i}", f"q{i}") for i in range(90)] + [(9 - i, f"c{i}", f"c{i + 1}") for i in range(9)]
+    assert run(spark, [(100, "c0"), (100, "p5")], renames, 4) == sorted(map(repr, [(100, "c0", "c9"), (100, "p5", "q5")]))
+    assert rows[0] == 99 and len(rows) > 2 and max(rows[1:]) <= 8
