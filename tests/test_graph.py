@@ -115,3 +115,27 @@ def test_a_long_line_of_bases_takes_few_rounds(spark, monkeypatch):
     got = {tuple(r) for r in graph.inherited(bases, own, "className", "baseName", "member").collect()}
     want = {(f"c{i}", "m0") for i in range(n)} | {(f"c{i}", "m1") for i in range(5000, n)} | {(a, m) for a in "xyz" for m in ("m2", "m3")} | {("s", "m4"), ("w", "m5"), ("unknown", "m5")}
     assert got == want and len(made) <= 2 + 2 * 15
+
+
+def test_confirmation_looks_up_unsure_interface_edges_alone(spark, monkeypatch):
+    kept = {}
+
+    def noted(module):
+        own = module.cut
+
+        def run(df, label="step"):
+            out = own(df, label)
+            kept[label] = sorted(r[0] for r in out.collect())
+            return out
+
+        monkeypatch.setattr(module, "cut", run)
+
+    noted(graph), noted(impact)
+    edges = edges_of(spark, [("B", "A", "call", "f", 1, "interface"), ("B", "S", "call", "f", 1, "interface"), ("C", "B", "call", "f", 2, None), ("D", "C", "call", "f", 3, None), ("E", "S", "new", None, 4, "interface")])
+    reached = graph.reach_depths(edges, spark.createDataFrame([("A",), ("S",)], "id string"), 2)
+    used = graph.edges_used(edges, reached, 2)
+    assert kept["open"] == ["A", "B", "E", "S"]
+    symbols = spark.createDataFrame([(x, x, f"T{x}", i) for i, x in enumerate("ABCDES")], "id string, name string, containingType string, seq long")
+    told = impact.with_confirmation(used, symbols, impact.confirmed_types(spark.createDataFrame([("T:TA",), ("T:TB",), ("T:TA",)], "impl string")), sites=edges)
+    assert kept["targets"] == ["A", "S"] and kept["sure"] == ["A"]
+    assert sorted((r["from"], r["to"], r["confirmed"]) for r in told.collect()) == [("B", "A", True), ("B", "S", False), ("C", "B", True), ("E", "S", True)]
