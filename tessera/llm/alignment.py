@@ -37,7 +37,7 @@ from tessera.llm.fragments import ENTRY_BYTES, ByteLevel, Known, Pieces, by_byte
 #: Bytes of text of a slice, whose pairs are added up together; bits of an id in a pair's key.
 SLICE_BYTES, ID_BITS = 4 << 20, 31
 #: Bytes, roughly, of the fragments that a worker remembers; bytes of text that are aligned together.
-MEMO_BYTES, TOGETHER_BYTES = 96 << 20, 1 << 20
+MEMO_BYTES, TOGETHER_BYTES = 64 << 20, 1 << 19
 #: Characters of a text whose fragments are looked up together.
 WINDOW_CHARS = 1 << 20
 #: What follows a token in a document's groups: another of its side, the other side, the next group, nothing.
@@ -189,6 +189,7 @@ def slices(docs: DataFrame, one: str, two: str, doc_id: str, text: str) -> DataF
                 if size >= SLICE_BYTES:
                     yield row()
                     number, held, size = number + 1, [], 0
+                    give_back()  # what the slice's arrays took isn't kept beside the next one's
         if held:
             yield row()
             held.clear()
