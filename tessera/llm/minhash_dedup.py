@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import arrow_map, materialise
+from tessera.llm.common import arrow_map, materialise, small_batches
 from tessera.llm.components import components
+from tessera.llm.membership import may_be_in
 from tessera.llm.shingles import shingle_set
 from tessera.llm.sketching import band_hashes, similarity_sketch
 
@@ -74,7 +75,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, wor
         found = [shingle_set(x, words) for x in b.column(0).to_pylist()]
         return pa.table({"digest": pa.array(map(digest_of, found), pa.binary()), "found": pa.array([x.tobytes() for x in found], pa.binary())})
 
-    texts = docs.join(wanted.select(F.col("least").alias(doc_id)), doc_id, "left_semi").select(text)
+    # texts stay in place; what the filter lets through besides has no wanted digest
+    texts = small_batches(docs).where(may_be_in(wanted, "least")(doc_id)).select(text)
     # rows that repeat id and text bring a class more than once
     return arrow_map(texts, schema, run).join(wanted.select("id", "digest"), "digest").dropDuplicates(["digest"]).select("id", "found")
 
@@ -225,7 +227,9 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     repeated = rows.where("n > 1").join(stay.select("x.*"), ["__id", "__key"], "left_semi").select("__id", "__key")
     columns = docs.columns
     keyed = docs.withColumn("__id", F.col(doc_id)).withColumn("__key", F.unhex(F.md5(F.col(text).cast("binary"))))
-    left = keyed.join(gone, ["__id", "__key"], "left_anti")
+    # only rows whose id may be that of a dropped one are shuffled
+    asked = may_be_in(gone, "__id")("__id")
+    left = small_batches(keyed).where(~asked).union(keyed.where(asked).join(gone, ["__id", "__key"], "left_anti").select(keyed.columns))
     if repeated.isEmpty():
         return left.select(columns)
     repeated = materialise(repeated, "repeated")

@@ -139,10 +139,11 @@ def resampled(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     u = (F.pmod(F.xxhash64(F.col(doc_id), F.lit(SEED)), F.lit(1 << 40)) + 0.5) / (1 << 40)
     noise = F.when(F.col(doc_id).isNull(), 0.0).otherwise(-F.log(-F.log(u)))
     key = F.least(F.greatest(F.round((F.col("log_weight") + noise) * STEPS), F.lit(-float(OFFSET))), F.lit(float(OFFSET - 1))).cast("long") + OFFSET
-    scored = weighted(marked, counts, text).withColumn("sort_key", key)
-    scored = materialise(scored if keep_text else scored.drop(text), "weights")
+    whole = weighted(marked, counts, text).withColumn("sort_key", key)
+    scored = materialise(whole.drop(text), "weights")
     known = scored.where("__label is not null").select("__unseen", "__label").collect()  # 2 * TARGET_ROWS rows, but for repeated ids
     cut = best_cut([tuple(r) for r in known])
     k = scored.count() if cut is None else scored.where(F.col("log_weight") >= cut).count()
     least = kth_largest(scored, "sort_key", k) if k else 1 << 62
-    return scored.drop("__label", "__unseen").withColumn("kept", F.col("sort_key") >= F.lit(0 if least is None else least))
+    # texts are weighed again, with the same result, rather than written
+    return (whole if keep_text else scored).drop("__label", "__unseen").withColumn("kept", F.col("sort_key") >= F.lit(0 if least is None else least))

@@ -5,7 +5,9 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tessera.llm import components, line_dedup, minhash_dedup
+from pyspark.sql import functions as F
+
+from tessera.llm import components, line_dedup, membership, minhash_dedup
 from tessera.llm.shingles import shingle_set
 from tessera.llm.sketching import similarity_sketch
 
@@ -172,3 +174,39 @@ def test_a_saturated_filter_changes_nothing(spark, monkeypatch):
     rows = [(i, f"{'shared line of text ' * 3}{i % 3}\n{'own line of this text ' * 3}{i}") for i in range(30)]
     got = [(x["doc_id"], x["n_lines"], x["n_dropped"], x["kept"]) for x in line_dedup.drop_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got) == brute_lines(rows) and hashlib.sha256(got[0][3].encode())
+
+
+
+def test_filter_has_every_key_and_few_others(spark):
+    keys = spark.range(0, 30_000, 3).withColumnRenamed("id", "k")
+    rows = spark.range(30_000).withColumn("hit", membership.may_be_in(keys, "k")("id"))
+    assert rows.where("id % 3 = 0 and not hit").count() == 0
+    assert rows.where("id % 3 <> 0 and hit").count() < 1_000
+    assert rows.where(membership.may_be_in(keys.limit(0), "k")("id")).count() == 0
+
+
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(i, text(r, 40)) for i in range(30)]
+    rows += [(100 + i, edited(r, rows[i][1], 1)) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(tuple(x) for x in minhash_dedup.one_of_each(docs).collect())
+    monkeypatch.setattr(membership, "positions", lambda key, bits: [F.lit(0).cast("long") * F.xxhash64(key)] * 3)
+    assert sorted(tuple(x) for x in minhash_dedup.one_of_each(docs).collect()) == want
+
+
+def test_texts_stay_in_place(spark):
+    """Neither the sets nor the rows that stay are made by a shuffle of all texts, whatever sizes are sent whole."""
+    r = random.Random(6)
+    rows = [(i, text(r, 40)) for i in range(60)]
+    rows += [(100 + i, edited(r, rows[i][1], 1)) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = minhash_dedup.one_of_each(docs)
+        assert left.count() == 60
+        plan = left._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.lstrip().startswith("Union")

@@ -259,3 +259,13 @@ def test_toxicity_query_held_out_and_calibrated(spark):
     for lo, hi in ((0, 0.3), (0.3, 1.01)):
         part = [r for r in rows if lo <= r["score"] < hi]
         assert abs(np.mean([r["score"] for r in part]) - np.mean([r["toxic"] for r in part])) < 0.05
+
+
+def test_resampling_writes_no_text(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i} of many words " * 3) for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "materialise", lambda df, label="": (seen.append(df.columns), df)[1])
+    got = quality.resampled(docs, labels)
+    assert got.count() == 20 and "text" in got.columns
+    assert seen and all("text" not in c for c in seen)
