@@ -118,3 +118,11 @@ def test_hits_of_one_id_in_parts(spark):
     best = sorted((h for h in hits if h[0] == "a" and h[1] > 0), key=lambda h: (-h[1], h[3]))
     assert got["a"]["reasons"] == [h[2] for h in best[:5]] and got["a"]["more"] == len(best) - 5
     assert got["a"]["score"] == round(best[0][1] + math.log2(len(best)), 2) and (got["b"]["score"], got["b"]["more"]) == (1.0, 0)
+
+
+def test_asked_tokens_are_all_that_is_handed_back(spark):
+    asked = ["order", "hàng", "削除", "the"]
+    texts = ["The order", "削除できない order", "đơn hàng bị lỗi", "ＯＲＤＥＲ", "", None, "nothing", "the hàng order 削除"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", text.tokens_among(F.col("t"), asked).alias("a")).collect()
+    assert [r["a"] for r in got] == [[t for t in asked if t in text.tokens_of(x)] for x in texts]
