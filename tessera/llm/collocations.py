@@ -240,6 +240,8 @@ def deeper(steps: DataFrame, frequent: DataFrame) -> DataFrame:
             for i in range(b.num_rows):
                 shard, n, step, known = (b.column(c)[i] for c in ("shard", "rows", "step", "known"))
                 low, size, phrase = (known.values.field(c).to_numpy() for c in ("at", "size", "id"))
+                order = np.argsort(low)  # gathered in any order, and extended() takes intervals that hold all rows as they come
+                low, size, phrase = low[order], size[order], phrase[order]
                 step = np.cumsum(unpacked(step.as_py(), n.as_py()), dtype=np.int64)
                 low, size, left, right, step = extended(step, low.astype(np.int64), size.astype(np.int64))
                 yield from sent(shard.as_py(), step, low, size, phrase[left], phrase[right])

@@ -134,3 +134,19 @@ def test_query_with_a_lower_bound_against_brute_force(spark, sf):
 def test_query_equals_its_oracle_where_phrases_are_frequent(spark):
     rows, ours, theirs = differences(spark, "/root/testdata/sf0.01", queries.op13_collocations, queries.OP13_SQL)
     assert rows > 20 and ours == theirs == []
+
+
+def test_intervals_are_taken_in_any_order(spark):
+    """All rows of a shard are in frequent intervals, which come in descending order."""
+    ids = np.array([*[1] * 9, 2, 1, 2, 1, 1, 2, 0], np.int32)
+    step = collocations.index(ids, 5)[1]
+    low, size, _, _, step = collocations.extended(step, *collocations.intervals(collocations.index(ids, 5)[0]))
+    assert size.sum() == len(step)
+    steps = spark.createDataFrame([(3, len(step), bytearray(collocations.packed(np.diff(step, prepend=0))))], "shard long, rows long, step binary")
+    known = [(a, s, i) for i, (a, s) in reversed(list(enumerate(zip(low.tolist(), size.tolist()))))]
+    frequent = spark.createDataFrame([(3, known)], "shard long, known array<struct<at: int, size: int, id: long>>")
+    found = collocations.deeper(steps, frequent).where("step is null").select("size", "left", "right").collect()
+    pairs = [tuple(ids[i : i + 2]) for i in range(len(ids) - 2)]
+    number = {p: i for i, p in enumerate(sorted({p for p in pairs if 0 not in p}))}
+    want = Counter((number[a], number[b]) for a, b in zip(pairs, pairs[1:]) if 0 not in a + b)
+    assert {(r["left"], r["right"]): r["size"] for r in found} == want and len(found) == len(want)
