@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import factored, graph, impact, scan_passes
+from tessera.plans import lens_queries
+from tessera.plans.lens import Lens
 
 
 def tables(spark, seed):
@@ -97,3 +99,17 @@ def test_calls_are_dealt_before_they_are_expanded(spark):
     calls = spark.createDataFrame([("c", "A", "f", 1, "x"), ("c", "A", "f", 1, "y"), ("d", "A", "f", 1, "x"), ("d", "A", "f", 1, "x")], "`from` string, `to` string, file string, line int, receiver string")
     overrides = spark.createDataFrame([("A", "B", ["x", "y"]), ("A", "C", ["x"])], "overridden string, override string, types array<string>")
     assert sorted((r["from"], r["to"]) for r in scan_passes.override_edges(calls, overrides).collect()) == [("c", "B"), ("c", "C"), ("d", "B"), ("d", "C")]
+
+
+def test_edges_are_not_written_again(spark, sf, monkeypatch):
+    written, kept = {}, factored.cut
+
+    def counted(df, label="step"):
+        out = kept(df, label)
+        written[label] = max(out.count(), written.get(label, 0))
+        return out
+
+    monkeypatch.setattr(factored, "cut", counted)
+    v = Lens(spark, sf)
+    assert lens_queries.QUERIES["expanded_confirmed"](spark, sf).count() > 1
+    assert written["sites"] > 0 and written.get("plain", 0) < v.t("lineitem").count()
