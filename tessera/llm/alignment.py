@@ -5,8 +5,10 @@ document, finds for every token's start the other side's token that covers it; b
 overlaps. Overlaps that end together are links; the bytes where they end cut the tokens into groups.
 
 How often an id pair is linked is counted over all documents: a slice adds up its own pairs, Spark the slices'. The
-sums go back by a join to the slices whose documents hold the pair, so no task or driver ever holds the whole table,
-and tokens are never rows: a slice's links are codes of its own pairs, written once and read with the sums.
+sums go back to the slices whose documents hold the pair, so no task or driver ever holds the whole table, and tokens
+are never rows: a document's links are codes of its slice's pairs, written once and met by the sums slice by slice.
+Rows are documents and pairs, so whatever a reader, a sort or a task holds at a time is one slice or less, however
+many slices it goes through.
 
 Encoding goes by fragments between spaces that no token of either side crosses, see fragments.
 
@@ -159,15 +161,16 @@ def overlaps(starts: list[np.ndarray], doc: list[np.ndarray]) -> tuple[np.ndarra
     return tuple(np.concatenate([ab[c].to_numpy(), ba[c].to_numpy()]).astype(np.int64) for c in ("token_a", "token_b"))
 
 
-#: What a slice holds of its documents; codes number its own pairs, in the order of the documents' links.
+#: What is known of each document in its slice; the rest of a row's columns is of pairs.
 _PER_DOC = {"n_a": T.LongType(), "n_b": T.LongType(), "n_groups": T.LongType(), "n_links": T.LongType(), "groups_sha256": T.StringType()}
+_OF_PAIR = {"code": T.IntegerType(), "pair": T.LongType(), "n": T.LongType()}
 
 
 def slices(docs: DataFrame, one: str, two: str, doc_id: str, text: str) -> DataFrame:
-    """(slice, ids, n_a, n_b, n_groups, n_links, groups_sha256, codes, pairs, counts): a row for each slice."""
+    """(slice, id, n_a, n_b, n_groups, n_links, groups_sha256, codes) of each document, codes numbering its links' pairs in their order, and (slice, code, pair, n) of each pair of a slice."""
     shared = [shared_vocabulary(docs, p) for p in (one, two)]
-    per_doc = [T.StructField("ids", T.ArrayType(docs.schema[doc_id].dataType)), *(T.StructField(k, T.ArrayType(v)) for k, v in _PER_DOC.items())]
-    schema = T.StructType([T.StructField("slice", T.LongType()), *per_doc, T.StructField("codes", T.BinaryType()), T.StructField("pairs", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+    of_doc = [T.StructField("id", docs.schema[doc_id].dataType), *(T.StructField(k, v) for k, v in _PER_DOC.items()), T.StructField("codes", T.BinaryType())]
+    schema = T.StructType([T.StructField("slice", T.LongType()), *of_doc, *(T.StructField(k, v) for k, v in _OF_PAIR.items())])
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,11 +178,17 @@ def slices(docs: DataFrame, one: str, two: str, doc_id: str, text: str) -> DataF
         aligner = once(("aligner", one, two, *map(hash, data)), lambda: Aligner(*(load(p, d, plain_specials=True) for p, d in zip((one, two), data))))
         number, held, size = TaskContext.get().partitionId() << 40, [], 0
 
-        def row() -> pa.RecordBatch:
+        def rows(own: dict, n: int) -> pa.RecordBatch:
+            own["slice"] = np.full(n, number)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if f.name not in own else own[f.name].cast(f.type) if isinstance(own[f.name], pa.Array) else pa.array(own[f.name], f.type) for f in target], schema=target)
+
+        def settled() -> Iterator[pa.RecordBatch]:
             pairs, codes, counts = np.unique(np.concatenate([x["pairs"] for x in held]), return_inverse=True, return_counts=True)
-            own = {"slice": number, "codes": codes.astype("<u4").tobytes(), "pairs": pairs, "counts": counts, "groups_sha256": [d for x in held for d in x["digests"]]}
-            own |= {k: np.concatenate([x[k] for x in held]) for k in ("n_a", "n_b", "n_groups", "n_links")} | {"ids": pa.concat_arrays([x["ids"] for x in held])}
-            return pa.RecordBatch.from_arrays([listed(own[f.name], f.type) if pa.types.is_list(f.type) else pa.array([own[f.name]], f.type) for f in target], schema=target)
+            codes = codes.astype("<u2" if len(pairs) <= 1 << 16 else "<u4")
+            own = {k: np.concatenate([x[k] for x in held]) for k in ("n_a", "n_b", "n_groups", "n_links")} | {"groups_sha256": [d for x in held for d in x["digests"]]}
+            own |= {"id": pa.concat_arrays([x["ids"] for x in held]), "codes": binaries(codes, own["n_links"])}
+            yield rows(own, len(own["id"]))
+            yield rows({"code": np.arange(len(pairs)), "pair": pairs, "n": counts}, len(pairs))
 
         for b in batches:
             for part in by_bytes(b, text, TOGETHER_BYTES):
@@ -187,11 +196,11 @@ def slices(docs: DataFrame, one: str, two: str, doc_id: str, text: str) -> DataF
                 held.append(aligner.aligned(texts) | {"ids": part.column(doc_id)})
                 size += sum(map(len, texts))
                 if size >= SLICE_BYTES:
-                    yield row()
+                    yield from settled()
                     number, held, size = number + 1, [], 0
                     give_back()  # what the slice's arrays took isn't kept beside the next one's
         if held:
-            yield row()
+            yield from settled()
             held.clear()
         aligner.known.forget()  # the worker lives on beside those of later stages
         give_back()
@@ -199,41 +208,48 @@ def slices(docs: DataFrame, one: str, two: str, doc_id: str, text: str) -> DataF
     return small_batches(docs.select(doc_id, text)).mapInArrow(run, schema)
 
 
-def listed(values, kind: pa.ListType) -> pa.Array:
-    """One row that holds the values as a list."""
-    values = values.cast(kind.value_type) if isinstance(values, pa.Array) else pa.array(values, kind.value_type)
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values).cast(kind)
+def binaries(values: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The values' bytes, the first n[0] of them in the first row and so on."""
+    edges = np.concatenate([[0], np.cumsum(n)]) * values.dtype.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def summed(links: pa.Array, n: np.ndarray, code: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """For each document the sums of the values of its links; links: each one's codes as bytes, n how many these are; values go by code."""
+    links = links.cast(pa.large_binary())
+    _, offsets, data = links.buffers()
+    low, high = np.frombuffer(offsets, np.int64)[[links.offset, links.offset + len(links)]]
+    total = int(n.sum())
+    kind = np.dtype("<u2" if high - low == 2 * total else "<u4")
+    codes = np.frombuffer(data, kind, total, int(low)) if total else np.empty(0, kind)
+    edges, out = np.concatenate([[0], np.cumsum(n)]), []
+    for v in values:
+        by_code = np.zeros(int(code.max(initial=-1)) + 1, np.int64)
+        by_code[code] = v
+        out.append(np.diff(np.concatenate([[0], np.cumsum(by_code[codes])])[edges]))
+    return out
 
 
 def alignments(docs: DataFrame, one: str, two: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256; one and two are paths on the driver."""
     held = materialise(slices(docs, one, two, doc_id, text), "slices")
-    parts = held.select("slice", F.posexplode(F.arrays_zip("pairs", "counts")).alias("code", "x")).select("slice", "code", F.col("x.pairs").alias("pair"), F.col("x.counts").alias("n"))
+    parts = held.where("code is not null").select("slice", "code", "pair", "n")
     totals = parts.groupBy("pair").agg(F.sum("n").alias("total")).withColumn("second", F.col("pair").bitwiseAND(F.lit((1 << ID_BITS) - 1)))
     # tables of their own, so that joins on a frequent pair or id can be split
     totals = materialise(totals, "pairs")
     best = totals.groupBy("second").agg(F.max("total").alias("most"))
     counted = materialise(totals.join(best, "second").select("pair", "total", (F.col("total") == F.col("most")).alias("best")), "counted")
-    back = parts.select("slice", "code", "pair").join(counted, "pair").groupBy("slice").agg(F.collect_list(F.struct("code", "total", "best")).alias("sums"))
-    joined = held.drop("pairs", "counts").join(back, "slice", "left").drop("slice")
+    back = parts.select("slice", "code", "pair").join(counted, "pair").select(F.col("slice").alias("of_slice"), "code", "total", "best")
+    found = held.where("code is null").drop(*_OF_PAIR)
     schema = T.StructType([docs.schema[doc_id], *(T.StructField(k, T.LongType()) for k in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")), T.StructField("groups_sha256", T.StringType())])
     target = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                row = {c: b.column(c)[i] for c in b.schema.names}
-                codes = np.frombuffer(row["codes"].as_py(), "<u4")
-                total, best = np.zeros((2, int(codes.max()) + 1 if len(codes) else 0), np.int64)
-                if (sums := row["sums"].values) is not None:
-                    at = sums.field("code").to_numpy()
-                    total[at], best[at] = sums.field("total").to_numpy(), sums.field("best").to_numpy(zero_copy_only=False)
-                n = row["n_links"].values.to_numpy()
-                edges = np.concatenate([[0], np.cumsum(n)])
-                over = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[codes])])[edges])
-                new = {"n_best": over(best), "count_sum": over(total)}
-                arrays = [row["ids"].values] + [pa.array(new[f.name]) if f.name in new else row[f.name].values for f in list(target)[1:]]
-                yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, target)], schema=target)
-        give_back()
+    def run(own: pa.Table, sums: pa.Table) -> pa.Table:
+        own, sums = own.combine_chunks(), sums.combine_chunks()
+        plain = {c: own[c].chunk(0) for c in own.column_names}
+        code, total, best = (sums[c].to_numpy() for c in ("code", "total", "best"))
+        count_sum, n_best = summed(plain["codes"], plain["n_links"].to_numpy(), code, total, best)
+        new = {doc_id: plain["id"], "n_best": pa.array(n_best), "count_sum": pa.array(count_sum)}
+        return pa.Table.from_arrays([(new[f.name] if f.name in new else plain[f.name]).cast(f.type) for f in target], schema=target)
 
-    return joined.mapInArrow(run, schema)
+    return small_batches(found).groupBy("slice").cogroup(back.groupBy("of_slice")).applyInArrow(run, schema)

@@ -112,3 +112,33 @@ def test_query_against_brute_force(spark, sf, libraries):
     docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
     want = [(i, *x) for (i, _), x in zip(docs, brute([t for _, t in docs], libraries))]
     assert sorted(map(tuple, op12_alignment(spark, sf).collect())) == want
+
+
+def test_a_row_holds_a_document_and_a_group_a_slice(spark, libraries, monkeypatch):
+    """Many slices of one task are never held together: their rows are documents and pairs, which meet slice by slice."""
+    written, write = {}, alignment.materialise
+
+    def kept(df, label):
+        written[label] = write(df, label)
+        return written[label]
+
+    monkeypatch.setattr(alignment, "materialise", kept)
+    monkeypatch.setattr(alignment, "SLICE_BYTES", 60)
+    monkeypatch.setattr(alignment, "TOGETHER_BYTES", 20)
+    texts = [f"the cat {'sat on ' * (i % 5)}the mat" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = alignment.alignments(docs, JSON, MODEL)
+    assert sorted(map(tuple, got.collect())) == [(i, *x) for i, x in enumerate(brute(texts, libraries))]
+    rows = written["slices"].where("codes is not null").selectExpr("slice", "n_links", "octet_length(codes) as size").collect()
+    assert len(rows) == 60 and len({r["slice"] for r in rows}) > 20 and all(r["size"] == 2 * r["n_links"] for r in rows)
+
+
+@pytest.mark.parametrize("kind", ["<u2", "<u4"])
+def test_sums_go_by_code(kind):
+    n = np.array([2, 0, 3, 1])
+    links = alignment.binaries(np.array([1, 0, 2, 2, 1, 0], kind), n)
+    code, value = np.array([2, 0, 1]), np.array([100, 1, 10])
+    for at in range(4):
+        (got,) = alignment.summed(links.slice(at), n[at:], code, value)
+        assert got.tolist() == [11, 0, 210, 1][at:]
+    assert alignment.summed(alignment.binaries(np.empty(0, kind), np.array([0, 0])), np.array([0, 0]), code[:0], value[:0])[0].tolist() == [0, 0]
