@@ -113,3 +113,27 @@ def test_edges_are_not_written_again(spark, sf, monkeypatch):
     v = Lens(spark, sf)
     assert lens_queries.QUERIES["expanded_confirmed"](spark, sf).count() > 1
     assert written["sites"] > 0 and written.get("plain", 0) < v.t("lineitem").count()
+
+
+def test_expansions_in_short_cycles_are_those_of_a_join(spark, monkeypatch):
+    edges, members, sends, handlers, calls, overrides = tables(spark, 3)
+    plain = edges.where("kind = 'call'").join(members.distinct().toDF("to", "impl"), "to").where("to <> impl").select("from", F.col("impl").alias("to"), "kind", "file", "line")
+    sent = sends.join(handlers.distinct(), "request").select("from", F.col("handler").alias("to"), F.lit("call").alias("kind"), "file", "line")
+    rows = lambda df: sorted(map(repr, map(tuple, df.select("from", "to", "kind", "file", "line").collect())))
+    made = lambda: (rows(scan_passes.interface_edges(edges, members)), rows(scan_passes.mediator_edges(sends, handlers)), rows(scan_passes.override_edges(calls, overrides)))
+    want = made()
+    assert want[:2] == (rows(plain), rows(sent)) and min(map(len, want)) > 5
+    for name, n in {"CALLS_TOGETHER": 2, "MEMBERS_TOGETHER": 5, "CYCLE": 2, "EDGES_OF_TASK": 10}.items():
+        monkeypatch.setattr(scan_passes, name, n)
+    assert made() == want
+
+
+def test_expansions_are_small_on_disk(spark, tmp_path, monkeypatch):
+    """Runs of a call over short cycles of members; with all members after each call a file keeps a number for each row."""
+    monkeypatch.setattr(scan_passes, "WAVES", 1)
+    edges = spark.createDataFrame([(f"c{i * 7919}", "I", "call", "f", i, None) for i in range(120)], "`from` string, `to` string, kind string, file string, line int, via string")
+    members = spark.createDataFrame([("I", f"x{i * 7919}") for i in range(10_000)], "iface_member string, impl_member string")
+    path = tmp_path / "edges"
+    scan_passes.interface_edges(edges, members).write.parquet(str(path))
+    assert spark.read.parquet(str(path)).distinct().count() == 1_200_000
+    assert sum(f.stat().st_size for f in path.glob("*.parquet")) < 1_200_000 * 0.8
