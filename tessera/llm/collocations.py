@@ -55,7 +55,7 @@ def words_and_marks(text: str) -> list[bytes]:
 
 def packed(a: np.ndarray) -> bytes:
     """32-bit integers, compressed by planes of bytes."""
-    return pa.compress(np.ascontiguousarray(a.astype("<i4").view(np.uint8).reshape(-1, 4).T), codec="zstd", asbytes=True)
+    return pa.compress(np.ascontiguousarray(a.astype("<i4", copy=False).view(np.uint8).reshape(-1, 4).T), codec="zstd", asbytes=True)
 
 
 def unpacked(b: bytes, n: int) -> np.ndarray:
@@ -63,6 +63,14 @@ def unpacked(b: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view("<i4").ravel()
 
 
+def renumbered(ids: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """number[ids], in the place of ids."""
+    for at in range(0, len(ids), SENT_TOGETHER):
+        some = ids[at : at + SENT_TOGETHER]
+        some[:] = number[some]
+    return ids
+
+
 class Gathering:
     """The words of a language that a task has read since its last shard; 0 is the mark."""
 
@@ -74,9 +82,20 @@ class Gathering:
     def add(self, text: str) -> None:
         found = words_and_marks(text)
         found.append(_MARK)
-        self.parts.append(np.fromiter(map(self.number.__getitem__, found), np.int32, len(found)))
+        ids = np.fromiter(map(self.number.__getitem__, found), np.int32, len(found))
+        # held until the shard is full: two bytes a word as long as the numbers allow
+        self.parts.append(ids if len(self.number) > 1 << 16 else ids.astype(np.uint16))
         self.size += len(found)
 
+    def taken(self) -> np.ndarray:
+        """The words' numbers; the parts go as they are copied."""
+        out, at = np.empty(self.size, np.int32), 0
+        for part in self.parts:
+            out[at : at + len(part)] = part
+            at += len(part)
+        self.parts.clear()
+        return out
+
 
 def cut_at_marks(ids: np.ndarray, limit: int) -> Iterator[np.ndarray]:
     """ids in parts of about `limit`, each with a mark at its end."""
@@ -107,14 +126,14 @@ def shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
         def settled(name: str) -> Iterator[pa.RecordBatch]:
             nonlocal number
             g = held.pop(name)
-            every, whole = np.array([w.decode("utf-8") for w in list(g.number)[1:]], object), np.concatenate(g.parts)
+            every, whole = np.array([w.decode("utf-8") for w in list(g.number)[1:]], object), g.taken()
             del g
             for ids in cut_at_marks(whole, SHARD_WORDS):
                 n = np.bincount(ids, minlength=len(every) + 1)
                 some = np.flatnonzero(n[1:]) + 1
                 again = np.zeros(len(n), np.int32)
                 again[some] = np.arange(1, len(some) + 1)
-                row = {"shard": number, "lang": name, "size": len(ids), "ids": packed(again[ids]), "words": every[some - 1], "counts": n[some]}
+                row = {"shard": number, "lang": name, "size": len(ids), "ids": packed(renumbered(ids, again)), "words": every[some - 1], "counts": n[some]}
                 yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in _SHARDS], schema=_SHARDS)
                 del n, again, row
                 give_back()
@@ -218,7 +237,7 @@ def indexed(held: DataFrame, numbers: DataFrame, depth: int) -> DataFrame:
                 ids = unpacked(ids.as_py(), n.as_py())
                 dense = np.zeros(int(ids.max(initial=0)) + 1, np.int32)  # words that aren't frequent part pieces as marks do
                 dense[at] = np.arange(1, len(at) + 1)
-                ids = dense[ids]
+                ids = renumbered(ids, dense)
                 first, step = index(ids, depth)
                 low, size = intervals(first)
                 word = number[first[low] - 1]

@@ -150,3 +150,19 @@ def test_intervals_are_taken_in_any_order(spark):
     number = {p: i for i, p in enumerate(sorted({p for p in pairs if 0 not in p}))}
     want = Counter((number[a], number[b]) for a, b in zip(pairs, pairs[1:]) if 0 not in a + b)
     assert {(r["left"], r["right"]): r["size"] for r in found} == want and len(found) == len(want)
+
+
+def test_a_shard_is_gathered_in_few_bytes():
+    g = collocations.Gathering()
+    texts = [f"a b w{i}. c" for i in range(70_000)]
+    for t in texts[:60_000]:
+        g.add(t)
+    assert g.size == 6 * 60_000 and sum(p.nbytes for p in g.parts) == 2 * g.size
+    for t in texts[60_000:]:
+        g.add(t)
+    words = list(g.number)
+    got = g.taken()
+    assert got.dtype == np.int32 and not g.parts and [words[i] for i in got] == [w for t in texts for w in [*collocations.words_and_marks(t), b"\xff"]]
+    number = np.random.default_rng(1).permutation(len(words)).astype(np.int32)
+    want, at = number[got], got
+    assert collocations.renumbered(got, number) is at and (got == want).all()
